@@ -50,7 +50,7 @@ def label_alignment(spark, sf):
 )
 def cluster_weights(spark, sf):
     lookup = spark.createDataFrame([(c, 3.0) for c in HARD_CLUSTERS], "cluster int, hard double")
-    scans = v_ens(spark, sf).select("uid", "cluster").join(F.broadcast(lookup), "cluster", "left")
+    scans = v_ens(spark, sf).select("uid", "cluster").join(lookup, "cluster", "left")
     return mean_one_weights(scans, F.coalesce("hard", F.lit(1.0))).select("uid", "cluster", r6("w").alias("w"))
 
 
@@ -172,7 +172,7 @@ def matched_null(spark, sf):
     size = t.where("treated").groupBy("y", "cell").agg(F.count(F.lit(1)).alias("want"))
     pool = t.where("not treated").withColumn("h", uniform(F.col("uid"), F.lit("null")))
     ranked = row_numbers(pool, ["y", "cell"], ["h", "uid"])
-    return ranked.join(F.broadcast(size), ["y", "cell"]).where("rn <= want").select("uid", "y", "cell")
+    return ranked.join(size, ["y", "cell"]).where("rn <= want").select("uid", "y", "cell")
 
 
 @query(
