@@ -39,11 +39,15 @@ def poisson1_thresholds(terms: int = 12) -> list[float]:
 
 def poisson1(u) -> Column:
     """Poisson(1) count by inverse distribution function."""
-    c = col(u)
-    out = F.lit(0)
-    for t in poisson1_thresholds():
-        out = out + (c > F.lit(t)).cast("int")
-    return out
+
+    def count(v: Column) -> Column:
+        out = F.lit(0)
+        for t in poisson1_thresholds():
+            out = out + (v > F.lit(t)).cast("int")
+        return out
+
+    # binding u to a lambda variable evaluates its hash once instead of once per threshold
+    return F.element_at(F.transform(F.array(col(u)), count), 1)
 
 
 def poisson1_sql(u: str) -> str:
