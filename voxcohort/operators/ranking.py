@@ -27,10 +27,12 @@ def running(
     totals: dict[str, Column],
     lowest: dict[str, Column] | None = None,
     bounds: bool = True,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per distinct (keys, order) with `<name>`, `<name>_before` and `<name>_all` for sums.
 
-    `lowest` columns get `<name>_upto`: the running minimum up to and including the row.
+    `lowest` columns get `<name>_upto`: the running minimum up to and including the row. `carry` columns
+    ride along and need (keys, order) to be unique.
     """
     lowest = lowest or {}
     anchor = keys or ["_everything"]
@@ -38,6 +40,7 @@ def running(
     combined = base.groupBy(*anchor, *order).agg(
         *[F.sum(c).alias(n) for n, c in totals.items()],
         *[F.min(c).alias(n) for n, c in lowest.items()],
+        *[F.first(c).alias(c) for c in carry],
     )
     frozen = cut(
         combined.repartitionByRange(*[F.col(c) for c in anchor + order]).withColumn(
@@ -69,6 +72,7 @@ def running(
             for n in totals
         ],
         *([f"{n}_all" for n in totals] if bounds else []),
+        *carry,
         *lowest,
         *[F.least(F.col(f"_pre_{n}"), F.min(n).over(upto)).alias(f"{n}_upto") for n in lowest],
     )
@@ -87,11 +91,13 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str, weight=None) ->
     return ranked.groupBy(*keys).agg(F.when(pairs > 0, wins / pairs).alias("auc"))
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: list[str], name: str = "rn") -> DataFrame:
+def row_numbers(
+    df: DataFrame, keys: list[str], order: list[str], name: str = "rn", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """1-based position within the group and the group size; `order` must be unique per group."""
-    out = running(df, keys, order, {"n": F.lit(1)})
+    out = running(df, keys, order, {"n": F.lit(1)}, carry=carry)
     return out.select(
-        *keys, *order, (F.col("n_before") + 1).cast("long").alias(name), F.col("n_all").alias("n")
+        *keys, *order, *carry, (F.col("n_before") + 1).cast("long").alias(name), F.col("n_all").alias("n")
     )
 
 

@@ -104,8 +104,8 @@ def v_grid(spark, sf) -> DataFrame:
 def v_runs(spark, sf) -> DataFrame:
     """Epoch logs: the position of an event within its user is the epoch."""
     e = table(spark, sf, "events").select(F.col("user_id").alias("run"), "ts", "event_id", "value")
-    pos = row_numbers(e, ["run"], ["ts", "event_id"], "rn").select("event_id", "rn")
-    return e.join(pos, "event_id").select(
+    pos = row_numbers(e, ["run"], ["ts", "event_id"], "rn", carry=("value",))
+    return pos.select(
         "run", (F.col("rn") - 1).cast("long").alias("epoch"), (F.col("value") / F.lit(100.0)).alias("ll")
     )
 
