@@ -79,3 +79,31 @@ def half_even(c) -> Column:
 def compress_input(v, cap: float = INTENSITY_CAP, log_scale: bool = False) -> Column:
     x = F.least(col(v), F.lit(float(cap)))
     return F.log1p(x) * F.lit(12.0) / F.log1p(F.lit(12.0)) if log_scale else x
+
+
+def let(value, body) -> Column:
+    """Evaluate `value` once and use it inside `body`, also when `body` holds a lambda.
+
+    The optimizer may inline a column referenced once into a lambda and re-evaluate it per element; a
+    lambda variable cannot be inlined.
+    """
+    return F.element_at(F.transform(F.array(col(value)), body), 1)
+
+
+def mean_of(arr) -> Column:
+    a = col(arr)
+    return F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
+
+
+def sorted_quantile(arr, q: float) -> Column:
+    """Linear-interpolated quantile of an ascending array."""
+    a = col(arr)
+    at = F.lit(float(q)) * (F.size(a) - F.lit(1))
+    lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    return F.element_at(a, lo + 1) * (F.lit(1.0) - (at - lo)) + F.element_at(a, hi + 1) * (at - lo)
+
+
+def sorted_nearest(arr, q: float) -> Column:
+    """Value at position floor(q * (n - 1)) of an ascending array."""
+    a = col(arr)
+    return F.element_at(a, F.floor(F.lit(float(q)) * (F.size(a) - F.lit(1))).cast("int") + 1)

@@ -57,3 +57,38 @@ def newton(source: str, name: str, a: str | None = None, b: str | None = None, g
         )
     ctes.append(f"{name} as (select * from {name}{steps})")
     return ",\n".join(ctes)
+
+
+def smooth_sql(source: str, name: str, sizes: dict[str, int], weights: list[float], border: str = "zero", value: str = "v", extra: str = "", only: list[str] | None = None) -> str:
+    """CTEs smoothing `value` of `source` axis by axis; the result is `name`."""
+    half = len(weights) // 2
+    vals = ", ".join(f"({d}, {w!r}::double)" for d, w in zip(range(-half, half + 1), weights))
+    keys = ["uid", *([extra] if extra else []), *sizes]
+    prev, ctes = source, []
+    for k, ax in enumerate(only or list(sizes)):
+        cur = f"{name}_{k}"
+        others = " and ".join(f"a.{o} = b.{o}" for o in keys if o != ax)
+        at = f"a.{ax} + k.d"
+        if border == "replicate":
+            at = f"greatest(0, least({sizes[ax] - 1}, {at}))"
+        ctes.append(
+            f"{cur} as (select {', '.join('a.' + c for c in keys)}, sum(k.w * b.{value}) {value} from {prev} a cross join (values {vals}) k(d, w) "
+            f"join {prev} b on {others} and b.{ax} = {at} group by {', '.join('a.' + c for c in keys)})"
+        )
+        prev = cur
+    ctes.append(f"{name} as (select * from {prev})")
+    return ",\n".join(ctes)
+
+
+def components_sql(mask: str, name: str, axes: dict[str, int]) -> str:
+    """CTEs labelling `mask` (uid and axes) by face connectivity; `<name>` has label, `<name>_big` the largest."""
+    cell = "0"
+    for a, n in axes.items():
+        cell = f"({cell})*{n} + {a}"
+    dist = " + ".join(f"abs(a.{a} - b.{a})" for a in axes)
+    cols = ", ".join(axes)
+    return f"""{name}_m as (select uid, {cols}, {cell} c from {mask}),
+    {name}_e as (select a.uid, a.c a, b.c b from {name}_m a join {name}_m b on a.uid = b.uid and {dist} = 1),
+    {name}_r(uid, a, b) as (select uid, c, c from {name}_m union select r.uid, r.a, e.b from {name}_r r join {name}_e e on r.uid = e.uid and r.b = e.a),
+    {name} as (select m.uid, {', '.join('m.' + a for a in axes)}, r.label from {name}_m m join (select uid, a, min(b) label from {name}_r group by 1, 2) r on m.uid = r.uid and m.c = r.a),
+    {name}_big as (select l.* from {name} l join (select uid, label, row_number() over (partition by uid order by count(*) desc, label) k from {name} group by 1, 2) b on l.uid = b.uid and l.label = b.label and b.k = 1)"""
