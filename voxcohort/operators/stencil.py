@@ -61,10 +61,10 @@ def kernel(sigma: float, taps: int | None = None) -> list[float]:
 
 def smooth(
     df: DataFrame, axes: list[str], value: str, sigma: float, border: str = "zero", taps: int | None = None,
-    extra: tuple[str, ...] = (), only: list[str] | None = None,
+    extra: tuple[str, ...] = (), only: list[str] | None = None, weights: list[Column] | None = None,
 ) -> DataFrame:
-    """Separable Gaussian; outside the grid is zero or the nearest edge."""
-    w = kernel(sigma, taps)
+    """Separable Gaussian; outside the grid is zero or the nearest edge. `weights` may be columns."""
+    w = weights or [F.lit(c) for c in kernel(sigma, taps)]
     half = len(w) // 2
     for axis in only or axes:
         win = line(axes, axis, extra)
@@ -79,7 +79,7 @@ def smooth(
                 cell = F.coalesce(F.lead(value, j).over(win), last)
             else:
                 cell = F.col(value)
-            total = total + F.lit(c) * cell
+            total = total + c * cell
         df = df.withColumn(value, total)
     return df
 

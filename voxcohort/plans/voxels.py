@@ -718,7 +718,7 @@ def affine_resample(spark, sf):
     "zoom_resample",
     f"""with o as (select uid, x, y, z from (select distinct uid from v_vox) cross join (select cast(range as int) x from range(6)) cross join (select cast(range as int) y from range(6)) cross join (select cast(range as int) z from range(6))),
     pc as (select uid, x, y, z, x*3/5.0::double px, y*3/5.0::double py, z*3/5.0::double pz from o), ph as (select uid, x, y, z, greatest(0, least(3, (x+0.5)*4/6.0::double - 0.5)) px, greatest(0, least(3, (y+0.5)*4/6.0::double - 0.5)) py, greatest(0, least(3, (z+0.5)*4/6.0::double - 0.5)) pz from o),
-    {corner_sql('v_vox', 'pc', 'g')}, {corner_sql('v_vox', 'ph', 'h')} select uid, x, y, z, {r('g.v')} corner_aligned, {r('h.v')} half_pixel from g join h using (uid, x, y, z)""",
+    {corner_sql('v_vox', 'pc', 'g')}, {corner_sql('v_vox', 'ph', 'h')} select uid, x, y, z, round(g.v, 5) corner_aligned, round(h.v, 5) half_pixel from g join h using (uid, x, y, z)""",
     ("v_vox",),
 )
 def zoom_resample(spark, sf):
@@ -726,6 +726,6 @@ def zoom_resample(spark, sf):
     b = v_boxes(spark, sf).select("uid", "data")
     one = resample(b, DIMS, tuple(corner_aligned(6, 4, F.col(a)) for a in "xyz"), (6, 6, 6), "edge").withColumnRenamed("v", "a")
     two = resample(b, DIMS, tuple(half_pixel(6, 4, F.col(a)) for a in "xyz"), (6, 6, 6), "edge").withColumnRenamed("v", "b")
-    return one.join(two, ["uid", "x", "y", "z"]).select("uid", "x", "y", "z", r6("a").alias("corner_aligned"), r6("b").alias("half_pixel"))
+    return one.join(two, ["uid", "x", "y", "z"]).select("uid", "x", "y", "z", F.round("a", 5).alias("corner_aligned"), F.round("b", 5).alias("half_pixel"))
 
 
