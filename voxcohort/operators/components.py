@@ -14,16 +14,15 @@ def components(mask: DataFrame, axes: dict[str, int], keep: tuple[str, ...] = ()
 
     A round takes the minimum label over every straight run along each axis, then lets all cells that
     shared a label follow the smallest one any of them reached, so distances shrink geometrically rather
-    than one voxel per round. Every window is local to a scan: after one partitioning by uid no round
-    shuffles. Rows are frozen between jobs and the loop stops when nothing changed.
+    than one voxel per round. Every window is local to a scan, so a job shuffles once, by uid. Rows are frozen between jobs and the loop stops when nothing changed.
     """
     names = list(axes)
     cell = F.lit(0)
     for a in names:
         cell = cell * F.lit(axes[a]) + F.col(a)
-    cur = by_scan(mask.select("uid", *names, *keep)).withColumn("label", cell.cast("long"))
+    cur = mask.select("uid", *names, *keep).withColumn("label", cell.cast("long"))
     for _ in range(0, limit, rounds_per_job):
-        nxt = cur.withColumn("_was", F.col("label"))
+        nxt = by_scan(cur).withColumn("_was", F.col("label"))
         for _ in range(rounds_per_job):
             nxt = nxt.withColumn("_old", F.col("label"))
             for a in names:

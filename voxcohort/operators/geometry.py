@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -119,19 +121,19 @@ def resample(
         if border == "edge":
             s = F.least(F.lit(float(size - 1)), F.greatest(F.lit(0.0), s))
         t = t.withColumn(n, s)
-    for n in names:
+    # six axis weights and six clamped offsets, each computed once; the sum below only refers to them
+    strides = (ny * nz, nz, 1)
+    for n, size in zip(names, dims):
         t = t.withColumn(f"{n}0", F.floor(n).cast("int")).withColumn(f"{n}f", F.col(n) - F.floor(n))
+    for n, size, stride in zip(names, dims, strides):
+        for k in (0, 1):
+            at, f = F.col(f"{n}0") + k, F.col(f"{n}f")
+            t = t.withColumn(f"{n}w{k}", F.when(at.between(0, size - 1), f if k else F.lit(1.0) - f).otherwise(F.lit(0.0)))
+            t = t.withColumn(f"{n}i{k}", F.greatest(F.lit(0), F.least(F.lit(size - 1), at)) * stride)
     total: Column = F.lit(0.0)
-    for bx in (0, 1):
-        for by in (0, 1):
-            for bz in (0, 1):
-                cx, cy, cz = F.col("_px0") + bx, F.col("_py0") + by, F.col("_pz0") + bz
-                w: Column = F.lit(1.0)
-                for n, b in zip(names, (bx, by, bz)):
-                    f = F.col(f"{n}f")
-                    w = w * (f if b else F.lit(1.0) - f)
-                ok = cx.between(0, nx - 1) & cy.between(0, ny - 1) & cz.between(0, nz - 1)
-                total = total + F.when(ok, w * F.get(F.col(data), cx * (ny * nz) + cy * nz + cz)).otherwise(F.lit(0.0))
+    for bx, by, bz in itertools.product((0, 1), repeat=3):
+        w = F.col(f"_pxw{bx}") * F.col(f"_pyw{by}") * F.col(f"_pzw{bz}")
+        total = total + w * F.get(F.col(data), F.col(f"_pxi{bx}") + F.col(f"_pyi{by}") + F.col(f"_pzi{bz}"))
     return t.select("uid", *carry, "x", "y", "z", total.alias("v"))
 
 

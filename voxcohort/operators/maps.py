@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import MIN_ANCHOR_PIXELS, SHAPE_WINDOW, SIGMOID_SHARPNESS
 from ..functions.scalars import col, sigmoid
 from ..session import cut
-from .stencil import erosion_depth, frame, line, smooth
+from .stencil import by_scan, erosion_depth, frame, line, smooth
 
 XY = ["x", "y"]
 
@@ -149,7 +149,7 @@ def basins(t: DataFrame, value: str, steps: int = 30, per_job: int = 5) -> DataF
     done = 0
     while done < steps:
         todo = min(per_job, steps - done)
-        nxt = cur.withColumn("_was", F.col("_b"))
+        nxt = by_scan(cur).withColumn("_was", F.col("_b"))
         for _ in range(todo):
             wy, wx = line(XY, "y"), line(XY, "x")
             here = F.struct(F.col(value).alias("h"), F.col("_b").alias("b"))

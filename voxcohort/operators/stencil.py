@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def by_scan(df: DataFrame) -> DataFrame:
     return df.repartition("uid")
@@ -47,6 +49,15 @@ def frame(df: DataFrame, axes: list[str], value: str, fn, k: int, extra: tuple[s
     return df
 
 
+def frames(df: DataFrame, axes: list[str], filters: dict[str, tuple], extra: tuple[str, ...] = ()) -> DataFrame:
+    """Several filters {column: (fn, radius)} in one sort per axis instead of one per filter and axis."""
+    for axis in axes:
+        keep = [c for c in df.columns if c not in filters]
+        w = line(axes, axis, extra)
+        df = df.select(*keep, *[fn(c).over(w.rowsBetween(-k, k)).alias(c) for c, (fn, k) in filters.items()])
+    return df
+
+
 def closing(df: DataFrame, axes: list[str], value: str, k: int) -> DataFrame:
     return frame(frame(df, axes, value, F.max, k), axes, value, F.min, k)
 
@@ -112,3 +123,20 @@ def offsets_join(df: DataFrame, axes: list[str], offsets: list[tuple[int, ...]],
     for a in axes:
         s = s.withColumn(a, F.col(a) + F.col(f"_o.{a}"))
     return s.drop("_o").groupBy("uid", *axes).agg(*[c.alias(n) for n, c in aggs.items()])
+
+
+def grow(seed: DataFrame, mask: str, axes: list[str], steps: int, value: str = "rec", per_job: int = 5) -> DataFrame:
+    """Geodesic growth: repeat rec = min(dilate(rec, 1), mask) until nothing changes or `steps` is reached."""
+    done, cur = 0, seed
+    while done < steps:
+        todo = min(per_job, steps - done)
+        nxt = by_scan(cur).withColumn("_was", F.col(value))
+        for _ in range(todo):
+            nxt = frame(nxt, axes, value, F.max, 1).withColumn(value, F.least(F.col(value), F.col(mask)))
+        nxt = cut(nxt)
+        done += todo
+        moved = nxt.where(f"{value} <> _was").limit(1).count()
+        cur = nxt.drop("_was")
+        if not moved:
+            break
+    return cur

@@ -1,5 +1,8 @@
 """Whole-volume operators on the array form: one row per scan, z fastest, then y, then x.
 
+Arrays are unfolded with the outer form on purpose: the plain form makes the optimizer infer a
+size-greater-than-zero filter, which would evaluate the whole array expression a second time.
+
 A scan is one row, so its statistics are computed inside that row: sorting, reducing and re-scaling a
 volume move no data. Long form (`voxels`) is produced where neighbours or joins are needed.
 """
@@ -17,7 +20,7 @@ def voxels(boxes: DataFrame, dims: tuple[int, int, int], carry: tuple[str, ...]
     """Long form: one row per voxel with explicit coordinates."""
     _, ny, nz = dims
     i = F.col("i")
-    long = boxes.select("uid", *carry, F.posexplode(data).alias("i", "v"))
+    long = boxes.select("uid", *carry, F.posexplode_outer(data).alias("i", "v"))
     return long.select(
         "uid", *carry, "i", F.floor(i / (ny * nz)).cast("int").alias("x"), (F.floor(i / nz) % ny).cast("int").alias("y"), (i % nz).alias("z"), "v"
     )
@@ -48,7 +51,7 @@ def profiles(boxes: DataFrame, dims: tuple[int, int, int], carry: tuple[str, ...
 
         pix = F.transform(F.sequence(F.lit(0), F.lit(na * nb - 1)), gather)
     names = ("x", "y", "z")
-    long = boxes.select("uid", *carry, F.posexplode(pix).alias("_p", "prof"))
+    long = boxes.select("uid", *carry, F.posexplode_outer(pix).alias("_p", "prof"))
     return long.select(
         "uid", *carry, F.floor(F.col("_p") / nb).cast("int").alias(names[keep[0]]), (F.col("_p") % nb).cast("int").alias(names[keep[1]]), "prof"
     )

@@ -17,7 +17,7 @@ from ..operators.stencil import by_scan, smooth
 from .ordering import _AXIS_SQL
 from .registry import query, r
 from .sqltext import smooth_sql
-from .views import DIMS, table, v_boxes, v_masks, v_vox
+from .views import DIMS, scan_voxels, table, v_boxes, v_masks, v_vox
 from .voxels import AX3, SIGMA, W5, corner_sql
 
 XYZ = ["x", "y", "z"]
@@ -150,7 +150,7 @@ _W2, _W12 = [w / sum(_W2) for w in _W2], [w / sum(_W12) for w in _W12]
     ("v_vox",),
 )
 def background_scatter(spark, sf):
-    v = by_scan(v_vox(spark, sf)).withColumn("h", (F.col("v") > 0.9).cast("double")).withColumn("p", F.col("v"))
+    v = scan_voxels(spark, sf).withColumn("h", (F.col("v") > 0.9).cast("double")).withColumn("p", F.col("v"))
     v = smooth(v, XYZ, "h", 2.0, "replicate", taps=5)
     for _ in range(2):
         v = smooth(v, XYZ, "p", 1.2, "replicate", taps=5)
@@ -179,7 +179,7 @@ _FIELD = f"""mid as (select uid, avg(x) lr from v_masks group by 1), f0 as (sele
 
 def _field(spark, sf):
     dr = ag.lesion_draws(labels(spark, sf), 0.7, 0.3, 0.8, 0.4)
-    return ag.lesion_field(by_scan(v_vox(spark, sf).select("uid", *XYZ, "v")), v_masks(spark, sf), dr, DIMS[1], SIGMA)
+    return ag.lesion_field(scan_voxels(spark, sf).select("uid", *XYZ, "v"), v_masks(spark, sf), dr, DIMS[1], SIGMA)
 
 
 @query("lesion_field", f"with {Y_SQL}, {_LES}, {_AXIS_SQL}, {_FIELD} select uid, x, y, z, {r('f')} f from lf", ("v_vox", "v_masks"))

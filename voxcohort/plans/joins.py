@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.constants import HARD_CLUSTERS
 from ..functions.draws import uniform, uniform_sql
 from ..functions.scalars import calibrate, log_loss_term, logit, r6, softplus
-from ..operators.cohort import coverage, folds_of, mean_one_weights, pair_arms
+from ..operators.cohort import coverage, folds_of, mean_one_weights, pair_arms, small_list
 from ..operators.ensemble import metrics
 from ..operators.ranking import row_numbers, tile
 from .registry import query, r
 from .sqltext import auc_sql, ll, logit as lsql, sig
-from .views import MEMBERS, labelled, table, v_boxes, v_ens, v_folds, v_preds
+from .views import labelled, table, v_boxes, v_ens, v_folds, v_preds
 
 BATCH = 24
 
@@ -116,7 +116,7 @@ def coverage_exact_once(spark, sf):
     p = v_preds(spark, sf).select("uid", "member")
     damaged = p.where((F.col("uid") + F.col("member")) % 97 != 0).unionByName(p.where((F.col("uid") * 3 + F.col("member")) % 89 == 0))
     scans = labelled(spark, sf).select(F.col("doc_id").alias("uid"))
-    return coverage(damaged, scans, list(range(MEMBERS)))
+    return coverage(damaged, scans, small_list(p, "member"))
 
 
 @query(

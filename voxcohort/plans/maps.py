@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import let, mean_of, r6, sigmoid, sorted_nearest
 from ..operators import maps as mp
 from ..operators import volumes as vol
-from ..operators.stencil import assert_dense, by_scan, erosion_depth, frame, smooth
+from ..operators.stencil import assert_dense, by_scan, erosion_depth, frame, grow, smooth
 from ..session import cut
 from .registry import query, r
 from .sqltext import sig, smooth_sql
-from .views import DIMS, IMG, v_boxes, v_grid, v_img, v_masks, v_vox
+from .views import DIMS, IMG, scan_image, scan_voxels, v_boxes, v_grid, v_img, v_masks, v_vox
 from .voxels import _PEAK, AX2, AX3, SIGMA, W5
 
 WIN = (4, 4, 2)
@@ -71,7 +71,7 @@ _ANI = "(l1-l2)/(l1+l2+1e-6)"
     ("v_img",),
 )
 def anisotropy_map(spark, sf):
-    img = assert_dense(by_scan(v_img(spark, sf)), {"x": IMG[0], "y": IMG[1]})
+    img = assert_dense(scan_image(spark, sf), {"x": IMG[0], "y": IMG[1]})
     t = mp.local_moments(img, "v", 3).withColumn("rel", F.col("v") / F.greatest(F.max("v").over(mp.scan()), F.lit(1e-3)))
     c, s = mp.orientation()
     rel = F.col("rel")
@@ -91,7 +91,7 @@ _ANCHOR = f"{_REGION}, ac as (select *, greatest(max(v*region) over (partition b
 
 
 def _anchored(spark, sf, guard=False):
-    img = by_scan(v_img(spark, sf)).withColumn("region", (F.col("v") > 1.5).cast("int"))
+    img = scan_image(spark, sf).withColumn("region", (F.col("v") > 1.5).cast("int"))
     return mp.anchored(img, "v", "region", WIN, least=6, guard=guard)
 
 
@@ -136,7 +136,7 @@ _SMO = f"{smooth_sql('v_img', 'sm0', AX2, W5)}, sm as (select uid, x, y, round(v
 
 
 def _peaks(spark, sf):
-    s = cut(mp.smooth_map(by_scan(v_img(spark, sf)), "v", SIGMA).withColumn("v", F.round("v", 9)))
+    s = cut(mp.smooth_map(scan_image(spark, sf), "v", SIGMA).withColumn("v", F.round("v", 9)))
     return mp.peaks(by_scan(s), "v", mp.otsu_levels(s, "v", WIN))
 
 
@@ -196,7 +196,7 @@ def depth_map_3d(spark, sf):
     pk = vol.peak_mean_maps(v_boxes(spark, sf), DIMS).select("uid", "x", "y", "peak")
     reg = v_masks(spark, sf).select("uid", "x", "y").distinct().withColumn("region", F.lit(1))
     a = pk.join(reg, ["uid", "x", "y"], "left").groupBy("uid").agg(F.greatest(F.max(F.when(F.col("region") == 1, F.col("peak")).otherwise(F.lit(0.0))), F.lit(1e-3)).alias("a"))
-    v = by_scan(v_vox(spark, sf)).join(a, "uid").withColumn("s", mp.soft_above("v", F.lit(0.5) * F.col("a")))
+    v = scan_voxels(spark, sf).join(a, "uid").withColumn("s", mp.soft_above("v", F.lit(0.5) * F.col("a")))
     d = erosion_depth(v, ["x", "y", "z"], "s", 2).groupBy("uid", "x", "y").agg(F.avg("depth").alias("d")).join(reg, ["uid", "x", "y"], "left")
     d = d.withColumn("region", F.coalesce("region", F.lit(0)))
     return d.select("uid", "x", "y", r6(mp.over_region_max("d")).alias("depth"))
@@ -383,23 +383,6 @@ def mixed_maps(spark, sf):
     return t.select("uid", "x", "y", r6("v").alias("top"), r6(mp.anisotropy() * rel).alias("aniso"), r6("depth").alias("depth"))
 
 
-def grow(seed, mask: str, axes: list[str], steps: int, value: str = "rec", per_job: int = 5):
-    """Geodesic growth: repeat rec = min(dilate(rec, 1), mask) until nothing changes or `steps` is reached."""
-    done, cur = 0, seed
-    while done < steps:
-        todo = min(per_job, steps - done)
-        nxt = cur.withColumn("_was", F.col(value))
-        for _ in range(todo):
-            nxt = frame(nxt, axes, value, F.max, 1).withColumn(value, F.least(F.col(value), F.col(mask)))
-        nxt = cut(nxt)
-        done += todo
-        moved = nxt.where(f"{value} <> _was").limit(1).count()
-        cur = nxt.drop("_was")
-        if not moved:
-            break
-    return cur
-
-
 def _morph(src: str, out: str, fn: str, k: int) -> str:
     return f"{out} as (select a.uid, a.x, a.y, a.z, {fn}(b.v) v from {src} a join {src} b on a.uid = b.uid and abs(a.x-b.x) <= {k} and abs(a.y-b.y) <= {k} and abs(a.z-b.z) <= {k} group by 1, 2, 3, 4)"
 
@@ -423,13 +406,13 @@ def blob_removal(spark, sf):
     ps = smooth(by_scan(pk), ["x", "y"], "v", SIGMA).withColumn("v", F.round("v", 9))
     lvl = mp.otsu_levels(ps, "v", None).withColumn("level", F.greatest("level", F.lit(1e-3)))
     top = b.select("uid", sorted_nearest(F.sort_array(F.filter("data", lambda v, i: i % 7 == 0)), 0.999).alias("q"))
-    t = by_scan(v_vox(spark, sf)).join(top, "uid").join(lvl, "uid").withColumn("hd", (F.col("v") > F.lit(0.6) * F.col("q")).cast("int"))
+    t = scan_voxels(spark, sf).join(top, "uid").join(lvl, "uid").withColumn("hd", (F.col("v") > F.lit(0.6) * F.col("q")).cast("int"))
     t = frame(frame(t, ax, "hd", F.max, 1), ax, "hd", F.min, 1)
     t = frame(t.withColumn("core", F.col("hd")), ax, "core", F.min, 1)
     t = smooth(t.withColumn("sv", F.col("v")), ax, "sv", SIGMA)
     t = t.withColumn("mask", (F.round("sv", 9) > F.round(F.lit(1.05) * F.col("level"), 9)).cast("int"))
     t = t.withColumn("rec", F.least(F.col("hd") - F.col("core"), F.col("mask"))).select("uid", *ax, "v", "mask", "rec")
-    g = frame(grow(by_scan(t), "mask", ax, 40), ax, "rec", F.max, 1)
+    g = frame(by_scan(grow(t, "mask", ax, 40)), ax, "rec", F.max, 1)
     return g.select("uid", *ax, r6(F.when(F.col("rec") == 1, F.least(F.col("v"), F.lit(1.0))).otherwise(F.col("v"))).alias("v"), (F.col("rec") == 1).alias("removed"))
 
 

@@ -10,11 +10,11 @@ from ..functions.scalars import bce_from_logit, logit, r6
 from ..operators.ensemble import metrics
 from ..operators.masks import axis_positions
 from ..operators.ranking import row_numbers, running, tile
-from ..operators.stencil import by_scan, frame
+from ..operators.stencil import frame, frames
 from ..session import cut
 from .registry import query, r
 from .sqltext import auc_sql, bce, ll, logit as lsql
-from .views import DIMS, table, v_ens, v_img, v_masks, v_pose, v_preds, v_runs, v_vox
+from .views import DIMS, scan_image, table, v_ens, v_img, v_masks, v_pose, v_preds, v_runs, v_vox
 
 BLOCK = 4096
 
@@ -119,11 +119,11 @@ def _frame_sql(fn: str, k: int) -> str:
     ("v_img",),
 )
 def row_frame_filter(spark, sf):
-    img = by_scan(v_img(spark, sf)).withColumn("e", F.col("v")).withColumn("d", F.col("v")).withColumn("s", F.col("v"))
+    img = scan_image(spark, sf).withColumn("e", F.col("v")).withColumn("d", F.col("v")).withColumn("s", F.col("v"))
     img = img.withColumn("m", (F.col("v") > 1.2).cast("int"))
     ax = ["x", "y"]
-    t = frame(frame(frame(img, ax, "e", F.min, 1), ax, "d", F.max, 2), ax, "s", F.sum, 2)
-    t = frame(frame(t, ax, "m", F.max, 1), ax, "m", F.min, 1)
+    t = frames(img, ax, {"e": (F.min, 1), "d": (F.max, 2), "s": (F.sum, 2), "m": (F.max, 1)})
+    t = frame(t, ax, "m", F.min, 1)
     return t.select("uid", "x", "y", r6("e").alias("eroded"), r6("d").alias("dilated"), r6("s").alias("box_sum"), F.col("m").alias("closed"))
 
 

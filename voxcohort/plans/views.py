@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cap_logit, logit
 from ..operators.ranking import row_numbers
+from ..operators.volumes import voxels
 
 MEMBERS = 10
 DIMS = (4, 4, 4)
@@ -81,6 +82,18 @@ def v_vox(spark, sf) -> DataFrame:
     )
 
 
+def scan_voxels(spark, sf) -> DataFrame:
+    """v_vox partitioned by scan: the arrays are shuffled, then unfolded inside their partition."""
+    return voxels(v_boxes(spark, sf).select("uid", "data").repartition("uid"), DIMS)
+
+
+def scan_image(spark, sf) -> DataFrame:
+    """v_img partitioned by scan, again by shuffling arrays instead of pixels."""
+    i = F.col("i")
+    t = v_boxes(spark, sf).select("uid", "data").repartition("uid").select("uid", F.posexplode_outer("data").alias("i", "v"))
+    return t.select("uid", F.floor(i / 8).cast("int").alias("x"), (i % 8).alias("y"), "v")
+
+
 def v_img(spark, sf) -> DataFrame:
     return v_vox(spark, sf).select(
         "uid", F.floor(F.col("i") / 8).cast("int").alias("x"), (F.col("i") % 8).alias("y"), "v"

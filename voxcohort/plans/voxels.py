@@ -9,11 +9,11 @@ from ..operators import volumes as vol
 from ..operators.components import components, fill_holes, largest
 from ..operators.geometry import corner_aligned, half_pixel, inside_ellipsoids, moment_ellipsoids, pose_matrix, resample
 from ..operators.ranking import quantiles
-from ..operators.stencil import by_scan, frame, kernel, offsets_join, smooth
+from ..operators.stencil import frame, kernel, offsets_join, smooth
 from ..session import cut
 from .registry import query, r
 from .sqltext import components_sql, sig, smooth_sql
-from .views import DIMS, IMG, v_affine, v_boxes, v_grid, v_img, v_masks, v_pose, v_vox
+from .views import DIMS, IMG, scan_image, scan_voxels, v_affine, v_boxes, v_grid, v_img, v_masks, v_pose, v_vox
 
 AX3 = {"x": 4, "y": 4, "z": 4}
 AX2 = {"x": 8, "y": 8}
@@ -150,7 +150,7 @@ _LOC = f"""{_HEAD}, st as (select uid, avg(x) cx, avg(y) cy, avg(z) cz, stddev_p
 def _weighted(spark, sf):
     h = head_component(spark, sf)
     st = h.groupBy("uid").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"], *[(F.stddev_pop(a) + 1e-6).alias(f"e{a}") for a in "xyz"])
-    s = smooth(by_scan(v_vox(spark, sf)), list(AX3), "v", SIGMA, "replicate")
+    s = smooth(scan_voxels(spark, sf), list(AX3), "v", SIGMA, "replicate")
     j = s.join(st, "uid")
     d2 = F.lit(0.0)
     for a in "xyz":
@@ -224,7 +224,7 @@ def ellipse_localiser_com(spark, sf):
 def lobe_yaw(spark, sf):
     """Yaw of the line through the two bright lobes of a central slab: peak, sum and mixed projections."""
     c = head_centre_of(head_component(spark, sf)).select("uid", "cx", "cz")
-    sl = by_scan(v_vox(spark, sf)).join(c, "uid").where(F.abs(F.col("z") - half_even("cz")) <= 1)
+    sl = scan_voxels(spark, sf).join(c, "uid").where(F.abs(F.col("z") - half_even("cz")) <= 1)
     s = smooth(sl, ["x", "y"], "v", SIGMA, "replicate", extra=("z",))
     f = s.groupBy("uid", "x", "y").agg(F.max("v").alias("max"), F.sum("v").alias("sum"), F.first("cx").alias("cx"))
     u = cut(f.unpivot(["uid", "x", "y", "cx"], ["max", "sum"], "how", "s"))
@@ -460,7 +460,7 @@ def occipital_roi(spark, sf):
     ("v_img",),
 )
 def gaussian_smooth(spark, sf):
-    img = by_scan(v_img(spark, sf)).withColumn("e", F.col("v"))
+    img = scan_image(spark, sf).withColumn("e", F.col("v"))
     s = smooth(smooth(img, ["x", "y"], "v", SIGMA), ["x", "y"], "e", SIGMA, "replicate")
     return s.select("uid", "x", "y", r6("v").alias("zero_border"), r6("e").alias("edge_border"))
 
@@ -624,7 +624,7 @@ def soft_side_split(spark, sf):
 )
 def aperture_weight(spark, sf):
     """Volume times the blurred, dilated mask."""
-    v = by_scan(v_vox(spark, sf)).withColumn("m", (F.col("v") > 1.7).cast("double"))
+    v = scan_voxels(spark, sf).withColumn("m", (F.col("v") > 1.7).cast("double"))
     ax = ["x", "y", "z"]
     s = smooth(frame(v, ax, "m", F.max, 1), ax, "m", SIGMA, "replicate")
     return s.select("uid", *ax, r6(F.col("v") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("m")))).alias("v"))

@@ -19,6 +19,7 @@ def local_session(cores: str = "*", app: str = "voxcohort", memory: str = "16g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
