@@ -19,8 +19,12 @@ from .cohort import MAX_SMALL
 TOL = 1e-13
 
 
-def _sums(df: DataFrame, group: str | None, fits: dict):
-    """Gradient and curvature sums for every (group value, fit name) at its current (a, b)."""
+def _sums(df: DataFrame, group: str | None, fits: dict, free_a: bool, free_b: bool):
+    """Gradient and curvature sums for every (group value, fit name) at its current (a, b).
+
+    Order: g*z, g, h*z*z, h*z, h; sums a pinned parameter makes needless are not computed.
+    """
+    need = [k for k in range(5) if (free_a and k in (0, 2)) or (free_b and k in (1, 4)) or (free_a and free_b and k == 3)]
     names = sorted({k[1] for k in fits})
     values = sorted({k[0] for k in fits}, key=str)
     aggs = []
@@ -36,19 +40,19 @@ def _sums(df: DataFrame, group: str | None, fits: dict):
         g, h = p - F.col("y"), p * (F.lit(1.0) - p)
         z = F.col("z")
         aggs += [
-            F.sum(x).alias(f"s{j}_{k}") for k, x in enumerate((g * z, g, h * z * z, h * z, h))
+            F.sum(x).alias(f"s{j}_{k}") for k, x in enumerate((g * z, g, h * z * z, h * z, h)) if k in need
         ]
     rows = (df.groupBy(group) if group else df.groupBy()).agg(*aggs).collect()
     out = {}
     for row in rows:
         for j, name in enumerate(names):
-            out[(row[group] if group else None, name)] = [row[f"s{j}_{k}"] for k in range(5)]
+            out[(row[group] if group else None, name)] = [row[f"s{j}_{k}"] if k in need else 0.0 for k in range(5)]
     return out
 
 
-def _freeze(df: DataFrame, group: str | None) -> tuple[DataFrame, list]:
+def _freeze(df: DataFrame, group: str | None, ready: bool) -> tuple[DataFrame, list]:
     cols = ([group] if group else []) + ["z", F.col("y").cast("double").alias("y")]
-    frozen = cut(df.select(*cols))
+    frozen = df.select(*cols) if ready else cut(df.select(*cols))
     if not group:
         return frozen, [None]
     got = frozen.select(group).distinct().limit(MAX_SMALL + 1).collect()
@@ -65,14 +69,16 @@ def fit(
     slope_bounds: tuple[float, float] | None = None,
     intercept_bounds: tuple[float, float] | None = None,
     steps: int = 60,
+    ready: bool = False,
 ) -> DataFrame:
     """Fit sigmoid(a*z + b) to y by log loss.
 
     `slopes` pins a (one fit per slope); `intercept` pins b; otherwise both are free. The loss is convex,
-    so clamping the free parameter, with the other refitted, is the bounded optimum.
+    so clamping the free parameter, with the other refitted, is the bounded optimum. `ready` says the
+    rows are already frozen, which saves writing them again.
     Returns one row per group and slope: a, b.
     """
-    frozen, groups = _freeze(df, group)
+    frozen, groups = _freeze(df, group, ready)
     names = [str(i) for i in range(len(slopes))] if slopes else ["free"]
     fits = {}
     for v in groups:
@@ -104,7 +110,7 @@ def fit(
 def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None):
     active = set(only or fits)
     for _ in range(steps):
-        sums = _sums(frozen, group, fits)
+        sums = _sums(frozen, group, fits, free_a, free_b)
         moved = set()
         for k in active:
             ga, gb, haa, hab, hbb = sums[k]

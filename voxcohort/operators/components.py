@@ -20,23 +20,24 @@ def components(mask: DataFrame, axes: dict[str, int], keep: tuple[str, ...] = ()
     cell = F.lit(0)
     for a in names:
         cell = cell * F.lit(axes[a]) + F.col(a)
-    cur = mask.select("uid", *names, *keep).withColumn("label", cell.cast("long"))
-    for _ in range(0, limit, rounds_per_job):
-        nxt = by_scan(cur).withColumn("_was", F.col("label"))
+    runs = {a: [o for o in names if o != a] for a in names}
+    cur = by_scan(mask.select("uid", *names, *keep)).withColumn("label", cell.cast("long"))
+    for a, others in runs.items():
+        # neighbours in a straight run share position minus rank; runs never change, so this is done once
+        w = Window.partitionBy("uid", *others).orderBy(a)
+        cur = cur.withColumn(f"_run_{a}", F.col(a) - F.row_number().over(w))
+    for start in range(0, limit, rounds_per_job):
+        nxt = (by_scan(cur) if start else cur).withColumn("_was", F.col("label"))
         for _ in range(rounds_per_job):
             nxt = nxt.withColumn("_old", F.col("label"))
-            for a in names:
-                others = [o for o in names if o != a]
-                w = Window.partitionBy("uid", *others).orderBy(a)
-                gap = F.coalesce((F.col(a) - F.lag(a).over(w) > 1).cast("int"), F.lit(0))
-                nxt = nxt.withColumn("_gap", gap).withColumn("_run", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-                nxt = nxt.withColumn("label", F.min("label").over(Window.partitionBy("uid", *others, "_run")))
-            nxt = nxt.withColumn("label", F.min("label").over(Window.partitionBy("uid", "_old"))).drop("_gap", "_run", "_old")
+            for a, others in runs.items():
+                nxt = nxt.withColumn("label", F.min("label").over(Window.partitionBy("uid", *others, f"_run_{a}")))
+            nxt = nxt.withColumn("label", F.min("label").over(Window.partitionBy("uid", "_old"))).drop("_old")
         nxt = cut(nxt)
         moved = nxt.where("label <> _was").limit(1).count()
         cur = nxt.drop("_was")
         if not moved:
-            return cur
+            return cur.drop(*[f"_run_{a}" for a in names])
     raise RuntimeError("components did not settle")
 
 

@@ -17,8 +17,8 @@ from .ranking import row_numbers, running
 def bootstrap_deltas(df: DataFrame, a: str, b: str, y: str, replicates: int, seed: str) -> DataFrame:
     """(rep, d_ll, d_auc) of arm b minus arm a under shared Poisson(1) row weights.
 
-    Every replicate sees the same order of scores, so each arm is sorted once and carries one pair of
-    weight totals per replicate, instead of being sorted once per replicate.
+    Every replicate sees the same order of scores, so each arm is ordered once and carries one pair of
+    weight totals per replicate, instead of being ordered once per replicate.
     """
     reps = range(replicates)
     base = df.select("uid", y, a, b)
@@ -27,26 +27,28 @@ def bootstrap_deltas(df: DataFrame, a: str, b: str, y: str, replicates: int, see
     dl = log_loss_term(y, sigmoid(b)) - log_loss_term(y, sigmoid(a))
     ll = weighted.agg(*[(F.sum(F.col(f"w{r}") * dl) / F.sum(f"w{r}")).alias(f"d{r}") for r in reps])
 
-    def areas(score: str) -> DataFrame:
-        totals = {}
-        for r in reps:
-            totals[f"p{r}"] = F.when(F.col(y) == 1, F.col(f"w{r}")).otherwise(F.lit(0))
-            totals[f"n{r}"] = F.when(F.col(y) == 0, F.col(f"w{r}")).otherwise(F.lit(0))
-        ranked = running(weighted, [], [score], totals)
-        return ranked.agg(
-            *[
-                (
-                    F.sum(F.col(f"p{r}") * (F.col(f"n{r}_before") + F.col(f"n{r}") / F.lit(2.0)))
-                    / (F.max(f"p{r}_all").cast("double") * F.max(f"n{r}_all"))
-                ).alias(f"{score}_{r}")
-                for r in reps
-            ]
-        )
-
-    wide = ll.join(F.broadcast(areas(a))).join(F.broadcast(areas(b)))
+    totals = {}
+    for r in reps:
+        totals[f"p{r}"] = F.when(F.col(y) == 1, F.col(f"w{r}")).otherwise(F.lit(0))
+        totals[f"n{r}"] = F.when(F.col(y) == 0, F.col(f"w{r}")).otherwise(F.lit(0))
+    arms = F.array(F.struct(F.lit("a").alias("arm"), F.col(a).alias("s")), F.struct(F.lit("b").alias("arm"), F.col(b).alias("s")))
+    both = weighted.withColumn("_arm", F.explode(arms)).select(y, "_arm.arm", "_arm.s", *[f"w{r}" for r in reps])
+    ranked = running(both, ["arm"], ["s"], totals)
+    sign = F.when(F.col("arm") == "b", F.lit(1.0)).otherwise(F.lit(-1.0))
+    wide = ranked.groupBy("arm").agg(
+        *[
+            (
+                F.sum(F.col(f"p{r}") * (F.col(f"n{r}_before") + F.col(f"n{r}") / F.lit(2.0)))
+                / (F.max(f"p{r}_all").cast("double") * F.max(f"n{r}_all"))
+            ).alias(f"u{r}")
+            for r in reps
+        ]
+    )
+    area = wide.agg(*[F.sum(sign * F.col(f"u{r}")).alias(f"u{r}") for r in reps])
+    wide = ll.join(F.broadcast(area))
     rows = F.array(
         *[
-            F.struct(F.lit(r).alias("rep"), F.col(f"d{r}").alias("d_ll"), (F.col(f"{b}_{r}") - F.col(f"{a}_{r}")).alias("d_auc"))
+            F.struct(F.lit(r).alias("rep"), F.col(f"d{r}").alias("d_ll"), F.col(f"u{r}").alias("d_auc"))
             for r in reps
         ]
     )

@@ -49,7 +49,7 @@ def ensemble_report(spark, sf):
     head = e.agg(F.max("n_members").alias("members"), F.min("n_members").alias("least"), F.count(F.lit(1)).alias("n"), F.stddev_pop("z").alias("sd")).first()
     if head["members"] != head["least"]:
         raise ValueError("some scans are not scored by every member; run coverage_exact_once for the list")
-    fit = cal.fit(e, slopes=[0.78], intercept_bounds=(-3.0, 3.0)).first()
+    fit = cal.fit(e, slopes=[0.78], intercept_bounds=(-3.0, 3.0), ready=True).first()
     raw, done = log_loss_term("y", sigmoid("z")), log_loss_term("y", calibrate("z", fit["a"], fit["b"]))
     losses = e.agg(F.avg(raw).alias("ll_raw"), F.avg(done).alias("ll_cal"))
     return losses.join(F.broadcast(auc_of(e, [], "z", "y"))).select(
@@ -128,7 +128,7 @@ _SLOPE_SQL = "(select uid, y, z, s.s slope from v_ens cross join (values " + ",
 )
 def slope_bracket(spark, sf):
     e = cal.cut(v_ens(spark, sf).select("uid", "y", "z"))
-    t = cal.fit(e, slopes=list(SLOPES), intercept_bounds=(-3.0, 3.0))
+    t = cal.fit(e, slopes=list(SLOPES), intercept_bounds=(-3.0, 3.0), ready=True)
     return cal.losses(e, t).select("slope", r6("b").alias("intercept"), r6("ll").alias("ll"))
 
 

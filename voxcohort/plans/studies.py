@@ -100,7 +100,7 @@ def split_half(spark, sf):
     e = v_ens(spark, sf).select("uid", "y", "z", rep).withColumn("h", uniform(F.col("uid"), F.lit("half"), F.col("rep")))
     order = row_numbers(e, ["rep", "y"], ["h", "uid"]).select("rep", "uid", (F.col("rn") % 2).alias("half"))
     t = cal.cut(e.join(order, ["rep", "uid"]).select("rep", "uid", "y", "z", "half"))
-    fits = cal.fit(t.where("half = 1"), group="rep")
+    fits = cal.fit(t.where("half = 1"), group="rep", ready=True)
     s = cal.losses(t.where("half = 0"), fits, "rep")
     raw = t.where("half = 0").groupBy("rep").agg(F.avg(log_loss_term("y", sigmoid("z"))).alias("raw"))
     return s.join(raw, "rep").select("rep", "n", r6("a").alias("a"), r6("b").alias("b"), r6("ll").alias("ll_fit"), r6("raw").alias("ll_raw"))
