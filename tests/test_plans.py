@@ -28,8 +28,8 @@ def test_stencils_shuffle_arrays_once(spark):
 
 
 def test_scan_local_operators_do_not_shuffle(spark):
-    for q in (voxels.brain_mean_normalise, voxels.quantile_family, voxels.background_subtract, maps.peak_map, maps.axis_views, maps.through_plane_stats, probabilities.rel_threshold):
-        assert exchanges(q(spark, SF)) <= (1 if q is maps.through_plane_stats else 0), q.__name__
+    for q in (voxels.brain_mean_normalise, voxels.quantile_family, voxels.background_subtract, voxels.affine_resample, maps.peak_map, maps.axis_views, maps.through_plane_stats, probabilities.rel_threshold):
+        assert exchanges(q(spark, SF)) <= (1 if q in (maps.through_plane_stats, voxels.affine_resample) else 0), q.__name__
 
 
 def test_prediction_partitions_are_pruned(spark):

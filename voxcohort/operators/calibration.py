@@ -79,6 +79,15 @@ def fit(
     Returns one row per group and slope: a, b.
     """
     frozen, groups = _freeze(df, group, ready)
+    # every step scans the same few columns; the cached copy may be lost with an executor, the frozen one not
+    frozen = frozen.persist()
+    try:
+        return _fit(frozen, groups, df.sparkSession, group, slopes, intercept, slope_bounds, intercept_bounds, steps)
+    finally:
+        frozen.unpersist()
+
+
+def _fit(frozen, groups, spark, group, slopes, intercept, slope_bounds, intercept_bounds, steps) -> DataFrame:
     names = [str(i) for i in range(len(slopes))] if slopes else ["free"]
     fits = {}
     for v in groups:
@@ -97,7 +106,6 @@ def fit(
     if intercept_bounds and free_b:
         lo, hi = intercept_bounds
         fits = {k: (a, min(max(b, lo), hi)) for k, (a, b) in fits.items()}
-    spark = df.sparkSession
     gtype = dict(frozen.dtypes)[group] if group else None
     rows = [
         ((v,) if group else ()) + (float(slopes[int(n)]) if slopes else None, float(a), float(b))

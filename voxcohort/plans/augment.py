@@ -76,15 +76,23 @@ def affine_apply(spark, sf):
     m = v_masks(spark, sf).select("uid", *XYZ).distinct().withColumn("v", F.lit(1.0))
     m = vol.to_boxes(m, DIMS).select("uid", F.col("data").alias("mask"))
     t = ag.affine_draws(b.join(m, "uid", "left").withColumn("mask", F.coalesce("mask", F.transform("data", lambda v: F.lit(0.0)))))
-    src = ag.normalised_source(DIMS)
-    img = resample(t, DIMS, src)
-    msk = resample(t, DIMS, src, data="mask").select("uid", *XYZ, (F.round("v", 9) > 0.5).alias("masked"))
-    return img.join(msk, ["uid", *XYZ]).select("uid", *XYZ, r6("v").alias("v"), "masked")
+    out = resample(t, DIMS, ag.normalised_source(DIMS), reads={"v": ("data", "zero"), "m": ("mask", "zero")})
+    return out.select("uid", *XYZ, r6("v").alias("v"), (F.round("m", 9) > 0.5).alias("masked"))
 
 
-@query("count_noise")
+_U = lambda k: uniform_sql("'voxel'", "uid", "i", str(k))
+
+
+@query(
+    "count_noise",
+    f"""with t as (select uid, i, v, 25::double + 150::double*{d('count')} gain, {_U(0)} u, {_U(1)} u2, {d('count.gate', 0, 'batch')} < 0.9 hit from v_vox), l as (select *, greatest(v, 0)*gain lam from t),
+    term as (select uid, i, u, exp(-lam + j.range*ln(lam) - lgamma(j.range + 1)) t, j.range j from l, range(90) j where lam < 30 and lam > 0), cdf as (select uid, i, u, sum(t) over (partition by uid, i order by j) c from term),
+    s as (select uid, i, count(*) filter (where u > c)::double n from cdf group by 1, 2)
+    select l.uid, l.i, {r('case when not hit then v when lam < 30 then coalesce(n, 0)/gain else greatest(0, round(lam + sqrt(lam)*sqrt(-2*ln(u))*cos(2*pi()*u2)))/gain end')} v from l left join s using (uid, i)""",
+    ("v_vox",),
+)
 def count_noise(spark, sf):
-    """Poisson counts at a drawn level; a different generator from any library, so only distributions agree."""
+    """Poisson counts at a drawn level, from this library's own draws: other generators agree in distribution."""
     v = v_vox(spark, sf)
     gain = F.lit(25.0) + F.lit(150.0) * ag.draw("count")
     u = lambda k: uniform(F.lit("voxel"), F.col("uid"), F.col("i"), F.lit(k))

@@ -174,7 +174,7 @@ def upsert_annotations(spark, sf):
     return spark.read.parquet(new).select("uid", "side", r6("cx").alias("cx"), r6("rx").alias("rx"))
 
 
-@query("artifact_manifest")
+@query("artifact_manifest", "select 'member=' || member::varchar as name, case when member = 3 then 'differ' when member = 5 then 'only_left' else 'equal' end state from (select distinct member from v_preds)", ("v_preds",))
 def artifact_manifest(spark, sf):
     """Checksums of written artefacts against a second writing in which one member changed."""
     one, two = scratch_path(spark, "a"), scratch_path(spark, "b")

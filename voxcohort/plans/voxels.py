@@ -709,9 +709,8 @@ def affine_resample(spark, sf):
     b = v_boxes(spark, sf).select("uid", "data").join(v_affine(spark, sf), "uid")
     dx, dy = F.col("x") - 1.5, F.col("y") - 1.5
     src = (F.cos("th") * dx + F.sin("th") * dy + 1.5 + F.col("sx"), -F.sin("th") * dx + F.cos("th") * dy + 1.5, F.col("z"))
-    zero = resample(b, DIMS, src).withColumnRenamed("v", "zero_border")
-    edge = resample(b, DIMS, src, border="edge").withColumnRenamed("v", "edge_border")
-    return zero.join(edge, ["uid", "x", "y", "z"]).select("uid", "x", "y", "z", r6("zero_border").alias("zero_border"), r6("edge_border").alias("edge_border"))
+    out = resample(b, DIMS, src, reads={"zero": ("data", "zero"), "edge": ("data", "edge")})
+    return out.select("uid", "x", "y", "z", r6("zero").alias("zero_border"), r6("edge").alias("edge_border"))
 
 
 @query(
@@ -724,8 +723,8 @@ def affine_resample(spark, sf):
 def zoom_resample(spark, sf):
     """Resizing under the two grid conventions: corners coincide, or edges coincide."""
     b = v_boxes(spark, sf).select("uid", "data")
-    one = resample(b, DIMS, tuple(corner_aligned(6, 4, F.col(a)) for a in "xyz"), (6, 6, 6), "edge").withColumnRenamed("v", "a")
-    two = resample(b, DIMS, tuple(half_pixel(6, 4, F.col(a)) for a in "xyz"), (6, 6, 6), "edge").withColumnRenamed("v", "b")
+    one = resample(b, DIMS, tuple(corner_aligned(6, 4, F.col(a)) for a in "xyz"), (6, 6, 6), {"a": ("data", "edge")})
+    two = resample(b, DIMS, tuple(half_pixel(6, 4, F.col(a)) for a in "xyz"), (6, 6, 6), {"b": ("data", "edge")})
     return one.join(two, ["uid", "x", "y", "z"]).select("uid", "x", "y", "z", F.round("a", 5).alias("corner_aligned"), F.round("b", 5).alias("half_pixel"))
 
 
