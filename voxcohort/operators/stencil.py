@@ -38,7 +38,10 @@ def assert_dense(df: DataFrame, dims: dict[str, int]) -> DataFrame:
 
 
 def line(axes: list[str], axis: str, extra: tuple[str, ...] = ()):
-    """Window over one line of a scan along `axis`."""
+    """Window over one line of a scan along `axis`.
+
+    Rows unfolded from arrays arrive in runs that are already sorted by line, which the sort exploits.
+    """
     return Window.partitionBy("uid", *extra, *[a for a in axes if a != axis]).orderBy(axis)
 
 

@@ -57,29 +57,38 @@ def profiles(boxes: DataFrame, dims: tuple[int, int, int], carry: tuple[str, ...
     )
 
 
-def brain_reference(data, f: float = 0.15, q: float = 0.999, least: int = 32, nearest: bool = False) -> Column:
-    """Mean above f * quantile, plain mean when too few voxels, plus 1e-6."""
-    pick = sorted_nearest if nearest else sorted_quantile
+def sorted_values(data) -> Column:
+    """Ascending values; mapping NULL away first lets the sort work on primitive doubles."""
+    return F.sort_array(F.transform(col(data), lambda v: F.coalesce(v, F.lit(0.0))))
+
+
+def _reference(data: Column, top: Column, f: float, least: int) -> Column:
+    """Mean above f * top, plain mean when too few voxels, plus 1e-6; scalar folds, no structs per voxel."""
+
+    def above(cutoff: Column) -> Column:
+        total = F.aggregate(data, F.lit(0.0), lambda s, v: s + F.when(v > cutoff, v).otherwise(F.lit(0.0)))
+        count = F.aggregate(data, F.lit(0), lambda n, v: n + F.when(v > cutoff, F.lit(1)).otherwise(F.lit(0)))
+        return let(count, lambda n: F.when(n >= least, total / n).otherwise(mean_of(data)))
 
-    def from_top(top: Column) -> Column:
-        acc = F.aggregate(
-            col(data), F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-            lambda a, v: F.struct(
-                (a["s"] + F.when(v > top * f, v).otherwise(F.lit(0.0))).alias("s"),
-                (a["n"] + F.when(v > top * f, F.lit(1)).otherwise(F.lit(0))).alias("n"),
-            ),
-        )
-        return let(acc, lambda a: F.when(a["n"] >= least, a["s"] / a["n"]).otherwise(mean_of(data)))
+    return let(top * f, above) + F.lit(1e-6)
 
-    return let(pick(F.sort_array(col(data)), q), from_top) + F.lit(1e-6)
+
+def brain_reference(data, f: float = 0.15, q: float = 0.999, least: int = 32, nearest: bool = False) -> Column:
+    """Reference level of a volume: mean above a share of its upper quantile."""
+    pick = sorted_nearest if nearest else sorted_quantile
+    top = let(sorted_values(data), lambda s: pick(s, q))
+    return let(top, lambda t: _reference(col(data), t, f, least))
 
 
 def brain_mean_normalise(data, f: float = 0.15, q: float = 0.999, least: int = 32, cap: float = INTENSITY_CAP) -> Column:
     """Clip at zero, divide by the brain reference, clip to [0, cap]; an empty volume is unchanged."""
+
+    def divided(d: Column, top: Column) -> Column:
+        return let(_reference(d, top, f, least), lambda ref: F.transform(d, lambda v: F.least(F.lit(cap), F.greatest(F.lit(0.0), v / ref))))
+
     def scaled(d: Column) -> Column:
-        return F.when(sorted_quantile(F.sort_array(d), q) <= 0, d).otherwise(
-            let(brain_reference(d, f, q, least), lambda ref: F.transform(d, lambda v: F.least(F.lit(cap), F.greatest(F.lit(0.0), v / ref))))
-        )
+        top = let(F.sort_array(d), lambda s: sorted_quantile(s, q))
+        return let(top, lambda t: F.when(t <= 0, d).otherwise(divided(d, t)))
 
     return let(F.transform(col(data), lambda v: F.greatest(v, F.lit(0.0))), scaled)
 
