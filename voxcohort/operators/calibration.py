@@ -16,7 +16,8 @@ from ..functions.scalars import calibrate, log_loss_term
 from ..session import cut
 from .cohort import MAX_SMALL
 
-TOL = 1e-13
+# Newton converges quadratically: a last step below this leaves an error far below it
+TOL = 1e-10
 
 
 def _sums(df: DataFrame, group: str | None, fits: dict, free_a: bool, free_b: bool):
@@ -68,7 +69,7 @@ def fit(
     intercept: float | None = None,
     slope_bounds: tuple[float, float] | None = None,
     intercept_bounds: tuple[float, float] | None = None,
-    steps: int = 60,
+    steps: int = 25,
     ready: bool = False,
 ) -> DataFrame:
     """Fit sigmoid(a*z + b) to y by log loss.

@@ -347,12 +347,13 @@ def robust_scale(spark, sf):
 
 @query(
     "temperature_ladder",
-    f"""with t as (select uid % 3 subset, y, z from v_ens), {newton('t', 'f', group='subset')} select subset, {r('a')} opt_slope, {r('b')} b from f""",
+    f"""with t as (select uid % 3 subset, y, z from v_ens), {newton('t', 'f', group='subset')}, bounded as (select t.*, {_BOUND_A} held from t join f using (subset)), {newton('bounded', 'k', a='held', group='subset')}
+    select subset, {r('a')} opt_slope, {r('b')} b from k""",
     ("v_ens",),
 )
 def temperature_ladder(spark, sf):
-    """Optimal slope of the same roster on each evaluation subset."""
+    """Optimal slope in (0.2, 3) of the same roster on each evaluation subset."""
     t = v_ens(spark, sf).withColumn("subset", F.col("uid") % 3)
-    return cal.fit(t, group="subset").select("subset", r6("a").alias("opt_slope"), r6("b").alias("b"))
+    return cal.fit(t, group="subset", slope_bounds=(0.2, 3.0)).select("subset", r6("a").alias("opt_slope"), r6("b").alias("b"))
 
 

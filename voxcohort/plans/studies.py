@@ -90,17 +90,21 @@ _HALF = f"""h as (select rep, uid, y, z, row_number() over (partition by rep, y
 
 @query(
     "split_half",
-    f"""with {_HALF}, fitrows as (select * from h where half = 1), {newton('fitrows', 'f', group='rep')}
-    select rep, count(*) n, {r('max(a)')} a, {r('max(b)')} b, {r(ll(sig('a*z + b')))} ll_fit, {r(ll(sig('z')))} ll_raw from h join f using (rep) where half = 0 group by 1""",
+    f"""with {_HALF}, fitrows as (select * from h where half = 1), {newton('fitrows', 'f', group='rep')},
+    bounded as (select r.*, greatest(0.2::double, least(3.0::double, a)) held from fitrows r join f using (rep)), {newton('bounded', 'k', a='held', group='rep')}
+    select rep, count(*) n, {r('max(a)')} a, {r('max(b)')} b, {r(ll(sig('a*z + b')))} ll_fit, {r(ll(sig('z')))} ll_raw from h join k using (rep) where half = 0 group by 1""",
     ("v_ens",),
 )
 def split_half(spark, sf):
-    """Fit on one class-stratified half, score on the other, repeated."""
+    """Fit on one class-stratified half, score on the other, repeated.
+
+    The slope is bounded because a half may be separable, and then no finite optimum exists.
+    """
     rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("rep")
     e = v_ens(spark, sf).select("uid", "y", "z", rep).withColumn("h", uniform(F.col("uid"), F.lit("half"), F.col("rep")))
     order = row_numbers(e, ["rep", "y"], ["h", "uid"]).select("rep", "uid", (F.col("rn") % 2).alias("half"))
     t = cal.cut(e.join(order, ["rep", "uid"]).select("rep", "uid", "y", "z", "half"))
-    fits = cal.fit(t.where("half = 1"), group="rep", ready=True)
+    fits = cal.fit(t.where("half = 1"), group="rep", slope_bounds=(0.2, 3.0), ready=True)
     s = cal.losses(t.where("half = 0"), fits, "rep")
     raw = t.where("half = 0").groupBy("rep").agg(F.avg(log_loss_term("y", sigmoid("z"))).alias("raw"))
     return s.join(raw, "rep").select("rep", "n", r6("a").alias("a"), r6("b").alias("b"), r6("ll").alias("ll_fit"), r6("raw").alias("ll_raw"))
