@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from voxcohort.operators.geometry import resample
 from voxcohort.operators.stencil import frame
 from voxcohort.plans import files, maps, ordering, probabilities, views, voxels
 from voxcohort.sources.files import list_scans
@@ -28,8 +29,13 @@ def test_stencils_shuffle_arrays_once(spark):
 
 
 def test_scan_local_operators_do_not_shuffle(spark):
-    for q in (voxels.brain_mean_normalise, voxels.quantile_family, voxels.background_subtract, voxels.affine_resample, maps.peak_map, maps.axis_views, maps.through_plane_stats, probabilities.rel_threshold):
-        assert exchanges(q(spark, SF)) <= (1 if q in (maps.through_plane_stats, voxels.affine_resample) else 0), q.__name__
+    for q in (voxels.brain_mean_normalise, voxels.quantile_family, voxels.background_subtract, maps.peak_map, maps.axis_views, maps.through_plane_stats, probabilities.rel_threshold):
+        assert exchanges(q(spark, SF)) <= (1 if q in (maps.through_plane_stats,) else 0), q.__name__
+
+
+def test_resampling_reads_its_own_row(spark):
+    b = views.v_boxes(spark, SF).select("uid", "data")
+    assert exchanges(resample(b, views.DIMS, (F.col("x") + 0.25, F.col("y"), F.col("z")))) == 0
 
 
 def test_prediction_partitions_are_pruned(spark):

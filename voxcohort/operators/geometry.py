@@ -102,45 +102,38 @@ def pose_matrix(
 
 def resample(
     boxes: DataFrame, dims: tuple[int, int, int], source: tuple[Column, Column, Column], out_dims: tuple[int, int, int] | None = None,
-    reads: dict[str, tuple[str, str]] | None = None, carry: tuple[str, ...] = (),
+    border: str = "zero", data: str = "data", carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Trilinear gather: output voxel (x, y, z) reads the source point given by three columns over x, y, z
     and the scan's own parameter columns.
 
-    `reads` names the outputs as {output: (array column, border)}; outside is zero, or the nearest edge with
-    border 'edge'. The eight corners come from the scan's own array, so however many volumes and borders
-    are read there is no join and no shuffle.
+    The eight corners are read from the scan's array, so there is no join and no shuffle. Outside is zero,
+    or the nearest edge with border='edge'. One volume and one border per call: a second set of corners
+    in the same stage makes the generated method too large for the JIT, which costs far more than it saves.
     """
-    reads = reads or {"v": ("data", "zero")}
     ox, oy, oz = out_dims or dims
     nx, ny, nz = dims
     i = F.col("_i")
     t = boxes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(ox * oy * oz - 1))))
     t = t.withColumn("x", F.floor(i / (oy * oz)).cast("int")).withColumn("y", (F.floor(i / oz) % oy).cast("int")).withColumn("z", (i % oz).cast("int"))
-    names, strides = ("x", "y", "z"), (ny * nz, nz, 1)
-    for n, s in zip(names, source):
-        t = t.withColumn(f"_p{n}", s.cast("double"))
-    # six axis weights and six clamped offsets per border, each computed once; the sums only refer to them
-    for border in sorted({b for _, b in reads.values()}):
-        for n, size, stride in zip(names, dims, strides):
-            q = f"_{border}_{n}"
-            at = F.col(f"_p{n}")
-            if border == "edge":
-                at = F.least(F.lit(float(size - 1)), F.greatest(F.lit(0.0), at))
-            t = t.withColumn(q, at).withColumn(f"{q}0", F.floor(q).cast("int")).withColumn(f"{q}f", F.col(q) - F.floor(q))
-            for k in (0, 1):
-                corner, f = F.col(f"{q}0") + k, F.col(f"{q}f")
-                t = t.withColumn(f"{q}w{k}", F.when(corner.between(0, size - 1), f if k else F.lit(1.0) - f).otherwise(F.lit(0.0)))
-                t = t.withColumn(f"{q}i{k}", F.greatest(F.lit(0), F.least(F.lit(size - 1), corner)) * stride)
-    outs = []
-    for name, (data, border) in reads.items():
-        q = f"_{border}_"
-        total: Column = F.lit(0.0)
-        for bx, by, bz in itertools.product((0, 1), repeat=3):
-            w = F.col(f"{q}xw{bx}") * F.col(f"{q}yw{by}") * F.col(f"{q}zw{bz}")
-            total = total + w * F.get(F.col(data), F.col(f"{q}xi{bx}") + F.col(f"{q}yi{by}") + F.col(f"{q}zi{bz}"))
-        outs.append(total.alias(name))
-    return t.select("uid", *carry, "x", "y", "z", *outs)
+    names = ("_px", "_py", "_pz")
+    for n, s, size in zip(names, source, dims):
+        s = s.cast("double")
+        if border == "edge":
+            s = F.least(F.lit(float(size - 1)), F.greatest(F.lit(0.0), s))
+        t = t.withColumn(n, s)
+    # six axis weights and six clamped offsets, each computed once; the sum below only refers to them
+    for n, size, stride in zip(names, dims, (ny * nz, nz, 1)):
+        t = t.withColumn(f"{n}0", F.floor(n).cast("int")).withColumn(f"{n}f", F.col(n) - F.floor(n))
+        for k in (0, 1):
+            at, f = F.col(f"{n}0") + k, F.col(f"{n}f")
+            t = t.withColumn(f"{n}w{k}", F.when(at.between(0, size - 1), f if k else F.lit(1.0) - f).otherwise(F.lit(0.0)))
+            t = t.withColumn(f"{n}i{k}", F.greatest(F.lit(0), F.least(F.lit(size - 1), at)) * stride)
+    total: Column = F.lit(0.0)
+    for bx, by, bz in itertools.product((0, 1), repeat=3):
+        w = F.col(f"_pxw{bx}") * F.col(f"_pyw{by}") * F.col(f"_pzw{bz}")
+        total = total + w * F.get(F.col(data), F.col(f"_pxi{bx}") + F.col(f"_pyi{by}") + F.col(f"_pzi{bz}"))
+    return t.select("uid", *carry, "x", "y", "z", total.alias("v"))
 
 
 def half_pixel(axis_out: int, axis_in: int, coord) -> Column:
