@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .language_id import op2_language_id
 from .license_scan import op10_license_scan
 from .packing import op8_pattern_packing
+from .quality_rules import op6_quality_rules
 from .token_file import op7_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
+    "op6_quality_rules": op6_quality_rules,
     "op7_token_file": op7_token_file,
     "op8_pattern_packing": op8_pattern_packing,
     "op10_license_scan": op10_license_scan,
