@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op9_decontamination
 from .language_id import op2_language_id
 from .license_scan import op10_license_scan
 from .packing import op8_pattern_packing
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_token_file": op7_token_file,
     "op8_pattern_packing": op8_pattern_packing,
+    "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
 }
 ORACLES: dict[str, str] = {}
