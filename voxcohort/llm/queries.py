@@ -12,11 +12,13 @@ from .license_scan import op10_license_scan
 from .packing import op8_pattern_packing
 from .quality_rules import op6_quality_rules
 from .substring_dedup import op3_substring_dedup
+from .suffix_dedup import op4_suffix_dedup
 from .token_file import op7_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_file": op7_token_file,
     "op8_pattern_packing": op8_pattern_packing,
