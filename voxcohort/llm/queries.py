@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op9_decontamination
 from .language_id import op2_language_id
 from .license_scan import op10_license_scan
+from .ngram_join import op1_ngram_join
 from .packing import op8_pattern_packing
 from .quality_rules import op6_quality_rules
 from .substring_dedup import op3_substring_dedup
@@ -16,6 +17,7 @@ from .suffix_dedup import op4_suffix_dedup
 from .token_file import op7_token_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,

@@ -63,8 +63,8 @@ class Repeated:
         return out
 
 
-def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, depth: int = DEPTH) -> Repeated:
-    """Sketch of all hashes that `hashes` yields for the batches of docs."""
+def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int, depth: int = DEPTH, least: int = 2) -> Repeated:
+    """Sketch of all hashes that `hashes` yields for the batches of docs; reports those met at least `least` (1 or 2) times."""
     low = bits - SHARD_BITS
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +100,7 @@ def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
                 u = c[first]
                 t[u] = np.minimum(2, t[u] + np.minimum(many, 2))
         for (r, k), t in total.items():
-            yield batch(line=pa.array([r], pa.int32()), shard=pa.array([k], pa.int32()), twice=pa.array([np.packbits(t > 1, bitorder="little").tobytes()], pa.binary()))
+            yield batch(line=pa.array([r], pa.int32()), shard=pa.array([k], pa.int32()), twice=pa.array([np.packbits(t >= least, bitorder="little").tobytes()], pa.binary()))
 
     made = arrow_map(docs, part, "line int, shard int, cells binary").repartition(partitions(docs.sparkSession), "line", "shard")
     rows = np.zeros((depth, max(1, 1 << bits >> 3)), np.uint8)
