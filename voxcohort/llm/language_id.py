@@ -137,9 +137,12 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     vectors (trigram ids and counts) are all the driver receives, so its size is bounded by the two parameters.
     """
     some = rows.where("text is not null and lang is not null")
-    kinds = [r[0] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    kinds = {r[0]: r[1] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    keyed = some.where(F.col("lang").isin(kinds)).select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
+    keyed = some.where(F.col("lang").isin(list(kinds))).select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
+    # hashes are even, so twice the share that is wanted holds the least ones, and no language's rows meet in one task
+    share = F.coalesce(*[F.when(F.col("lang") == v, F.lit(2.0 * per_language / n)) for v, n in kinds.items()], F.lit(1.0))
+    keyed = keyed.where(F.col("draw") / F.lit(2.0**64) + 0.5 <= share)
     picked = keyed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang").distinct()
     sample = some.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "text")
 

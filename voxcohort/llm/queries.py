@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import op9_decontamination
 from .language_id import op2_language_id
 from .license_scan import op10_license_scan
+from .lm_score import op5_lm_score
 from .ngram_join import op1_ngram_join
 from .packing import op8_pattern_packing
 from .quality_rules import op6_quality_rules
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_lm_score": op5_lm_score,
     "op6_quality_rules": op6_quality_rules,
     "op7_token_file": op7_token_file,
     "op8_pattern_packing": op8_pattern_packing,

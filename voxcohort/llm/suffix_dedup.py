@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import sketch
 from .common import arrow_map, batch, cut, documents, partitions
@@ -257,13 +258,13 @@ def _last(t: pa.Table, lead: tuple | None) -> tuple:
 
 
 def remove(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes that stay) appended.
+    """docs with n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes that stay) and kept_text (without characters cut in two) appended.
 
     A byte goes if a window of `size` bytes over it also starts earlier: in a smaller id, or earlier in the same id. Null texts are
     empty. Rows with one id are ordered by start alone. Rows with a null id are neither earlier nor cut.
     """
     m = marks(docs, size, gram, bucket_rows).groupBy(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig")).agg(F.collect_list(F.struct("pos", "len")).alias("_runs"))
-    base = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    base = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
     d = base.join(m, (base["doc_id"].cast("long") == m["_id"]) & (F.xxhash64(base["text"]) == m["_sig"]), "left").drop("_id", "_sig")
     out = base.schema.fields
 
@@ -271,7 +272,7 @@ def remove(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: i
         for b in it:
             marked = b.column("_runs")
             for s in slices(b.column("text")):
-                cols: dict[str, list] = {"n_bytes": np.diff(s.offs), "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+                cols: dict[str, list] = {"n_bytes": np.diff(s.offs), "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": [], "kept_text": []}
                 for i in range(s.n):
                     data = s.data[s.offs[i] : s.offs[i + 1]]
                     x = marked[s.row + i]
@@ -281,16 +282,14 @@ def remove(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: i
                         gone, spans = int(off.sum()), int((np.diff(off.astype(np.int8), prepend=0) == 1).sum())
                         data = data[~off]
                     raw = data.tobytes()
-                    for c, v in zip(("n_removed", "n_spans", "kept_sha256", "kept"), (gone, spans, hashlib.sha256(raw).hexdigest(), raw), strict=True):
+                    for c, v in zip(("n_removed", "n_spans", "kept_sha256", "kept", "kept_text"), (gone, spans, hashlib.sha256(raw).hexdigest(), raw, raw.decode("utf-8", "ignore")), strict=True):
                         cols[c].append(v)
-                kinds = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+                kinds = {"n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "kept_text": pa.string()}
                 yield batch(**{f.name: b.column(f.name).slice(s.row, s.n) for f in out}, n_bytes=cols["n_bytes"], **{c: pa.array(cols[c], k) for c, k in kinds.items()})
 
-    from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
-
-    kinds = [("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType()), ("kept", BinaryType())]
+    kinds = [("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType()), ("kept", BinaryType()), ("kept_text", StringType())]
     return d.mapInArrow(run, StructType([*out, *(StructField(n, k) for n, k in kinds)]))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "kept")
+    return remove(documents(spark, sf_dir).select("doc_id", "text")).drop("text", "kept", "kept_text")
