@@ -9,6 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from voxcohort.functions.scalars import sorted_nearest, sorted_quantile
+from voxcohort.sources.files import parse_log
 from voxcohort.functions.scalars import calibrate, clip_prob, logit, sanitise
 from voxcohort.operators import augment, calibration, cohort, components, geometry, maps, ranking, stencil, study, volumes
 from voxcohort.streaming import scoring
@@ -278,8 +280,13 @@ def test_scoring_plans_may_not_mix_scans(spark):
     df = spark.createDataFrame([(1, [0.1, 0.2]), (2, [1.0, float("nan")])], "uid long, logits array<double>")
     ok = scoring.assert_per_scan(scoring.score_logits(df, 1.0, 0.0, 6.0))
     assert {r.uid: (round(r.p, 6), r.ok) for r in ok.collect()} == {1: (round(1 / (1 + math.exp(-0.15)), 6), True), 2: (0.5, False)}
-    with pytest.raises(ValueError, match="alone"):
-        scoring.assert_per_scan(df.groupBy("uid").count())
+    mixed = (
+        df.groupBy("uid").count(), df.groupBy("uid").applyInArrow(lambda t: t, df.schema), df.intersect(df), df.offset(1), df.limit(1),
+        df.sample(0.5), df.distinct(), df.orderBy("uid"), df.join(df, "uid"), df.mapInArrow(lambda it: it, df.schema),
+    )
+    for plan in mixed:
+        with pytest.raises(ValueError, match="alone"):
+            scoring.assert_per_scan(plan)
 
 
 def test_failing_scans_are_isolated(spark):
@@ -292,6 +299,36 @@ def test_failing_scans_are_isolated(spark):
 
     got = scoring.score_with(df, [0], fn).toPandas()
     assert set(got[~got.ok].uid) == {3} and len(got) == 12
+    assert set(got[~got.ok].error) == {"RuntimeError: unreadable"}
+    hedged = {r.uid: (r.p, r.ok) for r in scoring.hedge_views(scoring.score_with(df, [0, 1], fn, rows=2), 1.0, 0.0, 6.0).collect()}
+    assert len(hedged) == 6 and hedged[3] == (0.5, False) and all(ok for i, (_, ok) in hedged.items() if i != 3)
+
+
+def test_scorer_of_wrong_length_is_refused(spark):
+    df = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "uid long, data array<double>")
+    got = scoring.score_with(df, [0], lambda m, b, v: b["data"].map(sum).iloc[:1]).toPandas()
+    assert got.ok.all() and sorted(got[got.view == 0].z) == [0, 1, 2, 3, 4]
+
+
+def test_late_epochs_are_read(spark):
+    text = spark.createDataFrame([("[run7 f2] ep123 val ll 0.1000 auc 0.9000 (best 0.0900@101)",), ("[run7 f2] ep07 val ll 0.2000 auc 0.9000 (best 0.2000@7)",)], "value string")
+    assert sorted(r.epoch for r in parse_log(text).where("kind = 'epoch'").collect()) == [7, 123]
+
+
+def test_arrays_are_rebuilt_on_any_grid(spark):
+    dims = (6, 5, 4)
+    r = np.random.default_rng(0)
+    full = r.random(dims)
+    keep = r.random(dims) < 0.3
+    rows = [(1, int(x), int(y), int(z), float(full[x, y, z])) for x, y, z in np.argwhere(keep)] + [(2, 5, 4, 3, 2.0)]
+    out = {b.uid: np.array(b["data"]).reshape(dims) for b in volumes.to_boxes(spark.createDataFrame(rows, "uid long, x int, y int, z int, v double"), dims).collect()}
+    assert np.allclose(out[1], np.where(keep, full, 0)) and out[2].sum() == 2 and out[2][5, 4, 3] == 2
+
+
+def test_order_statistics_of_nothing(spark):
+    df = spark.createDataFrame([([],), ([3.0],)], "a array<double>")
+    got = [tuple(r) for r in df.select(sorted_quantile("a", 0.9), sorted_nearest("a", 0.9)).collect()]
+    assert got == [(None, None), (3.0, 3.0)]
 
 
 def test_calibrate_is_monotone(spark):

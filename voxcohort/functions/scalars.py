@@ -96,14 +96,14 @@ def mean_of(arr) -> Column:
 
 
 def sorted_quantile(arr, q: float) -> Column:
-    """Linear-interpolated quantile of an ascending array."""
+    """Linear-interpolated quantile of an ascending array; NULL of an empty one."""
     a = col(arr)
     at = F.lit(float(q)) * (F.size(a) - F.lit(1))
     lo, hi = F.floor(at).cast("int"), F.ceil(at).cast("int")
-    return F.element_at(a, lo + 1) * (F.lit(1.0) - (at - lo)) + F.element_at(a, hi + 1) * (at - lo)
+    return F.get(a, lo) * (F.lit(1.0) - (at - lo)) + F.get(a, hi) * (at - lo)
 
 
 def sorted_nearest(arr, q: float) -> Column:
-    """Value at position floor(q * (n - 1)) of an ascending array."""
+    """Value at position floor(q * (n - 1)) of an ascending array; NULL of an empty one."""
     a = col(arr)
-    return F.element_at(a, F.floor(F.lit(float(q)) * (F.size(a) - F.lit(1))).cast("int") + 1)
+    return F.get(a, F.floor(F.lit(float(q)) * (F.size(a) - F.lit(1))).cast("int"))

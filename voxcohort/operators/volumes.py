@@ -138,7 +138,11 @@ def peak_mean_maps(boxes: DataFrame, dims: tuple[int, int, int], axis: int = 2,
 def to_boxes(vox: DataFrame, dims: tuple[int, int, int], carry: tuple[str, ...] = ()) -> DataFrame:
     """Array form from long form; absent voxels become zero. One array per scan, bounded by the grid."""
     nx, ny, nz = dims
-    i = (F.col("x") * (ny * nz) + F.col("y") * nz + F.col("z")).alias("i")
-    g = vox.groupBy("uid").agg(F.map_from_entries(F.collect_list(F.struct(i, "v"))).alias("m"), *[F.first(c).alias(c) for c in carry])
-    data = F.transform(F.sequence(F.lit(0), F.lit(nx * ny * nz - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)))
-    return g.select("uid", *carry, F.array(*[F.lit(n) for n in dims]).alias("dims"), data.alias("data"))
+    n = nx * ny * nz
+    i = (F.col("x") * (ny * nz) + F.col("y") * nz + F.col("z")).cast("int").alias("i")
+    g = vox.groupBy("uid").agg(F.collect_list(F.struct(i, F.lit(1).alias("own"), F.col("v").cast("double").alias("v"))).alias("s"), *[F.first(c).alias(c) for c in carry])
+    # a zero for every place sorts before the place's own voxel, and stays only where the next entry is another place
+    zeros = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(k.alias("i"), F.lit(0).alias("own"), F.lit(0.0).alias("v")))
+    pick = lambda a: F.transform(F.filter(a, lambda e, k: (e["own"] == 1) | F.coalesce(F.get(a, k + 1)["i"] != e["i"], F.lit(True))), lambda e: F.coalesce(e["v"], F.lit(0.0)))
+    data = let(F.array_sort(F.concat("s", zeros)), pick)
+    return g.select("uid", *carry, F.array(*[F.lit(k) for k in dims]).alias("dims"), data.alias("data"))

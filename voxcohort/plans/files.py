@@ -118,16 +118,16 @@ def log_lines(spark, sf):
     """Log text from the run table, with two lines of no numeric form per run."""
     t = v_runs(spark, sf)
     head = F.concat(F.lit("[run"), F.col("run").cast("string"), F.lit(" f0] "))
-    line = F.concat(head, F.lit("ep"), F.lpad(F.col("epoch").cast("string"), 2, "0"), F.lit(" val ll "), F.format_string("%.4f", "ll"), F.lit(" auc 0.9000 (best "), F.format_string("%.4f", "ll"), F.lit("@"), F.col("epoch").cast("string"), F.lit(")"))
-    body = t.where("epoch < 100").select(line.alias("value"))
-    other = t.where("epoch = 0").select(F.concat(head, F.lit("EMA checkpoint + BN recal (242 layers)")).alias("value"))
+    line = F.concat(head, F.lit("ep"), F.format_string("%02d", F.col("epoch").cast("int")), F.lit(" val ll "), F.format_string("%.4f", "ll"), F.lit(" auc 0.9000 (best "), F.format_string("%.4f", "ll"), F.lit("@"), F.col("epoch").cast("string"), F.lit(")"))
+    body = t.select(line.alias("value"))
+    other = t.where("epoch = 0").select(F.concat(head, F.lit("weights averaged and statistics renewed")).alias("value"))
     done = t.where("epoch = 1").select(F.concat(head, F.lit("done 61.9 min: ll "), F.format_string("%.4f", "ll"), F.lit(" auc 0.9823")).alias("value"))
     return body.unionByName(other).unionByName(done)
 
 
 @query(
     "src_run_log",
-    f"""with l as (select 'epoch' kind, 'run' || run::varchar member, 0 fold, epoch::int epoch, ll from v_runs where epoch < 100 union all select 'done', 'run' || run::varchar, 0, null, ll from v_runs where epoch = 1 union all select 'other', null, null, null, null from v_runs where epoch = 0)
+    f"""with l as (select 'epoch' kind, 'run' || run::varchar member, 0 fold, epoch::int epoch, ll from v_runs union all select 'done', 'run' || run::varchar, 0, null, ll from v_runs where epoch = 1 union all select 'other', null, null, null, null from v_runs where epoch = 0)
     select kind, member, fold, epoch, {r('ll')} ll from l""",
     ("v_runs",),
 )

@@ -28,12 +28,26 @@ def score_logits(scans: DataFrame, a: float, b: float, cap: float | None) -> Dat
     return scans.select("uid", clip_prob(p).alias("p"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
+#: Logical operators that keep every scan alone.
+PER_SCAN = frozenset({"Project", "Filter", "Generate", "SubqueryAlias", "View", "StreamingRelation", "StreamingRelationV2", "StreamingExecutionRelation", "LogicalRelation", "LocalRelation", "LogicalRDD"})
+
+
+def plan_nodes(df: DataFrame) -> list[str]:
+    """Names of all operators of the analysed plan."""
+    out, todo = [], [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        out.append(node.nodeName())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return out
+
+
 def assert_per_scan(df: DataFrame) -> DataFrame:
-    """Refuse a scoring plan that mixes scans: aggregates, windows, joins, sorts, distinct or limits."""
-    plan = df._jdf.queryExecution().analyzed().toString()
-    for word in ("Aggregate", "Window", "Join", "Sort", "Distinct", "Deduplicate", "GlobalLimit", "RepartitionByExpression"):
-        if any(line.lstrip(" :+-'").startswith(word) for line in plan.splitlines()):
-            raise ValueError(f"scoring must treat every scan alone, but the plan has {word}")
+    """Refuse a scoring plan with any operator that could mix scans or drop some."""
+    other = [n for n in plan_nodes(df) if n.split(" ")[0] not in PER_SCAN]
+    if other:
+        raise ValueError(f"scoring must treat every scan alone, but the plan has {', '.join(other)}")
     return df
 
 
@@ -72,28 +86,42 @@ def stream_monitor(spark: SparkSession, source: str, out: str, checkpoint: str |
     return rows.withColumn("k", F.row_number().over(last)).where("k = 1").drop("k", "version")
 
 
-def score_with(boxes: DataFrame, members: list, fn: Callable[[object, pd.DataFrame, bool], pd.Series]) -> DataFrame:
-    """Apply a user scorer to batches of volumes, both views of every member, in Arrow batches.
+def score_with(boxes: DataFrame, members: list, fn: Callable[[object, pd.DataFrame, bool], pd.Series], rows: int = 64) -> DataFrame:
+    """Apply a user scorer to batches of at most `rows` volumes, both views of every member.
 
-    `fn(member, batch, mirrored)` returns one logit per row. A batch that raises is retried row by row, so
-    only the failing scans get a NULL logit and ok = false; they are hedged later.
+    `fn(member, batch, mirrored)` returns one logit per row. A batch that raises, or answers with another number of rows, is retried
+    row by row, so only the failing scans get a NULL logit and ok = false, with the cause in `error`; see hedge_views.
     """
 
+    def one(m, row: pd.DataFrame, mirrored: bool) -> tuple[float | None, str | None]:
+        try:
+            (z,) = list(fn(m, row, mirrored))
+            return float(z), None
+        except Exception as e:  # noqa: BLE001 -- hedge only the rows that fail
+            return None, f"{type(e).__name__}: {e}"[:500]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for m in members:
-                for view, mirrored in ((0, False), (1, True)):
-                    try:
-                        z = list(fn(m, pdf, mirrored))
-                    except Exception:  # noqa: BLE001 -- hedge only the rows that fail
-                        z = []
-                        for i in range(len(pdf)):
-                            try:
-                                z.append(float(fn(m, pdf.iloc[i : i + 1], mirrored).iloc[0]))
-                            except Exception:  # noqa: BLE001
-                                z.append(None)
-                    yield pd.DataFrame({"uid": pdf["uid"], "member": m, "view": view, "z": z, "ok": [v is not None for v in z]})
+        for whole in batches:
+            for at in range(0, len(whole), rows):
+                pdf = whole.iloc[at : at + rows]
+                for m in members:
+                    for view, mirrored in ((0, False), (1, True)):
+                        try:
+                            z = [(float(v), None) for v in fn(m, pdf, mirrored)]
+                        except Exception:  # noqa: BLE001
+                            z = []
+                        if len(z) != len(pdf):
+                            z = [one(m, pdf.iloc[i : i + 1], mirrored) for i in range(len(pdf))]
+                        yield pd.DataFrame({"uid": pdf["uid"].to_numpy(), "member": m, "view": view, "z": [v for v, _ in z], "ok": [v is not None for v, _ in z], "error": [e for _, e in z]})
 
     uid = dict(boxes.dtypes)["uid"]
     kind = "string" if isinstance(members[0], str) else "int"
-    return boxes.mapInPandas(run, f"uid {uid}, member {kind}, view int, z double, ok boolean")
+    return boxes.mapInPandas(run, f"uid {uid}, member {kind}, view int, z double, ok boolean, error string")
+
+
+def hedge_views(views: DataFrame, a: float, b: float, cap: float) -> DataFrame:
+    """Per scan: p, ok and the first error. View mean, cap, member mean and calibration; a scan with any failed view is hedged at 0.5, none disappears."""
+    z = F.greatest(F.lit(-float(cap)), F.least(F.lit(float(cap)), F.avg("z")))
+    m = views.groupBy("uid", "member").agg(z.alias("z"), F.min("ok").alias("ok"), F.min("error").alias("error"))
+    g = m.groupBy("uid").agg(F.avg("z").alias("z"), F.min("ok").alias("ok"), F.min("error").alias("error"))
+    return g.select("uid", F.when(F.col("ok"), calibrate("z", a, b)).otherwise(F.lit(0.5)).alias("p"), "ok", "error")
