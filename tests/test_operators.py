@@ -310,6 +310,12 @@ def test_scorer_of_wrong_length_is_refused(spark):
     assert got.ok.all() and sorted(got[got.view == 0].z) == [0, 1, 2, 3, 4]
 
 
+def test_separable_subsets_say_so(spark):
+    rows = [("apart", float(i), int(i > 0)) for i in range(-5, 6)] + [("mixed", float(i), int((i * 7) % 3 == 0)) for i in range(-20, 21)]
+    out = {r.g: r for r in calibration.fit(spark.createDataFrame(rows, "g string, z double, y int"), group="g").collect()}
+    assert out["mixed"].converged and not out["apart"].converged and math.isfinite(out["apart"].a)
+
+
 def test_late_epochs_are_read(spark):
     text = spark.createDataFrame([("[run7 f2] ep123 val ll 0.1000 auc 0.9000 (best 0.0900@101)",), ("[run7 f2] ep07 val ll 0.2000 auc 0.9000 (best 0.2000@7)",)], "value string")
     assert sorted(r.epoch for r in parse_log(text).where("kind = 'epoch'").collect()) == [7, 123]

@@ -16,23 +16,23 @@ from .scalars import col
 
 
 def uniform(*key) -> Column:
-    """Uniform in (0, 1) from the first 8 hex digits of md5(key joined with '|')."""
+    """Uniform in (0, 1) from the first 13 hex digits of md5(key joined with '|')."""
     parts = [col(k).cast("string") if isinstance(k, (str, Column)) else F.lit(str(k)) for k in key]
-    head = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8)
-    return (F.conv(head, 16, 10).cast("double") + F.lit(0.5)) / F.lit(4294967296.0)
+    head = F.substring(F.md5(F.concat_ws("|", *parts)), 1, 13)
+    return (F.conv(head, 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
 
 
 def uniform_sql(*key: str) -> str:
     """The same draw as SQL text; every part is a SQL expression."""
     joined = " || '|' || ".join(f"cast({k} as varchar)" for k in key)
-    return f"((cast(('0x' || substr(md5({joined}), 1, 8)) as bigint) + 0.5::double) / 4294967296.0::double)"
+    return f"((cast(('0x' || substr(md5({joined}), 1, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double)"
 
 
-def poisson1_thresholds(terms: int = 12) -> list[float]:
-    """Cumulative probabilities of a Poisson(1) count."""
+def poisson1_thresholds() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count, up to the first that no draw can pass."""
     total, out = 0.0, []
-    for k in range(terms):
-        total += math.exp(-1.0) / math.factorial(k)
+    while total < 1.0 - 2.0**-53:
+        total += math.exp(-1.0) / math.factorial(len(out))
         out.append(total)
     return out
 

@@ -69,7 +69,7 @@ def fit(
     intercept: float | None = None,
     slope_bounds: tuple[float, float] | None = None,
     intercept_bounds: tuple[float, float] | None = None,
-    steps: int = 25,
+    steps: int = 50,
     ready: bool = False,
 ) -> DataFrame:
     """Fit sigmoid(a*z + b) to y by log loss.
@@ -77,7 +77,7 @@ def fit(
     `slopes` pins a (one fit per slope); `intercept` pins b; otherwise both are free. The loss is convex,
     so clamping the free parameter, with the other refitted, is the bounded optimum. `ready` says the
     rows are already frozen, which saves writing them again.
-    Returns one row per group and slope: a, b.
+    Returns one row per group and slope: a, b, and whether the steps settled; classes that a fit separates have no optimum and do not.
     """
     frozen, groups = _freeze(df, group, ready)
     # every step scans the same few columns; the cached copy may be lost with an executor, the frozen one not
@@ -95,7 +95,7 @@ def _fit(frozen, groups, spark, group, slopes, intercept, slope_bounds, intercep
         for i, n in enumerate(names):
             fits[(v, n)] = (float(slopes[i]) if slopes else 1.0, 0.0 if intercept is None else float(intercept))
     free_a, free_b = slopes is None, intercept is None
-    _newton(frozen, group, fits, free_a, free_b, steps)
+    open_ = _newton(frozen, group, fits, free_a, free_b, steps)
     if slope_bounds and free_a:
         lo, hi = slope_bounds
         out = {k: (min(max(a, lo), hi), b) for k, (a, b) in fits.items() if not lo <= a <= hi}
@@ -103,21 +103,25 @@ def _fit(frozen, groups, spark, group, slopes, intercept, slope_bounds, intercep
             fits.update(out)
             if free_b:
                 redo = dict(out)
-                _newton(frozen, group, {**fits, **redo}, False, True, steps, only=set(redo), into=fits)
+                left = _newton(frozen, group, {**fits, **redo}, False, True, steps, only=set(redo), into=fits)
+                open_ = (open_ - set(redo)) | left
+            else:
+                open_ -= set(out)
     if intercept_bounds and free_b:
         lo, hi = intercept_bounds
         fits = {k: (a, min(max(b, lo), hi)) for k, (a, b) in fits.items()}
     gtype = dict(frozen.dtypes)[group] if group else None
     rows = [
-        ((v,) if group else ()) + (float(slopes[int(n)]) if slopes else None, float(a), float(b))
+        ((v,) if group else ()) + (float(slopes[int(n)]) if slopes else None, float(a), float(b), (v, n) not in open_)
         for (v, n), (a, b) in sorted(fits.items(), key=lambda kv: str(kv[0]))
     ]
-    schema = (f"{group} {gtype}, " if group else "") + "slope double, a double, b double"
+    schema = (f"{group} {gtype}, " if group else "") + "slope double, a double, b double, converged boolean"
     return spark.createDataFrame(rows, schema)
 
 
-def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None):
-    active = set(only or fits)
+def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None) -> set:
+    """Advance the fits in place; returns those that did not settle."""
+    active, stuck = set(only or fits), set()
     for _ in range(steps):
         sums = _sums(frozen, group, fits, free_a, free_b)
         moved = set()
@@ -126,18 +130,19 @@ def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None):
             a, b = fits[k]
             if free_a and free_b:
                 det = haa * hbb - hab * hab
-                da, db = ((hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det) if det > 0 else (0.0, 0.0)
+                da, db = ((hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det) if det > 0 else (math.nan, math.nan)
             elif free_b:
-                da, db = 0.0, gb / hbb if hbb > 0 else 0.0
+                da, db = 0.0, gb / hbb if hbb > 0 else math.nan
             elif free_a:
-                da, db = ga / haa if haa > 0 else 0.0, 0.0
+                da, db = ga / haa if haa > 0 else math.nan, 0.0
             else:
                 da = db = 0.0
+            if not (math.isfinite(da) and math.isfinite(db)):
+                stuck.add(k)
+                continue
             size = max(abs(da), abs(db))
             if size > 4.0:  # damp far steps; near the optimum the full step is taken
                 da, db = da * 4.0 / size, db * 4.0 / size
-            if not (math.isfinite(da) and math.isfinite(db)):
-                continue
             fits[k] = (a - da, b - db)
             if max(abs(da), abs(db)) > TOL * (1.0 + abs(a) + abs(b)):
                 moved.add(k)
@@ -145,7 +150,8 @@ def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None):
             into.update({k: fits[k] for k in active})
         active = moved
         if not active:
-            return
+            break
+    return active | stuck
 
 
 def losses(df: DataFrame, table: DataFrame, group: str | None = None) -> DataFrame:

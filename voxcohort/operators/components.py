@@ -9,7 +9,7 @@ from ..session import cut
 from .stencil import by_scan
 
 
-def components(mask: DataFrame, axes: dict[str, int], keep: tuple[str, ...] = (), rounds_per_job: int = 2, limit: int = 200) -> DataFrame:
+def components(mask: DataFrame, axes: dict[str, int], keep: tuple[str, ...] = (), rounds_per_job: int = 2) -> DataFrame:
     """Adds `label`, the smallest cell number of the component.
 
     A round takes the minimum label over every straight run along each axis, then lets all cells that
@@ -26,8 +26,9 @@ def components(mask: DataFrame, axes: dict[str, int], keep: tuple[str, ...] = ()
         # neighbours in a straight run share position minus rank; runs never change, so this is done once
         w = Window.partitionBy("uid", *others).orderBy(a)
         cur = cur.withColumn(f"_run_{a}", F.col(a) - F.row_number().over(w))
-    for start in range(0, limit, rounds_per_job):
-        nxt = (by_scan(cur) if start else cur).withColumn("_was", F.col("label"))
+    first = True
+    while True:  # labels only fall, so this ends
+        nxt = (cur if first else by_scan(cur)).withColumn("_was", F.col("label"))
         for _ in range(rounds_per_job):
             nxt = nxt.withColumn("_old", F.col("label"))
             for a, others in runs.items():
@@ -35,10 +36,9 @@ def components(mask: DataFrame, axes: dict[str, int], keep: tuple[str, ...] = ()
             nxt = nxt.withColumn("label", F.min("label").over(Window.partitionBy("uid", "_old"))).drop("_old")
         nxt = cut(nxt)
         moved = nxt.where("label <> _was").limit(1).count()
-        cur = nxt.drop("_was")
+        cur, first = nxt.drop("_was"), False
         if not moved:
             return cur.drop(*[f"_run_{a}" for a in names])
-    raise RuntimeError("components did not settle")
 
 
 def largest(labelled: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:

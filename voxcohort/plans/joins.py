@@ -31,14 +31,15 @@ def fold_join(spark, sf):
 
 @query(
     "label_alignment",
-    """select partition, count(*) n, count(*) filter (where f.y <> l.toxic) disagree, count(*) filter (where f.y <> l.quality) = 0 aligned
-    from v_folds f join labels l on f.uid = l.doc_id group by 1""",
+    """select partition, count(*) n, count(*) filter (where f.y <> l.toxic) disagree, count(*) filter (where f.y <> l.quality) = 0 aligned, count(*) filter (where l.doc_id is null) missing
+    from v_folds f left join labels l on f.uid = l.doc_id group by 1""",
     ("v_folds",),
 )
 def label_alignment(spark, sf):
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("uid"), "toxic", "quality")
-    return v_folds(spark, sf).join(lab, "uid").groupBy("partition").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") != F.col("toxic")).alias("disagree"), (F.count_if(F.col("y") != F.col("quality")) == 0).alias("aligned")
+    return v_folds(spark, sf).join(lab, "uid", "left").groupBy("partition").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") != F.col("toxic")).alias("disagree"), (F.count_if(F.col("y") != F.col("quality")) == 0).alias("aligned"),
+        F.count_if(F.col("quality").isNull()).alias("missing"),
     )
 
 
@@ -50,7 +51,7 @@ def label_alignment(spark, sf):
 )
 def cluster_weights(spark, sf):
     lookup = spark.createDataFrame([(c, 3.0) for c in HARD_CLUSTERS], "cluster int, hard double")
-    scans = v_ens(spark, sf).select("uid", "cluster").join(lookup, "cluster", "left")
+    scans = v_ens(spark, sf).select("uid", "cluster").join(F.broadcast(lookup), "cluster", "left")
     return mean_one_weights(scans, F.coalesce("hard", F.lit(1.0))).select("uid", "cluster", r6("w").alias("w"))
 
 
