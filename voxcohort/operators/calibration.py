@@ -122,6 +122,7 @@ def _fit(frozen, groups, spark, group, slopes, intercept, slope_bounds, intercep
 def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None) -> set:
     """Advance the fits in place; returns those that did not settle."""
     active, stuck = set(only or fits), set()
+    reach, last = dict.fromkeys(active, 4.0), dict.fromkeys(active, (0.0, 0.0))
     for _ in range(steps):
         sums = _sums(frozen, group, fits, free_a, free_b)
         moved = set()
@@ -141,8 +142,11 @@ def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None) ->
                 stuck.add(k)
                 continue
             size = max(abs(da), abs(db))
-            if size > 4.0:  # damp far steps; near the optimum the full step is taken
-                da, db = da * 4.0 / size, db * 4.0 / size
+            if da * last[k][0] + db * last[k][1] < 0:  # turning back on a convex loss: the last step went too far
+                reach[k] /= 2
+            if size > reach[k]:  # damp far steps; near the optimum the full step is taken
+                da, db = da * reach[k] / size, db * reach[k] / size
+            last[k] = (da, db)
             fits[k] = (a - da, b - db)
             if max(abs(da), abs(db)) > TOL * (1.0 + abs(a) + abs(b)):
                 moved.add(k)
