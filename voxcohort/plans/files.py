@@ -79,7 +79,7 @@ def src_masks(spark, sf):
 def src_preds(spark, sf):
     """Long prediction table partitioned by member, footing and fold; other partitions are never opened."""
     path = scratch_path(spark, "preds")
-    v_preds(spark, sf).select("uid", "p", "member", F.lit("best").alias("footing"), "fold").repartition("member", "fold").write.partitionBy("member", "footing", "fold").parquet(path)
+    v_preds(spark, sf).select("uid", "p", "member", F.lit("best").alias("footing"), "fold").hint("rebalance", "member", "fold").write.partitionBy("member", "footing", "fold").parquet(path)
     t = spark.read.schema("uid long, p double, member int, footing string, fold int").parquet(path)
     return t.where("footing = 'best' and member = 3 and fold in (1, 2)").select("uid", "member", "fold", r6("p").alias("p"))
 

@@ -52,7 +52,8 @@ def isotropy_score(spark, sf):
     u = grid.withColumn("g", g)
     norm = u.groupBy("k").agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("norm"))
     u = u.join(norm, "k").select("k", "i", (F.col("g") / F.col("norm")).alias("u"))
-    p = e.join(mean, "i").join(u, "i").groupBy("vec_id", "k").agg((3 * F.sum((F.col("e") - F.col("m")) * F.col("u"))).alias("v"))
+    # one row per dimension, and per dimension and direction
+    p = e.join(F.broadcast(mean), "i").join(F.broadcast(u), "i").groupBy("vec_id", "k").agg((3 * F.sum((F.col("e") - F.col("m")) * F.col("u"))).alias("v"))
     return epps_pulley(p, "v", "k").select("k", "n", r6("distance").alias("distance"))
 
 

@@ -520,8 +520,9 @@ def background_subtract(spark, sf):
 def inferior_cut(spark, sf):
     """Zero everything below the first slice with enough head voxels plus a margin."""
     b = v_boxes(spark, sf).withColumn("top", sorted_nearest(F.sort_array(F.filter("data", lambda v, i: i % 7 == 0)), 0.999))
-    hits = lambda z: F.size(F.filter("data", lambda v, i: (i % 4 == z) & (v > F.lit(0.7) * F.col("top"))))
-    bottom = F.coalesce(F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda z: F.when(hits(z) > 6, z)), lambda z: z.isNotNull())), F.lit(0))
+    nx, ny, nz = DIMS
+    hits = lambda z: F.size(F.filter(F.sequence(F.lit(0), F.lit(nx * ny - 1)), lambda k: F.get("data", k * nz + z) > F.lit(0.7) * F.col("top")))
+    bottom = F.coalesce(F.array_min(F.filter(F.transform(F.sequence(F.lit(0), F.lit(nz - 1)), lambda z: F.when(hits(z) > 6, z)), lambda z: z.isNotNull())), F.lit(0))
     v = vol.voxels(b.withColumn("bottom", bottom), DIMS, ("bottom",))
     return v.select("uid", "i", "bottom", r6(F.when(F.col("z") >= F.col("bottom") + 1, F.col("v")).otherwise(F.lit(0.0))).alias("v"))
 
@@ -539,7 +540,7 @@ def normal_template(spark, sf):
     t = train.groupBy("x", "y").agg(F.avg("v").alias("mu"), F.avg(F.col("v") * F.col("v")).alias("m2"))
     t = t.select("x", "y", "mu", F.sqrt(F.greatest(F.col("m2") - F.col("mu") * F.col("mu"), F.lit(1e-4))).alias("sd"))
     z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (F.col("v") - F.col("mu")) / F.col("sd"))) / 3.0
-    return img.join(t, ["x", "y"]).select("uid", "x", "y", r6(z).alias("z"))
+    return img.join(F.broadcast(t), ["x", "y"]).select("uid", "x", "y", r6(z).alias("z"))
 
 
 _PEAK = """lv as (select uid, avg(v) mu, greatest(0.5, 4.09::double*avg(v) + 1.259::double) tau from v_vox group by 1), mx as (select uid, x, y, max(v) m from v_vox group by 1, 2, 3),

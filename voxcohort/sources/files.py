@@ -107,10 +107,13 @@ def upsert(existing: DataFrame, incoming: DataFrame, key: str = "uid") -> DataFr
 
 
 def write_cache(boxes: DataFrame, path: str, buckets: int = 16, existing: DataFrame | None = None) -> None:
-    """Materialise boxes and masks in one pass, by uid bucket; a restart skips the uids already written."""
+    """Materialise boxes and masks in one pass, by uid bucket; a restart skips the uids already written.
+
+    The rebalance gathers a bucket's rows and splits a bucket that is too large for one file, so writers grow with the rows.
+    """
     todo = boxes if existing is None else boxes.join(existing.select("uid"), "uid", "left_anti")
     bucket: Column = F.pmod(F.xxhash64("uid"), F.lit(buckets)).cast("int")
-    todo.withColumn("bucket", bucket).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    todo.withColumn("bucket", bucket).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
 def pending(members: DataFrame, folds: int, existing: DataFrame) -> DataFrame:
