@@ -3,8 +3,8 @@
 The test items are an inverted index with BM25 impacts, divided by each item's own full score, so one threshold serves all items.
 Every passage of every text is a query, answered by block-max WAND: lists are skipped by term bounds, then by block bounds, and
 every item at or above the threshold comes back. Hits are verified by the share of the item's question and answer word trigrams that
-the passage holds. Two exact bounds spare hopeless queries: a passage whose words cannot reach the threshold together, and one that
-holds none of the trigrams that any verification would ask for. The index is built in blocks of items with a byte bound; all texts
+the passage holds. Upper bounds over all items spare hopeless queries: a passage is queried only if its words could reach the
+threshold together, and its trigrams the shares of some question and of some answer. The index is built in blocks of items with a byte bound; all texts
 are queried against each block.
 """
 
@@ -62,7 +62,7 @@ class Index:
     longest: int
     question: list[tuple[int, np.ndarray]]
     answer: list[tuple[int, np.ndarray]]
-    grams: dict[int, tuple[np.ndarray, np.ndarray]]
+    grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def build(ids: list[int], texts: list[str | None]) -> Index | None:
@@ -91,13 +91,20 @@ def build(ids: list[int], texts: list[str | None]) -> Index | None:
     np.maximum.at(slot, (terms >> np.uint64(64 - _SLOTS)).astype(np.int64), np.array([p.bound for p in lists], np.float32))
     qa = [question_answer(t or "") for t in texts]
     question, answer = [_grams(q) for q, _ in qa], [_grams(a) for _, a in qa]
+    # of every gram, the largest share of a question and of an answer that it can be; a side without words always counts as held
     grams = {}
     for k in (1, 2, 3):
         g = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for n, x in question + answer if n == k)]))
         if len(g):
+            most = np.zeros((2, len(g)))
+            for side, qa_ in enumerate((question, answer)):
+                for n, x in qa_:
+                    if n == k:
+                        at = np.searchsorted(g, x)
+                        most[side, at] = np.maximum(most[side, at], 1 / len(x))
             seen = np.zeros(1 << _SLOTS, bool)
             seen[(g >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
-            grams[k] = (g, seen)
+            grams[k] = (g, seen, most)
     return Index(np.array(ids, np.int64), terms, lists, slot, int(size.max()), question, answer, grams)
 
 
@@ -167,13 +174,19 @@ def hits(index: Index, s: Slice, threshold: float = THRESHOLD, overlap: float =
     b = np.minimum(a + 2 * index.longest, w.first[doc + 1])
     live = bound[b] - bound[a] >= threshold - 1e-6
     if overlap > 0:
-        shared = np.zeros(len(doc), bool)
-        for k, (known, seen) in index.grams.items():
+        could = np.zeros((2, len(doc)))
+        for side, qa in enumerate((index.question, index.answer)):
+            could[side] = 1.0 if any(not k for k, _ in qa) else 0.0
+        for k, (known, seen, most) in index.grams.items():
             g, ok = rolling(w, k)
             at = np.flatnonzero(ok & seen[(g >> np.uint64(64 - _SLOTS)).astype(np.int64)])
-            at = at[known[np.minimum(np.searchsorted(known, g[at]), len(known) - 1)] == g[at]]
-            shared |= np.searchsorted(at, np.maximum(b - k + 1, a)) > np.searchsorted(at, a)
-        live &= shared
+            i = np.minimum(np.searchsorted(known, g[at]), len(known) - 1)
+            at, i = at[known[i] == g[at]], i[known[i] == g[at]]
+            lo_, hi_ = np.searchsorted(at, a), np.searchsorted(at, np.maximum(b - k + 1, a))
+            for side in (0, 1):
+                run = np.concatenate([[0.0], np.cumsum(most[side, i])])
+                could[side] += run[hi_] - run[lo_]
+        live &= (could >= overlap - 1e-6).all(0)
     best: dict[tuple[int, int], tuple] = {}
     for i in np.flatnonzero(live).tolist():
         lo, hi = int(a[i]), int(b[i])
