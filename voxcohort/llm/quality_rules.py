@@ -47,7 +47,8 @@ def log_ratio(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, rows:
     broadcast; the driver receives `buckets` counters. Without trusted rows the ratio is 0 everywhere.
     """
     ids = trusted.select(F.col("doc_id").alias("_id")).where("_id is not null").distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows).withColumn("_good", F.lit(1))
-    d = with_grams(docs.join(F.broadcast(ids), docs["doc_id"] == F.col("_id"), "left").select("text", "_good"))
+    rows_ = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"), "left").select("text", "_good")
+    d = with_grams(rows_)
     grams = d.select("_good", F.explode(F.concat("_h", "_pair")).alias("g")).groupBy(F.pmod("g", F.lit(buckets)).alias("b")).agg(F.count("*").alias("raw"), F.count("_good").alias("good"))
     raw, good = np.ones(buckets), np.ones(buckets)
     for b, r, t in grams.collect():

@@ -13,6 +13,7 @@ from .lm_score import op5_lm_score
 from .ngram_join import op1_ngram_join
 from .packing import op8_pattern_packing
 from .quality_rules import op6_quality_rules
+from .sqltext import NGRAM_JOIN, SUBSTRING_DEDUP
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op4_suffix_dedup
 from .token_file import op7_token_file
@@ -29,4 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_join": NGRAM_JOIN,
+    "op3_substring_dedup": SUBSTRING_DEDUP,
+}

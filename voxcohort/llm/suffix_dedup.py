@@ -48,13 +48,12 @@ def anchors(prefix: np.ndarray, offs: np.ndarray, size: int, gram: int) -> tuple
         span *= 2
     if span < w:
         m = np.minimum(m[: len(m) - (w - span)], m[w - span :])
-    ok = np.ones(len(m), bool)
-    d = np.zeros(len(m) + 1, np.int32)
-    lo = np.clip(offs[1:] - size + 1, 0, len(m))
-    np.add.at(d, np.minimum(np.maximum(lo, np.minimum(offs[:-1], len(m))), len(m)), 1)
-    np.add.at(d, np.minimum(offs[1:], len(m)), -1)
-    ok = np.cumsum(d[:-1]) == 0
-    s = np.flatnonzero(ok)
+    # starts in the last size - 1 bytes of a document have no window of their own
+    short = np.zeros(len(m) + 1, np.int32)
+    lo = np.maximum(offs[1:] - size + 1, offs[:-1])
+    np.add.at(short, np.minimum(lo, len(m)), 1)
+    np.add.at(short, np.minimum(offs[1:], len(m)), -1)
+    s = np.flatnonzero(np.cumsum(short[:-1]) == 0)
     if not len(s):
         return (np.zeros(0, U), *[np.zeros(0, np.int64)] * 3)
     p = (m[s] & U((1 << 31) - 1)).astype(np.int64)
@@ -159,22 +158,16 @@ def marks(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: in
         if count:
             yield from flush()
 
-    def settle(t: pa.Table, known: int | None) -> tuple[Iterator[pa.RecordBatch], np.ndarray]:
-        """Runs of rows that repeat the surroundings of the row before; and which rows are first of theirs. known: surroundings of the row before the table."""
-        t = {c: t.column(c).to_numpy() for c in ("bucket", "around", "doc_id", "sig", "pos", "len")}
-        new = np.ones(len(t["pos"]), bool)
-        new[1:] = (t["bucket"][1:] != t["bucket"][:-1]) | (t["around"][1:] != t["around"][:-1])
-        if known is not None:
-            new[0] = t["around"][0] != known
-        return t, new
-
     def sort(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry: pa.Table | None = None
         wide: tuple | None = None  # bucket, surroundings, first document and start, while a bucket is sent on window by window
 
         def pieces(t: pa.Table, lead: tuple | None) -> Iterator[pa.RecordBatch]:
             """Complete buckets, or (with lead) a part of one that is too wide to sort here."""
-            c, new = settle(t, None)
+            c = {name: t.column(name).to_numpy() for name in ("bucket", "around", "doc_id", "sig", "pos", "len")}
+            new = np.ones(t.num_rows, bool)
+            new[1:] = (c["bucket"][1:] != c["bucket"][:-1]) | (c["around"][1:] != c["around"][:-1])
+            # rows that repeat the surroundings of the first row with them are covered throughout
             first_at = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
             ld, lp = c["doc_id"][first_at], c["pos"][first_at]
             if lead is not None and lead[1] == c["around"][0]:
@@ -263,14 +256,14 @@ def remove(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: i
     A byte goes if a window of `size` bytes over it also starts earlier: in a smaller id, or earlier in the same id. Null texts are
     empty. Rows with one id are ordered by start alone. Rows with a null id are neither earlier nor cut.
     """
-    m = marks(docs, size, gram, bucket_rows).groupBy(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig")).agg(F.collect_list(F.struct("pos", "len")).alias("_runs"))
+    m = marks(docs, size, gram, bucket_rows).groupBy(F.col("doc_id").alias("__id"), F.col("sig").alias("__sig")).agg(F.collect_list(F.struct("pos", "len")).alias("__runs"))
     base = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text")
-    d = base.join(m, (base["doc_id"].cast("long") == m["_id"]) & (F.xxhash64(base["text"]) == m["_sig"]), "left").drop("_id", "_sig")
+    d = base.join(m, (base["doc_id"].cast("long") == m["__id"]) & (F.xxhash64(base["text"]) == m["__sig"]), "left").drop("__id", "__sig")
     out = base.schema.fields
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            marked = b.column("_runs")
+            marked = b.column("__runs")
             for s in slices(b.column("text")):
                 cols: dict[str, list] = {"n_bytes": np.diff(s.offs), "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": [], "kept_text": []}
                 for i in range(s.n):
