@@ -12,8 +12,9 @@ import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, batch, partitions
@@ -23,11 +24,12 @@ DEPTH = 2
 MIN_BITS, MAX_BITS = 16, 29
 SHARD_BITS = 8
 FLUSH = 2_000_000
+PART = 4_000_000
 
 
 def width_bits(n: int) -> int:
-    """Two cells per hash and row, within the bounds."""
-    return int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(max(2 * n, 2))))))
+    """About two cells per hash and row, within the bounds."""
+    return int(min(MAX_BITS, max(MIN_BITS, np.rint(np.log2(max(2 * n, 2))))))
 
 
 def cells(h: np.ndarray, row: int, bits: int) -> np.ndarray:
@@ -83,7 +85,7 @@ def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
             for h in hashes(b):
                 held.append(h)
                 size += len(h)
-                if size >= FLUSH:
+                if size >= PART:
                     yield from flush()
                     held, size = [], 0
         if size:
@@ -110,5 +112,25 @@ def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
     return Repeated(rows, bits)
 
 
+def id_filter(ids: DataFrame) -> Repeated:
+    """Filter of bounded size for the ids of a table (doc_id, not null): holds all of them, and some others."""
+
+    def hashes(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield mix(b.column("doc_id").to_numpy().astype(U))
+
+    return merged(ids.select("doc_id"), hashes, width_bits(4 * ids.count()), least=1)
+
+
+def may_hold(ids: DataFrame) -> Callable[[str], Column]:
+    """A boolean expression over an id column: false only where ids does not hold it. A null is not held."""
+    shared = ids.sparkSession.sparkContext.broadcast(id_filter(ids))
+
+    def test(x: pd.Series) -> pd.Series:
+        null = x.isna()
+        return pd.Series(shared.value(mix(x.fillna(0).to_numpy().astype(np.int64).astype(U)))) & ~null
+
+    return F.pandas_udf(test, "boolean")
+
+
 def text_bytes(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

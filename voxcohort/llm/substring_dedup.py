@@ -20,6 +20,7 @@ from .common import arrow_map, batch, documents
 from .words import SPACED, Slice, Words, joined, rolling, signed, slices, words_of
 
 SIZE = 13
+RUN = 1 << 24
 
 
 def runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -40,8 +41,8 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("sig"))
 
 
-def marks(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """Windows that also start in a document of smaller id: (doc_id, hashes) as found across parts, (doc_id, sig of the text, runs of starts) as found within one."""
+def marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """Per document and text hash (doc_id, sig): runs of window starts that also start in a document of smaller id, as first * 2**24 + length."""
     d = _own(docs).where("doc_id is not null")
 
     def distinct(b: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -68,16 +69,16 @@ def marks(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
             hs, ds = h[order], doc[order]
             head = np.ones(len(hs), bool)
             head[1:] = hs[1:] != hs[:-1]
-            first = ds[head]
-            late = order[ds != first[np.cumsum(head) - 1]]
+            mine = ds == ds[head][np.cumsum(head) - 1]
+            own = np.sort(order[mine])
+            yield batch(h=signed(h[own]), doc_id=doc[own], sig=sig[own], run=pos[own] * RUN + 1)
+            late = order[~mine]
             late = late[np.lexsort((pos[late], sig[late], doc[late]))]
             row = np.cumsum((np.diff(doc[late], prepend=0) != 0) | (np.diff(sig[late], prepend=0) != 0))
             r, p, n = runs(row, pos[late])
-            at = late[np.searchsorted(row, r)] if len(late) else late
-            none = pa.nulls(len(first), pa.int64())
-            yield batch(h=signed(hs[head]), doc_id=first, sig=none, pos=none, len=none)
             if len(r):
-                yield batch(h=pa.nulls(len(r), pa.int64()), doc_id=doc[at], sig=sig[at], pos=p, len=n)
+                at = late[np.searchsorted(row, r)]
+                yield batch(h=pa.nulls(len(r), pa.int64()), doc_id=doc[at], sig=sig[at], run=p * RUN + n)
 
         for b in it:
             did, sig = b.column("doc_id").to_numpy(), b.column("sig").to_numpy()
@@ -95,12 +96,10 @@ def marks(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
         if count:
             yield from flush()
 
-    rows = arrow_map(d, group, "h long, doc_id long, sig long, pos long, len long")
-    least = F.min("doc_id").over(Window.partitionBy("h"))
-    far = rows.where("h is not null").select("h", "doc_id").withColumn("least", least).where("doc_id > least")
-    far = far.groupBy("doc_id").agg(F.collect_list("h").alias("hashes"))
-    near = rows.where("h is null").groupBy("doc_id", "sig").agg(F.collect_list(F.struct("pos", "len")).alias("runs"))
-    return far, near
+    rows = arrow_map(d, group, "h long, doc_id long, sig long, run long")
+    far = rows.where("h is not null").withColumn("least", F.min("doc_id").over(Window.partitionBy("h"))).where("doc_id > least")
+    near = rows.where("h is null")
+    return far.select("doc_id", "sig", "run").unionByName(near.select("doc_id", "sig", "run")).groupBy("doc_id", "sig").agg(F.collect_list("run").alias("runs"))
 
 
 def remove(docs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -109,31 +108,19 @@ def remove(docs: DataFrame, size: int = SIZE) -> DataFrame:
     A word goes if a window of `size` words over it also starts in a document with a smaller id. Null or empty texts have no words.
     Rows with one id are one document as to order: neither is before the other. A null id is before nothing and keeps its words.
     """
-    far, near = marks(docs, size)
-    d = _own(docs).join(far, "doc_id", "left").join(near, ["doc_id", "sig"], "left").select("doc_id", "text", "hashes", "runs")
+    d = _own(docs).join(marks(docs, size), ["doc_id", "sig"], "left").select("doc_id", "text", "runs")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            hashes, spans = b.column("hashes"), b.column("runs")
+            spans = b.column("runs")
             for s in slices(b.column("text")):
                 w: Words = words_of(s, SPACED)
-                h, _ = rolling(w, size)
                 keep = np.ones(len(w), bool)
                 for i in range(s.n):
-                    x, y = hashes[s.row + i], spans[s.row + i]
-                    if not x.is_valid and not y.is_valid:
-                        continue
-                    a, e = int(w.first[i]), int(w.first[i + 1])
-                    start = [np.zeros(0, np.int64)]
-                    reach = [np.zeros(0, np.int64)]
+                    x = spans[s.row + i]
                     if x.is_valid:
-                        known = x.values.to_numpy()
-                        at = np.flatnonzero(np.isin(signed(h[a : max(a, e - size + 1)]), known))
-                        start.append(at), reach.append(np.full(len(at), size))
-                    if y.is_valid:
-                        at, n = y.values.field("pos").to_numpy(), y.values.field("len").to_numpy()
-                        start.append(at), reach.append(n + size - 1)
-                    keep[a:e] = ~covered(e - a, np.concatenate(start), np.concatenate(reach))
+                        a, e, r = int(w.first[i]), int(w.first[i + 1]), x.values.to_numpy()
+                        keep[a:e] = ~covered(e - a, r // RUN, r % RUN + size - 1)
                 yield from _answer(b, s, w, keep)
 
     return arrow_map(d, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
