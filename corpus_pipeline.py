@@ -29,10 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id. Rows without an id are in no group and stay; a repeated row is one."""
-    found = ngram_join.join(docs.select("doc_id", "text"))
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return own.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    return ngram_join.first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

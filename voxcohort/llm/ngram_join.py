@@ -32,7 +32,7 @@ HOT_KEYS = 1 << 16
 HOT_LEAST = 8
 SLICE_ROWS = 4096
 BLOCK_ROWS = 2048
-LEADERS = 8
+LEADERS = 64
 LEAF = 8
 
 
@@ -118,6 +118,22 @@ def possible(a: tuple, b: tuple, percent: int) -> bool:
     return (100 + percent) * most >= percent * (a[1] + b[1])
 
 
+def summary(h: np.ndarray) -> tuple[tuple, int]:
+    """What possible() asks of one set, and the width of its bitmap."""
+    raw = bitmap(h)
+    bits = int.from_bytes(raw, "little")
+    return (bits, len(h), len(h), len(h) - bits.bit_count()), 8 * len(raw)
+
+
+def aligned(a: tuple, wa: int, b: tuple, wb: int) -> tuple[tuple, tuple]:
+    """Two summaries with bitmaps of one width; widths further apart than twice belong to sizes too far apart."""
+    if wa == 2 * wb:
+        a = (fold(a[0], wb), *a[1:])
+    elif wb == 2 * wa:
+        b = (fold(b[0], wa), *b[1:])
+    return a, b
+
+
 def walk(x: Node, y: Node, wx: int, wy: int, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of ids of different groups below two roots that may link; wx, wy: bitmap widths."""
     low = min(wx, wy)
@@ -213,7 +229,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
         for s in slices(b.column("text")):
             yield np.concatenate([np.zeros(0, U), *(keys_of(h) for h in shingles(s, k) if len(h))])
 
-    bits = sketch.width_bits(sketch.text_bytes(d) // 25)
+    bits = sketch.width_bits(sketch.text_bytes(d) // 12)
     twice = spark.sparkContext.broadcast(sketch.merged(d.select("text"), all_keys, bits))
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,57 +245,54 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
                     n=np.array([len(h) for h in sets], np.int64),
                     f1=np.array([int(mix(h).sum()) if len(h) else 0 for h in sets], U).view(np.int64),
                     f2=np.array([int(mix(h ^ U(0x5851F42D4C957F2D)).sum()) if len(h) else 0 for h in sets], U).view(np.int64),
+                    k1=pa.array([firsts(x)[0] for x in kept], pa.int64()),
+                    k2=pa.array([firsts(x)[1] for x in kept], pa.int64()),
                     keys=pa.array(kept, pa.list_(pa.int64())),
                     bits=pa.array([bitmap(h) if len(x) else b"" for h, x in zip(sets, kept, strict=True)], pa.binary()),
                 )
 
-    made = cut(arrow_map(d, describe, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits binary"))
+    made = cut(arrow_map(d, describe, "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, keys array<long>, bits binary"))
     # equal sets are one: the least id stands for them
     whole = made.where("n > 0 and doc_id is not null")
     lead = whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
     member = cut(whole.select("doc_id", "f1", "f2", "n").join(lead, ["f1", "f2", "n"]).select("doc_id", "n", "rep"))
-    reps = made.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    every = reps.select("doc_id", F.explode("keys").alias("key")).distinct()
+    reps = cut(whole.drop("f1", "f2").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"))
+    every = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     keyed = cut(every.join(shared, "key"))
 
-    ids = keyed.select("doc_id").distinct()
-    n_ids = ids.count()
-    if not n_ids:
-        return _answer(d, made, member, None)
-
-    def id_hash(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield mix(b.column("doc_id").to_numpy().astype(U))
-
-    near = spark.sparkContext.broadcast(sketch.merged(ids, id_hash, sketch.width_bits(2 * n_ids), least=1))
-
-    def sets_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            b = b.filter(pa.array(near.value(mix(b.column("doc_id").to_numpy().astype(U)))))
-            for s in slices(b.column("text")):
-                sets = list(shingles(s, k))
-                firsts = []
-                for h in sets:
-                    x = keys_of(h) if len(h) else h
-                    x = x[twice.value(x)]
-                    firsts.append((int(x[0]), int(x[np.argmin(mix(x))])) if len(x) else (0, 0))
-                yield batch(
-                    doc_id=b.column("doc_id").slice(s.row, s.n),
-                    k1=np.array([f[0] for f in firsts], U).view(np.int64),
-                    k2=np.array([f[1] for f in firsts], U).view(np.int64),
-                    set=pa.array([h.tobytes() for h in sets], pa.binary()),
-                )
-
-    sets = arrow_map(d.where("doc_id is not null"), sets_of, "doc_id long, k1 long, k2 long, set binary")
-    sets = cut(sets.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    links = [_stars(sets, c, n_ids, percent) for c in ("k1", "k2")]
+    def sets(ids: DataFrame) -> DataFrame:
+        """(doc_id, k1, k2, set) of the documents in ids, and of a few more: a filter of bounded size spares most other texts."""
+
+        near = spark.sparkContext.broadcast(sketch.id_filter(ids))
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                b = b.filter(pa.array(near.value(mix(b.column("doc_id").to_numpy().astype(U)))))
+                for s in slices(b.column("text")):
+                    every = list(shingles(s, k))
+                    both = [firsts(signed(x[twice.value(x)])) for x in (keys_of(h) if len(h) else h for h in every)]
+                    yield batch(
+                        doc_id=b.column("doc_id").slice(s.row, s.n), k1=pa.array([x for x, _ in both], pa.int64()), k2=pa.array([x for _, x in both], pa.int64()),
+                        set=pa.array([h.tobytes() for h in every], pa.binary()),
+                    )
+
+        return cut(arrow_map(d.where("doc_id is not null"), run, "doc_id long, k1 long, k2 long, set binary"))
+
+    # near copies mostly agree in two keys at once
+    stars = reps.where("k1 <> 0").select("doc_id", "k1", "k2")
+    busy = [stars.groupBy(c).agg(F.count("*").alias("c")).where("c > 1").select(c, F.lit(True).alias(f"s{c}")) for c in ("k1", "k2")]
+    busy_ids = stars.join(busy[0], "k1", "left").join(busy[1], "k2", "left").where("sk1 or sk2").select("doc_id").distinct()
+    own = sets(busy_ids).where("k1 <> 0")
+    links = [_stars(own, c, percent) for c in ("k1", "k2")]
     group = components(links[0].unionByName(links[1]))
 
     # blocks that still hold different groups are walked
-    info = made.select("doc_id", "n", "bits").where("doc_id is not null").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    info = info.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    placed = keyed.join(info.select("doc_id", "root"), "doc_id")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c")).where("lo <> hi").select("key", "c")
+    info = reps.select("doc_id", "n", "bits").dropDuplicates(["doc_id"]).join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = keyed.join(info.select("doc_id", "root", "n"), "doc_id")
+    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    # two sets whose sizes alone rule a link out need no walk
+    mixed = mixed.where((F.col("lo") != F.col("hi")) & ((F.col("c") > 2) | (100 * F.col("least") >= percent * F.col("most")))).select("key", "c")
     open_ = keyed.join(mixed, "key").join(info, "doc_id")
     parts = F.ceil(F.col("c") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
@@ -304,9 +317,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
         yield from flush()
 
     dealt = spread.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    pairs = arrow_map(dealt, blocks, "a long, b long").distinct()
-    left = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    pairs = cut(arrow_map(dealt, blocks, "a long, b long").distinct())
+    ends = sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    left = ends.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
+    right = ends.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -318,31 +332,48 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     return _answer(d, made, member, components(all_))
 
 
-def _stars(sets: DataFrame, column: str, n_ids: int, percent: int) -> DataFrame:
+def _pair_of(keys: np.ndarray) -> int:
+    """One number for the first two keys; 0 if there is none."""
+    return int(mix(keys[:2].view(U) * np.array([1, 3], U)[: len(keys)]).sum().view(np.int64)) if len(keys) else 0
+
+
+def firsts(keys: np.ndarray) -> tuple[int, int]:
+    """Numbers for the first two keys in their order and in a second, unrelated order."""
+    return _pair_of(keys), _pair_of(keys[np.argsort(mix(keys.view(U)))])
+
+
+def _stars(sets: DataFrame, column: str, percent: int) -> DataFrame:
     """Verified links to leaders of the documents that share `column`, keys with many documents in slices of about SLICE_ROWS.
 
-    A document that no leader of its slice matches becomes one, up to LEADERS; leaders of the first documents of slices meet once more.
+    A document that no leader of its slice matches, or that connects some, becomes one, up to LEADERS; first documents of slices meet once more.
     """
     spark = sets.sparkSession
-    many = sets.groupBy(column).agg(F.count("*").alias("c")).where(F.col("c") > max(SLICE_ROWS, n_ids // 50_000))
+    n = sets.count()
+    # at most 50,000 keys are that frequent, which bounds both broadcasts
+    many = sets.groupBy(column).agg(F.count("*").alias("c")).where(F.col("c") > max(SLICE_ROWS, n // 50_000))
     sliced = sets.select("doc_id", "set", column).join(F.broadcast(many), column, "left")
     sliced = sliced.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce(F.ceil(F.col("c") / SLICE_ROWS), F.lit(1))))
 
     def star(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, leaders = None, []
+        name, leaders, same = None, [], []
         for b in it:
             a, c = [], []
             for i, key, salt, raw in zip(b.column("doc_id").to_pylist(), b.column(column).to_pylist(), b.column("salt").to_pylist(), b.column("set"), strict=True):
                 h = np.frombuffer(raw.as_buffer(), U)
                 if (key, salt) != name:
-                    name, leaders = (key, salt), []
-                for j, x in leaders:
-                    if linked(h, x, percent):
-                        a.append(i), c.append(j)
-                        break
-                else:
-                    if len(leaders) < LEADERS:
-                        leaders.append((i, h.copy()))
+                    name, leaders, same = (key, salt), [], []
+                own, width = summary(h)
+                met: set[int] = set()
+                for j, (leader, x, other, w) in enumerate(leaders):
+                    if same[j] not in met and possible(*aligned(own, width, other, w), percent) and linked(h, x, percent):
+                        met.add(same[j])
+                        a.append(i), c.append(leader)
+                if met:  # leaders that this document connects count as one from now on
+                    least = min(met)
+                    same = [least if g in met else g for g in same]
+                if len(leaders) < LEADERS and len(met) != 1:
+                    same.append(min(met) if met else len(leaders))
+                    leaders.append((i, h.copy(), own, width))
             yield batch(a=pa.array(a, pa.int64()), b=pa.array(c, pa.int64()))
 
     def run(t: DataFrame) -> DataFrame:
@@ -353,15 +384,26 @@ def _stars(sets: DataFrame, column: str, n_ids: int, percent: int) -> DataFrame:
     return run(sliced).unionByName(run(again))
 
 
-def _answer(d: DataFrame, made: DataFrame, member: DataFrame, group: DataFrame | None) -> DataFrame:
+def _answer(d: DataFrame, made: DataFrame, member: DataFrame, group: DataFrame) -> DataFrame:
     m = member.select("doc_id", "rep")
-    if group is not None:
-        m = m.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
-    else:
-        m = m.withColumnRenamed("rep", "root")
+    m = m.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     m = m.groupBy("doc_id").agg(F.min("root").alias("root"))
     return made.select("doc_id", "n").join(m, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
+def first_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """docs with one row of each group of near duplicates, that of the least id; repeated rows count once, rows without an id stay.
+
+    Only rows that a filter of the ids to be looked at lets through are shuffled with their texts.
+    """
+    found = cut(join(docs.select("doc_id", "text"), k, percent).where("doc_id is not null").select("doc_id", "component_id"))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    again = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    look = sketch.may_hold(cut(gone.unionByName(again).distinct()))
+    marked = docs.withColumn("__look", F.coalesce(look(F.col("doc_id").cast("long")), F.lit(False)))
+    rest = marked.where("__look").join(gone.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left_anti").dropDuplicates(["doc_id", "text"])
+    return marked.where("not __look").unionByName(rest).drop("__look")
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
