@@ -65,15 +65,17 @@ class EliasFano:
         return out
 
     def successor(self, x: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Place of the first value >= x; end bounds the answer."""
+        """Place of the first value >= x, by halving within the values of its high part; end bounds the answer."""
         h = np.minimum((x >> U(self.low)).astype(np.int64), len(self.bucket) - 1)
-        i = np.minimum(self.bucket[h], end)
-        todo = np.flatnonzero(i < end)
+        lo, hi = np.minimum(self.bucket[h], end), np.minimum(self.bucket[np.minimum(h + 1, len(self.bucket) - 1)], end)
+        todo = np.flatnonzero(lo < hi)
         while len(todo):
-            todo = todo[self.get(i[todo]) < x[todo]]
-            i[todo] += 1
-            todo = todo[i[todo] < end[todo]]
-        return i
+            mid = (lo[todo] + hi[todo]) >> 1
+            less = self.get(mid) < x[todo]
+            lo[todo[less]] = mid[less] + 1
+            hi[todo[~less]] = mid[~less]
+            todo = todo[lo[todo] < hi[todo]]
+        return lo
 
 
 def _mapped(file, a: np.ndarray) -> np.ndarray:
