@@ -21,9 +21,8 @@ def _packed(docs: DataFrame, *columns: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without text or letters go."""
-    d = _packed(docs, "doc_id", "text", "lang")
-    model = language_id.fit(d.select("doc_id", "text", "lang"))
-    known = language_id.predict(d.select("text", "_row"), model)
+    model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    known = language_id.predict(_packed(docs), model, "_row.text")
     return known.where(F.col("lang_pred") != language_id.UNKNOWN).select("_row.*")
 
 

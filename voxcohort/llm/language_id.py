@@ -182,14 +182,17 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """docs with lang_pred and score appended; only the text is looked at.
 
     `und` with score 0 where the text is null or has no letter (or nothing was learned). Columns of these names in docs are replaced.
+    text may be a field of a struct column, as column.field.
     """
+    column, _, field = text.partition(".")
     docs = docs.drop("lang_pred", "score")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             label: list[str] = []
             prob: list[np.ndarray] = []
-            for s in slices(b.column(text)):
+            texts = b.column(column).field(field) if field else b.column(column)
+            for s in slices(texts):
                 code, first, lettered = trigrams(s.data, s.offs)
                 for d in np.flatnonzero(~lettered):
                     raw = s.data[s.offs[d] : s.offs[d + 1]].tobytes().decode("utf-8", "replace")
