@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, scratch_path
 
-__all__ = ["cut", "documents", "held_out", "arrow_map", "batch", "partitions"]
+__all__ = ["cut", "freeze", "documents", "held_out", "arrow_map", "batch", "partitions"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,13 @@ def held_out(doc_id: str, of: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of == 0, F.lit(False))
 
 
+def freeze(df: DataFrame) -> DataFrame:
+    """Evaluate once into a table in shared storage: like cut(), but compressed and read by column, for what is large."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import arrow_map, batch, cut, documents, partitions
+from .common import arrow_map, batch, cut, documents, freeze, partitions
 from .components import components
 from .words import SPACED_LOWER, U, Slice, mix, rolling, signed, slices, words_of
 
@@ -251,15 +251,16 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
                     bits=pa.array([bitmap(h) if len(x) else b"" for h, x in zip(sets, kept, strict=True)], pa.binary()),
                 )
 
-    made = cut(arrow_map(d, describe, "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, keys array<long>, bits binary"))
+    made = freeze(arrow_map(d, describe, "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, keys array<long>, bits binary"))
     # equal sets are one: the least id stands for them
     whole = made.where("n > 0 and doc_id is not null")
-    lead = whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep"))
-    member = cut(whole.select("doc_id", "f1", "f2", "n").join(lead, ["f1", "f2", "n"]).select("doc_id", "n", "rep"))
-    reps = cut(whole.drop("f1", "f2").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"))
+    # frozen, so that the join below is between two plain shuffles and a large group of copies can be split
+    lead = freeze(whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
+    member = freeze(whole.select("doc_id", "f1", "f2", "n").join(lead, ["f1", "f2", "n"]).select("doc_id", "n", "rep"))
+    reps = freeze(whole.drop("f1", "f2").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"))
     every = reps.select("doc_id", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    keyed = cut(every.join(shared, "key"))
+    keyed = freeze(every.join(shared, "key"))
 
     def sets(ids: DataFrame) -> DataFrame:
         """(doc_id, k1, k2, set) of the documents in ids, and of a few more: a filter of bounded size spares most other texts."""
@@ -277,7 +278,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
                         set=pa.array([h.tobytes() for h in every], pa.binary()),
                     )
 
-        return cut(arrow_map(d.where("doc_id is not null"), run, "doc_id long, k1 long, k2 long, set binary"))
+        return freeze(arrow_map(d.where("doc_id is not null"), run, "doc_id long, k1 long, k2 long, set binary"))
 
     # near copies mostly agree in two keys at once
     stars = reps.where("k1 <> 0").select("doc_id", "k1", "k2")
@@ -317,7 +318,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
         yield from flush()
 
     dealt = spread.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    pairs = cut(arrow_map(dealt, blocks, "a long, b long").distinct())
+    pairs = freeze(arrow_map(dealt, blocks, "a long, b long").distinct())
     ends = sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     left = ends.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
     right = ends.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
