@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, cut, documents, held_out, partitions
+from .common import batch, documents, freeze, held_out, partitions
 from .sketch import text_bytes
 from .words import SPACED_LOWER, U, slices, words_of
 
@@ -180,6 +180,20 @@ def _cuts(c: Chunk, shard_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return some, lo, np.searchsorted((c.pairs >> U(32)).astype(np.int64), lo)
 
 
+_WIDTHS = {1: np.dtype(np.uint8), 4: np.dtype("<u4"), 8: np.dtype("<u8")}
+
+
+def _small(x: np.ndarray) -> bytes:
+    """Counts in the fewest of 1, 4 or 8 bytes that all fit in, after a byte that says which."""
+    top = int(x.max()) if len(x) else 0
+    n = 1 if top < 1 << 8 else 4 if top < 1 << 32 else 8
+    return bytes([n]) + x.astype(_WIDTHS[n]).tobytes()
+
+
+def _counts(raw: pa.Buffer) -> np.ndarray:
+    return np.frombuffer(raw, _WIDTHS[raw[0]], offset=1).astype(np.int64)
+
+
 _ASK = "chunk long, shard int, words binary, count binary, degree binary, after binary, pair_count binary"
 _REPLY = "chunk long, shard int, count binary, back binary, value binary, tokens long, distinct long"
 
@@ -205,15 +219,16 @@ def score(docs: DataFrame, held: Column, d: float = D, k: float = K, chunk_bytes
         degree = np.bincount((c.pairs >> U(32)).astype(np.int64), minlength=len(c.words)).astype("<u4")
         after = c.pairs.astype("<u4")
         some, a, b = _cuts(c, bits)
-        blob = lambda x, e: pa.array([x[i:j].tobytes() for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)], pa.binary())
+        blob = lambda x, e, put=np.ndarray.tobytes: pa.array([put(x[i:j]) for i, j in zip(e[:-1].tolist(), e[1:].tolist(), strict=True)], pa.binary())
         return pa.Table.from_batches([batch(
-            chunk=np.full(len(some), key[0].as_py()), shard=some.astype(np.int32), words=blob(c.words, a), count=blob(count, a),
-            degree=blob(degree, a), after=blob(after, b), pair_count=blob(pair_count, b),
+            chunk=np.full(len(some), key[0].as_py()), shard=some.astype(np.int32), words=blob(c.words, a), count=blob(count, a, _small),
+            degree=blob(degree, a, _small), after=blob(after, b), pair_count=blob(pair_count, b, _small),
         )])
 
     def answer(key: tuple, t: pa.Table) -> pa.Table:
         col = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in t.column(name).combine_chunks()]
-        words, count, degree, after, pair_count = (col(n, x) for n, x in (("words", "<u8"), ("count", "<u4"), ("degree", "<u4"), ("after", "<u4"), ("pair_count", "<u4")))
+        words, after = col("words", "<u8"), col("after", "<u4")
+        count, degree, pair_count = ([_counts(x.as_buffer()) for x in t.column(n).combine_chunks()] for n in ("count", "degree", "pair_count"))
         every, inv = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(inv, np.concatenate(count), len(every)).astype(np.int64)
         pair = (np.repeat(inv, np.concatenate(degree)).astype(U) << U(32)) | np.concatenate(after).astype(U)
@@ -226,7 +241,7 @@ def score(docs: DataFrame, held: Column, d: float = D, k: float = K, chunk_bytes
         out: dict[str, list] = {"count": [], "back": [], "value": []}
         for w, g, a in zip(words, degree, after, strict=True):
             i = trie.word(w.astype(U))
-            out["count"].append(np.where(i >= 0, trie.count[i] if trie.first.n else 0, 0).astype("<i8").tobytes())
+            out["count"].append(_small(np.where(i >= 0, trie.count[i] if trie.first.n else 0, 0)))
             out["back"].append(np.where(i >= 0, trie.back[i] if trie.first.n else 1, 1).astype(np.uint8).tobytes())
             out["value"].append(trie.pair(np.repeat(i, g), a).tobytes())
         n = len(words)
@@ -235,7 +250,7 @@ def score(docs: DataFrame, held: Column, d: float = D, k: float = K, chunk_bytes
         stat[:, 0] = total[real].sum(), (total[real] > 0).sum()
         return pa.Table.from_batches([batch(chunk=t.column("chunk").combine_chunks(), shard=t.column("shard").combine_chunks(), **{c: pa.array(v, pa.binary()) for c, v in out.items()}, tokens=stat[0], distinct=stat[1])])
 
-    replies = cut(rows.groupBy("chunk").applyInArrow(ask, _ASK).groupBy("shard").applyInArrow(answer, _REPLY))
+    replies = freeze(rows.groupBy("chunk").applyInArrow(ask, _ASK).groupBy("shard").applyInArrow(answer, _REPLY))
     n_train, vocabulary = (int(x or 0) for x in replies.agg(F.sum("tokens"), F.sum("distinct")).first())
     whole = n_train + ADD * (vocabulary + 1)
 
@@ -243,7 +258,8 @@ def score(docs: DataFrame, held: Column, d: float = D, k: float = K, chunk_bytes
         c = read_chunk(t)
         r = r.sort_by("shard")
         col = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in r.column(name).combine_chunks())])
-        count, back, value = col("count", "<i8"), restore(col("back", np.uint8)), restore(col("value", np.uint8))
+        count = np.concatenate([np.zeros(0, np.int64), *(_counts(x.as_buffer()) for x in r.column("count").combine_chunks())])
+        back, value = restore(col("back", np.uint8)), restore(col("value", np.uint8))
         single = (count + ADD) / whole
         p1 = single[c.word]
         p = value[c.pair] + back[c.context] * p1
