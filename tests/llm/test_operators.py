@@ -43,6 +43,48 @@ def test_signature_trees_lose_no_pair():
     assert want and want <= got and len(got) < len(sets) ** 2 / 8
 
 
+def across_widths():
+    """Sets of near-equal sizes on both sides of 64, 256 and 1024, where the width of the bitmap doubles: a base, one less, and a few exchanged."""
+    r = np.random.default_rng(7)
+    sets = []
+    for edge in (64, 256, 1024):
+        for _ in range(6):
+            base = np.unique(r.integers(0, 2**63, edge + edge // 16 + 2).astype(np.uint64))
+            for n in (edge - edge // 16 - 1, edge - 1, edge, edge + edge // 16):
+                sets.append(np.sort(r.permutation(base)[:n]))
+    return sets
+
+
+def test_signature_trees_across_widths():
+    sets = across_widths()
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if ngram_join.linked(sets[i], sets[j], 80)}
+    assert any(len(ngram_join.bitmap(sets[i])) != len(ngram_join.bitmap(sets[j])) for i, j in want)
+    rows = [(i, len(s), ngram_join.bitmap(s), i) for i, s in enumerate(sets)]
+    assert want <= set(ngram_join.block_pairs(rows, 80))
+    for i, j in want:
+        (a, wa), (b, wb) = ngram_join.summary(sets[i]), ngram_join.summary(sets[j])
+        assert ngram_join.possible(*ngram_join.aligned(a, wa, b, wb), 80)
+
+
+def test_stars_across_widths(spark):
+    sets = across_widths()
+    rows = [(i, i // 4 + 1, h.tobytes()) for i, h in enumerate(sets)]
+    got = ngram_join._stars(spark.createDataFrame(rows, "doc_id long, k1 long, set binary"), "k1", 80)
+    pairs = {(r["b"], r["a"]) for r in got.collect()}
+    # a document is linked to every leader it matches, and the first of each key leads
+    assert {(i - i % 4, i) for i in range(len(sets)) if i % 4 and ngram_join.linked(sets[i - i % 4], sets[i], 80)} <= pairs
+
+
+@pytest.mark.parametrize("edge", [64, 256, 1024])
+def test_ngram_join_across_widths(spark, edge):
+    r = np.random.default_rng(edge)
+    d = []
+    for g in range(4):  # n words have n - 4 shingles
+        w = [f"w{x}" for x in r.integers(0, 10**9, edge + 6)]
+        d += [(10 * g, " ".join(w[: edge + 3])), (10 * g + 1, " ".join(w[: edge + 4])), (10 * g + 2, " ".join(w[2:]))]
+    assert table(ngram_join.join(spark.createDataFrame(d, "doc_id long, text string")), "n_shingles", "component_id") == brute.near_components(d)
+
+
 def test_language_id(spark, docs):
     en = [(i, "the quick brown fox and the other thing with that " * 3, "en") for i in range(0, 40)]
     de = [(i, "der schnelle braune fuchs und die andere sache mit dem " * 3, "de") for i in range(40, 80)]

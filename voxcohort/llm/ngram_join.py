@@ -110,8 +110,16 @@ def fold(bits: int, width: int) -> int:
     return (bits & ((1 << width) - 1)) | (bits >> width)
 
 
+def narrowed(a: tuple, width: int) -> tuple:
+    """A summary (bits, smallest, largest size, excess) of twice the width brought to width.
+
+    More shingles share bits then than were counted at the full width, so no excess below the size is safe; the other side's bounds the overlap.
+    """
+    return fold(a[0], width), a[1], a[2], a[2]
+
+
 def possible(a: tuple, b: tuple, percent: int) -> bool:
-    """Whether the largest overlap of (bits, smallest, largest size, excess) allows a link."""
+    """Whether the largest overlap of (bits, smallest, largest size, excess) allows a link; bits and excess of one width."""
     if 100 * a[2] < percent * b[1] or 100 * b[2] < percent * a[1]:
         return False
     most = min((a[0] & b[0]).bit_count() + min(a[3], b[3]), a[2], b[2])
@@ -128,23 +136,23 @@ def summary(h: np.ndarray) -> tuple[tuple, int]:
 def aligned(a: tuple, wa: int, b: tuple, wb: int) -> tuple[tuple, tuple]:
     """Two summaries with bitmaps of one width; widths further apart than twice belong to sizes too far apart."""
     if wa == 2 * wb:
-        a = (fold(a[0], wb), *a[1:])
+        a = narrowed(a, wb)
     elif wb == 2 * wa:
-        b = (fold(b[0], wa), *b[1:])
+        b = narrowed(b, wa)
     return a, b
 
 
 def walk(x: Node, y: Node, wx: int, wy: int, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of ids of different groups below two roots that may link; wx, wy: bitmap widths."""
     low = min(wx, wy)
-    sx = (lambda b: b) if wx == low else lambda b: fold(b, low)
-    sy = (lambda b: b) if wy == low else lambda b: fold(b, low)
+    sx = (lambda *a: a) if wx == low else lambda *a: narrowed(a, low)
+    sy = (lambda *a: a) if wy == low else lambda *a: narrowed(a, low)
     todo = [(x, y)]
     while todo:
         a, b = todo.pop()
         if len(a.groups) == 1 and a.groups == b.groups:
             continue
-        if not possible((sx(a.bits), a.lo, a.hi, a.excess), (sy(b.bits), b.lo, b.hi, b.excess), percent):
+        if not possible(sx(a.bits, a.lo, a.hi, a.excess), sy(b.bits, b.lo, b.hi, b.excess), percent):
             continue
         if a is b and a.children:
             todo += [(c, d) for i, c in enumerate(a.children) for d in a.children[i:]]
@@ -155,7 +163,7 @@ def walk(x: Node, y: Node, wx: int, wy: int, percent: int) -> Iterator[tuple[int
         else:
             for i, m in enumerate(a.members):
                 for n in b.members[i + 1 :] if a is b else b.members:
-                    if m[4] != n[4] and possible((sx(m[2]), m[1], m[1], m[3]), (sy(n[2]), n[1], n[1], n[3]), percent):
+                    if m[4] != n[4] and possible(sx(m[2], m[1], m[1], m[3]), sy(n[2], n[1], n[1], n[3]), percent):
                         yield (m[0], n[0]) if m[0] < n[0] else (n[0], m[0])
 
 
