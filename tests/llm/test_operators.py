@@ -85,6 +85,19 @@ def test_ngram_join_across_widths(spark, edge):
     assert table(ngram_join.join(spark.createDataFrame(d, "doc_id long, text string")), "n_shingles", "component_id") == brute.near_components(d)
 
 
+def test_ngram_join_repeated_ids(spark):
+    """Rows with one id are one document with all their links, whether its sets equal others, resemble them, or it stands for them itself."""
+    r = np.random.default_rng(3)
+    text = lambda n: " ".join(f"w{x}" for x in r.integers(0, 10**9, n))
+    near = lambda t: t + " more words"
+    a, b, c, e, f, g = (text(n) for n in (40, 50, 60, 300, 45, 90))
+    d = [(1, a), (5, a), (2, b), (5, b)]  # equal sets
+    d += [(13, c), (13, e), (11, near(c)), (12, near(e))]  # near ones, of very different sizes
+    d += [(20, f), (20, g), (21, near(f)), (22, near(g)), (22, a)]  # the least id itself has two sets
+    got = {(x["doc_id"], x["component_id"]) for x in ngram_join.join(spark.createDataFrame(d, "doc_id long, text string")).collect()}
+    assert got == {(i, 1) for i in (1, 2, 5, 20, 21, 22)} | {(i, 11) for i in (11, 12, 13)}
+
+
 def test_language_id(spark, docs):
     en = [(i, "the quick brown fox and the other thing with that " * 3, "en") for i in range(0, 40)]
     de = [(i, "der schnelle braune fuchs und die andere sache mit dem " * 3, "de") for i in range(40, 80)]

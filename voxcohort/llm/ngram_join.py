@@ -265,8 +265,11 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     # frozen, so that the join below is between two plain shuffles and a large group of copies can be split
     lead = freeze(whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
     member = freeze(whole.select("doc_id", "f1", "f2", "n").join(lead, ["f1", "f2", "n"]).select("doc_id", "n", "rep"))
-    reps = freeze(whole.drop("f1", "f2").join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi"))
-    every = reps.select("doc_id", F.explode("keys").alias("key"))
+    # ids with several sets: v tells their sets apart; 0 for all others
+    several = whole.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("several"))
+    reps = whole.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").join(several, "doc_id", "left")
+    reps = freeze(reps.withColumn("v", F.when(F.col("several"), F.col("f1")).otherwise(F.lit(0))).drop("f1", "f2", "several"))
+    every = reps.select("doc_id", "v", F.explode("keys").alias("key"))
     shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     keyed = freeze(every.join(shared, "key"))
 
@@ -297,14 +300,14 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     group = components(links[0].unionByName(links[1]))
 
     # blocks that still hold different groups are walked
-    info = reps.select("doc_id", "n", "bits").dropDuplicates(["doc_id"]).join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    placed = keyed.join(info.select("doc_id", "root", "n"), "doc_id")
+    info = reps.select("doc_id", "v", "n", "bits").dropDuplicates(["doc_id", "v"]).join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    placed = keyed.join(info.select("doc_id", "v", "root", "n"), ["doc_id", "v"])
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
     # two sets whose sizes alone rule a link out need no walk
     mixed = mixed.where((F.col("lo") != F.col("hi")) & ((F.col("c") > 2) | (100 * F.col("least") >= percent * F.col("most")))).select("key", "c")
-    open_ = keyed.join(mixed, "key").join(info, "doc_id")
+    open_ = keyed.join(mixed, "key").join(info, ["doc_id", "v"])
     parts = F.ceil(F.col("c") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), parts).cast("int")
+    own = F.pmod(F.xxhash64("doc_id", "v"), parts).cast("int")
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     spread = open_.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "n", "bits", "root")
 
@@ -337,7 +340,10 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     more = arrow_map(pairs.join(left, "a").join(right, "b"), verify, "a long, b long")
-    all_ = group.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    # the sets of one id link what stands for them
+    ends_of = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b <> hi").select("doc_id", "b")
+    same_id = member.join(ends_of, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    all_ = group.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(same_id)
     return _answer(d, made, member, components(all_))
 
 
