@@ -266,6 +266,27 @@ def test_decontamination(spark, docs, small):
     assert left == {i for i, _ in small} - {r["doc_id"] for r in got.collect()}
 
 
+def test_decontamination_of_short_answers(spark):
+    """A copy whose short last sentence is cut off or edited is a leak all the same, and so is one with any one word changed."""
+    q = "which river of the northern plain was first crossed by the long bridge that the old miller had drawn"
+    answers = {1: "Er.", 2: "the river Er.", 3: "It is the river Er of the plain.", 4: "It was the small river Er that nobody in the town had ever seen before."}
+    items = [(i, f"{q.replace('miller', f'miller{i}')}? {a}") for i, a in answers.items()]
+    docs, want = [], set()
+    for i, t in items:
+        w = t.split()
+        copies = [" ".join(w[:k] + ["changed"] + w[k + 1 :]) for k in range(len(w))] + [t]
+        if i < 4:  # the tail cut off, in part and whole
+            copies += [" ".join(w[:-k]) for k in range(1, len(answers[i].split()) + 1)]
+        for c in copies:
+            docs.append((len(docs), f"before that came other words {c} and after it some more"))
+            want.add((docs[-1][0], i))
+    docs.append((9999, "before that which river of the town was seen and it was the small river Er after all"))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find(d, b).collect()}
+    assert want <= got and not any(i == 9999 for i, _ in got)
+    assert [r["doc_id"] for r in decontaminate.remove(d, b).collect()] == [9999]
+
+
 def test_block_max_wand():
     r = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(300)]

@@ -3,8 +3,9 @@
 The test items are an inverted index with BM25 impacts, divided by each item's own full score, so one threshold serves all items.
 Every passage of every text is a query, answered by block-max WAND: lists are skipped by term bounds, then by block bounds, and
 every item at or above the threshold comes back. Hits are verified by the share of the item's question and answer word trigrams that
-the passage holds. Upper bounds over all items spare hopeless queries: a passage is queried only if its words could reach the
-threshold together, and its trigrams the shares of some question and of some answer. The index is built in blocks of items with a byte bound; all texts
+the passage holds; where the answer is too short for a share to mean much, the share of the whole item's trigrams does as well. Upper
+bounds over all items spare hopeless queries: a passage is queried only if its words could reach the threshold together, and its
+trigrams the shares of some question and of some answer, or of some item with a short answer. The index is built in blocks of items with a byte bound; all texts
 are queried against each block.
 """
 
@@ -25,6 +26,8 @@ from .words import ALNUM_LOWER, Slice, Words, rolling, slices, words_of
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.6
+# an answer of so many distinct trigrams keeps 0.6 of them when one word is changed; a shorter one may not
+ANSWER_GRAMS = 8
 BLOCK_ITEMS = 16
 INDEX_BYTES = 32 << 20
 _SLOTS = 20
@@ -44,6 +47,9 @@ def _grams(text: str) -> tuple[int, np.ndarray]:
     return k, np.unique(rolling(w, k)[0]) if k else np.zeros(0, np.uint64)
 
 
+_NONE = (0, np.zeros(0, np.uint64))
+
+
 @dataclass
 class Postings:
     items: list[int]
@@ -62,6 +68,7 @@ class Index:
     longest: int
     question: list[tuple[int, np.ndarray]]
     answer: list[tuple[int, np.ndarray]]
+    whole: list[tuple[int, np.ndarray]]
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -91,13 +98,14 @@ def build(ids: list[int], texts: list[str | None]) -> Index | None:
     np.maximum.at(slot, (terms >> np.uint64(64 - _SLOTS)).astype(np.int64), np.array([p.bound for p in lists], np.float32))
     qa = [question_answer(t or "") for t in texts]
     question, answer = [_grams(q) for q, _ in qa], [_grams(a) for _, a in qa]
-    # of every gram, the largest share of a question and of an answer that it can be; a side without words always counts as held
+    whole = [_grams(t or "") if k < 3 or len(g) < ANSWER_GRAMS else _NONE for t, (k, g) in zip(texts, answer, strict=True)]
+    # of every gram, the largest share of a question, of an answer and of a whole item that it can be; a question or answer without words always counts as held
     grams = {}
     for k in (1, 2, 3):
-        g = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for n, x in question + answer if n == k)]))
+        g = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for n, x in question + answer + whole if n == k)]))
         if len(g):
-            most = np.zeros((2, len(g)))
-            for side, qa_ in enumerate((question, answer)):
+            most = np.zeros((3, len(g)))
+            for side, qa_ in enumerate((question, answer, whole)):
                 for n, x in qa_:
                     if n == k:
                         at = np.searchsorted(g, x)
@@ -105,7 +113,7 @@ def build(ids: list[int], texts: list[str | None]) -> Index | None:
             seen = np.zeros(1 << _SLOTS, bool)
             seen[(g >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
             grams[k] = (g, seen, most)
-    return Index(np.array(ids, np.int64), terms, lists, slot, int(size.max()), question, answer, grams)
+    return Index(np.array(ids, np.int64), terms, lists, slot, int(size.max()), question, answer, whole, grams)
 
 
 def block_max_wand(lists: list[Postings], threshold: float) -> list[tuple[int, float]]:
@@ -174,7 +182,7 @@ def hits(index: Index, s: Slice, threshold: float = THRESHOLD, overlap: float =
     b = np.minimum(a + 2 * index.longest, w.first[doc + 1])
     live = bound[b] - bound[a] >= threshold - 1e-6
     if overlap > 0:
-        could = np.zeros((2, len(doc)))
+        could = np.zeros((3, len(doc)))
         for side, qa in enumerate((index.question, index.answer)):
             could[side] = 1.0 if any(not k for k, _ in qa) else 0.0
         for k, (known, seen, most) in index.grams.items():
@@ -183,10 +191,11 @@ def hits(index: Index, s: Slice, threshold: float = THRESHOLD, overlap: float =
             i = np.minimum(np.searchsorted(known, g[at]), len(known) - 1)
             at, i = at[known[i] == g[at]], i[known[i] == g[at]]
             lo_, hi_ = np.searchsorted(at, a), np.searchsorted(at, np.maximum(b - k + 1, a))
-            for side in (0, 1):
+            for side in (0, 1, 2):
                 run = np.concatenate([[0.0], np.cumsum(most[side, i])])
                 could[side] += run[hi_] - run[lo_]
-        live &= (could >= overlap - 1e-6).all(0)
+        could = could >= overlap - 1e-6
+        live &= (could[0] & could[1]) | could[2]
     best: dict[tuple[int, int], tuple] = {}
     for i in np.flatnonzero(live).tolist():
         lo, hi = int(a[i]), int(b[i])
@@ -200,7 +209,8 @@ def hits(index: Index, s: Slice, threshold: float = THRESHOLD, overlap: float =
         grams = {k: rolling(part, k)[0] for k in index.grams}
         for item, score in found:
             share = [float(np.isin(g, grams[k]).mean()) if k else 1.0 for k, g in (index.question[item], index.answer[item])]
-            if min(share) >= overlap:
+            k, g = index.whole[item]
+            if min(share) >= overlap or (k and float(np.isin(g, grams[k]).mean()) >= overlap):
                 key = (int(doc[i]), item)
                 if key not in best or best[key][2] < score:
                     best[key] = (*key, score, *share, lo - int(w.first[doc[i]]))
@@ -221,6 +231,7 @@ def index_blocks(items: DataFrame, index_bytes: int) -> Iterator[Index]:
 def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, index_bytes: int = INDEX_BYTES) -> DataFrame:
     """Verified leaks: doc_id, item_id, score, question_overlap, answer_overlap, first_word; a row per document row and item.
 
+    Both overlaps reach `overlap`, or the answer has fewer than ANSWER_GRAMS trigrams and the whole item's overlap does.
     Null or empty texts and items match nothing. Rows that repeat are answered one by one. No items: no rows.
     """
     spark = docs.sparkSession
