@@ -287,6 +287,21 @@ def test_decontamination_of_short_answers(spark):
     assert [r["doc_id"] for r in decontaminate.remove(d, b).collect()] == [9999]
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    """Scores, shares and passages are the same whether the items are one block or many."""
+    r = np.random.default_rng(11)
+    v = [f"w{i}" for i in range(150)]
+    p = np.arange(150, 0, -1) / 11325
+    items = [(i, " ".join(r.choice(v, r.integers(8, 60), p=p)) + ". " + " ".join(r.choice(v, r.integers(1, 20), p=p))) for i in range(40)] + [(50, None), (51, "..."), (None, "w1 w2")]
+    # copies, whole and in part, so that shares lie on both sides of the limits
+    docs = [(100 * i + k, " ".join([*r.choice(v, 30), *t.split()[: 5 * k + 5], *r.choice(v, 40)])) for i, t in items[:40] for k in range(12)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    one, many = ({(x["doc_id"], x["item_id"]): tuple(x)[2:] for x in decontaminate.find(d, b, index_bytes=size).collect()} for size in (decontaminate.INDEX_BYTES, 1200))
+    assert one and one.keys() == many.keys()
+    for key, x in one.items():
+        assert x == pytest.approx(many[key], abs=1e-9)
+
+
 def test_block_max_wand():
     r = np.random.default_rng(0)
     vocabulary = [f"w{i}" for i in range(300)]

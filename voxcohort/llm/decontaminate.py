@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, documents
+from .common import arrow_map, batch, documents, freeze
 from .words import ALNUM_LOWER, Slice, Words, rolling, slices, words_of
 
 K1, B = 1.2, 0.75
@@ -72,8 +72,19 @@ class Index:
     grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def build(ids: list[int], texts: list[str | None]) -> Index | None:
-    """Index of items; items without a word are left out, None if none remains."""
+@dataclass
+class Corpus:
+    """Of all items with a word: their number, mean and largest length in words; and the frequencies of a block's terms among all items."""
+
+    n: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def build(ids: list[int], texts: list[str | None], every: Corpus | None = None) -> Index | None:
+    """Index of items; items without a word are left out, None if none remains. every: what all items hold, if these are only some."""
     s = [x for x in slices(pa.array([t or "" for t in texts], pa.string()), 1 << 40)]
     if not s:
         return None
@@ -84,8 +95,10 @@ def build(ids: list[int], texts: list[str | None]) -> Index | None:
         return None
     pair, tf = np.unique(np.stack([w.hash, w.doc.astype(np.uint64)], 1), axis=0, return_counts=True)
     terms, start, df = np.unique(pair[:, 0], return_index=True, return_counts=True)
-    n, mean = len(keep), size[keep].mean()
-    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    every = every or Corpus(len(keep), float(size[keep].mean()), int(size.max()), terms, df)
+    n, mean = every.n, every.mean
+    among = every.df[np.searchsorted(every.terms, terms)]
+    idf = np.log(1 + (n - among + 0.5) / (among + 0.5))
     item = pair[:, 1].astype(np.int64)
     impact = np.repeat(idf, df) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
     impact /= np.bincount(item, impact, minlength=len(ids))[item]
@@ -113,7 +126,7 @@ def build(ids: list[int], texts: list[str | None]) -> Index | None:
             seen = np.zeros(1 << _SLOTS, bool)
             seen[(g >> np.uint64(64 - _SLOTS)).astype(np.int64)] = True
             grams[k] = (g, seen, most)
-    return Index(np.array(ids, np.int64), terms, lists, slot, int(size.max()), question, answer, whole, grams)
+    return Index(np.array(ids, np.int64), terms, lists, slot, every.longest, question, answer, whole, grams)
 
 
 def block_max_wand(lists: list[Postings], threshold: float) -> list[tuple[int, float]]:
@@ -217,14 +230,43 @@ def hits(index: Index, s: Slice, threshold: float = THRESHOLD, overlap: float =
     return sorted(best.values())
 
 
+def _terms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per slice of items: each term and how many of them hold it; and, with a null term, items with a word, all their words and the most of one."""
+    for b in it:
+        for s in slices(b.column("text")):
+            w = words_of(s, ALNUM_LOWER)
+            size = np.diff(w.first)
+            pair = np.unique(np.stack([w.hash, w.doc.astype(np.uint64)], 1), axis=0)
+            term, df = np.unique(pair[:, 0], return_counts=True)
+            yield batch(
+                term=pa.array([None, *term.view(np.int64).tolist()], pa.int64()), df=np.append((size > 0).sum(), df).astype(np.int64),
+                words=np.append(size.sum(), np.zeros(len(df), np.int64)), longest=np.append(size.max(initial=0), np.zeros(len(df), np.int64)),
+            )
+
+
 def index_blocks(items: DataFrame, index_bytes: int) -> Iterator[Index]:
-    """Indexes of blocks of items, each of about index_bytes of text at most; only one block is on the driver at a time."""
+    """Indexes of blocks of items, each of about index_bytes of text at most; only one block is on the driver at a time.
+
+    Every block is weighed with the lengths and term frequencies of all items, so scores do not depend on how the items are cut.
+    """
     items = items.where("item_id is not null").select(F.col("item_id").cast("long"), "text")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(size) // index_bytes + 1
+    if blocks > 1:
+        counted = "term long, df long, words long, longest long"
+        freq = freeze(arrow_map(items.select("text"), _terms, counted).groupBy("term").agg(*(F.sum(c).alias(c) for c in ("df", "words")), F.max("longest").alias("longest")))
+        n, words, longest = freq.where("term is null").select("df", "words", "longest").first() or (0, 0, 0)
     for i in range(blocks):
-        rows = sorted(items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).collect(), key=lambda r: r["item_id"])
-        if rows and (index := build([r["item_id"] for r in rows], [r["text"] for r in rows])):
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        rows = sorted(block.collect(), key=lambda r: r["item_id"])
+        every = None
+        if rows and blocks > 1 and n:
+            own = arrow_map(block.select("text"), _terms, counted).where("term is not null").select("term").distinct()
+            got = freq.join(own, "term", "left_semi").select("term", "df").toArrow()
+            terms, df = got.column("term").to_numpy().view(np.uint64), got.column("df").to_numpy()
+            order = np.argsort(terms)
+            every = Corpus(n, words / n, longest, terms[order], df[order])
+        if rows and (index := build([r["item_id"] for r in rows], [r["text"] for r in rows], every)):
             yield index
 
 
