@@ -119,6 +119,20 @@ def test_substring_dedup(docs, small, flush, monkeypatch):
     assert table(substring_dedup.remove(docs), "n_words", "n_removed", "kept_sha256") == brute.window_dedup(small)
 
 
+def test_language_id_learns_every_label(spark):
+    r = np.random.default_rng(1)
+    d = []
+    for k in range(70):  # the last ones are the rarest
+        stems = ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(6)]
+        d += [(len(d) + i, " ".join(r.choice(stems, 40)), f"l{k:02d}") for i in range(4 if k < 64 else 3)]
+    t = spark.createDataFrame(d, "doc_id long, text string, lang string")
+    for model in (language_id.fit(t), language_id.fit(t, sample_rows=100)):
+        assert len(model.languages) == 70
+        out = table(language_id.predict(t, model), "lang", "lang_pred")
+        assert sum(a == b for a, b in out.values()) >= 0.98 * len(d)
+    assert all(out[i][1] == v for i, _, v in d if v >= "l64")
+
+
 def test_sketch_never_misses(spark):
     h = [int(x) for x in np.random.default_rng(0).integers(0, 2**40, 3000)]
     d = spark.createDataFrame([(x,) for x in h + h[:500]], "h long").repartition(5)

@@ -24,7 +24,7 @@ from .words import Alphabet, slices
 UNKNOWN = "und"
 DIMS = 1 << 12
 PER_LANGUAGE = 1000
-MAX_LANGUAGES = 64
+SAMPLE_ROWS = 64_000
 
 # Families of ISO 639-1 codes. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -130,19 +130,23 @@ class Model:
         return [*self.by_family.items(), *self.by_pair.items()]
 
 
-def fit(rows: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
-    """Fit on at most per_language texts of each of at most MAX_LANGUAGES languages: those with the least hash of id and text.
+def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
+    """Fit on at most per_language texts of each language, fewer if more than sample_rows came together: those with the least hash of the id.
 
+    Every value of lang is learned, from one text at least.
     rows: doc_id, text, lang. Rows without label or text do not take part. None if no row is left. The sample's feature
     vectors (trigram ids and counts) are all the driver receives, so its size is bounded by the two parameters.
     """
     some = rows.where("text is not null and lang is not null")
-    kinds = {r[0]: r[1] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    kinds = [(r[0], r[1]) for r in some.groupBy("lang").count().collect()]
+    if not kinds:
+        return None
+    per_language = max(1, min(per_language, sample_rows // len(kinds)))
     order = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    keyed = some.where(F.col("lang").isin(list(kinds))).select("doc_id", "lang", F.xxhash64("doc_id").alias("draw"))
-    # hashes are even, so twice the share that is wanted holds the least ones, and no language's rows meet in one task
-    share = F.coalesce(*[F.when(F.col("lang") == v, F.lit(2.0 * per_language / n)) for v, n in kinds.items()], F.lit(1.0))
-    keyed = keyed.where(F.col("draw") / F.lit(2.0**64) + 0.5 <= share)
+    # hashes are even, so twice the share that is wanted and some more holds the least ones, and no language's rows meet in one task
+    share = rows.sparkSession.createDataFrame([(v, (2.0 * per_language + 64) / n) for v, n in kinds], "lang string, share double")
+    keyed = some.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw")).join(F.broadcast(share), "lang")
+    keyed = keyed.where(F.col("draw") / F.lit(2.0**64) + 0.5 <= F.col("share"))
     picked = keyed.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("doc_id", "lang").distinct()
     sample = some.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "text")
 
