@@ -20,8 +20,10 @@ def _packed(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents whose language can be told: all with a letter, whatever the language and the score. Without labels to learn from it is the same rows."""
     model = language_id.fit(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return language_id.with_letters(docs)
     known = language_id.predict(_packed(docs), model, "_row.text")
     return known.where(F.col("lang_pred") != language_id.UNKNOWN).select("_row.*")
 

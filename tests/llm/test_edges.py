@@ -79,6 +79,16 @@ def test_stages_on_odd_rows(spark, odd, tmp_path):
         assert stage(spark, odd.limit(0), str(tmp_path)).collect() == [], name
 
 
+def test_language_stage_without_labels(spark, small):
+    """The rows that stay do not depend on whether there is a label to learn from."""
+    d = spark.createDataFrame([(i, t, "en") for i, t in [*small, (900, "ы"), (901, "12 ½ 3")]], "doc_id long, text string, lang string").repartition(3)
+    kept = lambda x: sorted(tuple(r)[:2] for r in corpus_pipeline.language(spark, x, "").collect())
+    want = kept(d)
+    assert 0 < len(want) < d.count()
+    assert kept(d.withColumn("lang", F.lit(None).cast("string"))) == want
+    assert kept(d.withColumn("lang", F.when(F.col("doc_id") == 1, "en"))) == want  # a label on a text without trigrams
+
+
 def test_long_text_is_taken_whole(spark):
     text = "alpha beta gamma delta " * 250_000 + "under the mit license"
     d = spark.createDataFrame([(1, text, "en"), (2, "short one", "en")], "doc_id long, text string, lang string")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import arrow_map, batch, documents, held_out
-from .words import Alphabet, slices
+from .words import Alphabet, Slice, slices
 
 UNKNOWN = "und"
 DIMS = 1 << 12
@@ -182,6 +182,28 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SA
     return Model(languages, families, by_family, by_pair)
 
 
+def _lettered(s: Slice, some: np.ndarray) -> np.ndarray:
+    """Whether each text of a slice has a letter; some: those known to have an ASCII letter."""
+    for d in np.flatnonzero(~some):
+        raw = s.data[s.offs[d] : s.offs[d + 1]].tobytes().decode("utf-8", "replace")
+        some[d] = _LETTER.search(raw) is not None
+    return some
+
+
+def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter; text as in predict."""
+    column, _, field = text.partition(".")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keep = np.zeros(b.num_rows, bool)
+            for s in slices(b.column(column).field(field) if field else b.column(column)):
+                keep[s.row : s.row + s.n] = _lettered(s, trigrams(s.data, s.offs)[2])
+            yield b.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with lang_pred and score appended; only the text is looked at.
 
@@ -198,9 +220,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             texts = b.column(column).field(field) if field else b.column(column)
             for s in slices(texts):
                 code, first, lettered = trigrams(s.data, s.offs)
-                for d in np.flatnonzero(~lettered):
-                    raw = s.data[s.offs[d] : s.offs[d + 1]].tobytes().decode("utf-8", "replace")
-                    lettered[d] = _LETTER.search(raw) is not None
+                lettered = _lettered(s, lettered)
                 if model is None:
                     label += [UNKNOWN] * s.n
                     prob.append(np.zeros(s.n))
