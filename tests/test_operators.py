@@ -253,11 +253,69 @@ def test_logistic_fits_are_out_of_fold(spark):
         assert np.allclose(got.loc[te.uid], b[0] + b[1] * te.x, atol=1e-6)
 
 
-def test_count_noise_has_poisson_moments(spark):
-    for v, gain in ((0.1, 50.0), (4.0, 100.0)):
-        u = lambda k: augment.uniform(F.col("id"), F.lit(k))
-        n = spark.range(20000).select(augment.count_noise(F.lit(v), F.lit(gain), u("a"), u("b")).alias("n")).agg(F.avg("n").alias("m"), F.var_samp("n").alias("s")).first()
-        assert n.m == pytest.approx(v, rel=0.02) and n.s == pytest.approx(v / gain, rel=0.06)
+def test_poisson_counts_fit_at_every_mean():
+    """Chi-square against the probabilities, with cells of at least ten expected counts."""
+    n = 40000
+    for m in (1e-3, 0.5, 3.0, 15.9, 29.0, 31.0, 2000.0):
+        counts = augment.poisson_counts(np.full(n, m), f"m{m}")
+        top = int(m + 12 * math.sqrt(m) + 12)
+        p = np.exp([i * math.log(m) - m - math.lgamma(i + 1) for i in range(top)]) * n
+        seen = np.bincount(counts.astype(int), minlength=top)
+        cells, e, o = [], 0.0, 0
+        for x, y in zip(p, seen):
+            e, o = e + x, o + y
+            if e >= 10:
+                cells.append((e, o))
+                e, o = 0.0, 0
+        e, o = np.array(cells).T
+        free = max(1, len(cells) - 1)
+        assert len(seen) == top and ((o - e) ** 2 / e).sum() < free + 5 * math.sqrt(2 * free), m
+    assert (augment.poisson_counts(np.array([0.0, -1.0]), "z") == 0).all()
+
+
+def test_count_noise_is_keyed_by_scan_and_voxel(spark):
+    df = spark.range(6).select(F.col("id").alias("uid"), F.array_repeat(F.lit(4.0), 5000).alias("data")).unionByName(spark.createDataFrame([(9, None)], "uid long, data array<double>"))
+    noisy = lambda d: {r.uid: r.v for r in d.select("uid", augment.count_noise("data", F.lit(100.0)).alias("v")).collect()}
+    one = noisy(df)
+    assert one == noisy(df.repartition(5)) and one[9] is None and one[0] != one[1]
+    v = np.array([one[k] for k in range(6)])
+    assert v.mean() == pytest.approx(4.0, rel=0.01) and v.var() == pytest.approx(0.04, rel=0.06)
+
+
+def test_array_smoothing_equals_padded_convolution(spark):
+    r = np.random.default_rng(0)
+    for dims in ((5, 6, 7), (8, 8)):
+        v = r.random(dims)
+        b = spark.createDataFrame([(0, v.ravel().tolist(), 0.8), (1, None, 0.8), (2, v.ravel().tolist(), None)], "uid long, data array<double>, s double")
+        for border, only in itertools.product(("zero", "replicate"), (None, (0,), (1,))):
+            got = {x.uid: x for x in b.select("uid", stencil.smooth_box("data", dims, 1.0, border, only=only).alias("a"), stencil.smooth_box("data", dims, F.col("s"), border, taps=5, only=only).alias("c")).collect()}
+            assert got[1].a is None and got[1].c is None and got[2].c is None
+            for w, found in ((stencil.kernel(1.0), got[0].a), (stencil.kernel(0.8, 5), got[0].c)):
+                want, half = v, len(w) // 2
+                for a in range(len(dims)) if only is None else only:
+                    pad = [(half, half) if k == a else (0, 0) for k in range(len(dims))]
+                    y = np.pad(want, pad, mode="edge" if border == "replicate" else "constant")
+                    want = sum(c * np.take(y, range(k, k + dims[a]), axis=a) for k, c in enumerate(w))
+                assert np.allclose(found, want.ravel())
+
+
+@pytest.mark.parametrize("dims", [(7,), (5, 6), (4, 5, 6), (17, 17)])
+def test_face_labels_match_a_plain_search(dims):
+    r = np.random.default_rng(1)
+    for share in (0.0, 0.3, 0.5, 0.7, 1.0):
+        cell = r.permutation(np.flatnonzero((r.random(dims) < share).ravel()))
+        label = {}
+        for c0 in sorted(cell.tolist()):
+            todo = [c0] if c0 not in label else []
+            while todo:
+                c = todo.pop()
+                label[c] = c0
+                for a, d in itertools.product(range(len(dims)), (-1, 1)):
+                    y = list(np.unravel_index(c, dims))
+                    y[a] += d
+                    if 0 <= y[a] < dims[a] and (k := int(np.ravel_multi_index(y, dims))) in cell and k not in label:
+                        todo.append(k)
+        assert [label[c] for c in cell.tolist()] == components.face_labels(cell, dims).tolist()
 
 
 def test_draws_repeat_and_differ(spark):

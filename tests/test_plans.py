@@ -25,7 +25,7 @@ def test_stencils_shuffle_arrays_once(spark):
     text = plan(t)
     assert exchanges(t) == 1 and text.index("Generate") < text.index("Exchange")
     assert exchanges(ordering.row_frame_filter(spark, SF)) == 1
-    assert exchanges(voxels.gaussian_smooth(spark, SF)) == 1
+    assert exchanges(voxels.gaussian_smooth(spark, SF)) == 0
 
 
 def test_scan_local_operators_do_not_shuffle(spark):

@@ -1,52 +1,82 @@
-"""Connected components of sparse masks, faces only."""
+"""Connected components of sparse masks, faces only.
+
+A scan's cells are brought together once. There they are cut into straight segments, and segments that touch are united; what is
+left to settle is a graph of segments, some hundred times smaller than the mask.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+
+def united(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Smallest node of the component of each of n nodes, for edges a-b: the larger root hooks onto the smaller, then paths are halved."""
+    root = np.arange(n)
+    while len(a):
+        lo, hi = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        open_ = lo < hi
+        a, b, lo, hi = a[open_], b[open_], lo[open_], hi[open_]
+        np.minimum.at(root, hi, lo)
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+    return root
 
-from ..session import cut
-from .stencil import by_scan
 
+def face_labels(cell: np.ndarray, dims: tuple[int, ...]) -> np.ndarray:
+    """Smallest cell number of the face-connected component of each cell; cells are distinct row-major positions in a grid of dims."""
+    order = np.argsort(cell, kind="stable")
+    c = cell[order]
+    if not len(c):
+        return c
+    new = np.concatenate([[True], (np.diff(c) != 1) | (c[1:] % dims[-1] == 0)])
+    seg = np.cumsum(new) - 1
+    first = c[new]
+    pairs, stride = [], dims[-1]
+    for n in dims[-2::-1]:
+        # a cell's neighbour one line further on; the last line of an axis has none
+        here = np.flatnonzero(c // stride % n < n - 1)
+        at = np.minimum(np.searchsorted(c, c[here] + stride), len(c) - 1)
+        hit = c[at] == c[here] + stride
+        x, y = seg[here[hit]], seg[at[hit]]
+        keep = np.concatenate([np.ones(min(len(x), 1), bool), (np.diff(x) != 0) | (np.diff(y) != 0)])
+        pairs.append((x[keep], y[keep]))
+        stride *= n
+    a, b = (np.concatenate(p) if pairs else np.zeros(0, np.int64) for p in (zip(*pairs, strict=True) if pairs else ((), ())))
+    out = np.empty(len(c), np.int64)
+    out[order] = first[united(a, b, len(first))[seg]]
+    return out
 
-def components(mask: DataFrame, axes: dict[str, int], keep: tuple[str, ...] = (), rounds_per_job: int = 2) -> DataFrame:
-    """Adds `label`, the smallest cell number of the component.
 
-    A round takes the minimum label over every straight run along each axis, then lets all cells that
-    shared a label follow the smallest one any of them reached, so distances shrink geometrically rather
-    than one voxel per round. Every window is local to a scan, so a job shuffles once, by uid. Rows are frozen between jobs and the loop stops when nothing changed.
+def components(mask: DataFrame, axes: dict[str, int], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Adds `label`, the smallest cell number of the component. Cells are given once per scan.
+
+    One shuffle, by uid; a scan's cells are bounded by its grid.
     """
-    names = list(axes)
-    cell = F.lit(0)
-    for a in names:
-        cell = cell * F.lit(axes[a]) + F.col(a)
-    runs = {a: [o for o in names if o != a] for a in names}
-    cur = by_scan(mask.select("uid", *names, *keep)).withColumn("label", cell.cast("long"))
-    for a, others in runs.items():
-        # neighbours in a straight run share position minus rank; runs never change, so this is done once
-        w = Window.partitionBy("uid", *others).orderBy(a)
-        cur = cur.withColumn(f"_run_{a}", F.col(a) - F.row_number().over(w))
-    first = True
-    while True:  # labels only fall, so this ends
-        nxt = (cur if first else by_scan(cur)).withColumn("_was", F.col("label"))
-        for _ in range(rounds_per_job):
-            nxt = nxt.withColumn("_old", F.col("label"))
-            for a, others in runs.items():
-                nxt = nxt.withColumn("label", F.min("label").over(Window.partitionBy("uid", *others, f"_run_{a}")))
-            nxt = nxt.withColumn("label", F.min("label").over(Window.partitionBy("uid", "_old"))).drop("_old")
-        nxt = cut(nxt)
-        moved = nxt.where("label <> _was").limit(1).count()
-        cur, first = nxt.drop("_was"), False
-        if not moved:
-            return cur.drop(*[f"_run_{a}" for a in names])
-
-
-def largest(labelled: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Cells of the largest component of each scan, the smallest label first on ties."""
-    size = labelled.groupBy("uid", "label").agg(F.count(F.lit(1)).alias("n"))
-    best = size.groupBy("uid").agg(F.max(F.struct("n", (-F.col("label")).alias("k"))).alias("b"))
-    keep = best.select("uid", (-F.col("b.k")).alias("label"))
-    return labelled.join(keep, ["uid", "label"], "left_semi")
+    names, dims = list(axes), tuple(axes.values())
+    rows = mask.select("uid", *names, *keep)
+
+    def label(t: pa.Table) -> pa.Table:
+        cell = np.zeros(t.num_rows, np.int64)
+        for a, n in axes.items():
+            cell = cell * n + t.column(a).to_numpy()
+        return t.append_column("label", pa.array(face_labels(cell, dims), pa.int64()))
+
+    return rows.groupBy("uid").applyInArrow(label, StructType([*rows.schema.fields, StructField("label", LongType())]))
+
+
+def largest(labelled: DataFrame) -> DataFrame:
+    """Cells of the largest component of each scan, the smallest label first on ties. Windows keep the partitioning by uid."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("uid", "label"))
+    sized = labelled.withColumn("_size", F.struct(n.alias("n"), (-F.col("label")).alias("k")))
+    best = sized.withColumn("_best", F.max("_size").over(Window.partitionBy("uid")))
+    return best.where("_size = _best").drop("_size", "_best")
 
 
 def fill_holes(mask: DataFrame, axes: dict[str, int], scans: DataFrame) -> DataFrame:
@@ -59,6 +89,6 @@ def fill_holes(mask: DataFrame, axes: dict[str, int], scans: DataFrame) -> DataF
     edge = F.lit(False)
     for a in names:
         edge = edge | (F.col(a) == 0) | (F.col(a) == axes[a] - 1)
-    open_ = back.where(edge).select("uid", "label").distinct()
-    holes = back.join(open_, ["uid", "label"], "left_anti").select("uid", *names)
+    open_ = F.max(edge).over(Window.partitionBy("uid", "label"))
+    holes = back.withColumn("_open", open_).where(~F.col("_open")).select("uid", *names)
     return mask.select("uid", *names).unionByName(holes)

@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import col
 from ..session import cut
 
 
@@ -98,6 +101,45 @@ def smooth(
     return df
 
 
+def convolved(v: np.ndarray, weights: np.ndarray, border: str, axes: tuple[int, ...]) -> np.ndarray:
+    """One volume filtered along each of axes in turn; outside is zero or the nearest edge."""
+    half = len(weights) // 2
+    for a in axes:
+        pad = [(half, half) if k == a else (0, 0) for k in range(v.ndim)]
+        wide = np.pad(v, pad, mode="edge" if border == "replicate" else "constant")
+        n, at = v.shape[a], [slice(None)] * v.ndim
+        out = np.zeros(v.shape)
+        for k, c in enumerate(weights):
+            at[a] = slice(k, k + n)
+            out += c * wide[tuple(at)]
+        v = out
+    return v
+
+
+def smooth_box(data, dims: tuple[int, ...], sigma, border: str = "zero", taps: int | None = None, only: tuple[int, ...] | None = None) -> Column:
+    """Separable Gaussian of a volume (or image) in its row-major array: nothing is unfolded, sorted or moved.
+
+    sigma is a number, or a column if `taps` is given. Interpreted array lambdas take about 0.3 microseconds a tap, so this is an Arrow
+    function: a scan is one row, batches are bounded in bytes, and a pass over an axis is one array operation per tap. A null array or sigma
+    gives null.
+    """
+    axes = tuple(range(len(dims))) if only is None else only
+    fixed = None if isinstance(sigma, Column) else kernel(sigma, taps)
+
+    @F.arrow_udf("array<double>")
+    def run(boxes: pa.Array, sigmas: pa.Array) -> pa.Array:
+        out = []
+        for v, s in zip(boxes, sigmas.to_pylist(), strict=True):
+            if not v.is_valid or s is None:
+                out.append(None)
+                continue
+            w = fixed or kernel(s, taps)
+            out.append(convolved(v.values.to_numpy(zero_copy_only=False).astype(float).reshape(dims), np.array(w), border, axes).ravel())
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return run(col(data), sigma if isinstance(sigma, Column) else F.lit(float(sigma)))
+
+
 def erosion_depth(df: DataFrame, axes: list[str], value: str, steps: int, name: str = "depth") -> DataFrame:
     """Sum of the first `steps` successive 3^d erosions.
 

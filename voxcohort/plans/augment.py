@@ -13,7 +13,7 @@ from ..operators import augment as ag
 from ..operators import volumes as vol
 from ..operators.geometry import resample
 from ..operators.masks import axis_positions
-from ..operators.stencil import by_scan, smooth
+from ..operators.stencil import by_scan, smooth, smooth_box
 from .ordering import _AXIS_SQL
 from .registry import query, r
 from .sqltext import smooth_sql
@@ -82,24 +82,30 @@ def affine_apply(spark, sf):
     return img.join(msk, ["uid", *XYZ]).select("uid", *XYZ, r6("v").alias("v"), "masked")
 
 
-_U = lambda k: uniform_sql("'voxel'", "uid", "i", str(k))
+_HEX = "md5('voxel|' || cast(uid as varchar) || '|' || cast(i as varchar) || '|' || cast(k as varchar))"
+_UNIT = lambda h, at: f"((cast(('0x' || substr({h}, {at}, 13)) as bigint) + 0.5::double) / 4503599627370496.0::double)"
+_SER = lambda n: f"(1/({n})*(1/12.0::double - 1/({n})/({n})*(1/360.0::double - 1/({n})/({n})*(1/1260.0::double - 1/({n})/({n})/1680.0::double))))"
+
+
+def poisson_sql(source: str, name: str, attempts: int = 128) -> str:
+    """CTEs: `<name>` (uid, i, n) are Poisson counts of mean lam of `source` (uid, i, lam > 0), by the first accepted attempt."""
+    return f"""{name}_m as (select uid, i, lam, floor(lam) m, exp(-lam + floor(lam)*ln(lam) - lgamma(floor(lam) + 1)) p from {source} where lam > 0),
+    {name}_h as (select *, 1 + p/2 w, {_HEX} h from {name}_m cross join (select range + 1 k from range({attempts}))), {name}_u as (select *, {_UNIT('h', 1)} u, {_UNIT('h', 14)} a, case when cast(('0x' || substr(h, 27, 1)) as int) < 8 then -1 else 1 end g from {name}_h),
+    {name}_y as (select *, case when u*(1 + w) <= w then u*(1 + w) else w - ln((1 - u)*(1 + w)) end / p y from {name}_u), {name}_x as (select *, g*floor(y + 0.5::double) x from {name}_y),
+    {name} as (select uid, i, arg_min(m + x, k) n from {name}_x where m + x >= 0 and ln(a) + least(0, w - p*y) <= x*ln(lam) - lgamma(greatest(m + x, 0) + 1) + lgamma(m + 1) group by 1, 2)"""
 
 
 @query(
     "count_noise",
-    f"""with t as (select uid, i, v, 25::double + 150::double*{d('count')} gain, {_U(0)} u, {_U(1)} u2, {d('count.gate', 0, 'batch')} < 0.9 hit from v_vox), l as (select *, greatest(v, 0)*gain lam from t),
-    term as (select uid, i, u, exp(-lam + j.range*ln(lam) - lgamma(j.range + 1)) t, j.range j from l, range(90) j where lam < 30 and lam > 0), cdf as (select uid, i, u, sum(t) over (partition by uid, i order by j) c from term),
-    s as (select uid, i, count(*) filter (where u > c)::double n from cdf group by 1, 2)
-    select l.uid, l.i, {r('case when not hit then v when lam < 30 then coalesce(n, 0)/gain else greatest(0, round(lam + sqrt(lam)*sqrt(-2*ln(u))*cos(2*pi()*u2)))/gain end')} v from l left join s using (uid, i)""",
+    f"""with t as (select uid, i, v, 25::double + 150::double*{d('count')} gain, {d('count.gate', 0, 'batch')} < 0.9 hit from v_vox), l as (select *, greatest(v, 0)*gain lam from t), {poisson_sql('l', 'c')}
+    select l.uid, l.i, {r('case when not hit then v when lam > 0 then n/gain else 0 end')} v from l left join c using (uid, i)""",
     ("v_vox",),
 )
 def count_noise(spark, sf):
-    """Poisson counts at a drawn level, from this library's own draws: other generators agree in distribution."""
-    v = v_vox(spark, sf)
+    """Poisson counts at a drawn level, exact for every mean, from this library's own draws: other generators agree in distribution."""
     gain = F.lit(25.0) + F.lit(150.0) * ag.draw("count")
-    u = lambda k: uniform(F.lit("voxel"), F.col("uid"), F.col("i"), F.lit(k))
-    on = ag.gate("count", 0.9)
-    return v.select("uid", "i", r6(F.when(on, ag.count_noise(F.col("v"), gain, u(0), u(1))).otherwise(F.col("v"))).alias("v"))
+    out = F.when(ag.gate("count", 0.9), ag.count_noise("data", gain)).otherwise(F.col("data"))
+    return v_boxes(spark, sf).select("uid", F.posexplode_outer(out).alias("i", "v")).select("uid", "i", r6("v").alias("v"))
 
 
 @query("gamma_gain", f"select uid, i, {r('case when ' + d('gamma.gate', 0, 'batch') + ' < 0.3 then pow(greatest(v, 0)/12, 0.7::double + 0.6::double*' + d('gamma') + ')*12 else v end')} v from v_vox", ("v_vox",))
@@ -144,9 +150,17 @@ def resolution_loss(spark, sf):
     b = v_boxes(spark, sf).select("uid", "data", *[small(k).alias(f"n{k}") for k in range(3)], (F.lit(0.4) + F.lit(0.8) * ag.draw("psf", 3, scope="batch")).alias("sg"))
     for k in range(3):
         b = b.withColumn("data", ag.axis_degrade(F.col("data"), DIMS, k, F.col(f"n{k}")))
-    v = by_scan(vol.voxels(b, DIMS, ("sg",))).withColumn("g", F.col("v"))
-    s = smooth(v, XYZ, "g", 1.0, "replicate", weights=ag.tap_weights(F.col("sg")))
-    return s.select("uid", *XYZ, r6("v").alias("degraded"), r6("g").alias("blurred"))
+    b = b.withColumn("g", smooth_box("data", DIMS, F.col("sg"), "replicate", taps=5))
+    return cells(b, "uid", "data", "g").select("uid", *XYZ, r6("data").alias("degraded"), r6("g").alias("blurred"))
+
+
+def cells(b, *columns):
+    """(uid, x, y, z) and the values of arrays of the grid, side by side."""
+    uid, *data = columns
+    ny, nz = DIMS[1:]
+    i = F.col("i")
+    t = b.select(uid, F.posexplode_outer(F.arrays_zip(*data)).alias("i", "_v"))
+    return t.select(uid, F.floor(i / (ny * nz)).cast("int").alias("x"), (F.floor(i / nz) % ny).cast("int").alias("y"), (i % nz).alias("z"), *[F.col(f"_v.{c}").alias(c) for c in data])
 
 
 _W2, _W12 = [math.exp(-0.5 * (k / 2.0) ** 2) for k in range(-2, 3)], [math.exp(-0.5 * (k / 1.2) ** 2) for k in range(-2, 3)]
@@ -160,12 +174,11 @@ _W2, _W12 = [w / sum(_W2) for w in _W2], [w / sum(_W12) for w in _W12]
     ("v_vox",),
 )
 def background_scatter(spark, sf):
-    v = scan_voxels(spark, sf).withColumn("h", (F.col("v") > 0.9).cast("double")).withColumn("p", F.col("v"))
-    v = smooth(v, XYZ, "h", 2.0, "replicate", taps=5)
-    for _ in range(2):
-        v = smooth(v, XYZ, "p", 1.2, "replicate", taps=5)
-    out = F.col("v") + F.lit(0.3) * ag.draw("bg") * F.col("h") + F.lit(0.2) * ag.draw("scatter") * F.col("p")
-    return v.select("uid", *XYZ, r6(out).alias("v"))
+    b = v_boxes(spark, sf).select("uid", "data", F.transform("data", lambda v: (v > 0.9).cast("double")).alias("h"))
+    halo = smooth_box(smooth_box("data", DIMS, 1.2, "replicate", taps=5), DIMS, 1.2, "replicate", taps=5)
+    t = cells(b.select("uid", "data", smooth_box("h", DIMS, 2.0, "replicate", taps=5).alias("h"), halo.alias("p")), "uid", "data", "h", "p")
+    out = F.col("data") + F.lit(0.3) * ag.draw("bg") * F.col("h") + F.lit(0.2) * ag.draw("scatter") * F.col("p")
+    return t.select("uid", *XYZ, r6(out).alias("v"))
 
 
 @query("clamp", f"select uid, i, {r('least(12, greatest(0, 9*v - 4))')} v from v_vox", ("v_vox",))

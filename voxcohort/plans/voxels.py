@@ -9,7 +9,7 @@ from ..operators import volumes as vol
 from ..operators.components import components, fill_holes, largest
 from ..operators.geometry import corner_aligned, half_pixel, inside_ellipsoids, moment_ellipsoids, pose_matrix, resample
 from ..operators.ranking import quantiles
-from ..operators.stencil import frame, kernel, offsets_join, smooth
+from ..operators.stencil import frame, kernel, offsets_join, smooth, smooth_box
 from ..session import cut
 from .registry import query, r
 from .sqltext import components_sql, sig, smooth_sql
@@ -150,8 +150,8 @@ _LOC = f"""{_HEAD}, st as (select uid, avg(x) cx, avg(y) cy, avg(z) cz, stddev_p
 def _weighted(spark, sf):
     h = head_component(spark, sf)
     st = h.groupBy("uid").agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"], *[(F.stddev_pop(a) + 1e-6).alias(f"e{a}") for a in "xyz"])
-    s = smooth(scan_voxels(spark, sf), list(AX3), "v", SIGMA, "replicate")
-    j = s.join(st, "uid")
+    b = v_boxes(spark, sf).select("uid", smooth_box("data", DIMS, SIGMA, "replicate").alias("data"))
+    j = vol.voxels(b.join(st, "uid"), DIMS, tuple(f"{k}{a}" for k in "ce" for a in "xyz"))
     d2 = F.lit(0.0)
     for a in "xyz":
         d2 = d2 + F.pow((F.col(a) - F.col(f"c{a}")) / F.col(f"e{a}"), 2)
@@ -224,8 +224,8 @@ def ellipse_localiser_com(spark, sf):
 def lobe_yaw(spark, sf):
     """Yaw of the line through the two bright lobes of a central slab: peak, sum and mixed projections."""
     c = head_centre_of(head_component(spark, sf)).select("uid", "cx", "cz")
-    sl = scan_voxels(spark, sf).join(c, "uid").where(F.abs(F.col("z") - half_even("cz")) <= 1)
-    s = smooth(sl, ["x", "y"], "v", SIGMA, "replicate", extra=("z",))
+    b = v_boxes(spark, sf).select("uid", smooth_box("data", DIMS, SIGMA, "replicate", only=(0, 1)).alias("data")).join(c, "uid")
+    s = vol.voxels(b, DIMS, ("cx", "cz")).where(F.abs(F.col("z") - half_even("cz")) <= 1)
     f = s.groupBy("uid", "x", "y").agg(F.max("v").alias("max"), F.sum("v").alias("sum"), F.first("cx").alias("cx"))
     u = cut(f.unpivot(["uid", "x", "y", "cx"], ["max", "sum"], "how", "s"))
     top = u.groupBy("uid", "how").agg(F.max("s").alias("top"))
@@ -460,9 +460,11 @@ def occipital_roi(spark, sf):
     ("v_img",),
 )
 def gaussian_smooth(spark, sf):
-    img = scan_image(spark, sf).withColumn("e", F.col("v"))
-    s = smooth(smooth(img, ["x", "y"], "v", SIGMA), ["x", "y"], "e", SIGMA, "replicate")
-    return s.select("uid", "x", "y", r6("v").alias("zero_border"), r6("e").alias("edge_border"))
+    """Both borders in the scan's row; no sort and no shuffle."""
+    b = v_boxes(spark, sf).select("uid", *[smooth_box("data", IMG, SIGMA, border).alias(n) for n, border in (("a", "zero"), ("b", "replicate"))])
+    t = b.select("uid", F.posexplode_outer(F.arrays_zip("a", "b")).alias("i", "v"))
+    ij = (F.floor(F.col("i") / IMG[1]).cast("int").alias("x"), (F.col("i") % IMG[1]).alias("y"))
+    return t.select("uid", *ij, r6("v.a").alias("zero_border"), r6("v.b").alias("edge_border"))
 
 
 def _corr_sql(w: str) -> str:
