@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from voxcohort.functions.scalars import sorted_nearest, sorted_quantile
 from voxcohort.sources.files import parse_log
 from voxcohort.functions.scalars import calibrate, clip_prob, logit, sanitise
+from voxcohort.functions.draws import poisson1, uniform
 from voxcohort.operators import augment, calibration, cohort, components, geometry, maps, ranking, stencil, study, volumes
 from voxcohort.streaming import scoring
 
@@ -236,6 +237,48 @@ def test_permutation_keeps_values_and_moves_them(spark):
     assert (got.v != got.uid).mean() > 0.9
 
 
+def test_bootstrap_equals_weighted_statistics(spark):
+    """Ties across slices, one slice or many, and a plan that does not grow with the replicates."""
+    r = np.random.default_rng(2)
+    n, reps = 400, 30
+    pdf = pd.DataFrame({"uid": range(n), "y": r.integers(0, 2, n), "a": np.round(r.normal(size=n), 1), "b": np.where(r.random(n) < 0.4, 0.5, r.normal(size=n))})
+    df = spark.createDataFrame(pdf)
+    w = study.poisson1_weights(list(range(n)), "s", reps)
+    same = spark.range(n).select(F.transform(F.sequence(F.lit(0), F.lit(reps - 1)), lambda k: poisson1(uniform(F.col("id"), F.lit("s"), k))).alias("w")).collect()
+    assert (w == np.array([x.w for x in same])).all()
+    want = []
+    clip = lambda z: np.clip(1 / (1 + np.exp(-z)), 1e-6, 1 - 1e-6)
+    ll = lambda p: -np.where(pdf.y == 1, np.log(p), np.log(1 - p))
+    dl = ll(clip(pdf.b)) - ll(clip(pdf.a))
+    for k in range(reps):
+        auc = {}
+        for c in "ab":
+            x, v = pdf[c].to_numpy(), w[:, k]
+            pos, neg = pdf.y == 1, pdf.y == 0
+            wins = (x[pos][:, None] > x[neg][None]) + 0.5 * (x[pos][:, None] == x[neg][None])
+            auc[c] = (wins * np.outer(v[pos], v[neg])).sum() / (v[pos].sum() * v[neg].sum())
+        want.append(((w[:, k] * dl).sum() / w[:, k].sum(), auc["b"] - auc["a"]))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "8", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = study.bootstrap_deltas(df, "a", "b", "y", reps, "s").orderBy("rep").collect()
+            assert np.allclose([(x.d_ll, x.d_auc) for x in got], want), parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    size = lambda k: len(study.bootstrap_deltas(df, "a", "b", "y", k, "s")._jdf.queryExecution().analyzed().toString())
+    assert abs(size(200) - size(12)) < 100
+
+
+def test_permutations_of_many_replicates(spark):
+    df = spark.createDataFrame([(i, i % 2, float(i)) for i in range(100)], "uid long, y int, v double")
+    many = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    got = study.permuted(many, ["rep", "y"], "v", F.concat(F.lit("p"), F.col("rep").cast("string"))).toPandas()
+    one = study.permuted(df, ["y"], "v", "p3").toPandas().set_index("uid").v
+    third = got[got.rep == 3].set_index("uid").v
+    assert len(got) == 500 and (third.sort_index() == one.sort_index()).all() and got.groupby("uid").v.nunique().mean() > 3
+
+
 def test_logistic_fits_are_out_of_fold(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=300)

@@ -2,57 +2,116 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import poisson1, uniform
+from ..functions.draws import poisson1_thresholds, uniform
 from ..functions.scalars import log_loss_term, sigmoid
 from ..session import cut
-from .ranking import row_numbers, running
+from .ranking import row_numbers
+
+
+def poisson1_weights(uids: list, seed: str, replicates: int) -> np.ndarray:
+    """(rows, replicates) Poisson(1) weights: the same draws as poisson1(uniform(uid, seed, replicate))."""
+    out = np.empty((len(uids), replicates))
+    tails = [b"%d" % r for r in range(replicates)]
+    for i, u in enumerate(uids):
+        head = hashlib.md5(f"{u}|{seed}|".encode())
+        for r, t in enumerate(tails):
+            h = head.copy()
+            h.update(t)
+            out[i, r] = int.from_bytes(h.digest()[:7], "big") >> 4
+    return np.searchsorted(poisson1_thresholds(), (out + 0.5) / 2.0**52).astype(np.int64)
+
+
+def _slice_sums(it: Iterator[pa.RecordBatch], seed: str, replicates: int, chunk: int = 512) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (arm, s): per arm, weight sums of the first and the last score, and of all between with their own rank sums.
+
+    A score may go on in the neighbouring slices, so the outer two are left open; what lies between is settled here. Every row holds
+    vectors over the replicates, and a task holds three of them per arm.
+    """
+    parts: list[tuple] = []
+    arm, held = None, None  # held: [s, p, n] of the score at hand
+    inner = None  # [s, p, n, u] of the settled scores behind the first
+    loss = np.zeros((2, replicates))
+
+    def close() -> None:
+        """The score at hand is complete within this slice: first of its arm, or one more between."""
+        nonlocal inner
+        s, p, n = held
+        if not any(x[0] == arm for x in parts):
+            parts.append((arm, s, p, n, None))
+        elif inner is None:
+            inner = [s, p, n, p * n / 2.0]
+        else:
+            inner[3] = inner[3] + p * (inner[2] + n / 2.0)
+            inner[1], inner[2] = inner[1] + p, inner[2] + n
+
+    def finish() -> None:
+        nonlocal inner, held
+        if inner is not None:
+            parts.append((arm, *inner))
+        if held is not None:
+            parts.append((arm, *held, None))
+        inner, held = None, None
+
+    for b in it:
+        for at in range(0, b.num_rows, chunk):
+            c = b.slice(at, chunk)
+            w = poisson1_weights(c.column("uid").to_pylist(), seed, replicates)
+            y, d = c.column("y").to_numpy(), c.column("dl").to_numpy()
+            first = np.array(c.column("arm").to_pylist()) == "a"
+            loss += np.stack([(w * np.where(first, d, 0.0)[:, None]).sum(0), w[first].sum(0)])
+            arms, s = c.column("arm").to_pylist(), c.column("s").to_numpy()
+            heads = [0, *(k for k in range(1, len(s)) if s[k] != s[k - 1] or arms[k] != arms[k - 1])]
+            ps, ns = (np.add.reduceat(w * (y == v)[:, None], heads, axis=0) for v in (1, 0))
+            for k, p, n in zip(heads, ps, ns, strict=True):
+                if held is not None and arm == arms[k] and held[0] == s[k]:
+                    held[1], held[2] = held[1] + p, held[2] + n
+                    continue
+                if held is not None and arm == arms[k]:
+                    close()
+                elif held is not None:
+                    finish()
+                arm, held = arms[k], [s[k], p, n]
+    finish()
+    rows = [(x[0], float(x[1]), x[2], x[3], x[4]) for x in parts] + [("loss", 0.0, *loss, None)]
+    double = pa.list_(pa.float64())
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.float64()), *(pa.array([None if x[k] is None else x[k].astype(float) for x in rows], double) for k in (2, 3, 4))],
+        names=["arm", "s", "p", "n", "u"],
+    )
 
 
 def bootstrap_deltas(df: DataFrame, a: str, b: str, y: str, replicates: int, seed: str) -> DataFrame:
     """(rep, d_ll, d_auc) of arm b minus arm a under shared Poisson(1) row weights.
 
-    Every replicate sees the same order of scores, so each arm is ordered once and carries one pair of
-    weight totals per replicate, instead of being ordered once per replicate.
+    The plan does not depend on the number of replicates. Each arm is sorted once over all its slices (by score and uid, so that equal
+    scores may spread); a row's weights are drawn where it lands and never shuffled. A slice returns at most three rows of vectors per
+    arm, and the rank sums are put together from those.
     """
-    reps = range(replicates)
-    base = df.select("uid", y, a, b)
-    w = {r: poisson1(uniform(F.col("uid"), F.lit(seed), F.lit(r))) for r in reps}
-    weighted = cut(base.select("*", *[w[r].alias(f"w{r}") for r in reps]))
     dl = log_loss_term(y, sigmoid(b)) - log_loss_term(y, sigmoid(a))
-    ll = weighted.agg(*[(F.sum(F.col(f"w{r}") * dl) / F.sum(f"w{r}")).alias(f"d{r}") for r in reps])
-
-    totals = {}
-    for r in reps:
-        totals[f"p{r}"] = F.when(F.col(y) == 1, F.col(f"w{r}")).otherwise(F.lit(0))
-        totals[f"n{r}"] = F.when(F.col(y) == 0, F.col(f"w{r}")).otherwise(F.lit(0))
     arms = F.array(F.struct(F.lit("a").alias("arm"), F.col(a).alias("s")), F.struct(F.lit("b").alias("arm"), F.col(b).alias("s")))
-    both = weighted.withColumn("_arm", F.explode(arms)).select(y, "_arm.arm", "_arm.s", *[f"w{r}" for r in reps])
-    ranked = running(both, ["arm"], ["s"], totals)
+    both = df.select("uid", F.col(y).cast("int").alias("y"), dl.alias("dl"), F.explode(arms).alias("_arm")).select("_arm.arm", F.col("_arm.s").cast("double").alias("s"), "uid", "y", "dl")
+    dealt = both.repartitionByRange("arm", "s", "uid").sortWithinPartitions("arm", "s")
+    sums = cut(dealt.mapInArrow(lambda it: _slice_sums(it, seed, replicates), "arm string, s double, p array<double>, n array<double>, u array<double>"))
+    u = F.coalesce("u", F.array_repeat(F.lit(None).cast("double"), replicates)).alias("u")
+    long = sums.select("arm", "s", "p", "n", u).select("arm", "s", F.posexplode(F.arrays_zip("p", "n", "u")).alias("rep", "_v")).select("arm", "s", "rep", "_v.*")
+    loss = long.where("arm = 'loss'").groupBy("rep").agg((F.sum("p") / F.sum("n")).alias("d_ll"))
+    # open scores of neighbouring slices become one; a settled stretch starts at a score of its own
+    tied = long.where("arm <> 'loss'").groupBy("arm", "rep", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.coalesce(F.max("u"), F.sum("p") * F.sum("n") / 2).alias("u"))
+    w = Window.partitionBy("arm", "rep")
+    before = F.coalesce(F.sum("n").over(w.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = tied.withColumn("w", F.col("u") + F.col("p") * before)
+    area = ranked.groupBy("arm", "rep").agg((F.sum("w") / (F.sum("p") * F.sum("n"))).alias("auc"))
     sign = F.when(F.col("arm") == "b", F.lit(1.0)).otherwise(F.lit(-1.0))
-    wide = ranked.groupBy("arm").agg(
-        *[
-            (
-                F.sum(F.col(f"p{r}") * (F.col(f"n{r}_before") + F.col(f"n{r}") / F.lit(2.0)))
-                / (F.max(f"p{r}_all").cast("double") * F.max(f"n{r}_all"))
-            ).alias(f"u{r}")
-            for r in reps
-        ]
-    )
-    area = wide.agg(*[F.sum(sign * F.col(f"u{r}")).alias(f"u{r}") for r in reps])
-    wide = ll.join(F.broadcast(area))
-    rows = F.array(
-        *[
-            F.struct(F.lit(r).alias("rep"), F.col(f"d{r}").alias("d_ll"), F.col(f"u{r}").alias("d_auc"))
-            for r in reps
-        ]
-    )
-    return wide.select(F.inline(rows))
+    return loss.join(area.groupBy("rep").agg(F.sum(sign * F.col("auc")).alias("d_auc")), "rep").select("rep", "d_ll", "d_auc")
 
 
 def covariances(df: DataFrame, group: str, vector: str, least: int = 3) -> DataFrame:
@@ -105,16 +164,14 @@ def epps_pulley(df: DataFrame, value: str, key: str, nodes: int = 64) -> DataFra
     return s.select(key, "n", (pair - F.lit(math.sqrt(2.0)) * F.col("g") + F.lit(1.0 / math.sqrt(3.0))).alias("distance"))
 
 
-def permuted(df: DataFrame, within: list[str], column: str, seed: str) -> DataFrame:
-    """Replace `column` by a seeded permutation of it inside each `within` group."""
-    base = df.withColumn("_h1", uniform(F.col("uid"), F.lit(seed), F.lit("to"))).withColumn(
-        "_h2", uniform(F.col("uid"), F.lit(seed), F.lit("from"))
-    )
+def permuted(df: DataFrame, within: list[str], column: str, seed) -> DataFrame:
+    """Replace `column` by a seeded permutation of it inside each `within` group; uids are distinct within one, and the seed may be a column of `within`."""
+    seed = seed if isinstance(seed, Column) else F.lit(seed)
+    base = df.withColumn("_h1", uniform(F.col("uid"), seed, F.lit("to"))).withColumn("_h2", uniform(F.col("uid"), seed, F.lit("from")))
     to = row_numbers(base, within, ["_h1", "uid"]).select(*within, "rn", "uid")
-    src = row_numbers(base, within, ["_h2", "uid"]).select(*within, "rn", F.col("uid").alias("_src"))
-    value = df.select(F.col("uid").alias("_src"), F.col(column).alias("_v"))
-    moved = to.join(src, within + ["rn"]).join(value, "_src").select("uid", "_v")
-    return df.drop(column).join(moved, "uid").withColumnRenamed("_v", column)
+    src = row_numbers(base, within, ["_h2", "uid"], carry=(column,)).select(*within, "rn", F.col(column).alias("_v"))
+    moved = to.join(src, within + ["rn"]).select(*within, "uid", "_v")
+    return df.drop(column).join(moved, within + ["uid"]).withColumnRenamed("_v", column)
 
 
 def logistic_fits(

@@ -66,7 +66,8 @@ def _arms(spark, sf):
     return m.groupBy("uid").agg(F.max("y").alias("y"), F.round(F.avg(F.when(side, F.col("z"))), 9).alias("a"), F.round(F.avg(F.when(~side, F.col("z"))), 9).alias("b"))
 
 
-REPS = 12
+REPS = 200
+_HALVES = 50
 
 
 @query(
@@ -86,7 +87,7 @@ def paired_bootstrap(spark, sf):
     )
 
 
-_HALF = f"""h as (select rep, uid, y, z, row_number() over (partition by rep, y order by {uniform_sql('uid', "'half'", 'rep')}, uid) % 2 half from v_ens cross join (select range rep from range(3)))"""
+_HALF = f"""h as (select rep, uid, y, z, row_number() over (partition by rep, y order by {uniform_sql('uid', "'half'", 'rep')}, uid) % 2 half from v_ens cross join (select range rep from range({_HALVES})))"""
 
 
 @query(
@@ -101,7 +102,7 @@ def split_half(spark, sf):
 
     The slope is bounded because a half may be separable, and then no finite optimum exists.
     """
-    rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("rep")
+    rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_HALVES - 1).cast("long"))).alias("rep")
     e = v_ens(spark, sf).select("uid", "y", "z", rep).withColumn("h", uniform(F.col("uid"), F.lit("half"), F.col("rep")))
     order = row_numbers(e, ["rep", "y"], ["h", "uid"]).select("rep", "uid", (F.col("rn") % 2).alias("half"))
     t = cal.cut(e.join(order, ["rep", "uid"]).select("rep", "uid", "y", "z", "half"))
@@ -180,7 +181,7 @@ def three_seed_verdict(spark, sf):
     return g.select("arm", r6("m").alias("mean_delta"), F.greatest("up", "down").alias("same_sign"), r6("bar").alias("bar"), "fold_conflict", ship.alias("ship"))
 
 
-_PERM = 2
+_PERM = 100
 
 
 @query(
@@ -197,9 +198,9 @@ def residual_auc(spark, sf):
     """AUC of a second reader after removing its within-class dependence on the reference; rep > 0 is the null."""
     second = v_preds(spark, sf).where("member = 7").select("uid", logit("p").alias("second"))
     t = cal.cut(v_ens(spark, sf).select("uid", "y", "z").join(second, "uid"))
-    sets = t.withColumn("rep", F.lit(0))
-    for k in range(1, _PERM + 1):
-        sets = sets.unionByName(permuted(t, ["y"], "second", f"perm{k}").withColumn("rep", F.lit(k)))
+    reps = t.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(_PERM))))
+    null = permuted(reps, ["rep", "y"], "second", F.concat(F.lit("perm"), F.col("rep").cast("string")))
+    sets = cal.cut(t.withColumn("rep", F.lit(0)).unionByName(null))
     c = sets.groupBy("rep", "y").agg((F.covar_pop("second", "z") * F.count(F.lit(1))).alias("cv"), (F.var_pop("z") * F.count(F.lit(1))).alias("vz"))
     slope = c.groupBy("rep").agg((F.sum("cv") / F.sum("vz")).alias("slope"))
     q = sets.join(slope, "rep").withColumn("res", F.round(F.col("second") - F.col("slope") * F.col("z"), 9))
