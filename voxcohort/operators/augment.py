@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from ..functions.constants import BACKGROUND_LEVEL, INTENSITY_CAP
 from ..functions.draws import uniform
 from ..functions.scalars import col, let
+from .boxes import degrade_box, warp_box
 from .masks import axis_positions
-from .stencil import smooth
+from .stencil import smooth, smooth_box
 
 BATCH = 24
 
@@ -41,12 +42,25 @@ def flip(df: DataFrame, width: int, when: Column, side: str | None = None) -> Da
     return out.drop("_f")
 
 
-def affine_draws(df: DataFrame, rot_deg: float = 15.0, zoom: float = 0.15, shift: float = 0.06, epoch: int = 0) -> DataFrame:
-    """Adds t00 .. t23: rotation times per-column zoom and a translation, in normalised coordinates."""
-    sym = lambda k: draw("affine", k, epoch) * 2 - 1
+THETA = [f"t{i}{j}" for i in range(3) for j in range(4)]
+
+
+def affine_draws(
+    df: DataFrame, rot_deg: float = 15.0, zoom: float = 0.15, shift: float = 0.06, epoch: int = 0,
+    rot_axes: tuple[float, float, float] = (1.0, 1.0, 1.0), zoom_range: tuple[float, float] | None = None, shift_ap: float = 0.0,
+) -> DataFrame:
+    """Adds t00 .. t23: rotation times zoom and a translation, in normalised coordinates.
+
+    `rot_axes` multiplies the three angles. The zoom is drawn per column around one, or once for all axes within `zoom_range`. With
+    `shift_ap` only the A-P axis is shifted, by at most so much. Options change no draw's key.
+    """
+    u = lambda k: draw("affine", k, epoch)
+    sym = lambda k: u(k) * 2 - 1
+    scale = (lambda k: F.lit(zoom_range[0]) + u(3) * (zoom_range[1] - zoom_range[0])) if zoom_range else (lambda k: 1 + sym(3 + k) * zoom)
+    move = (lambda k: sym(7) * shift_ap if k == 1 else F.lit(0.0)) if shift_ap > 0 else (lambda k: sym(6 + k) * shift)
     t = df.select(
-        "*", *[(sym(k) * F.lit(rot_deg * math.pi / 180)).alias(f"_a{k}") for k in range(3)],
-        *[(1 + sym(3 + k) * zoom).alias(f"_z{k}") for k in range(3)], *[(sym(6 + k) * shift).alias(f"t{k}3") for k in range(3)],
+        "*", *[(sym(k) * F.lit(rot_deg * math.pi / 180) * rot_axes[k]).alias(f"_a{k}") for k in range(3)],
+        *[scale(k).alias(f"_z{k}") for k in range(3)], *[move(k).alias(f"t{k}3") for k in range(3)],
     )
     c, s = [F.cos(f"_a{k}") for k in range(3)], [F.sin(f"_a{k}") for k in range(3)]
     rot = (
@@ -58,15 +72,6 @@ def affine_draws(df: DataFrame, rot_deg: float = 15.0, zoom: float = 0.15, shift
     return out
 
 
-def normalised_source(dims: tuple[int, int, int]) -> tuple[Column, Column, Column]:
-    """Source voxel of output (x, y, z) under t00 .. t23; rows are ordered S-I, A-P, L-R."""
-    n = {a: float(d) for a, d in zip("xyz", dims)}
-    g = {a: (F.col(a) + 0.5) / n[a] * 2 - 1 for a in "xyz"}
-    row = lambda i: F.col(f"t{i}0") * g["z"] + F.col(f"t{i}1") * g["y"] + F.col(f"t{i}2") * g["x"] + F.col(f"t{i}3")
-    back = lambda s, a: ((s + 1) * n[a] - 1) / 2
-    return back(row(2), "x"), back(row(1), "y"), back(row(0), "z")
-
-
 _STIRLING = 16
 _LOG_FACTORIAL = np.array([math.lgamma(k + 1.0) for k in range(_STIRLING)])
 
@@ -148,31 +153,60 @@ def gamma_gain(v: Column, g: Column) -> Column:
     return F.pow(F.greatest(v, F.lit(0.0)) / INTENSITY_CAP, g) * INTENSITY_CAP
 
 
-def axis_degrade(data: Column, dims: tuple[int, int, int], axis: int, small: Column) -> Column:
-    """Linear down-sampling of one axis to `small` samples and back, edges held, inside the scan's row."""
-    nx, ny, nz = dims
-    n, stride = dims[axis], (ny * nz, nz, 1)[axis]
+def truncated(data: Column, depth: int, k: Column, top: Column) -> Column:
+    """Zero the last k of `depth` S-I slices, or the first k; S-I is the fastest axis."""
+    lost = lambda z: F.when(top, z >= F.lit(depth) - k).otherwise(z < k)
+    return F.transform(data, lambda v, i: F.when(lost(i % depth), F.lit(0.0)).otherwise(v))
 
-    def coords(t: Column, hi) -> Column:
-        p = F.least(F.greatest(t, F.lit(0.0)), hi - 1)
-        return F.struct(F.floor(p).cast("int").alias("k"), (p - F.floor(p)).alias("f"))
 
-    def value(i: Column, d: Column) -> Column:
-        j = (F.floor(i / stride) % n).cast("int")
-        base = i - j * stride
-        read = lambda k: F.element_at(d, (base + F.least(k, F.lit(n - 1)) * stride + 1).cast("int"))
-        down = lambda k: let(coords((F.least(k, small - 1) + 0.5) * F.lit(float(n)) / small - 0.5, F.lit(n)), lambda q: read(q["k"]) * (1 - q["f"]) + read(q["k"] + 1) * q["f"])
-        return let(coords((j + 0.5) * small / F.lit(float(n)) - 0.5, small), lambda p: down(p["k"]) * (1 - p["f"]) + down(p["k"] + 1) * p["f"])
+def coarse_sizes(dims: tuple[int, int, int], least: int, epoch: int = 0) -> Column:
+    """Samples left on each axis by a coarser grid: 1 to 2.2 times fewer, `least` at least."""
+    return F.array(*[F.greatest(F.lit(least), F.round(F.lit(float(n)) / (1 + draw("psf", k, epoch, "batch") * 1.2)).cast("int")) for k, n in enumerate(dims)])
 
-    return let(data, lambda d: F.transform(F.sequence(F.lit(0), F.lit(nx * ny * nz - 1)), lambda i: value(i, d)))
 
+def diffuse(data, dims: tuple[int, int, int], level: float) -> Column:
+    """Blurred mask of what is above `level`."""
+    head = F.transform(data, lambda v: (v > level).cast("double"))
+    return smooth_box(head, dims, 2.0, "replicate", taps=5)
 
-def tap_weights(sigma: Column, taps: int = 5) -> list[Column]:
-    raw = [F.exp(F.lit(-0.5) * F.pow(F.lit(float(d)) / sigma, 2)) for d in range(-(taps // 2), taps // 2 + 1)]
-    total = raw[0]
-    for c in raw[1:]:
-        total = total + c
-    return [c / total for c in raw]
+
+def halo(data, dims: tuple[int, int, int]) -> Column:
+    return smooth_box(smooth_box(data, dims, 1.2, "replicate", taps=5), dims, 1.2, "replicate", taps=5)
+
+
+def chain(
+    boxes: DataFrame, dims: tuple[int, int, int], epoch: int = 0, flip_p: float = 0.5, affine: dict | None = None, si_slices: int = 0, count_p: float = 0.3, psf: bool = False,
+    least: int = 8, background: float = 0.0, scatter: float = 0.0, gamma_p: float = 0.3, level: float = 0.15, cap: float = INTENSITY_CAP,
+) -> DataFrame:
+    """The whole training chain on (uid, data, mask) in the scan's row: no row leaves its place.
+
+    Mirror and affine map are one map, so image and mask are interpolated once; the mask is cut at one half. S-I truncation follows,
+    in both. Then intensity, image only: counts, coarser grid, blur, background, scatter, gamma and the final clamp. Gates are drawn once
+    per batch, amounts per scan (or per batch where they describe the scanner); a step that is off draws nothing and shifts no other draw.
+    """
+    on = lambda op, p: gate(op, p, epoch)
+    t = affine_draws(boxes, epoch=epoch, **(affine or {})).withColumn("_f", on("flip", flip_p))
+    cut_ = F.transform(warp_box("mask", dims, THETA, F.col("_f")), lambda v: (F.round(v, 9) > 0.5).cast("double"))
+    t = t.select("uid", warp_box("data", dims, THETA, F.col("_f")).alias("data"), cut_.alias("mask"))
+
+    def step(df: DataFrame, when: Column, new, *columns: str) -> DataFrame:
+        return df.withColumns({c: F.when(when, new(F.col(c))).otherwise(F.col(c)) for c in columns or ("data",)})
+
+    if si_slices:
+        k = 1 + F.floor(draw("cutsi", 0, epoch, "batch") * si_slices)
+        t = step(t, on("cutsi", 0.5), lambda c: truncated(c, dims[2], k, draw("cutsi", 1, epoch, "batch") < 0.5), "data", "mask")
+    t = step(t, on("count", count_p), lambda c: count_noise(c, F.lit(25.0) + F.lit(150.0) * draw("count", 0, epoch), scope="voxel" if epoch == 0 else f"voxel{epoch}"))
+    if psf:
+        t = step(t, on("psf", 0.5), lambda c: degrade_box(c, dims, coarse_sizes(dims, least, epoch)))
+        t = step(t, on("blur", 0.5), lambda c: smooth_box(c, dims, F.lit(0.4) + F.lit(0.8) * draw("psf", 3, epoch, "batch"), "replicate", taps=5))
+    add = lambda c, amount, extra: F.zip_with(c, extra, lambda v, e: v + amount * e)
+    if background:
+        t = step(t, on("bg", 0.5), lambda c: add(c, F.lit(background) * draw("bg", 0, epoch), diffuse(c, dims, level)))
+    if scatter:
+        t = step(t, on("scatter", 0.5), lambda c: add(c, F.lit(scatter) * draw("scatter", 0, epoch), halo(c, dims)))
+    g = F.lit(0.7) + F.lit(0.6) * draw("gamma", 0, epoch)
+    t = step(t, on("gamma", gamma_p), lambda c: let(g, lambda e: F.transform(c, lambda v: gamma_gain(v, e))))
+    return t.withColumn("data", F.transform("data", lambda v: F.least(F.lit(cap), F.greatest(F.lit(0.0), v))))
 
 
 def lesion_draws(scans: DataFrame, p: float, lo: float, hi: float, asym: float, epoch: int = 0) -> DataFrame:

@@ -26,6 +26,14 @@ def voxels(boxes: DataFrame, dims: tuple[int, int, int], carry: tuple[str, ...]
     )
 
 
+def cells(boxes: DataFrame, dims: tuple[int, int, int], uid: str, *data: str) -> DataFrame:
+    """(uid, x, y, z) and the values of several arrays of the grid, side by side."""
+    _, ny, nz = dims
+    i = F.col("i")
+    t = boxes.select(uid, F.posexplode_outer(F.arrays_zip(*data)).alias("i", "_v"))
+    return t.select(uid, F.floor(i / (ny * nz)).cast("int").alias("x"), (F.floor(i / nz) % ny).cast("int").alias("y"), (i % nz).alias("z"), *[F.col(f"_v.{c}").alias(c) for c in data])
+
+
 def check_shape(boxes: DataFrame) -> DataFrame:
     """Fail at run time when a volume does not match its dims."""
     want = F.aggregate("dims", F.lit(1), lambda a, n: a * n)

@@ -11,7 +11,7 @@ from ..functions.draws import uniform, uniform_sql
 from ..functions.scalars import clamp, half_even, r6
 from ..operators import augment as ag
 from ..operators import volumes as vol
-from ..operators.geometry import resample
+from ..operators.boxes import warp_box
 from ..operators.masks import axis_positions
 from ..operators.stencil import by_scan, smooth, smooth_box
 from .ordering import _AXIS_SQL
@@ -48,15 +48,27 @@ _ROT = (
     ("c1*s2", "s0*s1*s2 + c0*c2", "c0*s1*s2 - s0*c2"),
     ("-s1", "s0*c1", "c0*c1"),
 )
-_AFF = f"""dr as (select uid, {', '.join(f'{_S(k)}*{15.0 * math.pi / 180!r}::double a{k}, 1 + {_S(3 + k)}*0.15::double z{k}, {_S(6 + k)}*0.06::double t{k}3' for k in range(3))} from (select vec_id uid from embeddings)),
-    cs as (select *, {', '.join(f'cos(a{k}) c{k}, sin(a{k}) s{k}' for k in range(3))} from dr), th as (select uid, {', '.join(f'({_ROT[i][j]})*z{j} t{i}{j}' for i in range(3) for j in range(3))}, t03, t13, t23 from cs)"""
-_T = [f"t{i}{j}" for i in range(3) for j in range(4)]
+_ZOOM, _MOVE = lambda k: f"1 + {_S(3 + k)}*0.15::double", lambda k: f"{_S(6 + k)}*0.06::double"
 
 
-@query("affine_params", f"with {_AFF} select uid, {', '.join(r(t) + ' ' + t for t in _T)} from th")
+def affine_sql(name: str = "th", axes=(1.0, 1.0, 1.0), zoom=_ZOOM, move=_MOVE) -> str:
+    return f"""{name}_d as (select uid, {', '.join(f'{_S(k)}*{15.0 * math.pi / 180!r}::double*{axes[k]!r}::double a{k}, {zoom(k)} z{k}, {move(k)} t{k}3' for k in range(3))} from (select vec_id uid from embeddings)),
+    {name}_c as (select *, {', '.join(f'cos(a{k}) c{k}, sin(a{k}) s{k}' for k in range(3))} from {name}_d), {name} as (select uid, {', '.join(f'({_ROT[i][j]})*z{j} t{i}{j}' for i in range(3) for j in range(3))}, t03, t13, t23 from {name}_c)"""
+
+
+_AFF = affine_sql()
+_T = ag.THETA
+_OPTIONS = {"rot_axes": (1.0, 0.0, 0.5), "zoom_range": (0.85, 1.1), "shift_ap": 0.15625}
+_AFF_O = affine_sql("tho", _OPTIONS["rot_axes"], lambda k: f"0.85::double + {d('affine', 3)}*{1.1 - 0.85!r}::double", lambda k: f"{_S(7)}*0.15625::double" if k == 1 else "0.0::double")
+
+
+@query("affine_params", f"with {_AFF}, {_AFF_O} select uid, {', '.join(r('th.' + t) + ' ' + t + ', ' + r('tho.' + t) + ' o' + t for t in _T)} from th join tho using (uid)")
 def affine_params(spark, sf):
-    t = ag.affine_draws(labels(spark, sf).select("uid"))
-    return t.select("uid", *[r6(c).alias(c) for c in _T])
+    """Drawn maps with the default options, and (o..) with weighted angles, one zoom for all axes and an A-P shift."""
+    uids = labels(spark, sf).select("uid")
+    t = ag.affine_draws(uids).select("uid", F.array(*_T).alias("t"))
+    both = ag.affine_draws(t, **_OPTIONS)
+    return both.select("uid", *[r6(F.get("t", k)).alias(c) for k, c in enumerate(_T)], *[r6(c).alias("o" + c) for c in _T])
 
 
 _G = {a: f"(({a} + 0.5::double)/4*2 - 1)" for a in XYZ}
@@ -71,15 +83,18 @@ _SRC = lambda i: f"(({_ROW(i)} + 1)*4 - 1)/2"
     ("v_vox", "v_masks"),
 )
 def affine_apply(spark, sf):
-    """Image by trilinear gather with zeros outside; the mask is resampled the same way and cut at one half."""
-    b = v_boxes(spark, sf).select("uid", "data")
+    """Image by trilinear gather with zeros outside; the mask is resampled the same way, in the same row, and cut at one half."""
+    t = ag.affine_draws(boxes_and_masks(spark, sf))
+    b = t.select("uid", warp_box("data", DIMS, _T).alias("v"), warp_box("mask", DIMS, _T).alias("m"))
+    return cells(b, "uid", "v", "m").select("uid", *XYZ, r6("v").alias("v"), (F.round("m", 9) > 0.5).alias("masked"))
+
+
+def boxes_and_masks(spark, sf):
+    """(uid, data, mask) arrays of every scan; a scan without a mask has an empty one."""
     m = v_masks(spark, sf).select("uid", *XYZ).distinct().withColumn("v", F.lit(1.0))
     m = vol.to_boxes(m, DIMS).select("uid", F.col("data").alias("mask"))
-    t = ag.affine_draws(b.join(m, "uid", "left").withColumn("mask", F.coalesce("mask", F.transform("data", lambda v: F.lit(0.0)))))
-    src = ag.normalised_source(DIMS)
-    img = resample(t, DIMS, src)
-    msk = resample(t, DIMS, src, data="mask").select("uid", *XYZ, (F.round("v", 9) > 0.5).alias("masked"))
-    return img.join(msk, ["uid", *XYZ]).select("uid", *XYZ, r6("v").alias("v"), "masked")
+    b = v_boxes(spark, sf).select("uid", "data").join(m, "uid", "left")
+    return b.withColumn("mask", F.coalesce("mask", F.transform("data", lambda v: F.lit(0.0))))
 
 
 _HEX = "md5('voxel|' || cast(uid as varchar) || '|' || cast(i as varchar) || '|' || cast(k as varchar))"
@@ -133,52 +148,63 @@ _WEIGHTS = """nn as (select cast(range + 2 as int) n from range(3)), rd as (sele
 _SMALL = lambda k: f"greatest(2, cast(round(4/(1 + {d('psf', k, 'batch')}*1.2::double)) as int))"
 
 
-@query(
-    "resolution_loss",
-    f"""with {_WEIGHTS}, b as (select uid, {_SMALL(0)} n0, {_SMALL(1)} n1, {_SMALL(2)} n2, 0.4::double + 0.8::double*{d('psf', 3, 'batch')} sg from (select distinct uid from v_vox)),
-    a0 as (select v.uid, wt.j x, y, z, sum(w*v) v from v_vox v join b using (uid) join wt on wt.n = n0 and wt.i = v.x group by 1, 2, 3, 4), a1 as (select v.uid, x, wt.j y, z, sum(w*v) v from a0 v join b using (uid) join wt on wt.n = n1 and wt.i = v.y group by 1, 2, 3, 4),
-    a2 as (select v.uid, x, y, wt.j z, sum(w*v) v from a1 v join b using (uid) join wt on wt.n = n2 and wt.i = v.z group by 1, 2, 3, 4), kk as (select range - 2 dd from range(5)), ws as (select uid, dd, exp(-0.5*pow(dd/sg, 2))/sum(exp(-0.5*pow(dd/sg, 2))) over (partition by uid) w from b, kk),
-    g0 as (select a.uid, a.x, a.y, a.z, sum(w*s.v) v from a2 a join ws using (uid) join a2 s on s.uid = a.uid and s.x = greatest(0, least(3, a.x + dd)) and s.y = a.y and s.z = a.z group by 1, 2, 3, 4),
-    g1 as (select a.uid, a.x, a.y, a.z, sum(w*s.v) v from g0 a join ws using (uid) join g0 s on s.uid = a.uid and s.y = greatest(0, least(3, a.y + dd)) and s.x = a.x and s.z = a.z group by 1, 2, 3, 4),
-    g2 as (select a.uid, a.x, a.y, a.z, sum(w*s.v) v from g1 a join ws using (uid) join g1 s on s.uid = a.uid and s.z = greatest(0, least(3, a.z + dd)) and s.x = a.x and s.y = a.y group by 1, 2, 3, 4)
-    select a2.uid, x, y, z, {r('a2.v')} degraded, {r('g2.v')} blurred from a2 join g2 using (uid, x, y, z)""",
-    ("v_vox",),
-)
+_PSF = f"""pb as (select uid, {_SMALL(0)} n0, {_SMALL(1)} n1, {_SMALL(2)} n2, 0.4::double + 0.8::double*{d('psf', 3, 'batch')} sg, {d('psf.gate', 0, 'batch')} < 0.5 coarse, {d('blur.gate', 0, 'batch')} < 0.5 blur from (select distinct uid from v_vox)),
+    kk as (select range - 2 dd from range(5)), ws as (select uid, dd, exp(-0.5*pow(dd/sg, 2))/sum(exp(-0.5*pow(dd/sg, 2))) over (partition by uid) w from pb, kk)"""
+
+
+def psf_sql(source: str, name: str) -> str:
+    """CTEs: `<name>_d` is source on a coarser grid and back where that gate is open, `<name>` also blurred where the other is; needs _WEIGHTS and _PSF."""
+    n, prev, out = name, source, []
+    for k, ax in enumerate(XYZ):
+        cols = ", ".join(f"wt.j {a}" if a == ax else f"v.{a}" for a in XYZ)
+        out.append(f"{n}_a{k} as (select v.uid, {cols}, sum(w*v) v from {prev} v join pb using (uid) join wt on wt.n = n{k} and wt.i = v.{ax} group by 1, 2, 3, 4)")
+        prev = f"{n}_a{k}"
+    out.append(f"{n}_d as (select s.uid, s.x, s.y, s.z, case when coarse then a.v else s.v end v from {source} s join {prev} a using (uid, x, y, z) join pb using (uid))")
+    prev = f"{n}_d"
+    for k, ax in enumerate(XYZ):
+        at = " and ".join(f"s.{a} = greatest(0, least(3, a.{a} + dd))" if a == ax else f"s.{a} = a.{a}" for a in XYZ)
+        out.append(f"{n}_g{k} as (select a.uid, a.x, a.y, a.z, sum(w*s.v) v from {prev} a join ws using (uid) join {prev} s on s.uid = a.uid and {at} group by 1, 2, 3, 4)")
+        prev = f"{n}_g{k}"
+    out.append(f"{n} as (select s.uid, s.x, s.y, s.z, case when blur then g.v else s.v end v from {n}_d s join {prev} g using (uid, x, y, z) join pb using (uid))")
+    return ", ".join(out)
+
+
+@query("resolution_loss", f"with {_WEIGHTS}, {_PSF}, {psf_sql('v_vox', 'q')} select uid, x, y, z, {r('q_d.v')} degraded, {r('q.v')} blurred from q_d join q using (uid, x, y, z)", ("v_vox",))
 def resolution_loss(spark, sf):
-    """Coarser grid per axis and back, then a Gaussian of drawn width; the mask is not touched."""
-    small = lambda k: F.greatest(F.lit(2), F.round(F.lit(4.0) / (1 + ag.draw("psf", k, scope="batch") * 1.2)).cast("int"))
-    b = v_boxes(spark, sf).select("uid", "data", *[small(k).alias(f"n{k}") for k in range(3)], (F.lit(0.4) + F.lit(0.8) * ag.draw("psf", 3, scope="batch")).alias("sg"))
-    for k in range(3):
-        b = b.withColumn("data", ag.axis_degrade(F.col("data"), DIMS, k, F.col(f"n{k}")))
-    b = b.withColumn("g", smooth_box("data", DIMS, F.col("sg"), "replicate", taps=5))
+    """Coarser grid per axis and back, then a Gaussian of drawn width, each behind its own gate; the mask is not touched."""
+    b = v_boxes(spark, sf).select("uid", "data")
+    coarse = ag.degrade_box("data", DIMS, ag.coarse_sizes(DIMS, 2))
+    b = b.withColumn("data", F.when(ag.gate("psf", 0.5), coarse).otherwise(F.col("data")))
+    soft = smooth_box("data", DIMS, F.lit(0.4) + F.lit(0.8) * ag.draw("psf", 3, scope="batch"), "replicate", taps=5)
+    b = b.withColumn("g", F.when(ag.gate("blur", 0.5), soft).otherwise(F.col("data")))
     return cells(b, "uid", "data", "g").select("uid", *XYZ, r6("data").alias("degraded"), r6("g").alias("blurred"))
 
 
 def cells(b, *columns):
-    """(uid, x, y, z) and the values of arrays of the grid, side by side."""
-    uid, *data = columns
-    ny, nz = DIMS[1:]
-    i = F.col("i")
-    t = b.select(uid, F.posexplode_outer(F.arrays_zip(*data)).alias("i", "_v"))
-    return t.select(uid, F.floor(i / (ny * nz)).cast("int").alias("x"), (F.floor(i / nz) % ny).cast("int").alias("y"), (i % nz).alias("z"), *[F.col(f"_v.{c}").alias(c) for c in data])
+    return vol.cells(b, DIMS, *columns)
 
 
 _W2, _W12 = [math.exp(-0.5 * (k / 2.0) ** 2) for k in range(-2, 3)], [math.exp(-0.5 * (k / 1.2) ** 2) for k in range(-2, 3)]
 _W2, _W12 = [w / sum(_W2) for w in _W2], [w / sum(_W12) for w in _W12]
 
 
-@query(
-    "background_scatter",
-    f"""with hd as (select uid, x, y, z, case when v > 0.9::double then 1.0::double else 0.0::double end v from v_vox), {smooth_sql('hd', 'h', AX3, _W2, 'replicate')}, {smooth_sql('v_vox', 'p1', AX3, _W12, 'replicate')}, {smooth_sql('p1', 'p2', AX3, _W12, 'replicate')}
-    select v.uid, x, y, z, {r('v.v + 0.3::double*' + d('bg', 0, 'scan', 'v.uid') + '*h.v + 0.2::double*' + d('scatter', 0, 'scan', 'v.uid') + '*p2.v')} v from v_vox v join h using (uid, x, y, z) join p2 using (uid, x, y, z)""",
-    ("v_vox",),
-)
+def scatter_sql(source: str, name: str, level: str) -> str:
+    """CTEs: `<name>_b` has a blurred head mask added where that gate is open, `<name>` a halo of that where the other is."""
+    n = name
+    return f"""{n}_h0 as (select uid, x, y, z, case when v > {level}::double then 1.0::double else 0.0::double end v from {source}), {smooth_sql(f'{n}_h0', f'{n}_h', AX3, _W2, 'replicate')},
+    {n}_b as (select s.uid, x, y, z, s.v + case when {d('bg.gate', 0, 'batch', 's.uid')} < 0.5 then 0.3::double*{d('bg', 0, 'scan', 's.uid')}*h.v else 0 end v from {source} s join {n}_h h using (uid, x, y, z)),
+    {smooth_sql(f'{n}_b', f'{n}_p', AX3, _W12, 'replicate')}, {smooth_sql(f'{n}_p', f'{n}_q', AX3, _W12, 'replicate')},
+    {n} as (select s.uid, x, y, z, s.v + case when {d('scatter.gate', 0, 'batch', 's.uid')} < 0.5 then 0.2::double*{d('scatter', 0, 'scan', 's.uid')}*h.v else 0 end v from {n}_b s join {n}_q h using (uid, x, y, z))"""
+
+
+@query("background_scatter", f"with {scatter_sql('v_vox', 's', '0.9')} select uid, x, y, z, {r('s_b.v')} background, {r('s.v')} v from s_b join s using (uid, x, y, z)", ("v_vox",))
 def background_scatter(spark, sf):
-    b = v_boxes(spark, sf).select("uid", "data", F.transform("data", lambda v: (v > 0.9).cast("double")).alias("h"))
-    halo = smooth_box(smooth_box("data", DIMS, 1.2, "replicate", taps=5), DIMS, 1.2, "replicate", taps=5)
-    t = cells(b.select("uid", "data", smooth_box("h", DIMS, 2.0, "replicate", taps=5).alias("h"), halo.alias("p")), "uid", "data", "h", "p")
-    out = F.col("data") + F.lit(0.3) * ag.draw("bg") * F.col("h") + F.lit(0.2) * ag.draw("scatter") * F.col("p")
-    return t.select("uid", *XYZ, r6(out).alias("v"))
+    """A diffuse background inside the head, then a halo of the result, each behind its own gate."""
+    b = v_boxes(spark, sf).select("uid", "data")
+    add = lambda amount, extra: F.zip_with("data", extra, lambda v, e: v + amount * e)
+    b = b.withColumn("b", F.when(ag.gate("bg", 0.5), add(F.lit(0.3) * ag.draw("bg"), ag.diffuse("data", DIMS, 0.9))).otherwise(F.col("data"))).withColumn("data", F.col("b"))
+    b = b.withColumn("s", F.when(ag.gate("scatter", 0.5), add(F.lit(0.2) * ag.draw("scatter"), ag.halo("data", DIMS))).otherwise(F.col("data")))
+    return cells(b, "uid", "b", "s").select("uid", *XYZ, r6("b").alias("background"), r6("s").alias("v"))
 
 
 @query("clamp", f"select uid, i, {r('least(12, greatest(0, 9*v - 4))')} v from v_vox", ("v_vox",))
@@ -370,18 +396,21 @@ def joint_mask_flip(spark, sf):
     return ag.flip(v_masks(spark, sf), DIMS[0], ag.gate("jflip", 0.5, scope="scan"), "side").select("uid", "side", *XYZ)
 
 
+_FLIP = d("flip.gate", 0, "batch", "v.uid") + " < 0.5"
+_CHAIN = f"""{_AFF}, pt as (select v.uid, x, y, z, case when {_FLIP} then 3 - {_SRC(2)} else {_SRC(2)} end px, {_SRC(1)} py, {_SRC(0)} pz from v_vox v join th using (uid)),
+    mv as (select v.uid, v.x, v.y, v.z, case when m.uid is null then 0.0::double else 1.0::double end v from v_vox v left join (select distinct uid, x, y, z from v_masks) m using (uid, x, y, z)), {corner_sql('v_vox', 'pt', 'g')}, {corner_sql('mv', 'pt', 'h')},
+    cb as (select uid, {d('cutsi.gate', 0, 'batch')} < 0.5 hit, 1 + cast(floor({d('cutsi', 0, 'batch')}*2) as int) k, {d('cutsi', 1, 'batch')} < 0.5 top, {d('count.gate', 0, 'batch')} < 0.6 counted, 25::double + 150::double*{d('count')} gain, {d('gamma.gate', 0, 'batch')} < 0.6 curved, 0.7::double + 0.6::double*{d('gamma')} gm from (select distinct uid from v_vox)),
+    t as (select uid, x, y, z, x*16 + y*4 + z i, case when hit and ((top and z >= 4 - k) or (not top and z < k)) then 0 else g.v end v, case when hit and ((top and z >= 4 - k) or (not top and z < k)) then false else round(h.v, 9) > 0.5 end masked, counted, gain from g join h using (uid, x, y, z) join cb using (uid)),
+    l as (select uid, i, greatest(v, 0)*gain lam from t where counted), {poisson_sql('l', 'c')}, n as (select t.uid, x, y, z, case when not counted then v when v > 0 then c.n/gain else 0 end v from t left join c using (uid, i)),
+    {_WEIGHTS}, {_PSF}, {psf_sql('n', 'q')}, {scatter_sql('q', 's', '0.15')}"""
+
+
 @query(
     "geometric_then_intensity",
-    f"""select v.uid, case when {d('flip.gate', 0, 'batch', 'v.uid')} < 0.5 then 3 - v.x else v.x end x, v.y, v.z, {r('least(12, greatest(0, pow(greatest(v.v, 0)/12, 0.7::double + 0.6::double*' + d('gamma', 0, 'scan', 'v.uid') + ')*12))')} v, m.uid is not null masked
-    from v_vox v left join (select distinct uid, x, y, z from v_masks) m using (uid, x, y, z)""",
+    f"with {_CHAIN} select s.uid, x, y, z, {r('least(12, greatest(0, case when curved then pow(greatest(s.v, 0)/12, gm)*12 else s.v end))')} v, masked from s join t using (uid, x, y, z) join cb on cb.uid = s.uid",
     ("v_vox", "v_masks"),
 )
 def geometric_then_intensity(spark, sf):
-    """Geometry moves image and mask; intensity touches the image only."""
-    when = ag.gate("flip", 0.5)
-    img = ag.flip(v_vox(spark, sf).select("uid", *XYZ, "v"), DIMS[0], when)
-    msk = ag.flip(v_masks(spark, sf).select("uid", *XYZ).distinct(), DIMS[0], when).withColumn("masked", F.lit(True))
-    img = img.withColumn("v", clamp(ag.gamma_gain(F.col("v"), F.lit(0.7) + F.lit(0.6) * ag.draw("gamma")), 0.0, 12.0))
-    return img.join(msk, ["uid", *XYZ], "left").select("uid", *XYZ, r6("v").alias("v"), F.coalesce("masked", F.lit(False)).alias("masked"))
-
-
+    """The whole chain with every step and gate: geometry moves image and mask, intensity touches the image only."""
+    out = ag.chain(boxes_and_masks(spark, sf), DIMS, si_slices=2, count_p=0.6, psf=True, least=2, background=0.3, scatter=0.2, gamma_p=0.6)
+    return cells(out, "uid", "data", "mask").select("uid", *XYZ, r6("data").alias("v"), (F.col("mask") > 0.5).alias("masked"))

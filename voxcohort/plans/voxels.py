@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even, r6, sigmoid, sorted_nearest, sorted_quantile
 from ..operators import volumes as vol
+from ..operators.boxes import gather_box
 from ..operators.components import components, fill_holes, largest
 from ..operators.geometry import corner_aligned, half_pixel, inside_ellipsoids, moment_ellipsoids, pose_matrix, resample
 from ..operators.ranking import quantiles
@@ -709,12 +710,12 @@ _PT = "pt as (select v.uid, x, y, z, cos(th)*(x-1.5) + sin(th)*(y-1.5) + 1.5 + s
     ("v_vox", "v_affine"),
 )
 def affine_resample(spark, sf):
+    """Both borders in the scan's row."""
     b = v_boxes(spark, sf).select("uid", "data").join(v_affine(spark, sf), "uid")
-    dx, dy = F.col("x") - 1.5, F.col("y") - 1.5
-    src = (F.cos("th") * dx + F.sin("th") * dy + 1.5 + F.col("sx"), -F.sin("th") * dx + F.cos("th") * dy + 1.5, F.col("z"))
-    zero = resample(b, DIMS, src).withColumnRenamed("v", "zero_border")
-    edge = resample(b, DIMS, src, border="edge").withColumnRenamed("v", "edge_border")
-    return zero.join(edge, ["uid", "x", "y", "z"]).select("uid", "x", "y", "z", r6("zero_border").alias("zero_border"), r6("edge_border").alias("edge_border"))
+    c, s, one, none = F.cos("th"), F.sin("th"), F.lit(1.0), F.lit(0.0)
+    m = [c, s, none, -1.5 * c - 1.5 * s + 1.5 + F.col("sx"), -s, c, none, 1.5 * s - 1.5 * c + 1.5, none, none, one, none]
+    t = b.select("uid", gather_box("data", DIMS, m).alias("a"), gather_box("data", DIMS, m, border="edge").alias("b"))
+    return vol.cells(t, DIMS, "uid", "a", "b").select("uid", "x", "y", "z", r6("a").alias("zero_border"), r6("b").alias("edge_border"))
 
 
 @query(
@@ -726,9 +727,11 @@ def affine_resample(spark, sf):
 )
 def zoom_resample(spark, sf):
     """Resizing under the two grid conventions: corners coincide, or edges coincide."""
-    b = v_boxes(spark, sf).select("uid", "data")
-    one = resample(b, DIMS, tuple(corner_aligned(6, 4, F.col(a)) for a in "xyz"), (6, 6, 6), "edge").withColumnRenamed("v", "a")
-    two = resample(b, DIMS, tuple(half_pixel(6, 4, F.col(a)) for a in "xyz"), (6, 6, 6), "edge").withColumnRenamed("v", "b")
-    return one.join(two, ["uid", "x", "y", "z"]).select("uid", "x", "y", "z", F.round("a", 5).alias("corner_aligned"), F.round("b", 5).alias("half_pixel"))
+    diagonal = lambda k, c: [x for i in range(3) for x in (*[k if i == j else 0.0 for j in range(3)], c)]
+    big = (6, 6, 6)
+    t = v_boxes(spark, sf).select(
+        "uid", gather_box("data", DIMS, diagonal(3 / 5, 0.0), big, "edge").alias("a"), gather_box("data", DIMS, diagonal(4 / 6, 4 / 12 - 0.5), big, "edge").alias("b")
+    )
+    return vol.cells(t, big, "uid", "a", "b").select("uid", "x", "y", "z", F.round("a", 5).alias("corner_aligned"), F.round("b", 5).alias("half_pixel"))
 
 
