@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.constants import BACKGROUND_LEVEL, INTENSITY_CAP
 from ..functions.draws import uniform
 from ..functions.scalars import col, let
-from .boxes import degrade_box, warp_box
-from .masks import axis_positions
-from .stencil import smooth, smooth_box
+from .boxes import degrade_box, each, warp_box
+from .stencil import convolved, kernel, smooth_box
 
 BATCH = 24
 
@@ -112,10 +111,8 @@ def poisson_counts(lam: np.ndarray, key: str) -> np.ndarray:
     head, attempt = hashlib.md5(f"{key}|".encode()), 1
     while len(open_):
         raw = np.frombuffer(b"".join([_digest(head, i, attempt) for i in open_.tolist()]), ">u8").reshape(-1, 2)
-        hi, lo = raw[:, 0], raw[:, 1]
-        u = ((hi >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
-        a = ((((hi & np.uint64(0xFFF)) << np.uint64(40)) | (lo >> np.uint64(24))).astype(float) + 0.5) / 2.0**52
-        sign = np.where((lo >> np.uint64(20)) & np.uint64(15) < 8, -1.0, 1.0)
+        u, a = _uniforms(raw)
+        sign = np.where((raw[:, 1] >> np.uint64(20)) & np.uint64(15) < 8, -1.0, 1.0)
         q, mode = p[open_], m[open_]
         w = 1 + q / 2
         y = np.where(u * (1 + w) <= w, u * (1 + w), w - np.log((1 - u) * (1 + w))) / q
@@ -126,6 +123,13 @@ def poisson_counts(lam: np.ndarray, key: str) -> np.ndarray:
     return out
 
 
+def _uniforms(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two uniforms of each digest: its first 13 hexadecimal digits and the 13 that follow."""
+    hi, lo = raw[:, 0], raw[:, 1]
+    second = ((hi & np.uint64(0xFFF)) << np.uint64(40)) | (lo >> np.uint64(24))
+    return tuple((x.astype(float) + 0.5) / 2.0**52 for x in (hi >> np.uint64(12), second))
+
+
 def _digest(head, place: int, attempt: int) -> bytes:
     h = head.copy()
     h.update(b"%d|%d" % (place, attempt))
@@ -222,20 +226,87 @@ def lesion_draws(scans: DataFrame, p: float, lo: float, hi: float, asym: float,
     )
 
 
-def lesion_field(
-    vox: DataFrame, mask: DataFrame, draws: DataFrame, size_y: int, sigma: float, u_edge: float = 0.55, u_ramp: float = 0.35, base: float = 0.25
-) -> DataFrame:
-    """Adds `f`: the blurred multiplicative field, strongest at the posterior end of the mask."""
-    ax = ["x", "y", "z"]
-    pos = axis_positions(mask, "y", size_y).select("uid", "y", "u")
-    mid = mask.groupBy("uid").agg(F.avg("x").alias("lr"))
-    ins = mask.select("uid", *ax).distinct().withColumn("in", F.lit(1.0))
-    t = vox.join(mid, "uid").join(draws.select("uid", "sev_l", "sev_r"), "uid").join(pos, ["uid", "y"]).join(ins, ["uid", *ax], "left")
-    g = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.lit(u_edge) - F.col("u")) / max(u_ramp, 1e-3)))
-    sev = F.when(F.col("x") < F.col("lr"), F.col("sev_l")).otherwise(F.col("sev_r"))
-    t = t.withColumn("f", 1 - sev * (F.lit(base) + F.lit(1 - base) * g) * F.coalesce("in", F.lit(0.0)))
-    keep = [*vox.columns, "f"]
-    return smooth(t.select(*keep), ax, "f", sigma, "replicate").withColumn("f", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("f"))))
+def own_extent(mask: np.ndarray) -> tuple[np.ndarray, float]:
+    """Of a mask volume: each A-P slice's place in the mask's own extent (2nd to 98th percentile of its profile), and the mean L-R place."""
+    profile = mask.sum((0, 2))
+    c = np.cumsum(profile) / max(profile.sum(), 1)
+    lo, hi = (c < 0.02).sum(), (c < 0.98).sum()
+    return (np.arange(mask.shape[1]) - lo) / max(hi - lo, 2), (mask.sum((1, 2)) * np.arange(mask.shape[0])).sum() / max(mask.sum(), 1)
+
+
+def _by_side(mask: np.ndarray, sev_l: float, sev_r: float) -> tuple[np.ndarray, np.ndarray]:
+    """A-P places and the severity of each L-R plane, shaped to the volume."""
+    u, middle = own_extent(mask)
+    return u[None, :, None], np.where(np.arange(mask.shape[0]) < middle, sev_l, sev_r)[:, None, None]
+
+
+def lesion_field(mask, dims: tuple[int, int, int], sigma: float, shape=(0.55, 0.35, 0.25), edge: float = 0.0, margins=None) -> Column:
+    """The blurred multiplicative field of columns sev_l and sev_r, strongest at the posterior end of the mask.
+
+    shape is (edge, ramp, base) of the A-P profile, as numbers or columns. With `edge` the loss grows towards the margins, an array that is
+    0 at the hottest core and 1 where the structure fades (see margins_of).
+    """
+    shape = [c if isinstance(c, Column) else F.lit(float(c)) for c in shape]
+
+    def field(m: np.ndarray, sev_l, sev_r, u_edge, u_ramp, base, *rim) -> np.ndarray:
+        m = m.reshape(dims)
+        u, sev = _by_side(m, sev_l, sev_r)
+        loss = sev * (base + (1 - base) * np.clip((u_edge - u) / max(u_ramp, 1e-3), 0, 1))
+        if rim:
+            loss = np.minimum(1.0, loss * (1 + edge * rim[0].reshape(dims)))
+        w = np.array(kernel(sigma))
+        return np.clip(convolved(1 - loss * m, w, "replicate", (0, 1, 2)), 0, 1)
+
+    return each(field, mask, "sev_l", "sev_r", *shape, *([margins] if edge else []))
+
+
+def margins_of(data, mask, dims: tuple[int, int, int], sigma: float = 1.5) -> Column:
+    """1 minus the blurred specific part relative to its largest value in the mask; 0 outside the mask."""
+
+    def rim(v: np.ndarray, m: np.ndarray) -> np.ndarray:
+        soft = convolved(np.maximum(v.reshape(dims) - BACKGROUND_LEVEL, 0), np.array(kernel(sigma)), "replicate", (0, 1, 2))
+        m = m.reshape(dims)
+        return np.clip(1 - soft / max((soft * m).max(), 1e-6), 0, 1) * m
+
+    return each(rim, data, mask)
+
+
+def jittered_shape(epoch: int = 0) -> tuple[Column, Column, Column]:
+    """Drawn (edge, ramp, base) of a scan's A-P profile."""
+    return tuple(F.lit(lo) + F.lit(span) * draw("jitter", k, epoch) for k, (lo, span) in enumerate(((0.4, 0.3), (0.2, 0.3), (0.1, 0.3))))
+
+
+def textured(f, dims: tuple[int, int, int], uid="uid", sigma: float = 4.0, depth: float = 0.3, scope: str = "texture") -> Column:
+    """A field whose loss is modulated by a smooth random texture: keyed normals per voxel, blurred, standardised over the scan."""
+
+    def vary(v: np.ndarray, u) -> np.ndarray:
+        head = hashlib.md5(f"{scope}|{u}|".encode())
+        raw = np.frombuffer(b"".join([_digest(head, i, 0) for i in range(v.size)]), ">u8").reshape(-1, 2)
+        a, b = _uniforms(raw)
+        t = convolved((np.sqrt(-2 * np.log(a)) * np.cos(2 * math.pi * b)).reshape(dims), np.array(kernel(sigma)), "replicate", (0, 1, 2))
+        return np.clip(1 - (1 - v.reshape(dims)) * (1 + depth * t / max(t.std(ddof=1), 1e-6)), 0, 1)
+
+    return each(vary, f, uid)
+
+
+def peak_clipped(data, mask, dims: tuple[int, int, int], share: float, u_max: float, least: int, sigma: float = 0.0) -> Column:
+    """Compress the brightest `share` of each side's posterior part by the side's severity (columns sev_l, sev_r); parts of fewer than `least`
+    voxels stay. With sigma the change alone is blurred, so no sharp plateau is left."""
+
+    def clip(v: np.ndarray, m: np.ndarray, sev_l, sev_r) -> np.ndarray:
+        v, m = v.reshape(dims), m.reshape(dims)
+        u, sev = _by_side(m, sev_l, sev_r)
+        _, middle = own_extent(m)
+        out = v.copy()
+        left = np.broadcast_to((np.arange(dims[0]) < middle)[:, None, None], dims)
+        for side in (left, ~left):
+            part = (m > 0) & side & np.broadcast_to((u < u_max) & (u >= -0.1), dims)
+            if part.sum() >= least:
+                q = np.quantile(v[part], 1 - share)
+                out = np.where(part & (v > q), q + (v - q) * (1 - sev), out)
+        return v - convolved(v - out, np.array(kernel(sigma)), "replicate", (0, 1, 2)) if sigma else out
+
+    return each(clip, data, mask, "sev_l", "sev_r")
 
 
 def lesion_apply(v: Column, f: Column) -> Column:

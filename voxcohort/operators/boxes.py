@@ -18,13 +18,17 @@ from ..functions.scalars import col
 Dims = tuple[int, int, int]
 
 
-def _each(fn: Callable, *columns) -> Column:
-    """fn of the first column's array and the other columns' values, row by row; all null where one of them is."""
+def _values(c: pa.Array) -> list:
+    return [x.values.to_numpy(zero_copy_only=False) if x.is_valid else None for x in c] if pa.types.is_list(c.type) else c.to_pylist()
+
+
+def each(fn: Callable, *columns) -> Column:
+    """fn of the first column's array and the other columns' values, row by row; null where one of them is."""
 
     @F.arrow_udf("array<double>")
     def run(boxes: pa.Array, *rest: pa.Array) -> pa.Array:
         out = []
-        for v, *x in zip(boxes, *(r.to_pylist() for r in rest), strict=True):
+        for v, *x in zip(boxes, *(_values(r) for r in rest), strict=True):
             known = v.is_valid and not any(p is None for p in x)
             out.append(fn(v.values.to_numpy(zero_copy_only=False).astype(float), *x).ravel() if known else None)
         return pa.array(out, pa.list_(pa.float64()))
@@ -58,7 +62,7 @@ def gather_box(data, dims: Dims, matrix: list[Column], out_dims: Dims | None = N
         x, y, z = np.ogrid[: size[0], : size[1], : size[2]]
         return trilinear(v.reshape(dims), [m[k] * x + m[k + 1] * y + m[k + 2] * z + m[k + 3] for k in (0, 4, 8)], border)
 
-    return _each(read, data, F.array(*[c.cast("double") if isinstance(c, Column) else F.lit(float(c)) for c in matrix]))
+    return each(read, data, F.array(*[c.cast("double") if isinstance(c, Column) else F.lit(float(c)) for c in matrix]))
 
 
 def warp_box(data, dims: Dims, theta: list[str], flipped=None, border: str = "zero") -> Column:
@@ -74,7 +78,7 @@ def warp_box(data, dims: Dims, theta: list[str], flipped=None, border: str = "ze
         x = back(row(2), "x")
         return trilinear(v.reshape(dims), [dims[0] - 1 - x if mirrored else x, back(row(1), "y"), back(row(0), "z")], border)
 
-    return _each(read, data, F.array(*[F.col(c) for c in theta]), F.lit(False) if flipped is None else flipped)
+    return each(read, data, F.array(*[F.col(c) for c in theta]), F.lit(False) if flipped is None else flipped)
 
 
 def linear_weights(n: int, m: int) -> np.ndarray:
@@ -96,4 +100,4 @@ def degrade_box(data, dims: Dims, sizes) -> Column:
             v = np.moveaxis(np.tensordot(linear_weights(m, n) @ linear_weights(n, m), v, (1, a)), 0, a)
         return v
 
-    return _each(lose, data, sizes)
+    return each(lose, data, sizes)

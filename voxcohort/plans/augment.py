@@ -7,17 +7,16 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import uniform, uniform_sql
+from ..functions.draws import uniform_sql
 from ..functions.scalars import clamp, half_even, r6
 from ..operators import augment as ag
 from ..operators import volumes as vol
 from ..operators.boxes import warp_box
-from ..operators.masks import axis_positions
-from ..operators.stencil import by_scan, smooth, smooth_box
+from ..operators.stencil import kernel, smooth_box
 from .ordering import _AXIS_SQL
 from .registry import query, r
 from .sqltext import smooth_sql
-from .views import DIMS, scan_voxels, table, v_boxes, v_masks, v_vox
+from .views import DIMS, table, v_boxes, v_masks, v_vox
 from .voxels import AX3, SIGMA, W5, corner_sql
 
 XYZ = ["x", "y", "z"]
@@ -222,59 +221,83 @@ def lesion_draws(spark, sf):
     return t.select("uid", "y", "lesioned", r6("sev_l").alias("sev_l"), r6("sev_r").alias("sev_r"), "y_new")
 
 
-_FIELD = f"""mid as (select uid, avg(x) lr from v_masks group by 1), f0 as (select v.uid, v.x, v.y, v.z, 1 - (case when v.x < lr then sev_l else sev_r end)*(0.25::double + 0.75::double*greatest(0, least(1, (0.55::double - u)/0.35::double)))*(case when m.uid is null then 0 else 1 end) v
-    from v_vox v join mid using (uid) join les using (uid) join ax on ax.uid = v.uid and ax.y = v.y left join v_masks m on m.uid = v.uid and m.x = v.x and m.y = v.y and m.z = v.z), {smooth_sql('f0', 'fs', AX3, W5, 'replicate')}, lf as (select uid, x, y, z, greatest(0, least(1, v)) f from fs)"""
+_SEV = "case when v.x < lr then sev_l else sev_r end"
 
 
-def _field(spark, sf):
-    dr = ag.lesion_draws(labels(spark, sf), 0.7, 0.3, 0.8, 0.4)
-    return ag.lesion_field(scan_voxels(spark, sf).select("uid", *XYZ, "v"), v_masks(spark, sf), dr, DIMS[1], SIGMA)
+def field_sql(name: str, u_edge: str = "0.55::double", u_ramp: str = "0.35::double", base: str = "0.25::double", more: str = "1", joins: str = "") -> str:
+    """CTE `<name>`: the blurred field of every scan with a mask; needs mid."""
+    loss = f"least(1, {_SEV}*({base} + (1 - {base})*greatest(0, least(1, ({u_edge} - u)/{u_ramp})))*({more}))"
+    return f"""{name}_0 as (select v.uid, v.x, v.y, v.z, 1 - {loss}*(case when m.uid is null then 0 else 1 end) v
+    from v_vox v join mid using (uid) join les using (uid) join ax on ax.uid = v.uid and ax.y = v.y left join mk m on m.uid = v.uid and m.x = v.x and m.y = v.y and m.z = v.z {joins}), {smooth_sql(f'{name}_0', f'{name}_s', AX3, W5, 'replicate')}, {name} as (select uid, x, y, z, greatest(0, least(1, v)) f from {name}_s)"""
 
 
-@query("lesion_field", f"with {Y_SQL}, {_LES}, {_AXIS_SQL}, {_FIELD} select uid, x, y, z, {r('f')} f from lf", ("v_vox", "v_masks"))
+_MID = "mk as (select distinct uid, x, y, z from v_masks), mid as (select uid, avg(x) lr from mk group by 1)"
+_FIELD = f"{_MID}, {field_sql('lf')}"
+# margins of the image, jittered shape and texture
+_RIM = f"""sp as (select uid, x, y, z, greatest(v - 1, 0) v from v_vox), {smooth_sql('sp', 'ss', AX3, kernel(1.5), 'replicate')}, mx as (select uid, greatest(max(ss.v), 1e-6) top from ss join mk using (uid, x, y, z) group by 1), rim as (select uid, x, y, z, greatest(0, least(1, 1 - ss.v/top)) e from ss join mx using (uid) semi join mk using (uid, x, y, z))"""
+_EDGED = field_sql("le", more="1 + 0.8::double*coalesce(rim.e, 0)", joins="left join rim on rim.uid = v.uid and rim.x = v.x and rim.y = v.y and rim.z = v.z")
+_JIT = [f"(jt.j{k})" for k in range(3)]
+_TEX_H = "md5('texture|' || cast(uid as varchar) || '|' || cast(i as varchar) || '|0')"
+_JITTERED = f"""jt as (select uid, {', '.join(f"{lo}::double + 0.3::double*{d('jitter', k)} j{k}" for k, lo in enumerate((0.4, 0.2, 0.1)))} from (select distinct uid from v_vox)), {field_sql('lj', *_JIT, joins='join jt on jt.uid = v.uid')},
+    tx as (select uid, x, y, z, sqrt(-2*ln({_UNIT(_TEX_H, 1)}))*cos(2*pi()*{_UNIT(_TEX_H, 14)}) v from v_vox), {smooth_sql('tx', 'ts', AX3, kernel(4.0), 'replicate')}, td as (select uid, greatest(stddev_samp(v), 1e-6) sd from ts group by 1),
+    lt as (select uid, x, y, z, greatest(0, least(1, 1 - (1 - f)*(1 + 0.3::double*v/sd))) f from lj join ts using (uid, x, y, z) join td using (uid))"""
+
+
+def lesioned(spark, sf):
+    """(uid, data, mask, sev_l, sev_r) of the scans with a mask."""
+    dr = ag.lesion_draws(labels(spark, sf), 0.7, 0.3, 0.8, 0.4).select("uid", "sev_l", "sev_r")
+    return boxes_and_masks(spark, sf).where(F.exists("mask", lambda m: m > 0)).join(dr, "uid")
+
+
+@query("lesion_field", f"with {Y_SQL}, {_LES}, {_AXIS_SQL}, {_FIELD}, {_RIM}, {_EDGED}, {_JITTERED} select uid, x, y, z, {r('lf.f')} f, {r('le.f')} edged, {r('lj.f')} jittered, {r('lt.f')} textured from lf join le using (uid, x, y, z) join lj using (uid, x, y, z) join lt using (uid, x, y, z)", ("v_vox", "v_masks"))
 def lesion_field(spark, sf):
-    return _field(spark, sf).select("uid", *XYZ, r6("f").alias("f"))
+    """The plain field, with more loss at the image's own margins, with a jittered A-P shape, and that with a smooth texture."""
+    b = lesioned(spark, sf).withColumns({"f": ag.lesion_field("mask", DIMS, SIGMA), "e": ag.lesion_field("mask", DIMS, SIGMA, edge=0.8, margins=ag.margins_of("data", "mask", DIMS)), "j": ag.lesion_field("mask", DIMS, SIGMA, ag.jittered_shape())})
+    b = b.withColumn("t", ag.textured("j", DIMS))
+    return cells(b, "uid", *"fejt").select("uid", *XYZ, *[r6(c).alias(n) for c, n in zip("fejt", ("f", "edged", "jittered", "textured"))])
+
+
+def _level(name: str, f: str) -> str:
+    """CTEs: `<name>` is the source reduced by the field f and put back on its own reference."""
+    o = name
+    return f"""{o}_o as (select v.uid, v.x, v.y, v.z, v.v src, v.v - greatest(v.v - 1, 0)*(1 - f) v from v_vox v join {f} using (uid, x, y, z)), {back_sql(f'{o}_o', o)}"""
+
+
+def back_sql(o: str, name: str) -> str:
+    return f"""{name}_k as (select *, row_number() over (partition by uid order by src) - 1 rs, row_number() over (partition by uid order by v) - 1 rv from {o}), {name}_q as (select uid, max(case when rs = 62 then src end) qs, max(case when rv = 62 then v end) qv from {name}_k group by 1),
+    {name}_r as (select uid, (case when count(*) filter (where src > 0.7::double*qs) >= 3 then avg(src) filter (where src > 0.7::double*qs) else avg(src) end) + 1e-6 fs, (case when count(*) filter (where v > 0.7::double*qv) >= 3 then avg(v) filter (where v > 0.7::double*qv) else avg(v) end) + 1e-6 fv from {o} join {name}_q using (uid) group by 1),
+    {name} as (select uid, x, y, z, least(12, greatest(0, v/(fv/fs))) v from {o} join {name}_r using (uid))"""
 
 
 @query(
     "lesion_apply",
-    f"""with {Y_SQL}, {_LES}, {_AXIS_SQL}, {_FIELD}, o as (select v.uid, v.x, v.y, v.z, v.v src, v.v - greatest(v.v - 1, 0)*(1 - f) v from v_vox v join lf using (uid, x, y, z)),
-    k as (select *, row_number() over (partition by uid order by src) - 1 rs, row_number() over (partition by uid order by v) - 1 rv from o), q as (select uid, max(case when rs = 62 then src end) qs, max(case when rv = 62 then v end) qv from k group by 1),
-    rf as (select uid, (case when count(*) filter (where src > 0.7::double*qs) >= 3 then avg(src) filter (where src > 0.7::double*qs) else avg(src) end) + 1e-6 fs, (case when count(*) filter (where v > 0.7::double*qv) >= 3 then avg(v) filter (where v > 0.7::double*qv) else avg(v) end) + 1e-6 fv from o join q using (uid) group by 1)
-    select uid, cast(x*16 + y*4 + z as int) i, {r('least(12, greatest(0, v/(fv/fs)))')} v from o join rf using (uid)""",
+    f"with {Y_SQL}, {_LES}, {_AXIS_SQL}, {_FIELD}, {_RIM}, {_EDGED}, {_JITTERED}, {_level('l1', 'lf')}, {_level('l2', 'le')}, {_level('l3', 'lt')} select uid, cast(x*16 + y*4 + z as int) i, {r('l1.v')} v, {r('l2.v')} edged, {r('l3.v')} textured from l1 join l2 using (uid, x, y, z) join l3 using (uid, x, y, z)",
     ("v_vox", "v_masks"),
 )
 def lesion_apply(spark, sf):
-    """Reduce specific binding by the field, then return the volume to its own reference level."""
-    f = _field(spark, sf).withColumn("v", ag.lesion_apply(F.col("v"), F.col("f")))
-    changed = vol.to_boxes(f, DIMS).select("uid", F.col("data").alias("changed"))
-    b = changed.join(v_boxes(spark, sf).select("uid", "data"), "uid")
-    out = b.select("uid", vol.renormalise("changed", "data", f=0.7, least=3).alias("data"))
-    return vol.voxels(out, DIMS).select("uid", "i", r6("v").alias("v"))
+    """Reduce specific binding by each of the fields, then return the volume to its own reference level."""
+    b = lesioned(spark, sf)
+    fields = {"a": ag.lesion_field("mask", DIMS, SIGMA), "b": ag.lesion_field("mask", DIMS, SIGMA, edge=0.8, margins=ag.margins_of("data", "mask", DIMS)), "c": ag.textured(ag.lesion_field("mask", DIMS, SIGMA, ag.jittered_shape()), DIMS)}
+    b = b.withColumns(fields).withColumns({c: F.zip_with("data", c, ag.lesion_apply) for c in fields})
+    b = b.select("uid", *[vol.renormalise(c, "data", f=0.7, least=3).alias(c) for c in fields])
+    t = b.select("uid", F.posexplode_outer(F.arrays_zip(*fields)).alias("i", "_v"))
+    return t.select("uid", "i", r6("_v.a").alias("v"), r6("_v.b").alias("edged"), r6("_v.c").alias("textured"))
 
 
 @query(
     "peak_clip",
-    f"""with {Y_SQL}, {_LES}, {_AXIS_SQL}, mid as (select uid, avg(x) lr from v_masks group by 1), rg as (select m.uid, m.x, m.y, m.z, v.v, case when m.x < lr then 'L' else 'R' end sd from v_masks m join v_vox v using (uid, x, y, z) join ax on ax.uid = m.uid and ax.y = m.y join mid on mid.uid = m.uid where u < 0.6 and u >= -0.1),
-    q as (select uid, sd, count(*) n, quantile_cont(v, 0.7) q from rg group by 1, 2)
-    select v.uid, v.x, v.y, v.z, {r("case when q.n >= 4 and v.v > q.q then q.q + (v.v - q.q)*(1 - case when rg.sd = 'L' then sev_l else sev_r end) else v.v end")} v from v_vox v left join rg on rg.uid = v.uid and rg.x = v.x and rg.y = v.y and rg.z = v.z left join q on q.uid = rg.uid and q.sd = rg.sd join les on les.uid = v.uid""",
+    f"""with {Y_SQL}, {_LES}, {_AXIS_SQL}, {_MID}, rg as (select m.uid, m.x, m.y, m.z, v.v, case when m.x < lr then 'L' else 'R' end sd from mk m join v_vox v using (uid, x, y, z) join ax on ax.uid = m.uid and ax.y = m.y join mid on mid.uid = m.uid where u < 0.6 and u >= -0.1),
+    q as (select uid, sd, count(*) n, quantile_cont(v, 0.7) q from rg group by 1, 2),
+    pc as (select v.uid, v.x, v.y, v.z, v.v src, case when q.n >= 4 and v.v > q.q then q.q + (v.v - q.q)*(1 - case when rg.sd = 'L' then sev_l else sev_r end) else v.v end v from v_vox v semi join mid using (uid) left join rg on rg.uid = v.uid and rg.x = v.x and rg.y = v.y and rg.z = v.z left join q on q.uid = rg.uid and q.sd = rg.sd join les on les.uid = v.uid),
+    dl as (select uid, x, y, z, src - v v from pc), {smooth_sql('dl', 'ds', AX3, W5, 'replicate')}, sm as (select pc.uid, x, y, z, src, src - ds.v v from pc join ds using (uid, x, y, z)), {back_sql('sm', 'bk')}
+    select pc.uid, x, y, z, {r('pc.v')} v, {r('sm.v')} smoothed, {r('bk.v')} renormalised from pc join sm using (uid, x, y, z) join bk using (uid, x, y, z)""",
     ("v_vox", "v_masks"),
 )
 def peak_clip(spark, sf):
-    """Compress the brightest share of the posterior region per side; small regions are skipped.
-
-    The quantile group is one side of one scan, bounded by the grid.
-    """
-    dr = ag.lesion_draws(labels(spark, sf), 0.7, 0.3, 0.8, 0.4).select("uid", "sev_l", "sev_r")
-    m, v = v_masks(spark, sf).select("uid", *XYZ), v_vox(spark, sf).select("uid", *XYZ, "v")
-    pos = axis_positions(m, "y", DIMS[1]).where("u < 0.6 and u >= -0.1").select("uid", "y")
-    mid = m.groupBy("uid").agg(F.avg("x").alias("lr"))
-    rg = m.join(pos, ["uid", "y"]).join(mid, "uid").select("uid", *XYZ, F.when(F.col("x") < F.col("lr"), "L").otherwise("R").alias("sd"))
-    q = rg.join(v, ["uid", *XYZ]).groupBy("uid", "sd").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", 0.7).alias("q"))
-    t = v.join(rg, ["uid", *XYZ], "left").join(q, ["uid", "sd"], "left").join(dr, "uid")
-    sev = F.when(F.col("sd") == "L", F.col("sev_l")).otherwise(F.col("sev_r"))
-    hit = (F.col("n") >= 4) & (F.col("v") > F.col("q"))
-    return t.select("uid", *XYZ, r6(F.when(hit, F.col("q") + (F.col("v") - F.col("q")) * (1 - sev)).otherwise(F.col("v"))).alias("v"))
+    """Compress the brightest share of the posterior region per side, small regions are skipped; then with the change blurred, and that back on the source's reference."""
+    b = lesioned(spark, sf).withColumns({"p": ag.peak_clipped("data", "mask", DIMS, 0.3, 0.6, 4), "s": ag.peak_clipped("data", "mask", DIMS, 0.3, 0.6, 4, SIGMA)})
+    b = b.withColumn("k", vol.renormalise("s", "data", f=0.7, least=3))
+    return cells(b, "uid", "p", "s", "k").select("uid", *XYZ, r6("p").alias("v"), r6("s").alias("smoothed"), r6("k").alias("renormalised"))
 
 
 @query(

@@ -8,13 +8,13 @@ from ..functions.scalars import half_even, r6, sigmoid, sorted_nearest, sorted_q
 from ..operators import volumes as vol
 from ..operators.boxes import gather_box
 from ..operators.components import components, fill_holes, largest
-from ..operators.geometry import corner_aligned, half_pixel, inside_ellipsoids, moment_ellipsoids, pose_matrix, resample
+from ..operators.geometry import inside_ellipsoids, moment_ellipsoids, pose_matrix, resample
 from ..operators.ranking import quantiles
 from ..operators.stencil import frame, kernel, offsets_join, smooth, smooth_box
 from ..session import cut
 from .registry import query, r
 from .sqltext import components_sql, sig, smooth_sql
-from .views import DIMS, IMG, scan_image, scan_voxels, v_affine, v_boxes, v_grid, v_img, v_masks, v_pose, v_vox
+from .views import DIMS, IMG, scan_voxels, v_affine, v_boxes, v_grid, v_img, v_masks, v_pose, v_vox
 
 AX3 = {"x": 4, "y": 4, "z": 4}
 AX2 = {"x": 8, "y": 8}
