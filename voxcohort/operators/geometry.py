@@ -29,6 +29,52 @@ def inside_ellipsoids(vox: DataFrame, pose: DataFrame) -> DataFrame:
     return j.where(near).where(F.round(ellipsoid_q(), 9) < 1)
 
 
+ROTATION = [f"m{i}{j}" for i in range(3) for j in range(3)]
+
+
+def euler(a: Column, b: Column, c: Column) -> dict[str, Column]:
+    """m00 .. m22 of the rotation by c about z, then b about y, then a about x; rows are the ellipsoid's axes."""
+    ca, sa, cb, sb, cc, sc = F.cos(a), F.sin(a), F.cos(b), F.sin(b), F.cos(c), F.sin(c)
+    rows = ((cb * cc, cb * sc, -sb), (sa * sb * cc - ca * sc, sa * sb * sc + ca * cc, sa * cb), (ca * sb * cc + sa * sc, ca * sb * sc - sa * cc, ca * cb))
+    return {f"m{i}{j}": rows[i][j] for i in range(3) for j in range(3)}
+
+
+def rotated_cells(poses: DataFrame, dims: tuple[int, int, int], sides: tuple[str, str] = ("L", "R"), project: bool = False, radius_floor: float = 1e-3) -> DataFrame:
+    """Grid cells inside the ellipsoids of a scan: uid, x, y, z, left, right, either; or their projection along z: uid, x, y and the flags.
+
+    poses has uid, side, centre c*, radii r* and the rotation m00 .. m22, one row per side. A point is inside if the rotated, scaled distance is
+    below one. Only cells within the exact axis ranges c +- sqrt(sum of (m r)^2) are made, from the poses alone: no voxel is read or joined,
+    and the only shuffle brings the two poses of a scan together. A side that is missing is false.
+    """
+    fields = ["cx", "cy", "cz", *(F.greatest(F.col(f"r{a}"), F.lit(radius_floor)).alias(f"r{a}") for a in "xyz"), *ROTATION]
+    g = poses.groupBy("uid").agg(*[F.max(F.when(F.col("side") == s, F.struct(*fields))).alias(f"_{k}") for k, s in enumerate(sides)])
+    ranges = {}
+    for j, (a, n) in enumerate(zip("xyz", dims, strict=True)):
+        ends = []
+        for k in range(2):
+            f = lambda c, k=k: F.col(f"_{k}.{c}")
+            reach = F.sqrt(sum((F.pow(f(f"m{i}{j}") * f(f"r{b}"), 2) for i, b in enumerate("xyz")), F.lit(0.0)))
+            ends.append((F.greatest(F.lit(0), F.ceil(f(f"c{a}") - reach)).cast("int"), F.least(F.lit(n - 1), F.floor(f(f"c{a}") + reach)).cast("int")))
+        lo, hi = F.least(ends[0][0], ends[1][0]), F.greatest(ends[0][1], ends[1][1])
+        ranges[a] = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+
+    def inside(k: int, z: Column) -> Column:
+        f = lambda c: F.col(f"_{k}.{c}")
+        d = [F.col("x") - f("cx"), F.col("y") - f("cy"), z - f("cz")]
+        u = [(f(f"m{i}0") * d[0] + f(f"m{i}1") * d[1] + f(f"m{i}2") * d[2]) / f(f"r{b}") for i, b in enumerate("xyz")]
+        return F.coalesce(F.round(u[0] * u[0] + u[1] * u[1] + u[2] * u[2], 9) < 1, F.lit(False))
+
+    t = g.withColumn("x", F.explode(ranges["x"])).withColumn("y", F.explode(ranges["y"]))
+    if project:
+        column = lambda k: F.exists(ranges["z"], lambda z: inside(k, z))
+        flags = [column(0), column(1)]
+        t = t.select("uid", "x", "y", flags[0].alias("left"), flags[1].alias("right"))
+    else:
+        t = t.withColumn("z", F.explode(ranges["z"]))
+        t = t.select("uid", "x", "y", "z", inside(0, F.col("z")).alias("left"), inside(1, F.col("z")).alias("right"))
+    return t.withColumn("either", F.col("left") | F.col("right")).where("either")
+
+
 def moment_ellipsoids(mask: DataFrame, keys: list[str], least: int = 30) -> DataFrame:
     """Centroid and quadratic form inv(5 (cov + 1e-3 I)) per group; NULL when too few voxels."""
     ax = ("x", "y", "z")

@@ -143,6 +143,34 @@ def peak_mean_maps(boxes: DataFrame, dims: tuple[int, int, int], axis: int = 2,
     ).drop("_sup", "_n")
 
 
+def hemisphere_views(boxes: DataFrame, dims: tuple[int, int, int], slabs: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(uid, slab, row, y, peak, mean): maps along left-right of each slab of x, on the frame of the axial map.
+
+    Rows are S-I, columns the A-P axis that both views share; the S-I extent sits in the middle of as many rows as the volume has L-R
+    planes, the odd row after it, and what surrounds it is zero. Levels are the slab's own. No shuffle.
+    """
+    nx, ny, nz = dims
+    spare = nx - nz
+    if spare < 0:
+        raise ValueError("the S-I extent does not fit the axial map")
+    out = None
+    for k, (lo, hi) in enumerate(slabs):
+        part = boxes.select("uid", F.slice("data", lo * ny * nz + 1, (hi - lo) * ny * nz).alias("data"))
+        m = peak_mean_maps(part, (hi - lo, ny, nz), axis=0)
+        m = m.select("uid", F.lit(k).alias("slab"), (F.col("z") + spare // 2).cast("int").alias("row"), "y", "peak", "mean")
+        frame = [r for r in range(nx) if not spare // 2 <= r < spare // 2 + nz]
+        if frame:
+            rim = boxes.select("uid", F.lit(k).alias("slab"), F.explode(F.array(*[F.lit(r) for r in frame])).alias("row")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(ny - 1))))
+            m = m.unionByName(rim.select("*", F.lit(0.0).alias("peak"), F.lit(0.0).alias("mean")))
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+def channels(maps: DataFrame, stack: list[str], swap: dict[int, str] | None = None, name: str = "c") -> DataFrame:
+    """Numbered channels c0 .. of a pixel's maps; `swap` puts another map in a channel's place."""
+    return maps.withColumns({f"{name}{k}": F.col((swap or {}).get(k, c)) for k, c in enumerate(stack)})
+
+
 def to_boxes(vox: DataFrame, dims: tuple[int, int, int], carry: tuple[str, ...] = ()) -> DataFrame:
     """Array form from long form; absent voxels become zero. One array per scan, bounded by the grid."""
     nx, ny, nz = dims

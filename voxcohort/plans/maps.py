@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.constants import EROSION_STEPS, EROSION_STEPS_3D
 from ..functions.scalars import let, mean_of, r6, sigmoid, sorted_nearest
 from ..operators import maps as mp
 from ..operators import volumes as vol
@@ -51,33 +52,19 @@ def generic_maps(spark, sf):
     return p.select("uid", "x", "y", r6(F.array_max("prof")).alias("top"), r6(mean_of("prof")).alias("mean"), r6(F.sqrt(var + 1e-6)).alias("sd"))
 
 
-def moments_sql(src: str, v: str = "v", k: int = 3) -> str:
+def moments_sql(src: str, v: str = "v", k: int = 3, n: str = "") -> str:
     h, a = k // 2, float(k * k)
     s = lambda e: f"sum(b.{v}{e})"
     dx, dy = "*(b.x - a.x)", "*(b.y - a.y)"
-    return f"""m0 as (select a.uid, a.x, a.y, greatest({s('')}/{a}::double, 1e-4) m00, {s(dx)}/{a * k}::double mx, {s(dy)}/{a * k}::double my, {s(dx + dx)}/{a * k * k}::double mxx, {s(dy + dy)}/{a * k * k}::double myy, {s(dx + dy)}/{a * k * k}::double mxy
+    return f"""{n}m0 as (select a.uid, a.x, a.y, greatest({s('')}/{a}::double, 1e-4) m00, {s(dx)}/{a * k}::double mx, {s(dy)}/{a * k}::double my, {s(dx + dx)}/{a * k * k}::double mxx, {s(dy + dy)}/{a * k * k}::double myy, {s(dx + dy)}/{a * k * k}::double mxy
       from {src} a join {src} b on a.uid = b.uid and abs(a.x - b.x) <= {h} and abs(a.y - b.y) <= {h} group by 1, 2, 3),
-    mo as (select uid, x, y, greatest(0, mxx/m00 - mx*mx/m00/m00) u20, greatest(0, myy/m00 - my*my/m00/m00) u02, mxy/m00 - mx*my/m00/m00 u11 from m0),
-    an as (select *, (u20+u02)/2 + sqrt(greatest(pow((u20-u02)/2,2) + u11*u11, 1e-12)) l1, greatest(0, (u20+u02)/2 - sqrt(greatest(pow((u20-u02)/2,2) + u11*u11, 1e-12))) l2 from mo)"""
+    {n}mo as (select uid, x, y, greatest(0, mxx/m00 - mx*mx/m00/m00) u20, greatest(0, myy/m00 - my*my/m00/m00) u02, mxy/m00 - mx*my/m00/m00 u11 from {n}m0),
+    {n}an as (select *, (u20+u02)/2 + sqrt(greatest(pow((u20-u02)/2,2) + u11*u11, 1e-12)) l1, greatest(0, (u20+u02)/2 - sqrt(greatest(pow((u20-u02)/2,2) + u11*u11, 1e-12))) l2 from {n}mo)"""
 
 
 _ANI = "(l1-l2)/(l1+l2+1e-6)"
 
 
-@query(
-    "anisotropy_map",
-    f"""with {moments_sql('v_img')}, t as (select an.*, v/greatest(max(v) over (partition by uid), 1e-3) rel from an join v_img using (uid, x, y))
-    select uid, x, y, {r(_ANI + '*rel')} aniso, {r('(u20-u02)/(u20+u02+1e-6)*rel')} cos2, {r('2*u11/(u20+u02+1e-6)*rel')} sin2 from t""",
-    ("v_img",),
-)
-def anisotropy_map(spark, sf):
-    img = assert_dense(scan_image(spark, sf), {"x": IMG[0], "y": IMG[1]})
-    t = mp.local_moments(img, "v", 3).withColumn("rel", F.col("v") / F.greatest(F.max("v").over(mp.scan()), F.lit(1e-3)))
-    c, s = mp.orientation()
-    rel = F.col("rel")
-    return t.select("uid", "x", "y", r6(mp.anisotropy() * rel).alias("aniso"), r6(c * rel).alias("cos2"), r6(s * rel).alias("sin2"))
-
-
 def erosion_sql(src: str, v: str, steps: int, name: str, three: bool = False) -> str:
     """Direct neighbourhood minima of growing radius, summed."""
     z = " and abs(a.z - b.z) <= k.k" if three else ""
@@ -95,14 +82,31 @@ def _anchored(spark, sf, guard=False):
     return mp.anchored(img, "v", "region", WIN, least=6, guard=guard)
 
 
+_SOFT = f"{_ANCHOR}, sf as (select *, {sig('(v - 0.5::double*anchor)/greatest(0.5::double*anchor, 1e-3)*12')} soft from ac)"
+_DEPTH = f"{_SOFT}, {erosion_sql('sf', 'soft', EROSION_STEPS, 'dd')}, dp as (select uid, x, y, region, d/greatest(max(d*region) over (partition by uid), 1e-3) depth from dd join sf using (uid, x, y))"
+
+
 @query(
-    "depth_map",
-    f"""with {_ANCHOR}, sf as (select *, {sig('(v - 0.5::double*anchor)/greatest(0.5::double*anchor, 1e-3)*12')} soft from ac), {erosion_sql('sf', 'soft', 3, 'dd')}
-    select uid, x, y, {r('d/greatest(max(d*region) over (partition by uid), 1e-3)')} depth from dd join sf using (uid, x, y)""",
+    "anisotropy_map",
+    f"""with {moments_sql('v_img')}, {_SOFT}, {smooth_sql('v_img', 'bl', AX2, W5)}, {moments_sql('bl', n='s_')}, t as (select an.*, v/greatest(max(v) over (partition by uid), 1e-3) rel from an join v_img using (uid, x, y))
+    select t.uid, t.x, t.y, {r('(t.l1-t.l2)/(t.l1+t.l2+1e-6)*rel')} aniso, {r('(t.u20-t.u02)/(t.u20+t.u02+1e-6)*rel')} cos2, {r('2*t.u11/(t.u20+t.u02+1e-6)*rel')} sin2, {r('(t.l1-t.l2)/(t.l1+t.l2+1e-6)*soft')} gated, {r('(q.l1-q.l2)/(q.l1+q.l2+1e-6)*soft')} smooth_gated
+    from t join sf using (uid, x, y) join s_an q using (uid, x, y)""",
     ("v_img",),
 )
+def anisotropy_map(spark, sf):
+    """Local elongation weighted by relative uptake; or gated by the soft level set, on the map itself and on the smoothed map."""
+    img = assert_dense(_anchored(spark, sf), {"x": IMG[0], "y": IMG[1]})
+    t = mp.local_moments(img, "v", 3).withColumn("rel", F.col("v") / F.greatest(F.max("v").over(mp.scan()), F.lit(1e-3)))
+    c, s = mp.orientation()
+    rel, soft = F.col("rel"), mp.soft_above("v", F.lit(0.5) * F.col("anchor"))
+    t = t.select("uid", "x", "y", "v", r6(mp.anisotropy() * rel).alias("aniso"), r6(c * rel).alias("cos2"), r6(s * rel).alias("sin2"), r6(mp.anisotropy() * soft).alias("gated"), soft.alias("soft"))
+    t = mp.local_moments(smooth(t, ["x", "y"], "v", SIGMA), "v", 3)
+    return t.select("uid", "x", "y", "aniso", "cos2", "sin2", "gated", r6(mp.anisotropy() * F.col("soft")).alias("smooth_gated"))
+
+
+@query("depth_map", f"with {_DEPTH} select uid, x, y, {r('depth')} depth from dp", ("v_img",))
 def depth_map(spark, sf):
-    t = mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), 3)
+    t = mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS)
     return t.select("uid", "x", "y", r6("depth").alias("depth"))
 
 
@@ -142,11 +146,11 @@ def _peaks(spark, sf):
 
 @query(
     "peak_distance_map",
-    f"with {_SMO} select a.uid, a.x, a.y, {r('exp(-least(5, coalesce(min(greatest(abs(a.x-b.x), abs(a.y-b.y))), 5))/6.0::double)')} near from pkf a left join pkf b on a.uid = b.uid and b.peak group by 1, 2, 3",
+    f"with {_SMO} select a.uid, a.x, a.y, {r('exp(-least(20, coalesce(min(greatest(abs(a.x-b.x), abs(a.y-b.y))), 20))/6.0::double)')} near from pkf a left join pkf b on a.uid = b.uid and b.peak group by 1, 2, 3",
     ("v_img",),
 )
 def peak_distance_map(spark, sf):
-    return mp.peak_distance(_peaks(spark, sf), steps=5).select("uid", "x", "y", r6("near").alias("near"))
+    return mp.peak_distance(_peaks(spark, sf), steps=20).select("uid", "x", "y", r6("near").alias("near"))
 
 
 @query(
@@ -185,21 +189,32 @@ def deficit_map(spark, sf):
     return _anchored(spark, sf).select("uid", "x", "y", r6(F.col("region") * (1 - F.least(F.lit(1.0), F.col("v") / lvl))).alias("deficit"))
 
 
+LEAST_3D = 3
+WIN_3D = (2, 2, 1)
+
+
 @query(
     "depth_map_3d",
-    f"""with {_PEAK}, rg0 as (select distinct uid, x, y from v_masks), a as (select pk.uid, greatest(max(case when rg0.uid is not null then peak else 0 end), 1e-3) a from pk left join rg0 using (uid, x, y) group by 1),
-    sv as (select v.uid, v.x, v.y, v.z, {sig('(v - 0.5::double*a)/greatest(0.5::double*a, 1e-3)*12')} s from v_vox v join a using (uid)), {erosion_sql('sv', 's', 2, 'd3', True)}, f as (select uid, x, y, avg(d) d from d3 group by 1, 2, 3)
-    select f.uid, f.x, f.y, {r('d/greatest(max(case when g.uid is not null then d else 0 end) over (partition by f.uid), 1e-3)')} depth from f left join rg0 g on f.uid = g.uid and f.x = g.x and f.y = g.y""",
+    f"""with {_PEAK}, mk as (select distinct uid, x, y from v_masks), rg0 as (select pk.uid, pk.x, pk.y, peak, case when count(mk.uid) over (partition by pk.uid) >= {LEAST_3D} then (mk.uid is not null)::int else (pk.x between 1 and 2 and pk.y between 1 and 2)::int end region from pk left join mk using (uid, x, y)),
+    a as (select uid, greatest(max(peak*region), 1e-3) a from rg0 group by 1),
+    sv as (select v.uid, v.x, v.y, v.z, {sig('(v - 0.5::double*a)/greatest(0.5::double*a, 1e-3)*12')} s from v_vox v join a using (uid)), {erosion_sql('sv', 's', EROSION_STEPS_3D, 'd3', True)}, f as (select uid, x, y, avg(d) d from d3 group by 1, 2, 3),
+    n as (select uid, x, y, region, d/greatest(max(d*region) over (partition by uid), 1e-3) depth from f join rg0 using (uid, x, y)) select uid, x, y, {r('depth')} depth, {r('depth*region')} roi from n""",
     ("v_vox", "v_masks"),
 )
 def depth_map_3d(spark, sf):
+    """Erosion depth of the volume, averaged along S-I and divided by its maximum in the region; `roi` keeps the region alone.
+
+    The region is the projected mask, or the fixed window where that has too few pixels.
+    """
     pk = vol.peak_mean_maps(v_boxes(spark, sf), DIMS).select("uid", "x", "y", "peak")
     reg = v_masks(spark, sf).select("uid", "x", "y").distinct().withColumn("region", F.lit(1))
-    a = pk.join(reg, ["uid", "x", "y"], "left").groupBy("uid").agg(F.greatest(F.max(F.when(F.col("region") == 1, F.col("peak")).otherwise(F.lit(0.0))), F.lit(1e-3)).alias("a"))
-    v = scan_voxels(spark, sf).join(a, "uid").withColumn("s", mp.soft_above("v", F.lit(0.5) * F.col("a")))
-    d = erosion_depth(v, ["x", "y", "z"], "s", 2).groupBy("uid", "x", "y").agg(F.avg("depth").alias("d")).join(reg, ["uid", "x", "y"], "left")
-    d = d.withColumn("region", F.coalesce("region", F.lit(0)))
-    return d.select("uid", "x", "y", r6(mp.over_region_max("d")).alias("depth"))
+    at = pk.join(reg, ["uid", "x", "y"], "left").withColumn("region", F.coalesce("region", F.lit(0)))
+    at = cut(mp.anchored(at, "peak", "region", WIN_3D, least=LEAST_3D).select("uid", "x", "y", "region", "anchor"))
+    b = v_boxes(spark, sf).select("uid", "data").join(at.groupBy("uid").agg(F.max("anchor").alias("a")), "uid")
+    v = vol.voxels(b.repartition("uid"), DIMS, ("a",)).withColumn("s", mp.soft_above("v", F.lit(0.5) * F.col("a")))
+    d = erosion_depth(v, ["x", "y", "z"], "s", EROSION_STEPS_3D).groupBy("uid", "x", "y").agg(F.avg("depth").alias("d")).join(at, ["uid", "x", "y"])
+    d = d.withColumn("depth", mp.over_region_max("d"))
+    return d.select("uid", "x", "y", r6("depth").alias("depth"), r6(F.col("depth") * F.col("region")).alias("roi"))
 
 
 K = 3.0
@@ -296,14 +311,17 @@ def slab_views(spark, sf):
 
 @query(
     "roi_gated_map",
-    f"""with {_REGION}, rv as (select uid, x, y, region::double v from rg), {smooth_sql('rv', 's', AX2, W5)}, g as (select rg.uid, rg.x, rg.y, region, rg.v * greatest(0, least(1, s.v)) g from rg join s using (uid, x, y))
-    select uid, x, y, {r('g/greatest(max(g*region) over (partition by uid), 1e-3)')} gated from g""",
+    f"""with {_DEPTH}, rv as (select uid, x, y, region::double v from rg), {smooth_sql('rv', 's', AX2, W5)}, g as (select rg.uid, rg.x, rg.y, rg.region, rg.v * greatest(0, least(1, s.v)) g, dp.depth * greatest(0, least(1, s.v)) h from rg join s using (uid, x, y) join dp using (uid, x, y))
+    select uid, x, y, {r('g/greatest(max(g*region) over (partition by uid), 1e-3)')} gated, {r('h/greatest(max(h*region) over (partition by uid), 1e-3)')} depth from g""",
     ("v_img",),
 )
 def roi_gated_map(spark, sf):
-    t = _anchored(spark, sf).withColumn("soft", F.col("region").cast("double"))
-    t = smooth(t, ["x", "y"], "soft", SIGMA).withColumn("g", F.col("v") * F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("soft"))))
-    return t.select("uid", "x", "y", r6(mp.over_region_max("g")).alias("gated"))
+    """The image, and its depth map, kept inside the soft-edged region and put back on their maximum there."""
+    t = mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS)
+    t = smooth(t.withColumn("soft", F.col("region").cast("double")), ["x", "y"], "soft", SIGMA)
+    soft = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("soft")))
+    t = t.withColumns({"g": F.col("v") * soft, "h": F.col("depth") * soft})
+    return t.select("uid", "x", "y", r6(mp.over_region_max("g")).alias("gated"), r6(mp.over_region_max("h")).alias("depth"))
 
 
 @query(
@@ -357,11 +375,31 @@ def axis_views(spark, sf):
     return out
 
 
-@query("map_broadcast", f"with {_PEAK} select uid, x, y, z, {r('peak')} ch2, {r('mean')} ch3, {r('mu')} level from pk cross join (values (1), (2)) k(z)", ("v_vox",))
+_HEMI = (8, 4, 2)
+_SLAB = "with s as (select *, i // 8 hx, (i // 2) % 4 hy, i % 2 hz from v_vox), t as (select uid, k slab, hx, hy, hz, v from s join (values (0, 1, 4), (1, 4, 7)) b(k, lo, hi) on hx >= lo and hx < hi)"
+
+
+@query(
+    "hemisphere_views",
+    f"""{_SLAB}, lv as (select uid, slab, greatest(0.5, 4.09::double*avg(v) + 1.259::double) tau from t group by 1, 2), m as (select uid, slab, hy, hz, max(v) m from t group by 1, 2, 3, 4),
+    p as (select uid, slab, cast(hz + 3 as int) "row", hy y, max(m) + (ln(sum(exp(tau*(v - m)))) - ln(3.0::double))/max(tau) peak, avg(v) mean from t join m using (uid, slab, hy, hz) join lv using (uid, slab) group by 1, 2, hz, 4),
+    f as (select uid, slab, cast(r.range as int) "row", cast(y.range as int) y from (select distinct uid, slab from t) cross join range(8) r cross join range(4) y)
+    select uid, slab, "row", y, {r('coalesce(peak, 0)')} peak, {r('coalesce(mean, 0)')} mean from f left join p using (uid, slab, "row", y)""",
+    ("v_vox",),
+)
+def hemisphere_views(spark, sf):
+    """Sagittal maps of both hemispheres, on the axial map's frame; the 64 values are read as a grid of 8 x 4 x 2."""
+    t = vol.hemisphere_views(v_boxes(spark, sf), _HEMI, ((1, 4), (4, 7)))
+    return t.select("uid", "slab", "row", "y", r6("peak").alias("peak"), r6("mean").alias("mean"))
+
+
+@query("map_broadcast", f"with {_PEAK} select uid, x, y, z, {r('peak')} ch2, {r('mean')} ch3, {r('mu')} level, {r('peak')} c0, {r('mean')} c1, {r('mu')} c2, {r('peak*mean')} c3, {r('peak')} w0, {r('mean')} w1, {r('peak*mean')} w2, {r('mu')} w3 from pk cross join (values (1), (2)) k(z)", ("v_vox",))
 def map_broadcast(spark, sf):
-    """Copy two maps and a per-scan constant over a slice range."""
-    m = vol.peak_mean_maps(v_boxes(spark, sf), DIMS)
-    return m.select("uid", "x", "y", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("z"), r6("peak").alias("ch2"), r6("mean").alias("ch3"), r6("mu").alias("level"))
+    """Copy two maps and a per-scan constant over a slice range; and a stack of four channels, before and after two of them are swapped for other maps."""
+    m = vol.peak_mean_maps(v_boxes(spark, sf), DIMS).withColumn("prod", F.col("peak") * F.col("mean"))
+    m = vol.channels(vol.channels(m, ["peak", "mean", "mu", "prod"]), ["peak", "mean", "mu", "prod"], {2: "prod", 3: "mu"}, "w")
+    stack = [r6(f"{n}{k}").alias(f"{n}{k}") for n in "cw" for k in range(4)]
+    return m.select("uid", "x", "y", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("z"), r6("peak").alias("ch2"), r6("mean").alias("ch3"), r6("mu").alias("level"), *stack)
 
 
 @query("slice_pivot", f"select uid, x, y, {', '.join(r(f'max(case when z = {k} then v end)') + f' z{k}' for k in range(4))} from v_vox group by 1, 2, 3", ("v_vox",))
@@ -372,7 +410,7 @@ def slice_pivot(spark, sf):
 
 @query(
     "mixed_maps",
-    f"""with {_ANCHOR}, {moments_sql('v_img')}, sf as (select *, {sig('(v - 0.5::double*anchor)/greatest(0.5::double*anchor, 1e-3)*12')} soft from ac), {erosion_sql('sf', 'soft', 3, 'dd')}
+    f"""with {_ANCHOR}, {moments_sql('v_img')}, sf as (select *, {sig('(v - 0.5::double*anchor)/greatest(0.5::double*anchor, 1e-3)*12')} soft from ac), {erosion_sql('sf', 'soft', EROSION_STEPS, 'dd')}
     select sf.uid, sf.x, sf.y, {r('sf.v')} top, {r(_ANI + '*sf.v/greatest(max(sf.v) over (partition by sf.uid), 1e-3)')} aniso, {r('d/greatest(max(d*region) over (partition by sf.uid), 1e-3)')} depth from sf join an using (uid, x, y) join dd using (uid, x, y)""",
     ("v_img",),
 )

@@ -8,13 +8,13 @@ from ..functions.scalars import half_even, r6, sigmoid, sorted_nearest, sorted_q
 from ..operators import volumes as vol
 from ..operators.boxes import gather_box
 from ..operators.components import components, fill_holes, largest
-from ..operators.geometry import inside_ellipsoids, moment_ellipsoids, pose_matrix, resample
+from ..operators.geometry import euler, inside_ellipsoids, moment_ellipsoids, pose_matrix, resample, rotated_cells
 from ..operators.ranking import quantiles
 from ..operators.stencil import frame, kernel, offsets_join, smooth, smooth_box
 from ..session import cut
 from .registry import query, r
 from .sqltext import components_sql, sig, smooth_sql
-from .views import DIMS, IMG, scan_voxels, v_affine, v_boxes, v_grid, v_img, v_masks, v_pose, v_vox
+from .views import DIMS, IMG, scan_voxels, table, v_affine, v_boxes, v_grid, v_img, v_masks, v_pose, v_vox
 
 AX3 = {"x": 4, "y": 4, "z": 4}
 AX2 = {"x": 8, "y": 8}
@@ -642,6 +642,30 @@ def ellipsoid_membership(spark, sf):
     return inside_ellipsoids(v_vox(spark, sf), v_pose(spark, sf)).select("uid", "x", "y", "z", "side")
 
 
+_ANGLES = ("0.05::double*label", "0.07::double*label", "th")
+_TURN = f"""an as (select uid, side, cx, cy, cz, greatest(rx, 1e-3) rx, greatest(ry, 1e-3) ry, greatest(rz, 1e-3) rz, {', '.join(f'cos({e}) c{k}, sin({e}) s{k}' for k, e in enumerate(_ANGLES))} from v_pose p join (select vec_id, label from embeddings) e on e.vec_id = p.uid),
+    ro as (select *, c1*c2 m00, c1*s2 m01, -s1 m02, s0*s1*c2 - c0*s2 m10, s0*s1*s2 + c0*c2 m11, s0*c1 m12, c0*s1*c2 + s0*s2 m20, c0*s1*s2 - s0*c2 m21, c0*c1 m22 from an),
+    el as (select uid, x, y, z, bool_or(side = 'L') "left", bool_or(side = 'R') "right", true either from ro cross join (select cast(range as int) x from range(4)) cross join (select cast(range as int) y from range(4)) cross join (select cast(range as int) z from range(4))
+    where round({' + '.join(f"pow((m{i}0*(x - cx) + m{i}1*(y - cy) + m{i}2*(z - cz))/r{a}, 2)" for i, a in enumerate("xyz"))}, 9) < 1 group by 1, 2, 3, 4)"""
+
+
+def _turned(spark, sf):
+    lab = table(spark, sf, "embeddings").select(F.col("vec_id").alias("uid"), "label")
+    return v_pose(spark, sf).join(lab, "uid").withColumns(euler(F.lit(0.05) * F.col("label"), F.lit(0.07) * F.col("label"), F.col("th")))
+
+
+@query("ellipsoid_rotated", f"with {_TURN} select * from el", ("v_pose",))
+def ellipsoid_rotated(spark, sf):
+    """Cells inside fully rotated ellipsoids, per side and united."""
+    return rotated_cells(_turned(spark, sf), DIMS)
+
+
+@query("ellipsoid_projected", f"""with {_TURN} select uid, x, y, bool_or("left") "left", bool_or("right") "right", true either from el group by 1, 2, 3""", ("v_pose",))
+def ellipsoid_projected(spark, sf):
+    """The same, projected along S-I, per side and united."""
+    return rotated_cells(_turned(spark, sf), DIMS, project=True)
+
+
 @query(
     "axis_ellipsoid_cut",
     f"""with m as (select v.uid, x, y, z, side, v from v_vox v join v_pose p using (uid) where round(pow((x-cx)/rx, 2) + pow((y-cy)/ry, 2) + pow((z-cz)/rz, 2), 9) <= 1), t as (select uid, max(v) top from m group by 1)
