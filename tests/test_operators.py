@@ -279,6 +279,44 @@ def test_permutations_of_many_replicates(spark):
     assert len(got) == 500 and (third.sort_index() == one.sort_index()).all() and got.groupby("uid").v.nunique().mean() > 3
 
 
+def test_fits_by_group_equal_fits_alone(spark):
+    """The table of fits takes the same steps as a fit on its own: free, bounded, pinned, separable and null groups."""
+    r = np.random.default_rng(6)
+    rows = []
+    for g in range(12):
+        a, b = r.uniform(0.1, 4.5), r.uniform(-1, 1)
+        for z in r.normal(size=80) * 2:
+            rows.append((g if g else None, float(z), float(r.random() < 1 / (1 + math.exp(-(a * z + b))))))
+    rows += [(99, -1.0, 0.0), (99, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, z double, y double")
+    for options in ({"slope_bounds": (0.3, 2.0)}, {"slopes": [0.5, 1.5], "intercept_bounds": (-0.5, 0.5)}, {"intercept": 0.1}):
+        many = calibration.fit(df, group="g", steps=14, **options).collect()
+        assert len(many) == 13 * len(options.get("slopes", [0]))
+        for g in (None, 5, 99):
+            alone = calibration.fit(df.where(F.col("g").eqNullSafe(g)), steps=14, **options).collect()
+            mine = [x for x in many if x.g == g]
+            for x, y in zip(sorted(mine, key=str), sorted(alone, key=str), strict=True):
+                assert (x.slope, x.converged) == (y.slope, y.converged), (g, options)
+                if y.converged:
+                    assert (x.a, x.b) == pytest.approx((y.a, y.b), abs=1e-8), (g, options)
+
+
+def test_a_hundred_thousand_groups(spark):
+    n = 100_000
+    df = spark.range(n * 8, numPartitions=8).select(F.floor(F.col("id") / 8).alias("g"), (F.col("id") % 8 - 3.5).alias("z"), (((F.col("id") % 8) >= 4) != ((F.col("id") % 8).isin(2, 5) & (F.floor(F.col("id") / 8) % 2 == 0) | (F.col("id") % 8).isin(3, 4))).cast("int").alias("y"))
+    got = calibration.fit(df, group="g").agg(F.count("*").alias("n"), F.count_if("converged").alias("ok"), F.countDistinct(F.round("a", 6)).alias("kinds"), F.max(F.abs("b")).alias("b")).first()
+    assert (got.n, got.ok, got.kinds) == (n, n, 2) and got.b < 1e-6
+
+
+def test_elimination_solves(spark):
+    r = np.random.default_rng(3)
+    m = r.normal(size=(5, 9))
+    h, g = m @ m.T, r.normal(size=5)
+    row = {f"h{i}_{j}": float(h[i, j]) for i in range(5) for j in range(i, 5)} | {f"g{i}": float(v) for i, v in enumerate(g)}
+    got = study.solved(spark.createDataFrame(pd.DataFrame([row])), "h", "g", "x", 5).first()
+    assert np.allclose([got[f"x{i}"] for i in range(5)], np.linalg.solve(h, g))
+
+
 def test_logistic_fits_are_out_of_fold(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(size=300)

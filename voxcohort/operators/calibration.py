@@ -1,7 +1,7 @@
 """Slope and intercept fits as Newton steps over distributed sums.
 
-Rows are frozen once; each step is one aggregation whose result is a few numbers per fit, and the
-driver only solves 2x2 systems.
+Rows are frozen once; each step is one aggregation. Without a group a fit is a handful of numbers, and the driver takes the step. With
+groups, however many, the fits are a table: every step joins it to the rows by group, sums, and takes all steps as columns.
 """
 
 from __future__ import annotations
@@ -13,53 +13,26 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import EPS
 from ..functions.scalars import calibrate, log_loss_term
-from ..session import cut
-from .cohort import MAX_SMALL
+from ..session import cut, stored
 
 # Newton converges quadratically: a last step below this leaves an error far below it
 TOL = 1e-10
 
 
-def _sums(df: DataFrame, group: str | None, fits: dict, free_a: bool, free_b: bool):
-    """Gradient and curvature sums for every (group value, fit name) at its current (a, b).
+def _terms(a, b) -> list:
+    """Gradient and curvature terms of a row at (a, b): g*z, g, h*z*z, h*z, h."""
+    z = F.col("z")
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(a * z + b)))
+    g, h = p - F.col("y"), p * (F.lit(1.0) - p)
+    return [g * z, g, h * z * z, h * z, h]
 
-    Order: g*z, g, h*z*z, h*z, h; sums a pinned parameter makes needless are not computed.
-    """
+
+def _sums(df: DataFrame, fits: dict, free_a: bool, free_b: bool) -> dict:
+    """Sums of the terms of every named fit at its current (a, b); those a pinned parameter makes needless are not computed."""
     need = [k for k in range(5) if (free_a and k in (0, 2)) or (free_b and k in (1, 4)) or (free_a and free_b and k == 3)]
-    names = sorted({k[1] for k in fits})
-    values = sorted({k[0] for k in fits}, key=str)
-    aggs = []
-    for j, name in enumerate(names):
-        if group is None:
-            a, b = (F.lit(x) for x in fits[(None, name)])
-        else:
-            a, b = (
-                F.create_map(*[x for v in values for x in (F.lit(v), F.lit(fits[(v, name)][i]))])[F.col(group)]
-                for i in (0, 1)
-            )
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(a * F.col("z") + b)))
-        g, h = p - F.col("y"), p * (F.lit(1.0) - p)
-        z = F.col("z")
-        aggs += [
-            F.sum(x).alias(f"s{j}_{k}") for k, x in enumerate((g * z, g, h * z * z, h * z, h)) if k in need
-        ]
-    rows = (df.groupBy(group) if group else df.groupBy()).agg(*aggs).collect()
-    out = {}
-    for row in rows:
-        for j, name in enumerate(names):
-            out[(row[group] if group else None, name)] = [row[f"s{j}_{k}"] if k in need else 0.0 for k in range(5)]
-    return out
-
-
-def _freeze(df: DataFrame, group: str | None, ready: bool) -> tuple[DataFrame, list]:
-    cols = ([group] if group else []) + ["z", F.col("y").cast("double").alias("y")]
-    frozen = df.select(*cols) if ready else cut(df.select(*cols))
-    if not group:
-        return frozen, [None]
-    got = frozen.select(group).distinct().limit(MAX_SMALL + 1).collect()
-    if len(got) > MAX_SMALL:
-        raise ValueError(f"more than {MAX_SMALL} calibration groups")
-    return frozen, [r[0] for r in got]
+    aggs = [F.sum(x).alias(f"s{n}_{k}") for n, (a, b) in fits.items() for k, x in enumerate(_terms(F.lit(a), F.lit(b))) if k in need]
+    row = df.agg(*aggs).first()
+    return {n: [(row[f"s{n}_{k}"] or 0.0) if k in need else 0.0 for k in range(5)] for n in fits}
 
 
 def fit(
@@ -78,53 +51,44 @@ def fit(
     so clamping the free parameter, with the other refitted, is the bounded optimum. `ready` says the
     rows are already frozen, which saves writing them again.
     Returns one row per group and slope: a, b, and whether the steps settled; classes that a fit separates have no optimum and do not.
+    Groups may be as many as there are rows, and null is one.
     """
-    frozen, groups = _freeze(df, group, ready)
+    cols = ([group] if group else []) + ["z", F.col("y").cast("double").alias("y")]
+    frozen = df.select(*cols) if ready else cut(df.select(*cols))
     # every step scans the same few columns; the cached copy may be lost with an executor, the frozen one not
     frozen = frozen.persist()
     try:
-        return _fit(frozen, groups, df.sparkSession, group, slopes, intercept, slope_bounds, intercept_bounds, steps)
+        if group:
+            return _fit_groups(frozen, group, slopes, intercept, slope_bounds, intercept_bounds, steps)
+        return _fit(frozen, df.sparkSession, slopes, intercept, slope_bounds, intercept_bounds, steps)
     finally:
         frozen.unpersist()
 
 
-def _fit(frozen, groups, spark, group, slopes, intercept, slope_bounds, intercept_bounds, steps) -> DataFrame:
-    names = [str(i) for i in range(len(slopes))] if slopes else ["free"]
-    fits = {}
-    for v in groups:
-        for i, n in enumerate(names):
-            fits[(v, n)] = (float(slopes[i]) if slopes else 1.0, 0.0 if intercept is None else float(intercept))
+def _fit(frozen, spark, slopes, intercept, slope_bounds, intercept_bounds, steps) -> DataFrame:
+    start = 0.0 if intercept is None else float(intercept)
+    fits = {i: (float(a), start) for i, a in enumerate(slopes or [1.0])}
     free_a, free_b = slopes is None, intercept is None
-    open_ = _newton(frozen, group, fits, free_a, free_b, steps)
+    open_ = _newton(frozen, fits, free_a, free_b, steps)
     if slope_bounds and free_a:
-        lo, hi = slope_bounds
-        out = {k: (min(max(a, lo), hi), b) for k, (a, b) in fits.items() if not lo <= a <= hi}
-        if out:
-            fits.update(out)
-            if free_b:
-                redo = dict(out)
-                left = _newton(frozen, group, {**fits, **redo}, False, True, steps, only=set(redo), into=fits)
-                open_ = (open_ - set(redo)) | left
-            else:
-                open_ -= set(out)
+        a, b = fits[0]
+        held = min(max(a, slope_bounds[0]), slope_bounds[1])
+        if held != a:
+            fits[0] = (held, b)
+            open_ = _newton(frozen, fits, False, True, steps) if free_b else set()
     if intercept_bounds and free_b:
         lo, hi = intercept_bounds
         fits = {k: (a, min(max(b, lo), hi)) for k, (a, b) in fits.items()}
-    gtype = dict(frozen.dtypes)[group] if group else None
-    rows = [
-        ((v,) if group else ()) + (float(slopes[int(n)]) if slopes else None, float(a), float(b), (v, n) not in open_)
-        for (v, n), (a, b) in sorted(fits.items(), key=lambda kv: str(kv[0]))
-    ]
-    schema = (f"{group} {gtype}, " if group else "") + "slope double, a double, b double, converged boolean"
-    return spark.createDataFrame(rows, schema)
+    rows = [(float(slopes[n]) if slopes else None, float(a), float(b), n not in open_) for n, (a, b) in fits.items()]
+    return spark.createDataFrame(rows, "slope double, a double, b double, converged boolean")
 
 
-def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None) -> set:
+def _newton(frozen, fits: dict, free_a: bool, free_b: bool, steps: int) -> set:
     """Advance the fits in place; returns those that did not settle."""
-    active, stuck = set(only or fits), set()
+    active, stuck = set(fits), set()
     reach, last = dict.fromkeys(active, 4.0), dict.fromkeys(active, (0.0, 0.0))
     for _ in range(steps):
-        sums = _sums(frozen, group, fits, free_a, free_b)
+        sums = _sums(frozen, {k: fits[k] for k in active}, free_a, free_b)
         moved = set()
         for k in active:
             ga, gb, haa, hab, hbb = sums[k]
@@ -150,17 +114,70 @@ def _newton(frozen, group, fits, free_a, free_b, steps, only=None, into=None) ->
             fits[k] = (a - da, b - db)
             if max(abs(da), abs(db)) > TOL * (1.0 + abs(a) + abs(b)):
                 moved.add(k)
-        if into is not None:
-            into.update({k: fits[k] for k in active})
         active = moved
         if not active:
             break
     return active | stuck
 
 
+def _fit_groups(frozen, group, slopes, intercept, slope_bounds, intercept_bounds, steps) -> DataFrame:
+    """The same steps as _newton, for all groups at once: one row of the table per group and slope."""
+    pinned = F.lit(slopes is not None)
+    state = frozen.select(group).distinct().withColumn("slope", F.explode(F.array(*[F.lit(float(s)) for s in slopes])) if slopes else F.lit(None).cast("double"))
+    state = state.select(
+        group, "slope", F.coalesce("slope", F.lit(1.0)).alias("a"), F.lit(0.0 if intercept is None else float(intercept)).alias("b"), pinned.alias("held"),
+        F.lit(4.0).alias("reach"), F.lit(0.0).alias("la"), F.lit(0.0).alias("lb"), F.lit(True).alias("open"), F.lit(False).alias("stuck"),
+    )
+    state = _settle(frozen, stored(state), group, intercept is None, steps)
+    if slope_bounds and slopes is None:
+        lo, hi = slope_bounds
+        outside = (F.col("a") < lo) | (F.col("a") > hi)
+        # a slope at its bound is held there, and its intercept fitted anew; the others stay as they are
+        state = state.select(
+            group, "slope", F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col("a"))).alias("a"), "b", outside.alias("held"), F.lit(4.0).alias("reach"), F.lit(0.0).alias("la"), F.lit(0.0).alias("lb"),
+            (outside & F.lit(intercept is None)).alias("open"), F.lit(False).alias("stuck"), (~outside & (F.col("open") | F.col("stuck"))).alias("unsettled"),
+        )
+        state = _settle(frozen, stored(state), group, intercept is None, steps)
+        state = state.withColumn("stuck", F.col("stuck") | F.col("unsettled"))
+    b = F.col("b")
+    if intercept_bounds and intercept is None:
+        b = F.greatest(F.lit(float(intercept_bounds[0])), F.least(F.lit(float(intercept_bounds[1])), b))
+    return state.select(group, "slope", "a", b.alias("b"), (~F.col("open") & ~F.col("stuck")).alias("converged"))
+
+
+# one projection per line: the sums into steps, their finiteness and reach, the damping, and the new state
+_STEP = (
+    ("if(held, 0D, if({both}, if(det > 0, (hbb*ga - hab*gb)/det, null), if(haa > 0, ga/haa, null))) da", "if({both}, if(det > 0, (haa*gb - hab*ga)/det, null), if({free_b}, if(hbb > 0, gb/hbb, null), 0D)) db"),
+    ("coalesce(abs(da) < double('inf') and abs(db) < double('inf'), false) ok", "if(da*la + db*lb < 0, reach/2, reach) near", "greatest(abs(da), abs(db)) size"),
+    ("if(size > near, near/size, 1D) k",),
+)
+_NEW = {
+    "a": "if(open and ok, a - da*k, a)", "b": "if(open and ok, b - db*k, b)", "la": "if(open and ok, da*k, la)", "lb": "if(open and ok, db*k, lb)", "reach": "near",
+    "open": f"open and ok and greatest(abs(da*k), abs(db*k)) > {TOL!r}D*(1 + abs(a) + abs(b))", "stuck": "stuck or (open and not ok)",
+}
+
+
+def _settle(frozen, state: DataFrame, group: str, free_b: bool, steps: int) -> DataFrame:
+    """Newton steps of the open rows of the table until none moves. Rows meet the table by group; the engine broadcasts it while it is small."""
+    said = {"both": f"({str(free_b).lower()} and not held)", "free_b": str(free_b).lower()}
+    columns = state.columns
+    frozen = frozen.withColumnRenamed(group, "_g")
+    sums = [F.sum(x).alias(n) for n, x in zip(("ga", "gb", "haa", "hab", "hbb"), _terms(F.col("a"), F.col("b")), strict=True)]
+    for _ in range(steps):
+        if not state.where("open").take(1):
+            break
+        at = state.where("open").select(F.col(group).alias("_k"), F.col("slope").alias("_slope"), "a", "b")
+        s = frozen.join(at, F.expr("_g <=> _k")).groupBy("_k", "_slope").agg(*sums)
+        t = state.join(s, F.expr(f"`{group}` <=> _k and slope <=> _slope"), "left").selectExpr("*", "haa*hbb - hab*hab det")
+        for line in _STEP:
+            t = t.selectExpr("*", *[e.format(**said) for e in line])
+        state = stored(t.selectExpr(*[f"{_NEW[c]} as `{c}`" if c in _NEW else f"`{c}`" for c in columns]))
+    return state
+
+
 def losses(df: DataFrame, table: DataFrame, group: str | None = None) -> DataFrame:
-    """Log loss of the rows under every fitted (a, b); the table holds a few rows per group."""
-    joined = df.join(F.broadcast(table), group) if group else df.join(F.broadcast(table))
+    """Log loss of the rows under every fitted (a, b). Without a group the table is a handful of rows; by group it is joined like any table."""
+    joined = df.join(table, group) if group else df.join(F.broadcast(table))
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("a") * F.col("z") + F.col("b"))))
     keys = ([group] if group else []) + ["slope", "a", "b"]
     return joined.groupBy(*keys).agg(

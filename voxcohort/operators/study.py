@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import poisson1_thresholds, uniform
 from ..functions.scalars import log_loss_term, sigmoid
-from ..session import cut
+from ..session import cut, stored
 from .ranking import row_numbers
 
 
@@ -174,52 +174,50 @@ def permuted(df: DataFrame, within: list[str], column: str, seed) -> DataFrame:
     return df.drop(column).join(moved, within + ["uid"]).withColumnRenamed("_v", column)
 
 
+def solved(df: DataFrame, h: str, g: str, x: str, d: int) -> DataFrame:
+    """Adds x0 .. of the symmetric positive definite system with columns h{i}_{j} (i <= j) and g{i}: elimination, one projection per unknown."""
+    a = {(i, j): F.col(f"{h}{i}_{j}") for i in range(d) for j in range(i, d)}
+    b = [F.col(f"{g}{i}") for i in range(d)]
+    keep = df.columns
+    for k in range(d):
+        names = {f"_a{i}_{j}": c for (i, j), c in a.items()} | {f"_r{i}": c for i, c in enumerate(b)}
+        df = df.select(*keep, *[c.alias(n) for n, c in names.items()])
+        at = lambda i, j: F.col(f"_a{min(i, j)}_{max(i, j)}")
+        a = {(i, j): at(i, j) - at(k, i) * at(k, j) / at(k, k) if i > k else F.col(f"_a{i}_{j}") for (i, j) in a}
+        b = [F.col(f"_r{i}") - at(k, i) * F.col(f"_r{k}") / at(k, k) if i > k else F.col(f"_r{i}") for i in range(d)]
+    df = df.select(*keep, *[c.alias(f"_a{i}_{j}") for (i, j), c in a.items()], *[c.alias(f"_r{i}") for i, c in enumerate(b)])
+    for i in range(d - 1, -1, -1):
+        rest = sum((F.col(f"_a{i}_{j}") * F.col(f"{x}{j}") for j in range(i + 1, d)), F.lit(0.0))
+        df = df.withColumn(f"{x}{i}", (F.col(f"_r{i}") - rest) / F.col(f"_a{i}_{i}"))
+    return df.select(*keep, *[f"{x}{i}" for i in range(d)])
+
+
 def logistic_fits(
     df: DataFrame, fit_key: str, fold: str, features: list[str], y: str, ridge: float = 1e-6, steps: int = 8
 ) -> DataFrame:
-    """Out-of-fold logistic scores: one model per (fit, fold) trained on the other folds.
+    """Out-of-fold logistic scores: one ridge model per (fit, fold), trained on the fit's other folds.
 
-    All models advance together: one aggregation per step returns d(d+3)/2 sums per model, and the driver
-    solves d x d systems. Features are few by construction; rows never leave the cluster.
+    The models are a table. A step joins it to the rows by fit, sums the normal equations (mergeable, d(d+3)/2 numbers per model) and solves
+    all of them as columns; neither rows nor models reach the driver, however many models there are.
     """
     d = len(features) + 1
     frozen = cut(df)
-    models = [(r[0], r[1]) for r in frozen.select(fit_key, fold).distinct().collect()]
-    if len(models) * d * d > 200_000:
-        raise ValueError("too many models for one pass")
-    beta = {m: np.zeros(d) for m in models}
     xs = [F.lit(1.0)] + [F.col(f) for f in features]
-    folds = sorted({m[1] for m in models})
-
-    def score(rows: DataFrame, which: str) -> DataFrame:
-        # models x features numbers, bounded by the check above
-        table = rows.sparkSession.createDataFrame(
-            [(str(k), str(f), *[float(v) for v in b]) for (k, f), b in beta.items()],
-            "_k string, _f string, " + ", ".join(f"_b{i} double" for i in range(d)),
-        )
-        z = F.col("_b0")
-        for i in range(1, d):
-            z = z + F.col(f"_b{i}") * xs[i]
-        on = (F.col(fit_key).cast("string") == F.col("_k")) & (F.col(which).cast("string") == F.col("_f"))
-        out = rows.join(F.broadcast(table), on)
-        return out.withColumn("score", z).drop("_k", "_f", *[f"_b{i}" for i in range(d)])
-
-    trained = frozen.withColumn("_model", F.explode(F.array(*[F.lit(f) for f in folds]))).where(F.col("_model") != F.col(fold))
+    beta = [F.col(f"_b{i}") for i in range(d)]
+    models = stored(frozen.select(fit_key, F.col(fold).alias("_model")).distinct().select("*", *[F.lit(0.0).alias(f"_b{i}") for i in range(d)], F.lit(math.inf).alias("_moved")))
+    z = sum((b * x for b, x in zip(beta[1:], xs[1:], strict=True)), beta[0])
     for _ in range(steps):
-        t = score(trained, "_model").withColumn("_p", sigmoid("score"))
+        t = frozen.join(models, fit_key).where(F.col("_model") != F.col(fold)).withColumn("_p", sigmoid(z))
         g, h = F.col(y) - F.col("_p"), F.col("_p") * (1 - F.col("_p"))
-        aggs = [F.sum(g * xs[i]).alias(f"g{i}") for i in range(d)]
-        aggs += [F.sum(h * xs[i] * xs[j]).alias(f"h{i}_{j}") for i in range(d) for j in range(i, d)]
-        worst = 0.0
-        for row in t.groupBy(fit_key, "_model").agg(*aggs).collect():
-            hess = np.zeros((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    hess[i, j] = hess[j, i] = row[f"h{i}_{j}"]
-            m = (row[fit_key], row["_model"])
-            step = np.linalg.solve(hess + ridge * np.eye(d), np.array([row[f"g{i}"] for i in range(d)]) - ridge * beta[m])
-            beta[m] = beta[m] + step
-            worst = max(worst, float(np.abs(step).max()))
-        if worst < 1e-8:
+        aggs = [F.sum(g * xs[i]).alias(f"_g{i}") for i in range(d)]
+        aggs += [F.sum(h * xs[i] * xs[j]).alias(f"_h{i}_{j}") for i in range(d) for j in range(i, d)]
+        s = models.join(t.groupBy(fit_key, "_model").agg(*aggs), [fit_key, "_model"], "left")
+        # a model whose fold is the only one has nothing to learn from: the ridge alone keeps it at zero
+        s = s.fillna(0.0, [f"_g{i}" for i in range(d)] + [f"_h{i}_{j}" for i in range(d) for j in range(i, d)])
+        s = s.withColumns({f"_g{i}": F.col(f"_g{i}") - ridge * beta[i] for i in range(d)} | {f"_h{i}_{i}": F.col(f"_h{i}_{i}") + ridge for i in range(d)})
+        s = solved(s, "_h", "_g", "_x", d)
+        models = stored(s.select(fit_key, "_model", *[(F.col(f"_b{i}") + F.col(f"_x{i}")).alias(f"_b{i}") for i in range(d)], F.greatest(*[F.abs(f"_x{i}") for i in range(d)]).alias("_moved")))
+        if models.where("_moved >= 1e-8").isEmpty():
             break
-    return score(frozen, fold)
+    out = frozen.join(models, (frozen[fit_key] == models[fit_key]) & (frozen[fold] == models["_model"])).drop(models[fit_key])
+    return out.withColumn("score", z).drop("_model", "_moved", *[f"_b{i}" for i in range(d)])

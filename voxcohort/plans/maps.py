@@ -416,7 +416,7 @@ def slice_pivot(spark, sf):
 )
 def mixed_maps(spark, sf):
     """Maximum, anisotropy and depth side by side, computed on one partitioning by scan."""
-    t = mp.local_moments(mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), 3), "v", 3)
+    t = mp.local_moments(mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS), "v", 3)
     rel = F.col("v") / F.greatest(F.max("v").over(mp.scan()), F.lit(1e-3))
     return t.select("uid", "x", "y", r6("v").alias("top"), r6(mp.anisotropy() * rel).alias("aniso"), r6("depth").alias("depth"))
 

@@ -11,7 +11,7 @@ from ..operators.cohort import mean_one_weights
 from ..operators.ensemble import class_centred_correlation, ensemble_mean, group_dro as dro_step, member_logits, metrics, noisy_or as combine_sides
 from ..operators.ranking import auc as auc_of, midranks, quantiles, row_numbers, tile
 from .registry import query, r
-from .sqltext import auc_sql, bce, clip, ll, logit as lsql, newton, sig
+from .sqltext import auc_sql, bce, clip, ll, logit as lsql, newton, settled, sig
 from .views import table, v_ens, v_folds, v_preds
 
 
@@ -85,14 +85,14 @@ def aggregator_ladder(spark, sf):
     return auc_of(t, ["rule"], "score", "y").select("rule", r6("auc").alias("auc"))
 
 
-@query("platt_fit", f"with {newton('v_ens', 'f')} select {r('a')} a, {r('b')} b from f", ("v_ens",))
+@query("platt_fit", f"with {newton('v_ens', 'f')} select {r('a')} a, {r('b')} b, {settled('f')} converged from f", ("v_ens",))
 def platt_fit(spark, sf):
-    return cal.fit(v_ens(spark, sf)).select(r6("a").alias("a"), r6("b").alias("b"))
+    return cal.fit(v_ens(spark, sf)).select(r6("a").alias("a"), r6("b").alias("b"), "converged")
 
 
-@query("intercept_fit", f"with {newton('v_ens', 'f', a='0.85::double')} select {r('a')} slope, {r('greatest(-3.0::double, least(3.0::double, b))')} b from f", ("v_ens",))
+@query("intercept_fit", f"with {newton('v_ens', 'f', a='0.85::double')} select {r('a')} slope, {r('greatest(-3.0::double, least(3.0::double, b))')} b, {settled('f')} converged from f", ("v_ens",))
 def intercept_fit(spark, sf):
-    return cal.fit(v_ens(spark, sf), slopes=[0.85], intercept_bounds=(-3.0, 3.0)).select(r6("slope").alias("slope"), r6("b").alias("b"))
+    return cal.fit(v_ens(spark, sf), slopes=[0.85], intercept_bounds=(-3.0, 3.0)).select(r6("slope").alias("slope"), r6("b").alias("b"), "converged")
 
 
 _BOUND_A = "greatest(0.2::double, least(3.0::double, a))"
@@ -101,19 +101,19 @@ _BOUND_A = "greatest(0.2::double, least(3.0::double, a))"
 @query(
     "opt_temp_refit",
     f"""with {newton('v_ens', 'f')}, g as (select {_BOUND_A} a from f), {newton('v_ens', 'h', a='(select a from g)')}
-    select {r('a')} opt_temp, {r('b')} b from h""",
+    select {r('a')} opt_temp, {r('b')} b, {settled('h')} converged from h""",
     ("v_ens",),
 )
 def opt_temp_refit(spark, sf):
     """Best slope in (0.2, 3) with the intercept refitted at every slope."""
     t = cal.fit(v_ens(spark, sf), slope_bounds=(0.2, 3.0))
-    return t.select(r6("a").alias("opt_temp"), r6("b").alias("b"))
+    return t.select(r6("a").alias("opt_temp"), r6("b").alias("b"), "converged")
 
 
-@query("opt_temp_fixed_b", f"with {newton('v_ens', 'f', b='-0.147824566::double')} select {r(_BOUND_A)} opt_temp from f", ("v_ens",))
+@query("opt_temp_fixed_b", f"with {newton('v_ens', 'f', b='-0.147824566::double')} select {r(_BOUND_A)} opt_temp, {settled('f')} converged from f", ("v_ens",))
 def opt_temp_fixed_b(spark, sf):
     """Best slope with the intercept held at a given value."""
-    return cal.fit(v_ens(spark, sf), intercept=-0.147824566, slope_bounds=(0.2, 3.0)).select(r6("a").alias("opt_temp"))
+    return cal.fit(v_ens(spark, sf), intercept=-0.147824566, slope_bounds=(0.2, 3.0)).select(r6("a").alias("opt_temp"), "converged")
 
 
 _SLOPE_SQL = "(select uid, y, z, s.s slope from v_ens cross join (values " + ", ".join(f"({s}::double)" for s in SLOPES) + ") s(s))"
@@ -123,13 +123,13 @@ _SLOPE_SQL = "(select uid, y, z, s.s slope from v_ens cross join (values " + ",
     "slope_bracket",
     f"""with zs as {_SLOPE_SQL}, n0 as materialized (select distinct slope, 0.0::double b from zs),
     {', '.join(f"n{i} as materialized (select slope, max(b) - sum(p - y)/sum(p*(1-p)) b from (select *, 1/(1+exp(-(slope*z+b))) p from zs join n{i-1} using (slope)) group by 1)" for i in range(1, 13))}
-    select slope, {r('max(b)')} intercept, {r(ll(sig('slope*z + b')))} ll from zs join n12 using (slope) group by 1""",
+    select slope, {r('max(b)')} intercept, {r(ll(sig('slope*z + b')))} ll, max(abs(b - b0)) < 1e-7 converged from zs join n12 using (slope) join (select slope, b b0 from n11) using (slope) group by 1""",
     ("v_ens",),
 )
 def slope_bracket(spark, sf):
     e = cal.cut(v_ens(spark, sf).select("uid", "y", "z"))
     t = cal.fit(e, slopes=list(SLOPES), intercept_bounds=(-3.0, 3.0), ready=True)
-    return cal.losses(e, t).select("slope", r6("b").alias("intercept"), r6("ll").alias("ll"))
+    return cal.losses(e, t).join(F.broadcast(t.select("slope", "converged")), "slope").select("slope", r6("b").alias("intercept"), r6("ll").alias("ll"), "converged")
 
 
 @query("logit_spread", f"select {r('stddev_pop(z)')} logit_sd from v_ens", ("v_ens",))
@@ -348,12 +348,12 @@ def robust_scale(spark, sf):
 @query(
     "temperature_ladder",
     f"""with t as (select uid % 3 subset, y, z from v_ens), {newton('t', 'f', group='subset')}, bounded as (select t.*, {_BOUND_A} held from t join f using (subset)), {newton('bounded', 'k', a='held', group='subset')}
-    select subset, {r('a')} opt_slope, {r('b')} b from k""",
+    select subset, {r('a')} opt_slope, {r('b')} b, {settled('k', group='subset')} converged from k""",
     ("v_ens",),
 )
 def temperature_ladder(spark, sf):
     """Optimal slope in (0.2, 3) of the same roster on each evaluation subset."""
     t = v_ens(spark, sf).withColumn("subset", F.col("uid") % 3)
-    return cal.fit(t, group="subset", slope_bounds=(0.2, 3.0)).select("subset", r6("a").alias("opt_slope"), r6("b").alias("b"))
+    return cal.fit(t, group="subset", slope_bounds=(0.2, 3.0)).select("subset", r6("a").alias("opt_slope"), r6("b").alias("b"), "converged")
 
 

@@ -59,6 +59,43 @@ def newton(source: str, name: str, a: str | None = None, b: str | None = None, g
     return ",\n".join(ctes)
 
 
+def settled(name: str, steps: int = 14, group: str | None = None) -> str:
+    """Whether the last step of newton() was below rounding: an expression, or per group a scalar subquery over column `group` of the outer row."""
+    a, b = f"{name}{steps}", f"{name}{steps - 1}"
+    on = f"p.{group} = q.{group}" if group else "true"
+    return f"(select bool_and(abs(p.a - q.a) <= 1e-7*(1 + abs(q.a)) and abs(p.b - q.b) <= 1e-7*(1 + abs(q.b))) from {a} p join {b} q on {on})"
+
+
+def logistic_sql(source: str, name: str, features: list[str], y: str = "y", ridge: float = 1e-3, steps: int = 8) -> str:
+    """CTEs: `<name>` (fit, model, b0 ..) are ridge logistic models per fit and held-out fold of source (fit, fold, y and features), by Newton steps
+    whose normal equations are solved by elimination."""
+    d = len(features) + 1
+    xs = ["1.0::double", *features]
+    z = " + ".join(f"b{i}*{x}" for i, x in enumerate(xs))
+    cols = [f"a{i}_{j}" for i in range(d) for j in range(i, d)] + [f"r{i}" for i in range(d)]
+    keep = ", ".join(["fit", "model", *(f"b{i}" for i in range(d))])
+    out = [f"{name}_0 as materialized (select distinct fit, fold model, {', '.join(f'0.0::double b{i}' for i in range(d))} from {source})"]
+    for s in range(1, steps + 1):
+        g = [f"sum((y - p)*{x}) - {ridge!r}::double*max(b{i}) r{i}" for i, x in enumerate(xs)]
+        h = [f"sum(p*(1 - p)*{xs[i]}*{xs[j]}){f' + {ridge!r}::double' if i == j else ''} a{i}_{j}" for i in range(d) for j in range(i, d)]
+        b = ", ".join(f"max(b{i}) b{i}" for i in range(d))
+        prev = f"{name}_{s}_s"
+        out.append(f"{prev} as materialized (select fit, model, {b}, {', '.join(h + g)} from (select t.fit, m.model, {y} y, {', '.join(features)}, {', '.join(f'b{i}' for i in range(d))}, 1/(1 + exp(-({z}))) p from {source} t join {name}_{s - 1} m on t.fit = m.fit and t.fold <> m.model) group by fit, model)")
+        for k in range(d - 1):
+            at = lambda i, j: f"a{min(i, j)}_{max(i, j)}"
+            new = [f"a{i}_{j} - {at(k, i)}*{at(k, j)}/a{k}_{k} a{i}_{j}" if i > k else f"a{i}_{j}" for i in range(d) for j in range(i, d)]
+            new += [f"r{i} - {at(k, i)}*r{k}/a{k}_{k} r{i}" if i > k else f"r{i}" for i in range(d)]
+            out.append(f"{name}_{s}_{k} as (select {keep}, {', '.join(new)} from {prev})")
+            prev = f"{name}_{s}_{k}"
+        for i in range(d - 1, -1, -1):
+            rest = " - ".join(["r" + str(i), *(f"a{i}_{j}*x{j}" for j in range(i + 1, d))])
+            out.append(f"{name}_{s}_x{i} as (select *, ({rest})/a{i}_{i} x{i} from {prev})")
+            prev = f"{name}_{s}_x{i}"
+        out.append(f"{name}_{s} as materialized (select fit, model, {', '.join(f'b{i} + x{i} b{i}' for i in range(d))} from {prev})")
+    out.append(f"{name} as (select * from {name}_{steps})")
+    return ",\n".join(out)
+
+
 def smooth_sql(source: str, name: str, sizes: dict[str, int], weights: list[float], border: str = "zero", value: str = "v", extra: str = "", only: list[str] | None = None) -> str:
     """CTEs smoothing `value` of `source` axis by axis; the result is `name`."""
     half = len(weights) // 2

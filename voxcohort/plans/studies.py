@@ -11,7 +11,7 @@ from ..operators.ensemble import ensemble_mean, member_logits, metrics
 from ..operators.ranking import auc as auc_of, row_numbers, tile
 from ..operators.study import bootstrap_deltas, covariance_gap, covariances, epps_pulley, logistic_fits, permuted
 from .registry import query, r
-from .sqltext import auc_sql, clip, ll, logit as lsql, newton, sig
+from .sqltext import auc_sql, clip, ll, logistic_sql, logit as lsql, newton, sig
 from .views import table, v_boxes, v_ens, v_preds
 
 DIM = 64
@@ -277,7 +277,18 @@ def nested_routing(spark, sf):
     return best.select("cluster", "b.w", r6("b.own").alias("ll_held_out"))
 
 
-@query("feature_block_audit")
+_AUDIT = f"""ft as (select e.uid, e.y, e.z, max({lsql('p')}) filter (where member = 2) f1, max({lsql('p')}) filter (where member = 8) f2 from v_ens e join v_preds p on p.uid = e.uid where member in (2, 8) group by 1, 2, 3),
+    pt as (select uid, y, z, row_number() over (order by {uniform_sql('uid', "'audit'", "'to'")}, uid) rn from ft), pf as (select f1, f2, row_number() over (order by {uniform_sql('uid', "'audit'", "'from'")}, uid) rn from ft),
+    ks as (select uid, y, z, f1, f2, 'block' kind from ft union all select uid, y, z, f1, f2, 'permuted' from pt join pf using (rn) union all select uid, y, z, 0.0::double, 0.0::double, 'z_only' from ft),
+    rows_ as materialized (select *, kind || '-' || cast(seed as varchar) fit, cast(floor({uniform_sql('uid', "'audit'", 'seed')}*10) as int) fold from ks cross join (select range seed from range(3)))"""
+
+
+@query(
+    "feature_block_audit",
+    f"""with {_AUDIT}, {logistic_sql('rows_', 'm', ['z', 'f1', 'f2'])}, sc as (select kind, seed, y, round(b0 + b1*z + b2*f1 + b3*f2, 9) score from rows_ join m on rows_.fit = m.fit and rows_.fold = m.model)
+    select kind, {r('avg(auc)')} auc from {auc_sql('sc', ['kind', 'seed'], 'score')} group by 1""",
+    ("v_ens", "v_preds"),
+)
 def feature_block_audit(spark, sf):
     """Out-of-fold logistic model on [z, block] against the same model on a row-permuted block."""
     e = v_ens(spark, sf).select("uid", "y", "z")
@@ -291,7 +302,7 @@ def feature_block_audit(spark, sf):
     seeds = F.explode(F.array(*[F.lit(s) for s in range(3)])).alias("seed")
     rows = both.unionByName(base).select("uid", "y", "z", "kind", F.col("block.f1").alias("f1"), F.col("block.f2").alias("f2"), seeds)
     rows = rows.withColumn("fold", F.floor(uniform(F.col("uid"), F.lit("audit"), F.col("seed")) * 10).cast("int")).withColumn("fit", F.concat_ws("-", "kind", "seed"))
-    scored = logistic_fits(rows, "fit", "fold", ["z", "f1", "f2"], "y", ridge=1e-3)
+    scored = logistic_fits(rows, "fit", "fold", ["z", "f1", "f2"], "y", ridge=1e-3).withColumn("score", F.round("score", 9))
     m = auc_of(scored, ["kind", "seed"], "score", "y").groupBy("kind").agg(F.avg("auc").alias("auc"))
     return m.select("kind", r6("auc").alias("auc"))
 
@@ -324,11 +335,17 @@ def separability_probe(spark, sf):
     return auc_of(f, ["feature"], "score", "synthetic").select("feature", r6("auc").alias("auc"))
 
 
-@query("separability_probe_fit")
+@query(
+    "separability_probe_fit",
+    f"""with g as (select uid, s.s synthetic, case when s.s = 1 then least(v*1.05::double, 2.5::double) else v end v from v_vox cross join (select cast(range as int) s from range(2)) s),
+    f as materialized (select uid, synthetic y, 'probe' fit, cast(uid % 5 as int) fold, round(avg(v), 9) mean, round(max(v), 9) top, round(avg(v*v) - avg(v)*avg(v), 9) variance from g group by 1, 2), {logistic_sql('f', 'm', list(_FEATS))},
+    sc as (select y, round(b0 + b1*mean + b2*top + b3*variance, 9) score from f join m on f.fit = m.fit and f.fold = m.model) select 'probe' feature, {r('auc')} auc from {auc_sql('sc', [], 'score')}""",
+    ("v_vox",),
+)
 def separability_probe_fit(spark, sf):
     """The same question asked of a fitted probe, out of fold."""
     f = _probe(spark, sf).withColumn("fold", (F.col("uid") % 5).cast("int")).withColumn("fit", F.lit("probe"))
-    scored = logistic_fits(f, "fit", "fold", list(_FEATS), "synthetic", ridge=1e-3)
+    scored = logistic_fits(f, "fit", "fold", list(_FEATS), "synthetic", ridge=1e-3).withColumn("score", F.round("score", 9))
     return auc_of(scored, [], "score", "synthetic").select(F.lit("probe").alias("feature"), r6("auc").alias("auc"))
 
 

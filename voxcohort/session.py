@@ -47,3 +47,10 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; never reused."""
     return f"{shared_folder(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Evaluate once into a table on shared storage: like cut(), but the engine knows its size, so it broadcasts a small one in a join."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
