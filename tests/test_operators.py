@@ -479,3 +479,29 @@ def test_order_statistics_of_nothing(spark):
 def test_calibrate_is_monotone(spark):
     p = [r.p for r in spark.range(-5, 6).select(calibrate(F.col("id").cast("double"), 0.78, -0.1).alias("p")).collect()]
     assert p == sorted(p) and 0 < p[0] < p[-1] < 1
+
+
+def test_content_roots_do_not_depend_on_writers(spark):
+    from voxcohort.sources import files
+
+    rows = [("a", f"line {i}") for i in range(700)] + [("a", "twice")] * 300 + [("b", "x")]
+    df = spark.createDataFrame(rows, "name string, value string")
+    roots = lambda d, leaf: {r.name: (r.md5, r.length) for r in files.content_roots(d, leaf=leaf).collect()}
+    for leaf in (1, 10, 5000):
+        one = roots(df, leaf)
+        assert one == roots(df.repartition(7), leaf) and one["a"][1] == 1000
+        assert roots(df.where("value <> 'line 3'"), leaf)["a"] != one["a"]
+        assert roots(df.unionByName(df.where("value = 'line 3'")), leaf)["a"] != one["a"]
+        assert roots(df.where("value <> 'line 3'"), leaf)["b"] == one["b"]
+
+
+def test_covariances_merge_over_tasks(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(90, 4))
+    g = [f"g{i % 4}" if i % 9 else None for i in range(88)] + ["few", "few"]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in zip(g, x)] + [("g1", None)], "k string, v array<float>")
+    want = {k: np.cov(x.astype(np.float32)[[i for i, q in enumerate(g) if q == k]].T) for k in set(g) - {"few", None}}
+    for parts in (1, 6):
+        got = study.covariances(df.repartition(parts), "k", "v").collect()
+        assert {q.k for q in got} >= set(want) and "few" not in {q.k for q in got}
+        assert all(q["cov"] == pytest.approx(want[q.k][q.i, q.j], abs=1e-6) for q in got if q.k is not None) and len([q for q in got if q.k == "g1"]) == 10

@@ -67,3 +67,14 @@ def pair_arms(left: DataFrame, right: DataFrame, keys: list[str], value: str) ->
     return a.join(b, keys, "full_outer").withColumn(
         "matched", F.col("arm").isNotNull() & F.col("control").isNotNull()
     )
+
+
+def alignment(folds: DataFrame, labels: DataFrame, label: str, reference: str, keys: list[str]) -> DataFrame:
+    """Per keys: rows, disagreements of folds' label with labels' reference, whether there are none, uids without a reference, and whether
+    there was a label to check at all: a list without that column passes unchecked."""
+    checked = label in folds.columns
+    j = folds.join(labels.select("uid", F.col(reference).alias("_ref")), "uid", "left")
+    off = F.count_if(F.col(label) != F.col("_ref")) if checked else F.lit(0).cast("long")
+    return j.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), off.alias("disagree"), (off == 0).alias("aligned"), F.count_if(F.col("_ref").isNull()).alias("missing"), F.lit(checked).alias("checked")
+    )

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,16 +115,54 @@ def bootstrap_deltas(df: DataFrame, a: str, b: str, y: str, replicates: int, see
     return loss.join(area.groupBy("rep").agg(F.sum(sign * F.col("auc")).alias("d_auc")), "rep").select("rep", "d_ll", "d_auc")
 
 
+def _moments(it: Iterator[pa.RecordBatch], held: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Of (group, vector) rows: per group the number of vectors, their sum and the upper triangle of their second moments, packed."""
+    sums: dict = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        double = pa.list_(pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([k for k in sums], kind), pa.array([int(v[0][0]) for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], double), pa.array([v[2] for v in sums.values()], double)], names=["k", "n", "s", "ss"])
+
+    kind = pa.int64()
+    for b in it:
+        kind = b.schema.field(0).type
+        b = b.filter(pc.is_valid(b.column(1)))
+        groups = b.column(0).to_pylist()
+        if not groups:
+            continue
+        x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(groups), -1)
+        i, j = np.triu_indices(x.shape[1])
+        order = {}
+        for r, g in enumerate(groups):
+            order.setdefault(g, []).append(r)
+        for g, rows in order.items():
+            part = x[rows]
+            new = (np.array([len(rows)]), part.sum(0), (part.T @ part)[i, j])
+            old = sums.get(g)
+            sums[g] = new if old is None else tuple(a + c for a, c in zip(old, new, strict=True))
+            size += len(i) if old is None else 0
+        if size > held:
+            yield flush()
+            sums, size = {}, 0
+    if sums:
+        yield flush()
+
+
 def covariances(df: DataFrame, group: str, vector: str, least: int = 3) -> DataFrame:
-    """(group, i, j, cov) for i <= j; products are combined map-side, so the shuffle is groups x d^2 rows."""
-    v = df.select(group, F.posexplode(vector).alias("i", "a"), vector)
-    v = v.select(group, "i", F.col("a").cast("double").alias("a"), F.posexplode(vector).alias("j", "b")).where("i <= j")
-    s = v.groupBy(group, "i", "j").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum(F.col("b").cast("double")).alias("sb"), F.sum(F.col("a") * F.col("b").cast("double")).alias("sab")
-    )
-    return s.where(F.col("n") >= least).select(
-        group, "i", "j", ((F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.col("n") - 1)).alias("cov")
-    )
+    """(group, i, j, cov) for i <= j. Vectors (not null, of one length) are folded where they lie: what moves is one packed row of moments per group
+    and task, never a vector and never d x d rows for one."""
+    kind = dict(df.dtypes)[group]
+    parts = df.select(F.col(group).alias("k"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(_moments, f"k {kind}, n long, s array<double>, ss array<double>")
+    n = parts.groupBy("k").agg(F.sum("n").alias("n"))
+    s = parts.select("k", F.posexplode("s").alias("i", "a")).groupBy("k", "i").agg(F.sum("a").alias("a"))
+    # place of (i, j) in the packed triangle of d columns: i*d - i*(i-1)/2 + (j - i)
+    d = F.size("s")
+    pairs = F.flatten(F.transform(F.sequence(F.lit(0), d - 1), lambda i: F.transform(F.sequence(i, d - 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    ss = parts.select("k", F.inline(F.zip_with(pairs, "ss", lambda p, v: F.struct(p["i"].alias("i"), p["j"].alias("j"), v.alias("v"))))).groupBy("k", "i", "j").agg(F.sum("v").alias("v"))
+    means = n.join(s, "k").groupBy("k", "n").agg(F.map_from_entries(F.collect_list(F.struct("i", "a"))).alias("m")).where(F.col("n") >= least)
+    t = ss.join(means, "k")
+    return t.select(F.col("k").alias(group), "i", "j", ((F.col("v") - F.col("m")[F.col("i")] * F.col("m")[F.col("j")] / F.col("n")) / (F.col("n") - 1)).alias("cov"))
 
 
 def covariance_gap(cov: DataFrame, group: str, dims: int) -> DataFrame:

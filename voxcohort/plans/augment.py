@@ -404,13 +404,16 @@ def hemisphere_mix(spark, sf):
     ("v_vox",),
 )
 def variant_swap(spark, sf):
-    """Replace a volume by one of its stored variants; variant 0 is unbuilt (all zero) and falls back."""
-    b = v_boxes(spark, sf).select("uid", "data", (ag.draw("swap", 0) < 0.5).alias("hit"), F.floor(ag.draw("swap", 1) * 3).cast("int").alias("k"))
-    bank = v_boxes(spark, sf).select("uid", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "data")
-    bank = bank.select("uid", "k", F.transform("data", lambda v: F.when(F.col("k") == 0, F.lit(0.0)).otherwise(v * (1 + F.lit(0.1) * F.col("k")))).alias("variant"))
-    j = b.join(bank, ["uid", "k"], "left")
-    use = F.col("hit") & (F.coalesce(F.array_max("variant"), F.lit(0.0)) > 0)
-    out = j.select("uid", F.when(use, F.col("variant")).otherwise(F.col("data")).alias("data"))
+    """Replace a volume by the stored variant it draws; variant 0 is unbuilt (all zero) and falls back.
+
+    Scans draw first, on their ids alone, so only the drawn variants are read out of the bank and joined.
+    """
+    b = v_boxes(spark, sf).select("uid", "data")
+    drawn = b.select("uid", (ag.draw("swap", 0) < 0.5).alias("hit"), F.floor(ag.draw("swap", 1) * 3).cast("int").alias("k")).where("hit").select("uid", "k")
+    bank = b.select("uid", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "data").join(drawn, ["uid", "k"], "left_semi")
+    bank = bank.select("uid", F.transform("data", lambda v: F.when(F.col("k") == 0, F.lit(0.0)).otherwise(v * (1 + F.lit(0.1) * F.col("k")))).alias("variant"))
+    use = F.coalesce(F.array_max("variant"), F.lit(0.0)) > 0
+    out = b.join(bank, "uid", "left").select("uid", F.when(use, F.col("variant")).otherwise(F.col("data")).alias("data"))
     return vol.voxels(out, DIMS).select("uid", "i", r6("v").alias("v"))
 
 

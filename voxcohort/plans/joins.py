@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.constants import HARD_CLUSTERS
 from ..functions.draws import uniform, uniform_sql
 from ..functions.scalars import calibrate, log_loss_term, logit, r6, softplus
-from ..operators.cohort import coverage, folds_of, mean_one_weights, pair_arms, small_list
+from ..operators.cohort import alignment, coverage, folds_of, mean_one_weights, pair_arms, small_list
 from ..operators.ensemble import metrics
 from ..operators.ranking import row_numbers, tile
+from ..session import stored
 from .registry import query, r
 from .sqltext import auc_sql, ll, logit as lsql, sig
 from .views import labelled, table, v_boxes, v_ens, v_folds, v_preds
@@ -31,16 +32,19 @@ def fold_join(spark, sf):
 
 @query(
     "label_alignment",
-    """select partition, count(*) n, count(*) filter (where f.y <> l.toxic) disagree, count(*) filter (where f.y <> l.quality) = 0 aligned, count(*) filter (where l.doc_id is null) missing
-    from v_folds f left join labels l on f.uid = l.doc_id group by 1""",
+    """select partition, count(*) n, count(*) filter (where f.y <> l.toxic) disagree, count(*) filter (where f.y <> l.quality) = 0 aligned, count(*) filter (where l.doc_id is null) missing, true checked
+    from v_folds f left join labels l on f.uid = l.doc_id group by 1
+    union all select partition || '-plain', count(*), 0, true, count(*) filter (where l.doc_id is null), false from v_folds f left join labels l on f.uid = l.doc_id group by 1""",
     ("v_folds",),
 )
 def label_alignment(spark, sf):
+    """Disagreements of every list with two label sets; a list that carries no label has nothing to disagree with, and says so."""
     lab = table(spark, sf, "labels").select(F.col("doc_id").alias("uid"), "toxic", "quality")
-    return v_folds(spark, sf).join(lab, "uid", "left").groupBy("partition").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") != F.col("toxic")).alias("disagree"), (F.count_if(F.col("y") != F.col("quality")) == 0).alias("aligned"),
-        F.count_if(F.col("quality").isNull()).alias("missing"),
-    )
+    folds = v_folds(spark, sf)
+    plain = folds.drop("y").withColumn("partition", F.concat("partition", F.lit("-plain")))
+    rows = [alignment(f, lab, "y", "toxic", ["partition"]).withColumnRenamed("aligned", "_").join(
+        alignment(f, lab, "y", "quality", ["partition"]).select("partition", "aligned"), "partition") for f in (folds, plain)]
+    return rows[0].unionByName(rows[1]).select("partition", "n", "disagree", "aligned", "missing", "checked")
 
 
 @query(
@@ -123,11 +127,11 @@ def coverage_exact_once(spark, sf):
 @query(
     "pair_join",
     f"""with t as (select uid // {BATCH} batch, member, y, {lsql('p')} z from v_preds)
-    select a.member, a.batch, count(*) n_pairs, {r(f'avg(ln(1 + exp(-(a.z - b.z) / 0.5::double)))')} rank_loss from t a join t b on a.member = b.member and a.batch = b.batch and a.y = 1 and b.y = 0 group by 1, 2""",
+    select a.member, a.batch, count(*) n_pairs, {r(f'avg(ln(1 + exp(-(a.z - b.z) / 0.5::double)))')} rank_loss, {r('avg(a.z - b.z)')} margin, {r('avg(greatest(0, 0.5::double - (a.z - b.z)))')} hinge, {r('avg(case when a.z > b.z then 1.0::double when a.z = b.z then 0.5::double else 0.0::double end)')} pair_auc from t a join t b on a.member = b.member and a.batch = b.batch and a.y = 1 and b.y = 0 group by 1, 2""",
     ("v_preds",),
 )
 def pair_join(spark, sf):
-    """Ranking loss over positive x negative pairs inside a batch.
+    """Ranking loss, mean margin, hinge and AUC over positive x negative pairs inside a batch.
 
     A batch holds at most 24 scans by construction (row div 24), so both logit lists are short arrays
     and the pair sum is folded inside the row; no pair rows exist. Cohort-wide pair counts come from
@@ -137,9 +141,11 @@ def pair_join(spark, sf):
     g = t.groupBy("member", "batch").agg(
         F.collect_list(F.when(F.col("y") == 1, F.col("z"))).alias("pos"), F.collect_list(F.when(F.col("y") == 0, F.col("z"))).alias("neg")
     ).where((F.size("pos") > 0) & (F.size("neg") > 0))
-    total = F.aggregate("pos", F.lit(0.0), lambda acc, p: acc + F.aggregate("neg", F.lit(0.0), lambda s, n: s + softplus(-(p - n) / F.lit(0.5))))
+    over = lambda f: F.aggregate("pos", F.lit(0.0), lambda acc, p: acc + F.aggregate("neg", F.lit(0.0), lambda s, n: s + f(p - n)))
     n = (F.size("pos") * F.size("neg")).cast("long")
-    return g.select("member", "batch", n.alias("n_pairs"), r6(total / n).alias("rank_loss"))
+    win = lambda d: F.when(d > 0, F.lit(1.0)).when(d == 0, F.lit(0.5)).otherwise(F.lit(0.0))
+    kinds = {"rank_loss": lambda d: softplus(-d / F.lit(0.5)), "margin": lambda d: d, "hinge": lambda d: F.greatest(F.lit(0.0), F.lit(0.5) - d), "pair_auc": win}
+    return g.select("member", "batch", n.alias("n_pairs"), *[r6(over(f) / n).alias(k) for k, f in kinds.items()])
 
 
 @query(
@@ -173,7 +179,8 @@ def matched_null(spark, sf):
     size = t.where("treated").groupBy("y", "cell").agg(F.count(F.lit(1)).alias("want"))
     pool = t.where("not treated").withColumn("h", uniform(F.col("uid"), F.lit("null")))
     ranked = row_numbers(pool, ["y", "cell"], ["h", "uid"])
-    return ranked.join(size, ["y", "cell"]).where("rn <= want").select("uid", "y", "cell")
+    # six cells of known size: the engine broadcasts them
+    return ranked.join(stored(size), ["y", "cell"]).where("rn <= want").select("uid", "y", "cell")
 
 
 @query(
@@ -202,9 +209,9 @@ def paired_arms(spark, sf):
 )
 def cache_verify(spark, sf):
     """Rebuilt against stored volume, joined as arrays: the shuffle carries compact rows, not voxels."""
-    stored = v_boxes(spark, sf).select("uid", "data")
-    rebuilt = stored.select("uid", F.transform("data", lambda v: F.round(v * 4)).alias("again"))
-    pairs = stored.join(rebuilt, "uid").select("uid", F.explode(F.arrays_zip("data", "again")).alias("t"))
+    kept = v_boxes(spark, sf).select("uid", "data")
+    rebuilt = kept.select("uid", F.transform("data", lambda v: F.round(v * 4)).alias("again"))
+    pairs = kept.join(rebuilt, "uid").select("uid", F.explode(F.arrays_zip("data", "again")).alias("t"))
     c = pairs.groupBy("uid").agg(F.corr("t.data", "t.again").alias("rho"))
     worst = c.agg(F.min("rho").alias("worst"))
     return c.join(F.broadcast(worst)).select("uid", r6("rho").alias("rho"), r6("worst").alias("worst"), (F.col("worst") > 0.95).alias("passed"))

@@ -10,6 +10,7 @@ from ..operators import calibration as cal
 from ..operators.cohort import mean_one_weights
 from ..operators.ensemble import class_centred_correlation, ensemble_mean, group_dro as dro_step, member_logits, metrics, noisy_or as combine_sides
 from ..operators.ranking import auc as auc_of, midranks, quantiles, row_numbers, tile
+from ..session import stored
 from .registry import query, r
 from .sqltext import auc_sql, bce, clip, ll, logit as lsql, newton, settled, sig
 from .views import table, v_ens, v_folds, v_preds
@@ -75,7 +76,7 @@ def aggregator_ladder(spark, sf):
     m = v_preds(spark, sf).withColumn("z", logit("p"))
     ranks = midranks(m, ["member"], "p").select("member", "p", "midrank")
     spread = m.groupBy("member").agg(F.avg("z").alias("mz"), F.stddev_pop("z").alias("sz"))
-    k = m.join(ranks, ["member", "p"]).join(spread, "member")
+    k = m.join(ranks, ["member", "p"]).join(stored(spread), "member")
     s = k.groupBy("uid").agg(
         F.max("y").alias("y"), F.avg("z").alias("mean_logit"), F.avg("p").alias("mean_prob"), F.percentile("z", 0.5).alias("median"),
         ((F.sum("z") - F.max("z") - F.min("z")) / (F.count("z") - 2)).alias("trimmed"), F.avg("midrank").alias("mean_rank"),
@@ -326,7 +327,7 @@ def group_standardise(spark, sf):
     """Z-score inside every member and fold before the member mean; the statistics are one row per cell."""
     m = member_logits(v_preds(spark, sf), None)
     cells = m.groupBy("member", "fold").agg(F.avg("z").alias("mz"), F.stddev_pop("z").alias("sz"))
-    s = m.join(cells, ["member", "fold"]).withColumn("z", (F.col("z") - F.col("mz")) / F.col("sz"))
+    s = m.join(stored(cells), ["member", "fold"]).withColumn("z", (F.col("z") - F.col("mz")) / F.col("sz"))
     e = cal.cut(ensemble_mean(s, ["y"]).withColumn("z", F.round("z", 9)))
     return e.join(F.broadcast(auc_of(e, [], "z", "y"))).select("uid", r6("z").alias("z"), r6("auc").alias("auc"))
 
@@ -342,7 +343,7 @@ def robust_scale(spark, sf):
     t = member_logits(v_preds(spark, sf), None)
     q = quantiles(t.where("fold <> 0"), ["member"], "z", {"lo": 0.25, "med": 0.5, "hi": 0.75})
     s = (F.col("z") - F.col("med")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-3))
-    return t.join(q, "member").select("uid", "member", r6(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), s))).alias("s"))
+    return t.join(stored(q), "member").select("uid", "member", r6(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), s))).alias("s"))
 
 
 @query(

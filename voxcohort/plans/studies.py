@@ -10,6 +10,7 @@ from ..operators import calibration as cal
 from ..operators.ensemble import ensemble_mean, member_logits, metrics
 from ..operators.ranking import auc as auc_of, row_numbers, tile
 from ..operators.study import bootstrap_deltas, covariance_gap, covariances, epps_pulley, logistic_fits, permuted
+from ..session import stored
 from .registry import query, r
 from .sqltext import auc_sql, clip, ll, logistic_sql, logit as lsql, newton, sig
 from .views import table, v_boxes, v_ens, v_preds
@@ -203,7 +204,7 @@ def residual_auc(spark, sf):
     sets = cal.cut(t.withColumn("rep", F.lit(0)).unionByName(null))
     c = sets.groupBy("rep", "y").agg((F.covar_pop("second", "z") * F.count(F.lit(1))).alias("cv"), (F.var_pop("z") * F.count(F.lit(1))).alias("vz"))
     slope = c.groupBy("rep").agg((F.sum("cv") / F.sum("vz")).alias("slope"))
-    q = sets.join(slope, "rep").withColumn("res", F.round(F.col("second") - F.col("slope") * F.col("z"), 9))
+    q = sets.join(stored(slope), "rep").withColumn("res", F.round(F.col("second") - F.col("slope") * F.col("z"), 9))
     return auc_of(q, ["rep"], "res", "y").select("rep", r6("auc").alias("auc"))
 
 
@@ -242,7 +243,7 @@ def epoch_average(spark, sf):
     t = v_preds(spark, sf).select("uid", F.col("member").alias("epoch"), (logit("p") * (1 + F.lit(0.1) * F.col("member"))).alias("z"))
     sd = t.groupBy("epoch").agg(F.stddev_pop("z").alias("sd"))
     late = F.col("epoch") >= 5
-    g = t.join(sd, "epoch").groupBy("uid").agg(
+    g = t.join(stored(sd), "epoch").groupBy("uid").agg(
         F.avg(F.when(late, sigmoid("z"))).alias("prob_late"), F.avg(F.when(late, F.col("z"))).alias("logit_late"), F.avg(F.when(late, F.col("z") / F.col("sd"))).alias("scaled_late"),
         F.array_sort(F.collect_list(F.struct("epoch", "z"))).alias("path"),
     )

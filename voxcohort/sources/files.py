@@ -5,11 +5,14 @@ Schemas are given, never inferred; optional columns and keys stay NULL when a fi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip_prob
 from ..operators.volumes import check_shape
+from ..session import stored
 
 MEMBER = "struct<member:string, seed:int, splits:string>"
 RECIPE = f"name string, members array<{MEMBER}>, shared_recipe map<string,string>, calibration struct<slope:double, intercept:double, member_logit_cap:double>"
@@ -48,6 +51,26 @@ def checksums(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), F.md5("content").alias("md5"), "length")
 
 
+def content_roots(lines: DataFrame, name: str = "name", value: str = "value", leaf: int = 1000) -> DataFrame:
+    """(name, md5, length): the root of a hash tree over the lines of each artefact, whatever files and writers they came from.
+
+    Equal lines are counted once. Leaves are the digests that share a prefix, whose length follows from the number of different lines, so
+    a leaf holds about `leaf` of them and an inner node at most sixteen; every level is one grouping, and no file is read as one row.
+    """
+    d = lines.groupBy(F.col(name).alias("name"), F.md5(F.col(value).cast("binary")).alias("d")).agg(F.count(F.lit(1)).alias("c"))
+    size = d.groupBy("name").agg(F.count(F.lit(1)).alias("k"), F.sum("c").alias("length"))
+    size = stored(size.withColumn("depth", F.greatest(F.lit(0), F.ceil(F.log(F.col("k") / float(leaf)) / math.log(16.0))).cast("int")))
+    deepest = size.agg(F.max("depth")).first()[0] or 0
+    join = lambda c: F.md5(F.array_join(F.array_sort(F.collect_list(c)), ",").cast("binary"))
+    t = d.join(size, "name").withColumn("at", F.substring("d", F.lit(1), F.col("depth")))
+    t = t.groupBy("name", "at").agg(join(F.concat("d", F.lit(":"), F.col("c").cast("string"))).alias("h"))
+    for n in range(deepest, 0, -1):
+        up = t.where(F.length("at") == n).withColumn("up", F.substring("at", 1, n - 1))
+        up = up.groupBy("name", F.col("up").alias("at")).agg(join(F.concat("at", F.lit(":"), "h")).alias("h"))
+        t = t.where(F.length("at") != n).unionByName(up)
+    return t.join(size, "name").select("name", F.col("h").alias("md5"), "length")
+
+
 def compare_listings(a: DataFrame, b: DataFrame) -> DataFrame:
     j = a.select("name", F.col("md5").alias("left")).join(b.select("name", F.col("md5").alias("right")), "name", "full_outer")
     state = F.when(F.col("left").isNull(), "only_right").when(F.col("right").isNull(), "only_left").when(F.col("left") == F.col("right"), "equal").otherwise("differ")
