@@ -29,6 +29,14 @@ def runs(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return doc[cut], pos[cut], np.diff(np.append(cut, len(doc)))
 
 
+def split_runs(row: np.ndarray, first: np.ndarray, n: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same runs in pieces of at most `most`, so that first and length fit in one number."""
+    pieces = -(-n // most)
+    of = np.repeat(np.arange(len(n)), pieces)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return row[of], first[of] + k * most, np.minimum(most, n[of] - k * most)
+
+
 def covered(n: int, start: np.ndarray, size: int | np.ndarray) -> np.ndarray:
     """Which of n places lie in [start, start + size) of any start."""
     d = np.zeros(n + 1, np.int64)
@@ -41,8 +49,9 @@ def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("sig"))
 
 
-def marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """Per document and text hash (doc_id, sig): runs of window starts that also start in a document of smaller id, as first * 2**24 + length."""
+def marks(docs: DataFrame, size: int = SIZE, most: int = RUN) -> DataFrame:
+    """Per document and text hash (doc_id, sig): runs of window starts that also start in a document of smaller id, as first * most + length;
+    a run of `most` or more is several."""
     d = _own(docs).where("doc_id is not null")
 
     def distinct(b: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -71,14 +80,14 @@ def marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
             head[1:] = hs[1:] != hs[:-1]
             mine = ds == ds[head][np.cumsum(head) - 1]
             own = np.sort(order[mine])
-            yield batch(h=signed(h[own]), doc_id=doc[own], sig=sig[own], run=pos[own] * RUN + 1)
+            yield batch(h=signed(h[own]), doc_id=doc[own], sig=sig[own], run=pos[own] * most + 1)
             late = order[~mine]
             late = late[np.lexsort((pos[late], sig[late], doc[late]))]
             row = np.cumsum((np.diff(doc[late], prepend=0) != 0) | (np.diff(sig[late], prepend=0) != 0))
-            r, p, n = runs(row, pos[late])
+            r, p, n = split_runs(*runs(row, pos[late]), most - 1)
             if len(r):
                 at = late[np.searchsorted(row, r)]
-                yield batch(h=pa.nulls(len(r), pa.int64()), doc_id=doc[at], sig=sig[at], run=p * RUN + n)
+                yield batch(h=pa.nulls(len(r), pa.int64()), doc_id=doc[at], sig=sig[at], run=p * most + n)
 
         for b in it:
             did, sig = b.column("doc_id").to_numpy(), b.column("sig").to_numpy()
@@ -102,13 +111,13 @@ def marks(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return far.select("doc_id", "sig", "run").unionByName(near.select("doc_id", "sig", "run")).groupBy("doc_id", "sig").agg(F.collect_list("run").alias("runs"))
 
 
-def remove(docs: DataFrame, size: int = SIZE) -> DataFrame:
+def remove(docs: DataFrame, size: int = SIZE, most: int = RUN) -> DataFrame:
     """docs' doc_id with n_words, n_removed, kept_sha256 and kept (the words that stay, joined by one space).
 
     A word goes if a window of `size` words over it also starts in a document with a smaller id. Null or empty texts have no words.
     Rows with one id are one document as to order: neither is before the other. A null id is before nothing and keeps its words.
     """
-    d = _own(docs).join(marks(docs, size), ["doc_id", "sig"], "left").select("doc_id", "text", "runs")
+    d = _own(docs).join(marks(docs, size, most), ["doc_id", "sig"], "left").select("doc_id", "text", "runs")
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -120,7 +129,7 @@ def remove(docs: DataFrame, size: int = SIZE) -> DataFrame:
                     x = spans[s.row + i]
                     if x.is_valid:
                         a, e, r = int(w.first[i]), int(w.first[i + 1]), x.values.to_numpy()
-                        keep[a:e] = ~covered(e - a, r // RUN, r % RUN + size - 1)
+                        keep[a:e] = ~covered(e - a, r // most, r % most + size - 1)
                 yield from _answer(b, s, w, keep)
 
     return arrow_map(d, cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
