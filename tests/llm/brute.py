@@ -127,3 +127,32 @@ def phrase_places(text, phrases):
                 at.append(k)
                 labels.add(label)
     return len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(labels))
+
+
+def license_labels(text, templates, phrases, k=3, slack=3, cover=0.7, stretch=1.5):
+    """(labels, score) by plain diagonal voting: merged diagonals, distinct template positions."""
+    w = [x.decode() for x in _ALNUM.findall((text or "").encode().lower())]
+    *_, base = phrase_places(text, phrases)
+    labels, score = set(base.split(",")) - {""}, 1.0 if base else 0.0
+    for label, t in templates:
+        t = t.split()
+        grams = len(t) - k + 1
+        at = {}
+        for j in range(grams):
+            at.setdefault(tuple(t[j : j + k]), []).append(j)
+        diagonals = {}
+        for p in range(len(w) - k + 1):
+            for j in at.get(tuple(w[p : p + k]), ()):
+                diagonals.setdefault(p - j, []).append((p, j))
+        spans, last = [], None
+        for d in sorted(diagonals):
+            if last is None or d - last > slack:
+                spans.append([])
+            spans[-1] += diagonals[d]
+            last = d
+        for s in spans:
+            share = len({j for _, j in s}) / grams
+            score = max(score, share)
+            if share >= cover and max(p for p, _ in s) - min(p for p, _ in s) + 1 <= math.ceil(grams * stretch):
+                labels.add(label)
+    return ",".join(sorted(labels)), score

@@ -2,8 +2,8 @@
 
 Rolling word k-grams of every text are joined to the positions of the same k-grams in license templates. A hit at word p of
 the text and word t of the template votes for the diagonal p - t; votes are summed per diagonal, diagonals at most `slack`
-apart are merged (inserted or dropped words shift a diagonal), and a merged span counts if it covers enough of the template
-within a bounded stretch of text. Fixed phrases are found by the same join.
+apart are merged (inserted or dropped words shift a diagonal), and a merged span counts if it covers enough of the template's
+positions, each counted once, within a bounded stretch of text. Fixed phrases are found by the same join.
 """
 
 from __future__ import annotations
@@ -45,6 +45,9 @@ TEMPLATES = (
 )
 
 
+_BITS = 62
+
+
 def _positions(templates, k: int) -> list[tuple]:
     out = []
     for t, (label, text) in enumerate(templates):
@@ -86,16 +89,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = 3, slac
     # a row for the text itself carries its word count in place of a gram
     own = F.col("pos") < 0
     voted = found.withColumn("key", F.when(~own, F.col("gram"))).join(F.broadcast(known.withColumnRenamed("gram", "key")), "key", "left")
+    held = [f"held{j}" for j in range(-(-max(r[4] for r in rows) // _BITS))]
     votes = voted.groupBy("rid", "doc_id", "template", "label", "grams", "phrase", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("tpos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max(F.when(own, F.col("gram"))).alias("n_words")
+        F.count("tpos").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.max(F.when(own, F.col("gram"))).alias("n_words"),
+        *[F.bit_or(F.when(F.floor(F.col("tpos") / _BITS) == j, F.expr(f"shiftleft(1L, tpos % {_BITS})"))).alias(h) for j, h in enumerate(held)],
     )
     line = Window.partitionBy("rid", "template").orderBy("diagonal")
     apart = F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(line) > slack)
     span = votes.withColumn("cut", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("cut").over(line))
     spans = span.groupBy("rid", "doc_id", "template", "label", "grams", "phrase", "span").agg(
-        F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n_words").alias("n_words")
+        F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("n_words").alias("n_words"),
+        *[F.bit_or(h).alias(h) for h in held],
     )
-    share = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
+    # a template position counts once, however many diagonals of the span hit it
+    share = sum((F.bit_count(F.coalesce(h, F.lit(0).cast("long"))) for h in held), F.lit(0)) / F.col("grams")
     verified = ~F.col("phrase") & (share >= cover) & (F.col("hi") - F.col("lo") + 1 <= F.ceil(F.col("grams") * stretch))
     base = F.col("phrase")
     text = lambda c: F.concat_ws(",", F.array_sort(F.collect_set(c)))
