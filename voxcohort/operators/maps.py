@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import MIN_ANCHOR_PIXELS, SHAPE_WINDOW, SIGMOID_SHARPNESS
 from ..functions.scalars import col, sigmoid
 from ..session import cut
-from .stencil import by_scan, erosion_depth, frame, line, smooth
+from .stencil import by_scan, eroded, frame, line, on_grids, smooth
 
 XY = ["x", "y"]
 
@@ -98,9 +98,9 @@ def over_region_max(value: str, region: str | None = "region") -> Column:
     return col(value) / F.greatest(F.max(v).over(scan()), F.lit(1e-3))
 
 
-def depth_map(img: DataFrame, value: str, level, steps: int, region: str | None = "region", name: str = "depth") -> DataFrame:
-    """Erosion depth of the soft level set, divided by its maximum in the region."""
-    t = erosion_depth(img.withColumn("soft", soft_above(value, level)), XY, "soft", steps, "_d")
+def depth_map(img: DataFrame, value: str, level, steps: int, dims: tuple[int, int], region: str | None = "region", name: str = "depth") -> DataFrame:
+    """Erosion depth of the soft level set, divided by its maximum in the region. The map is dense and partitioned by uid."""
+    t = on_grids(img.withColumn("soft", soft_above(value, level)), dict(zip(XY, dims, strict=True)), "soft", lambda v: eroded(v, steps), "_d")
     return t.withColumn(name, over_region_max("_d", region)).drop("_d")
 
 

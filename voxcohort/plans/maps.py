@@ -8,7 +8,7 @@ from ..functions.constants import EROSION_STEPS, EROSION_STEPS_3D
 from ..functions.scalars import let, mean_of, r6, sigmoid, sorted_nearest
 from ..operators import maps as mp
 from ..operators import volumes as vol
-from ..operators.stencil import assert_dense, by_scan, erosion_depth, frame, grow, smooth
+from ..operators.stencil import assert_dense, by_scan, eroded, frame, grow, on_grids, smooth
 from ..session import cut
 from .registry import query, r
 from .sqltext import sig, smooth_sql
@@ -106,7 +106,7 @@ def anisotropy_map(spark, sf):
 
 @query("depth_map", f"with {_DEPTH} select uid, x, y, {r('depth')} depth from dp", ("v_img",))
 def depth_map(spark, sf):
-    t = mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS)
+    t = mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS, IMG)
     return t.select("uid", "x", "y", r6("depth").alias("depth"))
 
 
@@ -212,7 +212,7 @@ def depth_map_3d(spark, sf):
     at = cut(mp.anchored(at, "peak", "region", WIN_3D, least=LEAST_3D).select("uid", "x", "y", "region", "anchor"))
     b = v_boxes(spark, sf).select("uid", "data").join(at.groupBy("uid").agg(F.max("anchor").alias("a")), "uid")
     v = vol.voxels(b.repartition("uid"), DIMS, ("a",)).withColumn("s", mp.soft_above("v", F.lit(0.5) * F.col("a")))
-    d = erosion_depth(v, ["x", "y", "z"], "s", EROSION_STEPS_3D).groupBy("uid", "x", "y").agg(F.avg("depth").alias("d")).join(at, ["uid", "x", "y"])
+    d = on_grids(v, dict(zip("xyz", DIMS, strict=True)), "s", lambda g: eroded(g, EROSION_STEPS_3D), "depth").groupBy("uid", "x", "y").agg(F.avg("depth").alias("d")).join(at, ["uid", "x", "y"])
     d = d.withColumn("depth", mp.over_region_max("d"))
     return d.select("uid", "x", "y", r6("depth").alias("depth"), r6(F.col("depth") * F.col("region")).alias("roi"))
 
@@ -317,7 +317,7 @@ def slab_views(spark, sf):
 )
 def roi_gated_map(spark, sf):
     """The image, and its depth map, kept inside the soft-edged region and put back on their maximum there."""
-    t = mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS)
+    t = mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS, IMG)
     t = smooth(t.withColumn("soft", F.col("region").cast("double")), ["x", "y"], "soft", SIGMA)
     soft = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("soft")))
     t = t.withColumns({"g": F.col("v") * soft, "h": F.col("depth") * soft})
@@ -416,7 +416,7 @@ def slice_pivot(spark, sf):
 )
 def mixed_maps(spark, sf):
     """Maximum, anisotropy and depth side by side, computed on one partitioning by scan."""
-    t = mp.local_moments(mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS), "v", 3)
+    t = mp.local_moments(mp.depth_map(_anchored(spark, sf), "v", F.lit(0.5) * F.col("anchor"), EROSION_STEPS, IMG), "v", 3)
     rel = F.col("v") / F.greatest(F.max("v").over(mp.scan()), F.lit(1e-3))
     return t.select("uid", "x", "y", r6("v").alias("top"), r6(mp.anisotropy() * rel).alias("aniso"), r6("depth").alias("depth"))
 
