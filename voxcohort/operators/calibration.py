@@ -74,7 +74,8 @@ def _fit(frozen, spark, slopes, intercept, slope_bounds, intercept_bounds, steps
         a, b = fits[0]
         held = min(max(a, slope_bounds[0]), slope_bounds[1])
         if held != a:
-            fits[0] = (held, b)
+            # fitted anew from the start: a separating slope may have carried the intercept far off
+            fits[0] = (held, 0.0 if free_b else b)
             open_ = _newton(frozen, fits, False, True, steps) if free_b else set()
     if intercept_bounds and free_b:
         lo, hi = intercept_bounds
@@ -134,7 +135,7 @@ def _fit_groups(frozen, group, slopes, intercept, slope_bounds, intercept_bounds
         outside = (F.col("a") < lo) | (F.col("a") > hi)
         # a slope at its bound is held there, and its intercept fitted anew; the others stay as they are
         state = state.select(
-            group, "slope", F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col("a"))).alias("a"), "b", outside.alias("held"), F.lit(4.0).alias("reach"), F.lit(0.0).alias("la"), F.lit(0.0).alias("lb"),
+            group, "slope", F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), F.col("a"))).alias("a"), F.when(outside & F.lit(intercept is None), F.lit(0.0)).otherwise(F.col("b")).alias("b"), outside.alias("held"), F.lit(4.0).alias("reach"), F.lit(0.0).alias("la"), F.lit(0.0).alias("lb"),
             (outside & F.lit(intercept is None)).alias("open"), F.lit(False).alias("stuck"), (~outside & (F.col("open") | F.col("stuck"))).alias("unsettled"),
         )
         state = _settle(frozen, stored(state), group, intercept is None, steps)
