@@ -1,19 +1,22 @@
 """N-gram Jaccard join by signature trees.
 
 A document is its set of word shingles. Equal sets are one. Two sets at or above the threshold share one of the first few shingles of
-each in any fixed order; the order here puts shingles that many documents hold last, so blocks of documents that share such a key stay
-small. In a block the documents form trees by size: a node holds the OR of its members' bitmaps and their size range. Pairs of nodes
-are walked from the roots, and a pair is left when no two sets below it can overlap enough. Pairs that reach the leaves are verified
-on the sets themselves.
-
-Large groups of near copies are first hung on leaders (verified as well), so the walk only looks for links between documents that are not
-connected yet. What is returned is connectivity, and no link between different sets can be lost: every pair of unconnected sets
-that could reach the threshold is walked.
+each in any fixed order. The order here begins with shingles that only one set holds, so a set that has enough of them shares nothing
+it must and is done; shingles of many sets come last. Sketches tell which shingles may be held twice: they overestimate, so none is
+missed, and from there on a set is shipped without the shingles that no other set holds.
+
+Large groups of near copies are first hung on leaders (verified as well), so the rest only looks for links between documents that are
+not connected yet. In a block of documents that share a key and are not all connected the documents form trees by size: a node holds the
+OR of its members' bitmaps and their size range. Pairs of nodes are walked from the roots, and a pair is left when no two sets
+below it can overlap enough or all are connected. Pairs that reach the leaves are verified on the sets at once, and a link connects
+their groups, so a block returns fewer links than it holds groups. What is returned is connectivity: every pair of
+unconnected sets that could reach the threshold is walked.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -32,6 +35,8 @@ HOT_KEYS = 1 << 16
 HOT_LEAST = 8
 SLICE_ROWS = 4096
 BLOCK_ROWS = 2048
+BLOCK_SHINGLES = 1 << 20
+TEXT_SLICE = 1 << 18
 LEADERS = 64
 LEAF = 8
 
@@ -51,23 +56,25 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def bitmap(h: np.ndarray) -> bytes:
-    """One bit per shingle in as many bits as the next power of two above the set's size (64 at least)."""
-    width = max(64, 1 << int(len(h)).bit_length())
+def bitmap(h: np.ndarray, n: int | None = None) -> bytes:
+    """One bit per shingle of h in four to eight times as many bits as the set's size n (64 at least, a power of two)."""
+    width = max(64, 4 << int(len(h) if n is None else n).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(mix(h) & U(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, percent: int, nx: int | None = None, ny: int | None = None) -> bool:
+    """Whether two sets link; nx, ny: their sizes, where x and y leave out shingles that no other set holds."""
+    nx, ny = len(x) if nx is None else nx, len(y) if ny is None else ny
+    if 100 * min(nx, ny) < percent * max(nx, ny) or not len(x) or not len(y):
+        return False
     if len(x) > len(y):
         x, y = y, x
-    if 100 * len(x) < percent * len(y):
-        return False
     i = np.searchsorted(y, x)
     i[i == len(y)] = 0
     both = int((y[i] == x).sum())
-    return 100 * both >= percent * (len(x) + len(y) - both)
+    return 100 * both >= percent * (nx + ny - both)
 
 
 class Node:
@@ -126,11 +133,12 @@ def possible(a: tuple, b: tuple, percent: int) -> bool:
     return (100 + percent) * most >= percent * (a[1] + b[1])
 
 
-def summary(h: np.ndarray) -> tuple[tuple, int]:
-    """What possible() asks of one set, and the width of its bitmap."""
-    raw = bitmap(h)
+def summary(h: np.ndarray, n: int | None = None) -> tuple[tuple, int]:
+    """What possible() asks of one set of size n, and the width of its bitmap."""
+    n = len(h) if n is None else n
+    raw = bitmap(h, n)
     bits = int.from_bytes(raw, "little")
-    return (bits, len(h), len(h), len(h) - bits.bit_count()), 8 * len(raw)
+    return (bits, n, n, len(h) - bits.bit_count()), 8 * len(raw)
 
 
 def aligned(a: tuple, wa: int, b: tuple, wb: int) -> tuple[tuple, tuple]:
@@ -142,15 +150,15 @@ def aligned(a: tuple, wa: int, b: tuple, wb: int) -> tuple[tuple, tuple]:
     return a, b
 
 
-def walk(x: Node, y: Node, wx: int, wy: int, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of ids of different groups below two roots that may link; wx, wy: bitmap widths."""
+def walk(x: Node, y: Node, wx: int, wy: int, percent: int, top: Callable[[int], int] = int) -> Iterator[tuple[int, int]]:
+    """Pairs of ids of different groups below two roots that may link; wx, wy: bitmap widths; top: what a group is part of by now."""
     low = min(wx, wy)
     sx = (lambda *a: a) if wx == low else lambda *a: narrowed(a, low)
     sy = (lambda *a: a) if wy == low else lambda *a: narrowed(a, low)
     todo = [(x, y)]
     while todo:
         a, b = todo.pop()
-        if len(a.groups) == 1 and a.groups == b.groups:
+        if len(a.groups) == 1 and len(b.groups) == 1 and len({top(g) for g in a.groups | b.groups}) == 1:
             continue
         if not possible(sx(a.bits, a.lo, a.hi, a.excess), sy(b.bits, b.lo, b.hi, b.excess), percent):
             continue
@@ -163,53 +171,72 @@ def walk(x: Node, y: Node, wx: int, wy: int, percent: int) -> Iterator[tuple[int
         else:
             for i, m in enumerate(a.members):
                 for n in b.members[i + 1 :] if a is b else b.members:
-                    if m[4] != n[4] and possible(sx(m[2], m[1], m[1], m[3]), sy(n[2], n[1], n[1], n[3]), percent):
+                    if m[4] != n[4] and top(m[4]) != top(n[4]) and possible(sx(m[2], m[1], m[1], m[3]), sy(n[2], n[1], n[1], n[3]), percent):
                         yield (m[0], n[0]) if m[0] < n[0] else (n[0], m[0])
 
 
-def block_pairs(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a block's rows (id, size, bitmap bytes, group): trees by bitmap width, each walked with itself and the next wider one."""
-    by: dict[int, list[tuple]] = {}
-    for i, n, raw, g in rows:
+def block_pairs(rows: list[tuple], percent: int, top: Callable[[int], int] = int) -> Iterator[tuple[int, int]]:
+    """Pairs of a block's rows (id, size, bitmap bytes, group, shingles in the bitmap if not all): trees by bitmap width, the largest group's
+    apart from the others', each walked with itself and those of the same or the next width."""
+    large = Counter(r[3] for r in rows).most_common(1)[0][0]
+    by: dict[tuple[int, bool], list[tuple]] = {}
+    for i, n, raw, g, *held in rows:
         bits = int.from_bytes(raw, "little")
-        by.setdefault(8 * len(raw), []).append((i, n, bits, n - bits.bit_count(), g))
-    if len(rows) <= LEAF and len(by) == 1:
-        (w, m), = by.items()
-        x = Node(m, [])
-        yield from walk(x, x, w, w, percent)
-        return
-    trees = {w: tree(m) for w, m in by.items()}
-    for w, t in trees.items():
-        yield from walk(t, t, w, w, percent)
-        if 2 * w in trees:
-            yield from walk(t, trees[2 * w], w, 2 * w, percent)
-
-
-def hot_keys(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles that many documents hold, most frequent first, at most HOT_KEYS. They only set the order of keys, never the result."""
+        by.setdefault((8 * len(raw), g == large), []).append((i, n, bits, (held[0] if held else n) - bits.bit_count(), g))
+    trees = [(w, tree(m)) for (w, _), m in sorted(by.items())]
+    for i, (w, t) in enumerate(trees):
+        for v, u in trees[i:]:
+            if v in (w, 2 * w):
+                yield from walk(t, u, w, v, percent, top)
+
+
+def block_links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links of a block's rows (id, size, shingles, group) that connect its groups, fewer than groups: each pair is verified as it comes."""
+    up: dict[int, int] = {}
+
+    def top(g: int) -> int:
+        while (u := up.get(g, g)) != g:
+            up[g] = up.get(u, u)
+            g = u
+        return g
+
+    # rows by number: an id with several sets has several rows
+    told = [(i, n, bitmap(h, n), g, len(h)) for i, (_, n, h, g) in enumerate(rows)]
+    for i, j in block_pairs(told, percent, top):
+        (a, na, x, g), (b, nb, y, f) = rows[i], rows[j]
+        if linked(x, y, percent, na, nb):
+            up[top(g)] = top(f)
+            yield a, b
+
+
+def hot_keys(sets: DataFrame) -> np.ndarray:
+    """Shingles that many of the sets hold, most frequent first, at most HOT_KEYS. They only set the order of keys, never the result."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             h, n = np.unique(np.concatenate(held), return_counts=True)
-            yield batch(h=signed(h[n >= HOT_LEAST]), n=n[n >= HOT_LEAST])
+            yield batch(h=signed(h[n > 1]), n=n[n > 1])
 
         for b in it:
-            for s in slices(b.column("text")):
-                for h in shingles(s, k):
-                    held.append(h)
-                    size += len(h)
-                if size >= sketch.FLUSH:
-                    yield from flush()
-                    held, size = [], 0
+            held.append(_numbers(b.column("set")))
+            size += len(held[-1])
+            if size >= sketch.FLUSH:
+                yield from flush()
+                held, size = [], 0
         if held:
             yield from flush()
 
-    top = arrow_map(docs.select("text"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT_KEYS)
+    top = arrow_map(sets.select("set"), count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST).orderBy(F.desc("n"), "h").limit(HOT_KEYS)
     return np.sort(np.array([r["h"] for r in top.collect()], np.int64).view(U))
 
 
+def _numbers(raw: pa.Array) -> np.ndarray:
+    """All shingles of a column of sets."""
+    return np.concatenate([np.zeros(0, U), *(np.frombuffer(x.as_buffer(), U) for x in raw)])
+
+
 def _ordered(h: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Sorted shingles with the hot ones moved to the end."""
     if not len(hot) or not len(h):
@@ -228,118 +255,116 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hot = spark.sparkContext.broadcast(hot_keys(d, k))
 
-    def keys_of(h: np.ndarray) -> np.ndarray:
-        return _ordered(h, hot.value)[: prefix_length(len(h), percent)]
+    def all_shingles(b: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for s in slices(b.column("text"), TEXT_SLICE):
+            yield np.concatenate([np.zeros(0, U), *shingles(s, k)])
 
-    def all_keys(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for s in slices(b.column("text")):
-            yield np.concatenate([np.zeros(0, U), *(keys_of(h) for h in shingles(s, k) if len(h))])
-
-    bits = sketch.width_bits(sketch.text_bytes(d) // 12)
-    twice = spark.sparkContext.broadcast(sketch.merged(d.select("text"), all_keys, bits))
+    # about one cell per shingle and row
+    bits = sketch.width_bits(sketch.text_bytes(d) // 9)
+    twice = spark.sparkContext.broadcast(sketch.merged(d.select("text"), all_shingles, bits))
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for s in slices(b.column("text")):
+            for s in slices(b.column("text"), TEXT_SLICE):
                 sets = list(shingles(s, k))
-                keys = [keys_of(h) if len(h) else h for h in sets]
-                some = twice.value(np.concatenate([np.zeros(0, U), *keys]))
-                cuts = np.cumsum([0, *map(len, keys)])
-                kept = [signed(x[some[i:j]]) for x, (i, j) in zip(keys, pairwise(cuts.tolist()), strict=True)]
+                n = [len(h) for h in sets]
+                some = twice.value(np.concatenate([np.zeros(0, U), *sets]))
+                kept = [h[some[i:j]] for h, (i, j) in zip(sets, pairwise(np.cumsum([0, *n]).tolist()), strict=True)]
+                left = [keys_left(m, len(x), percent) > 0 for m, x in zip(n, kept, strict=True)]
                 yield batch(
                     doc_id=b.column("doc_id").slice(s.row, s.n),
-                    n=np.array([len(h) for h in sets], np.int64),
+                    n=np.array(n, np.int64),
                     f1=np.array([int(mix(h).sum()) if len(h) else 0 for h in sets], U).view(np.int64),
                     f2=np.array([int(mix(h ^ U(0x5851F42D4C957F2D)).sum()) if len(h) else 0 for h in sets], U).view(np.int64),
-                    k1=pa.array([firsts(x)[0] for x in kept], pa.int64()),
-                    k2=pa.array([firsts(x)[1] for x in kept], pa.int64()),
-                    keys=pa.array(kept, pa.list_(pa.int64())),
-                    bits=pa.array([bitmap(h) if len(x) else b"" for h, x in zip(sets, kept, strict=True)], pa.binary()),
+                    open=pa.array(left, pa.bool_()),
+                    set=pa.array([x.tobytes() if o else b"" for x, o in zip(kept, left, strict=True)], pa.binary()),
                 )
 
-    made = freeze(arrow_map(d, describe, "doc_id long, n long, f1 long, f2 long, k1 long, k2 long, keys array<long>, bits binary"))
+    made = freeze(arrow_map(d, describe, "doc_id long, n long, f1 long, f2 long, open boolean, set binary"))
+    twice.destroy()
     # equal sets are one: the least id stands for them
     whole = made.where("n > 0 and doc_id is not null")
     # frozen, so that the join below is between two plain shuffles and a large group of copies can be split
     lead = freeze(whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
-    member = freeze(whole.select("doc_id", "f1", "f2", "n").join(lead, ["f1", "f2", "n"]).select("doc_id", "n", "rep"))
+    member = freeze(whole.select("doc_id", "f1", "f2", "n", "open").join(lead, ["f1", "f2", "n"]).select("doc_id", "n", "open", "rep"))
     # ids with several sets: v tells their sets apart; 0 for all others
     several = whole.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("several"))
-    reps = whole.join(member.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").join(several, "doc_id", "left")
-    reps = freeze(reps.withColumn("v", F.when(F.col("several"), F.col("f1")).otherwise(F.lit(0))).drop("f1", "f2", "several"))
-    every = reps.select("doc_id", "v", F.explode("keys").alias("key"))
-    shared = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    keyed = freeze(every.join(shared, "key"))
-
-    def sets(ids: DataFrame) -> DataFrame:
-        """(doc_id, k1, k2, set) of the documents in ids, and of a few more: a filter of bounded size spares most other texts."""
-
-        near = spark.sparkContext.broadcast(sketch.id_filter(ids))
-
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                b = b.filter(pa.array(near.value(mix(b.column("doc_id").to_numpy().astype(U)))))
-                for s in slices(b.column("text")):
-                    every = list(shingles(s, k))
-                    both = [firsts(signed(x[twice.value(x)])) for x in (keys_of(h) if len(h) else h for h in every)]
-                    yield batch(
-                        doc_id=b.column("doc_id").slice(s.row, s.n), k1=pa.array([x for x, _ in both], pa.int64()), k2=pa.array([x for _, x in both], pa.int64()),
-                        set=pa.array([h.tobytes() for h in every], pa.binary()),
-                    )
-
-        return freeze(arrow_map(d.where("doc_id is not null"), run, "doc_id long, k1 long, k2 long, set binary"))
+    firsts_ = cut(member.where("open and doc_id = rep").select("doc_id").distinct())
+    look = sketch.may_hold(firsts_)
+    some = whole.where("open").where(look(F.col("doc_id"))).join(firsts_, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"]).join(several, "doc_id", "left")
+    some = freeze(some.select("doc_id", F.when(F.col("several"), F.col("f1")).otherwise(F.lit(0)).alias("v"), "n", "set"))
+
+    # copies counted once, fewer shingles are left that two sets hold
+    held = int(some.agg(F.sum(F.length("set"))).first()[0] or 0) // 8
+    again = spark.sparkContext.broadcast(sketch.merged(some.select("set"), lambda b: iter([_numbers(b.column("set"))]), sketch.width_bits(held)))
+    hot = spark.sparkContext.broadcast(hot_keys(some))
+
+    def head(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for i, v, n, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "v", "n")), b.column("set"), strict=True):
+                h = np.frombuffer(raw.as_buffer(), U)
+                h = h[again.value(h)]
+                if (m := keys_left(n, len(h), percent)) > 0:
+                    keys = signed(_ordered(h, hot.value)[:m])
+                    out.append((i, v, n, *firsts(keys), keys, len(h), h.tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+            yield batch(**{c: pa.array([x[j] for x in out], t) for j, (c, t) in enumerate(zip(("doc_id", "v", "n", "k1", "k2", "keys", "w", "set"), kinds, strict=True))})
+
+    near = freeze(arrow_map(some, head, "doc_id long, v long, n long, k1 long, k2 long, keys array<long>, w long, set binary"))
+    again.destroy()
+    hot.destroy()
 
     # near copies mostly agree in two keys at once
-    stars = reps.where("k1 <> 0").select("doc_id", "k1", "k2")
-    busy = [stars.groupBy(c).agg(F.count("*").alias("c")).where("c > 1").select(c, F.lit(True).alias(f"s{c}")) for c in ("k1", "k2")]
-    busy_ids = stars.join(busy[0], "k1", "left").join(busy[1], "k2", "left").where("sk1 or sk2").select("doc_id").distinct()
-    own = sets(busy_ids).where("k1 <> 0")
-    links = [_stars(own, c, percent) for c in ("k1", "k2")]
+    links = [_stars(near.select("doc_id", "n", "set", c), c, percent) for c in ("k1", "k2")]
     group = components(links[0].unionByName(links[1]))
 
     # blocks that still hold different groups are walked
-    info = reps.select("doc_id", "v", "n", "bits").dropDuplicates(["doc_id", "v"]).join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    placed = keyed.join(info.select("doc_id", "v", "root", "n"), ["doc_id", "v"])
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("c"), F.min("n").alias("least"), F.max("n").alias("most"))
+    every = near.select("doc_id", "v", "n", "w", F.explode("keys").alias("key"))
+    every = every.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    every = freeze(every)
+    per = every.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("w").alias("w"), F.min("n").alias("least"), F.max("n").alias("most"))
+    mixed = per.groupBy("key").agg(
+        F.sum("c").alias("c"), F.sum("w").alias("all"), F.max(F.struct("c", "w", "root")).alias("large"), F.count("*").alias("groups"), F.min("least").alias("least"), F.max("most").alias("most")
+    )
     # two sets whose sizes alone rule a link out need no walk
-    mixed = mixed.where((F.col("lo") != F.col("hi")) & ((F.col("c") > 2) | (100 * F.col("least") >= percent * F.col("most")))).select("key", "c")
-    open_ = keyed.join(mixed, "key").join(info, ["doc_id", "v"])
-    parts = F.ceil(F.col("c") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("doc_id", "v"), parts).cast("int")
-    other = F.explode(F.sequence(F.lit(0), parts - 1))
-    spread = open_.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "doc_id", "n", "bits", "root")
+    mixed = mixed.where((F.col("groups") > 1) & ((F.col("c") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
+
+    def parts(c, w):
+        return F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+
+    mixed = mixed.select(
+        "key", F.col("large.root").alias("large"), parts(F.col("large.c"), F.col("large.w")).alias("wide"), parts(F.col("c") - F.col("large.c"), F.col("all") - F.col("large.w")).alias("rest")
+    )
+    # slices of the largest group meet all slices of the others, and those meet each other; the largest group need not meet itself
+    at = F.xxhash64("doc_id", "v")
+    in_large = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda q: F.struct(F.pmod(at, F.col("wide")).cast("int").alias("p"), q.alias("q")))
+    own = F.pmod(at, F.col("rest")).cast("int")
+    with_large = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda p: F.struct(p.alias("p"), own.alias("q")))
+    others = F.filter(F.sequence(F.lit(0), F.col("rest") - 1), lambda q: q != own)
+    with_others = F.transform(others, lambda q: F.struct((F.col("wide") + F.least(q, own)).alias("p"), F.greatest(q, own).alias("q")))
+    dealt = every.join(mixed, "key").withColumn("at", F.explode(F.when(F.col("root") == F.col("large"), in_large).otherwise(F.concat(with_large, with_others))))
+    dealt = dealt.select("key", "at.p", "at.q", "doc_id", "v", "root").join(near.select("doc_id", "v", "n", "set"), ["doc_id", "v"])
 
     def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, rows = None, []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1:
-                found = list(block_pairs(rows, percent))
-                if found:
-                    yield batch(a=pa.array([x for x, _ in found], pa.int64()), b=pa.array([y for _, y in found], pa.int64()))
+            found = list(block_links(rows, percent)) if len(rows) > 1 else []
+            if found:
+                yield batch(a=pa.array([x for x, _ in found], pa.int64()), b=pa.array([y for _, y in found], pa.int64()))
 
         for b in it:
-            for key, p, q, i, n, raw, g in zip(*(b.column(c).to_pylist() for c in ("key", "p", "q", "doc_id", "n", "bits", "root")), strict=True):
+            for key, p, q, i, n, g, raw in zip(*(b.column(c).to_pylist() for c in ("key", "p", "q", "doc_id", "n", "root")), b.column("set"), strict=True):
                 if (key, p, q) != name:
                     yield from flush()
                     name, rows = (key, p, q), []
-                rows.append((i, n, raw, g))
+                rows.append((i, n, np.frombuffer(raw.as_py(), U), g))
         yield from flush()
 
-    dealt = spread.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    pairs = freeze(arrow_map(dealt, blocks, "a long, b long").distinct())
-    ends = sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    left = ends.select(F.col("doc_id").alias("a"), F.col("set").alias("sa"))
-    right = ends.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
-
-    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ok = [linked(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), percent) for x, y in zip(b.column("sa"), b.column("sb"), strict=True)]
-            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    more = arrow_map(pairs.join(left, "a").join(right, "b"), verify, "a long, b long")
+    dealt = dealt.select("key", "p", "q", "doc_id", "n", "root", "set").repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
+    more = arrow_map(dealt, blocks, "a long, b long")
     # the sets of one id link what stands for them
     ends_of = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b <> hi").select("doc_id", "b")
     same_id = member.join(ends_of, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
@@ -347,6 +372,11 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     return _answer(d, made, member, components(all_))
 
 
+def keys_left(n: int, held: int, percent: int) -> int:
+    """How many of a set's first shingles are among the `held` of its n that another set may hold, when the others come first."""
+    return prefix_length(n, percent) - (n - held) if n else 0
+
+
 def _pair_of(keys: np.ndarray) -> int:
     """One number for the first two keys; 0 if there is none."""
     return int(mix(keys[:2].view(U) * np.array([1, 3], U)[: len(keys)]).sum().view(np.int64)) if len(keys) else 0
@@ -360,27 +390,30 @@ def firsts(keys: np.ndarray) -> tuple[int, int]:
 def _stars(sets: DataFrame, column: str, percent: int) -> DataFrame:
     """Verified links to leaders of the documents that share `column`, keys with many documents in slices of about SLICE_ROWS.
 
+    sets: doc_id, set and the column; n, the size, where set leaves out shingles that no other set holds.
     A document that no leader of its slice matches, or that connects some, becomes one, up to LEADERS; first documents of slices meet once more.
     """
     spark = sets.sparkSession
+    if "n" not in sets.columns:
+        sets = sets.withColumn("n", F.expr("length(set) div 8"))
     n = sets.count()
     # at most 50,000 keys are that frequent, which bounds both broadcasts
     many = sets.groupBy(column).agg(F.count("*").alias("c")).where(F.col("c") > max(SLICE_ROWS, n // 50_000))
-    sliced = sets.select("doc_id", "set", column).join(F.broadcast(many), column, "left")
+    sliced = sets.select("doc_id", "n", "set", column).join(F.broadcast(many), column, "left")
     sliced = sliced.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.coalesce(F.ceil(F.col("c") / SLICE_ROWS), F.lit(1))))
 
     def star(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, leaders, same = None, [], []
         for b in it:
             a, c = [], []
-            for i, key, salt, raw in zip(b.column("doc_id").to_pylist(), b.column(column).to_pylist(), b.column("salt").to_pylist(), b.column("set"), strict=True):
+            for i, key, salt, m, raw in zip(*(b.column(x).to_pylist() for x in ("doc_id", column, "salt", "n")), b.column("set"), strict=True):
                 h = np.frombuffer(raw.as_buffer(), U)
                 if (key, salt) != name:
                     name, leaders, same = (key, salt), [], []
-                own, width = summary(h)
+                own, width = summary(h, m)
                 met: set[int] = set()
                 for j, (leader, x, other, w) in enumerate(leaders):
-                    if same[j] not in met and possible(*aligned(own, width, other, w), percent) and linked(h, x, percent):
+                    if same[j] not in met and possible(*aligned(own, width, other, w), percent) and linked(h, x, percent, m, other[1]):
                         met.add(same[j])
                         a.append(i), c.append(leader)
                 if met:  # leaders that this document connects count as one from now on
@@ -392,10 +425,10 @@ def _stars(sets: DataFrame, column: str, percent: int) -> DataFrame:
             yield batch(a=pa.array(a, pa.int64()), b=pa.array(c, pa.int64()))
 
     def run(t: DataFrame) -> DataFrame:
-        return arrow_map(t.repartition(partitions(spark), column, "salt").sortWithinPartitions(column, "salt", "doc_id").select("doc_id", column, "salt", "set"), star, "a long, b long")
+        return arrow_map(t.repartition(partitions(spark), column, "salt").sortWithinPartitions(column, "salt", "doc_id").select("doc_id", "n", column, "salt", "set"), star, "a long, b long")
 
     tops = sliced.where("c is not null").groupBy(column, "salt").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    again = sets.select("doc_id", "set", column).join(F.broadcast(tops), "doc_id", "left_semi").withColumn("salt", F.lit(0).cast("long"))
+    again = sets.select("doc_id", "n", "set", column).join(F.broadcast(tops), "doc_id", "left_semi").withColumn("salt", F.lit(0).cast("long"))
     return run(sliced).unionByName(run(again))
 
 
