@@ -8,9 +8,9 @@ missed, and from there on a set is shipped without the shingles that no other se
 Large groups of near copies are first hung on leaders (verified as well), so the rest only looks for links between documents that are
 not connected yet. In a block of documents that share a key and are not all connected the documents form trees by size: a node holds the
 OR of its members' bitmaps and their size range. Pairs of nodes are walked from the roots, and a pair is left when no two sets
-below it can overlap enough or all are connected. Pairs that reach the leaves are verified on the sets at once, and a link connects
-their groups, so a block returns fewer links than it holds groups. What is returned is connectivity: every pair of
-unconnected sets that could reach the threshold is walked.
+below it can overlap enough or all are connected. Pairs that reach the leaves connect their groups to a cluster, so a block returns
+fewer pairs than it holds groups, and every pair that could link lies within a cluster. A cluster of several groups is walked once
+more, on the sets themselves. What is returned is connectivity: every pair of unconnected sets that could reach the threshold is walked.
 """
 
 from __future__ import annotations
@@ -190,8 +190,8 @@ def block_pairs(rows: list[tuple], percent: int, top: Callable[[int], int] = int
                 yield from walk(t, u, w, v, percent, top)
 
 
-def block_links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Links of a block's rows (id, size, shingles, group) that connect its groups, fewer than groups: each pair is verified as it comes."""
+def connect(rows: list[tuple], percent: int, sure: Callable[[int, int], bool]) -> Iterator[tuple[int, int]]:
+    """Pairs of ids that connect the groups of a block's rows (as of block_pairs), fewer than groups: `sure` decides on two rows as they come."""
     up: dict[int, int] = {}
 
     def top(g: int) -> int:
@@ -201,12 +201,73 @@ def block_links(rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
         return g
 
     # rows by number: an id with several sets has several rows
-    told = [(i, n, bitmap(h, n), g, len(h)) for i, (_, n, h, g) in enumerate(rows)]
-    for i, j in block_pairs(told, percent, top):
-        (a, na, x, g), (b, nb, y, f) = rows[i], rows[j]
-        if linked(x, y, percent, na, nb):
-            up[top(g)] = top(f)
-            yield a, b
+    for i, j in block_pairs([(i, *r[1:]) for i, r in enumerate(rows)], percent, top):
+        if sure(i, j):
+            up[top(rows[i][3])] = top(rows[j][3])
+            yield rows[i][0], rows[j][0]
+
+
+def dealt(rows: DataFrame, percent: int) -> DataFrame:
+    """Where rows (key, doc_id, v, root, n, w) of keys with several groups (root) meet: key, p, q, doc_id, v, root, a row for each place.
+
+    Keys of many rows or shingles (w) are cut into slices. Slices of the largest group meet all slices of the others, and those meet
+    each other; the largest group need not meet itself, so its rows are copied only as often as the others have slices.
+    """
+    per = rows.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("w").alias("w"), F.min("n").alias("least"), F.max("n").alias("most"))
+    mixed = per.groupBy("key").agg(
+        *(F.sum("c").alias("c"), F.sum("w").alias("w"), F.max(F.struct("c", "w", "root")).alias("large")),
+        *(F.count("*").alias("groups"), F.min("least").alias("least"), F.max("most").alias("most")),
+    )
+    # two sets whose sizes alone rule a link out need no walk
+    mixed = mixed.where((F.col("groups") > 1) & ((F.col("c") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
+
+    def parts(c, w):
+        return F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+
+    c, w, large = F.col("c"), F.col("w"), F.col("large")
+    mixed = mixed.select("key", large["root"].alias("large"), parts(large["c"], large["w"]).alias("wide"), parts(c - large["c"], w - large["w"]).alias("rest"))
+    at = F.xxhash64("doc_id", "v")
+    in_large = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda q: F.struct(F.pmod(at, F.col("wide")).cast("int").alias("p"), q.alias("q")))
+    own = F.pmod(at, F.col("rest")).cast("int")
+    with_large = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda p: F.struct(p.alias("p"), own.alias("q")))
+    others = F.filter(F.sequence(F.lit(0), F.col("rest") - 1), lambda q: q != own)
+    with_others = F.transform(others, lambda q: F.struct((F.col("wide") + F.least(q, own)).alias("p"), F.greatest(q, own).alias("q")))
+    places = rows.join(mixed, "key").withColumn("at", F.explode(F.when(F.col("root") == F.col("large"), in_large).otherwise(F.concat(with_large, with_others))))
+    return places.select("key", "at.p", "at.q", "doc_id", "v", "root")
+
+
+def walked(places: DataFrame, sets: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Pairs (a, b) that connect the groups of each block of places (as of dealt): links, or, if not exact, pairs whose bitmaps allow one.
+
+    sets: doc_id, v, n, w and bits, or set if exact.
+    """
+    spark, body = places.sparkSession, "set" if exact else "bits"
+
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        if not exact:
+            return connect(rows, percent, lambda i, j: True)
+        sets = [np.frombuffer(r[2], U) for r in rows]
+        told = [(i, n, bitmap(h, n), g, w) for (i, n, _, g, w), h in zip(rows, sets, strict=True)]
+        return connect(told, percent, lambda i, j: linked(sets[i], sets[j], percent, rows[i][1], rows[j][1]))
+
+    def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, rows = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = list(pairs(rows)) if len(rows) > 1 else []
+            if found:
+                yield batch(a=pa.array([x for x, _ in found], pa.int64()), b=pa.array([y for _, y in found], pa.int64()))
+
+        for b in it:
+            for key, p, q, i, n, g, w, raw in zip(*(b.column(c).to_pylist() for c in ("key", "p", "q", "doc_id", "n", "root", "w")), b.column(body), strict=True):
+                if (key, p, q) != name:
+                    yield from flush()
+                    name, rows = (key, p, q), []
+                rows.append((i, n, raw.as_py(), g, w))
+        yield from flush()
+
+    rows = places.join(sets, ["doc_id", "v"]).select("key", "p", "q", "doc_id", "n", "root", "w", body)
+    return arrow_map(rows.repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q"), blocks, "a long, b long")
 
 
 def hot_keys(sets: DataFrame) -> np.ndarray:
@@ -308,11 +369,11 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
                 h = h[again.value(h)]
                 if (m := keys_left(n, len(h), percent)) > 0:
                     keys = signed(_ordered(h, hot.value)[:m])
-                    out.append((i, v, n, *firsts(keys), keys, len(h), h.tobytes()))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
-            yield batch(**{c: pa.array([x[j] for x in out], t) for j, (c, t) in enumerate(zip(("doc_id", "v", "n", "k1", "k2", "keys", "w", "set"), kinds, strict=True))})
+                    out.append((i, v, n, len(h), *firsts(keys), keys, bitmap(h, n), h.tobytes()))
+            kinds = {"doc_id": pa.int64(), "v": pa.int64(), "n": pa.int64(), "w": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "keys": pa.list_(pa.int64()), "bits": pa.binary(), "set": pa.binary()}
+            yield batch(**{c: pa.array([x[j] for x in out], t) for j, (c, t) in enumerate(kinds.items())})
 
-    near = freeze(arrow_map(some, head, "doc_id long, v long, n long, k1 long, k2 long, keys array<long>, w long, set binary"))
+    near = freeze(arrow_map(some, head, "doc_id long, v long, n long, w long, k1 long, k2 long, keys array<long>, bits binary, set binary"))
     again.destroy()
     hot.destroy()
 
@@ -320,55 +381,20 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     links = [_stars(near.select("doc_id", "n", "set", c), c, percent) for c in ("k1", "k2")]
     group = components(links[0].unionByName(links[1]))
 
-    # blocks that still hold different groups are walked
-    every = near.select("doc_id", "v", "n", "w", F.explode("keys").alias("key"))
-    every = every.join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    every = freeze(every)
-    per = every.groupBy("key", "root").agg(F.count("*").alias("c"), F.sum("w").alias("w"), F.min("n").alias("least"), F.max("n").alias("most"))
-    mixed = per.groupBy("key").agg(
-        F.sum("c").alias("c"), F.sum("w").alias("all"), F.max(F.struct("c", "w", "root")).alias("large"), F.count("*").alias("groups"), F.min("least").alias("least"), F.max("most").alias("most")
-    )
-    # two sets whose sizes alone rule a link out need no walk
-    mixed = mixed.where((F.col("groups") > 1) & ((F.col("c") > 2) | (100 * F.col("least") >= percent * F.col("most"))))
-
-    def parts(c, w):
-        return F.greatest(F.lit(1), F.ceil(c / BLOCK_ROWS), F.ceil(w / BLOCK_SHINGLES)).cast("int")
-
-    mixed = mixed.select(
-        "key", F.col("large.root").alias("large"), parts(F.col("large.c"), F.col("large.w")).alias("wide"), parts(F.col("c") - F.col("large.c"), F.col("all") - F.col("large.w")).alias("rest")
-    )
-    # slices of the largest group meet all slices of the others, and those meet each other; the largest group need not meet itself
-    at = F.xxhash64("doc_id", "v")
-    in_large = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda q: F.struct(F.pmod(at, F.col("wide")).cast("int").alias("p"), q.alias("q")))
-    own = F.pmod(at, F.col("rest")).cast("int")
-    with_large = F.transform(F.sequence(F.lit(0), F.col("wide") - 1), lambda p: F.struct(p.alias("p"), own.alias("q")))
-    others = F.filter(F.sequence(F.lit(0), F.col("rest") - 1), lambda q: q != own)
-    with_others = F.transform(others, lambda q: F.struct((F.col("wide") + F.least(q, own)).alias("p"), F.greatest(q, own).alias("q")))
-    dealt = every.join(mixed, "key").withColumn("at", F.explode(F.when(F.col("root") == F.col("large"), in_large).otherwise(F.concat(with_large, with_others))))
-    dealt = dealt.select("key", "at.p", "at.q", "doc_id", "v", "root").join(near.select("doc_id", "v", "n", "set"), ["doc_id", "v"])
-
-    def blocks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, rows = None, []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            found = list(block_links(rows, percent)) if len(rows) > 1 else []
-            if found:
-                yield batch(a=pa.array([x for x, _ in found], pa.int64()), b=pa.array([y for _, y in found], pa.int64()))
-
-        for b in it:
-            for key, p, q, i, n, g, raw in zip(*(b.column(c).to_pylist() for c in ("key", "p", "q", "doc_id", "n", "root")), b.column("set"), strict=True):
-                if (key, p, q) != name:
-                    yield from flush()
-                    name, rows = (key, p, q), []
-                rows.append((i, n, np.frombuffer(raw.as_py(), U), g))
-        yield from flush()
-
-    dealt = dealt.select("key", "p", "q", "doc_id", "n", "root", "set").repartition(partitions(spark), "key", "p", "q").sortWithinPartitions("key", "p", "q")
-    more = arrow_map(dealt, blocks, "a long, b long")
+    # blocks that still hold different groups are walked by bitmaps: what these do not rule out connects groups to clusters
+    rooted = near.select("doc_id", "v", "n", "w", "keys").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    rooted = freeze(rooted)
+    keyed = rooted.select(F.explode("keys").alias("key"), "doc_id", "v", "root", "n", "w")
+    maybe = walked(dealt(keyed, percent), near.select("doc_id", "v", "n", "w", "bits"), percent, False)
+    known = group.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    cluster = components(known.unionByName(maybe))
+    # every link not known yet lies within a cluster of several groups: each set goes there once and is verified
+    inside = rooted.join(cluster.select(F.col("node").alias("doc_id"), F.col("root").alias("key")), "doc_id", "left").withColumn("key", F.coalesce("key", "doc_id"))
+    more = walked(dealt(inside.select("key", "doc_id", "v", "root", "n", "w"), percent), near.select("doc_id", "v", "n", "w", "set"), percent, True)
     # the sets of one id link what stands for them
     ends_of = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b <> hi").select("doc_id", "b")
     same_id = member.join(ends_of, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
-    all_ = group.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(same_id)
+    all_ = known.unionByName(more).unionByName(same_id)
     return _answer(d, made, member, components(all_))
 
 
