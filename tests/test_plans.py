@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from voxcohort.operators.geometry import resample
 from voxcohort.operators.stencil import frame
-from voxcohort.plans import files, maps, ordering, probabilities, views, voxels
+from voxcohort.operators.study import permuted
+from voxcohort.plans import files, maps, ordering, probabilities, studies, views, voxels
 from voxcohort.sources.files import list_scans
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +58,15 @@ def test_only_needed_columns_are_read(spark):
     text = plan(views.v_ens(spark, SF))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", text)
     assert schemas and all("text" not in s and "toxic" not in s for s in schemas)
+
+
+def test_replicates_are_not_joined_back_by_scan(spark):
+    """Rows unfolded into replicates are estimated as before they were, so a join by scan would broadcast them all."""
+    df = spark.createDataFrame([(i, i % 2, float(i)) for i in range(20)], "uid long, y int, z double")
+    halves = studies._halves(df, 3)
+    reps = df.withColumns({"second": -F.col("z"), "rep": F.explode(F.sequence(F.lit(1), F.lit(3)))})
+    moved = permuted(reps, ["rep", "y"], "second", "s")
+    for d in (halves, moved):
+        assert not [line for line in re.findall(r"^.*Join .*$", plan(d), re.M) if "uid" in line]
+    assert halves.where("y = cast(uid % 2 as int) and z = uid").groupBy("rep", "y").agg(F.sum("half").alias("odd"), F.count("*").alias("n")).where("odd = 5 and n = 10").count() == 6
+    assert moved.columns == ["rep", "y", "uid", "z", "second"] and moved.where("z = uid").count() == 60

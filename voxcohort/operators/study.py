@@ -206,11 +206,13 @@ def epps_pulley(df: DataFrame, value: str, key: str, nodes: int = 64) -> DataFra
 def permuted(df: DataFrame, within: list[str], column: str, seed) -> DataFrame:
     """Replace `column` by a seeded permutation of it inside each `within` group; uids are distinct within one, and the seed may be a column of `within`."""
     seed = seed if isinstance(seed, Column) else F.lit(seed)
+    rest = [c for c in df.columns if c not in (*within, "uid", column)]
+    held = {f"_c{i}": F.col(c) for i, c in enumerate(rest)}
     base = df.withColumn("_h1", uniform(F.col("uid"), seed, F.lit("to"))).withColumn("_h2", uniform(F.col("uid"), seed, F.lit("from")))
-    to = row_numbers(base, within, ["_h1", "uid"]).select(*within, "rn", "uid")
+    # what a row has besides rides along: joined back by uid, rows unfolded just before would be taken for as few as they were, and be broadcast
+    to = row_numbers(base.withColumns(held), within, ["_h1", "uid"], carry=tuple(held)).select(*within, "rn", "uid", *held)
     src = row_numbers(base, within, ["_h2", "uid"], carry=(column,)).select(*within, "rn", F.col(column).alias("_v"))
-    moved = to.join(src, within + ["rn"]).select(*within, "uid", "_v")
-    return df.drop(column).join(moved, within + ["uid"]).withColumnRenamed("_v", column)
+    return to.join(src, within + ["rn"]).select(*within, "uid", *[F.col(k).alias(c) for k, c in zip(held, rest, strict=True)], F.col("_v").alias(column))
 
 
 def solved(df: DataFrame, h: str, g: str, x: str, d: int) -> DataFrame:

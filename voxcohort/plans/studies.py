@@ -91,6 +91,16 @@ def paired_bootstrap(spark, sf):
 _HALF = f"""h as (select rep, uid, y, z, row_number() over (partition by rep, y order by {uniform_sql('uid', "'half'", 'rep')}, uid) % 2 half from v_ens cross join (select range rep from range({_HALVES})))"""
 
 
+def _halves(ens, reps: int):
+    """(rep, uid, y, z, half) of every scan in every replicate: odd and even places of a seeded order within each class.
+
+    The score rides along with the order. Joined back by scan, the scans would be taken for as few as they are before the replicates unfold them, and all be broadcast.
+    """
+    rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep")
+    e = ens.select("uid", "y", "z", rep).withColumn("h", uniform(F.col("uid"), F.lit("half"), F.col("rep")))
+    return row_numbers(e, ["rep", "y"], ["h", "uid"], carry=("z",)).select("rep", "uid", "y", "z", (F.col("rn") % 2).alias("half"))
+
+
 @query(
     "split_half",
     f"""with {_HALF}, fitrows as (select * from h where half = 1), {newton('fitrows', 'f', group='rep')},
@@ -103,10 +113,7 @@ def split_half(spark, sf):
 
     The slope is bounded because a half may be separable, and then no finite optimum exists.
     """
-    rep = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_HALVES - 1).cast("long"))).alias("rep")
-    e = v_ens(spark, sf).select("uid", "y", "z", rep).withColumn("h", uniform(F.col("uid"), F.lit("half"), F.col("rep")))
-    order = row_numbers(e, ["rep", "y"], ["h", "uid"]).select("rep", "uid", (F.col("rn") % 2).alias("half"))
-    t = cal.cut(e.join(order, ["rep", "uid"]).select("rep", "uid", "y", "z", "half"))
+    t = cal.cut(_halves(v_ens(spark, sf), _HALVES))
     fits = cal.fit(t.where("half = 1"), group="rep", slope_bounds=(0.2, 3.0), ready=True)
     s = cal.losses(t.where("half = 0"), fits, "rep")
     raw = t.where("half = 0").groupBy("rep").agg(F.avg(log_loss_term("y", sigmoid("z"))).alias("raw"))
