@@ -70,3 +70,13 @@ def test_replicates_are_not_joined_back_by_scan(spark):
         assert not [line for line in re.findall(r"^.*Join .*$", plan(d), re.M) if "uid" in line]
     assert halves.where("y = cast(uid % 2 as int) and z = uid").groupBy("rep", "y").agg(F.sum("half").alias("odd"), F.count("*").alias("n")).where("odd = 5 and n = 10").count() == 6
     assert moved.columns == ["rep", "y", "uid", "z", "second"] and moved.where("z = uid").count() == 60
+
+
+def test_losses_are_winsorised_over_the_whole_cohort(spark):
+    """One quantile for all scans, and beside it one per batch of neighbouring ids."""
+    got = probabilities.bce_terms(spark, SF).toPandas()
+    over = got.bce.quantile(0.9)
+    assert (got.winsorised - got.bce.clip(upper=over)).abs().max() < 2e-6
+    per = got.groupby(got.uid // probabilities.BATCH).bce.transform(lambda x: x.quantile(0.9))
+    assert (got.batch_winsorised - got.bce.clip(upper=per)).abs().max() < 2e-6
+    assert ((got.winsorised - got.batch_winsorised).abs() > 1e-3).any()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import bce_from_logit, calibrate as cal, cap_logit, clamp, clip_prob as clip, compress_input, half_even, logit as lg, r6, sanitise as san, softplus
 from ..operators.ensemble import view_mean as mean_views
 from ..operators.augment import BATCH
+from ..operators.ranking import quantiles
 from .registry import query, r
 from .views import DIMS, table, v_boxes, v_ens, v_preds, v_vox
 
@@ -141,17 +142,21 @@ def round_half_even(spark, sf):
 @query(
     "bce_terms",
     f"""with t as (select uid, y, z, z - 0.3::double*(2*y - 1) zm from v_ens), l as (select uid, greatest(z, 0) - z*y + ln(1 + exp(-abs(z))) bce, greatest(zm, 0) - zm*y + ln(1 + exp(-abs(zm))) m from t),
-    q as (select uid // {BATCH} b, quantile_cont(bce, 0.9) q from l group by 1) select uid, {r('bce')} bce, {r('m')} margin_bce, {r('least(bce, 1.0)')} capped, {r('least(bce, q)')} winsorised from l join q on uid // {BATCH} = b""",
+    q as (select quantile_cont(bce, 0.9) q from l), bq as (select uid // {BATCH} b, quantile_cont(bce, 0.9) bq from l group by 1)
+    select uid, {r('bce')} bce, {r('m')} margin_bce, {r('least(bce, 1.0)')} capped, {r('least(bce, q)')} winsorised, {r('least(bce, bq)')} batch_winsorised from l join bq on uid // {BATCH} = b, q""",
     ("v_ens",),
 )
 def bce_terms(spark, sf):
+    """Losses winsorised at the quantile of the whole cohort, and at that of their training batch."""
     e = v_ens(spark, sf)
     y = F.col("y").cast("double")
     b = F.floor(F.col("uid") / BATCH).alias("b")
     t = e.select("uid", b, bce_from_logit("z", "y").alias("bce"), bce_from_logit(F.col("z") - F.lit(0.3) * (2 * y - 1), "y").alias("m"))
+    q = quantiles(t, [], "bce", {"q": 0.9})
     # a batch holds at most 24 scans, and its quantile is a constant of the batch
-    t = t.withColumn("q", F.percentile("bce", 0.9).over(Window.partitionBy("b")))
-    return t.select("uid", r6("bce").alias("bce"), r6("m").alias("margin_bce"), r6(F.least("bce", F.lit(1.0))).alias("capped"), r6(F.least("bce", "q")).alias("winsorised"))
+    t = t.withColumn("bq", F.percentile("bce", 0.9).over(Window.partitionBy("b"))).join(F.broadcast(q))
+    capped = {"capped": F.lit(1.0), "winsorised": F.col("q"), "batch_winsorised": F.col("bq")}
+    return t.select("uid", r6("bce").alias("bce"), r6("m").alias("margin_bce"), *[r6(F.least("bce", c)).alias(n) for n, c in capped.items()])
 
 
 @query("channel_select", f"select uid, x, y, {r('max(v)')} peak, {r('avg(v)')} mean from v_vox group by 1, 2, 3", ("v_vox",))
