@@ -288,6 +288,16 @@ def test_long_url_is_judged_whole(spark, urls):
     assert got[9999]["score"] == pytest.approx(want[-1][-1], abs=2e-5)
 
 
+def test_urls_are_all_learned_from(spark):
+    """More labelled URLs a side than any sample would take: each is counted, each calibrates or trains."""
+    ruled = url_filter.decided(spark.range(24_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), F.hex(F.xxhash64("id")), F.when(F.col("id") % 2 == 0, ".com/a").otherwise(".net/es/b")).alias("url")))
+    texts = url_filter.labelled(ruled)
+    assert texts.groupBy("good").count().orderBy("good").collect() == [(0, 12_000), (1, 12_000)]
+    counts = spark.createDataFrame([(f"{i:04d}"[: 2 + i % 3], i % 5, i % 7) for i in range(300)], "s string, y long, n long")
+    got = [tuple(r) for r in url_filter.most_frequent(counts, 40).collect()]
+    assert sorted(got) == sorted(sorted((tuple(r) for r in counts.collect()), key=lambda r: (-r[1] - r[2], len(r[0]), r[0]))[:40])
+
+
 def test_urls_use_no_python_worker(spark, urls):
     d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     plan = url_filter.judge(d)._jdf.queryExecution().executedPlan().toString()
