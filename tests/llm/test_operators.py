@@ -1,9 +1,11 @@
 """The ten operators against brute force on a small table."""
 
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +121,27 @@ def test_substring_dedup(docs, small, flush, monkeypatch):
     assert table(substring_dedup.remove(docs), "n_words", "n_removed", "kept_sha256") == brute.window_dedup(small)
 
 
+def test_windows_are_held_and_sent_in_bounded_memory(spark, monkeypatch):
+    """What a task of op3 and of its sketch holds per window at a flush, and how many rows it sends at once."""
+    r = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(5000)])
+    texts = [" ".join(words[r.integers(0, 5000, 600)]) for _ in range(250)] * 2
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = []
+    for module in (sketch, substring_dedup):
+        monkeypatch.setattr(module, "arrow_map", lambda df, fn, schema, old=module.arrow_map: (made.append(fn), old(df, fn, schema))[1])
+    substring_dedup.marks(d)
+    b = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts, "sig": pa.array(range(len(texts)), pa.int64())})
+    windows = sum(len(t.split()) - 12 for t in texts)
+    for fn, most in ((made[0], 30), (made[2], 80)):
+        list(fn(iter([b.slice(0, 1)])))  # tables of powers are made once
+        tracemalloc.start()
+        got = [x.num_rows for x in fn(iter([b]))]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * windows + 60_000_000 and max(got) <= 100_000, (peak, windows)
+
+
 def test_language_id_learns_every_label(spark):
     r = np.random.default_rng(1)
     d = []

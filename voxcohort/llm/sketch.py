@@ -24,6 +24,7 @@ DEPTH = 2
 MIN_BITS, MAX_BITS = 16, 29
 SHARD_BITS = 8
 FLUSH = 2_000_000
+ROWS = 100_000
 PART = 4_000_000
 
 
@@ -74,12 +75,17 @@ def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h = np.concatenate(held)
+            c = np.empty(size, np.uint32)
             for r in range(depth):
-                c = np.sort(cells(h, r, bits))
-                cut = np.searchsorted(c, np.arange(1 << SHARD_BITS | 1) << low)
+                # array by array, so that beside the hashes only the cells take memory
+                at = 0
+                for h in held:
+                    c[at : at + len(h)] = cells(h, r, bits)
+                    at += len(h)
+                c.sort()
+                cut = np.searchsorted(c, (np.arange(1 << SHARD_BITS | 1) << low).astype(np.uint32))
                 some = np.flatnonzero(np.diff(cut))
-                yield batch(line=np.full(len(some), r, np.int32), shard=some.astype(np.int32), cells=pa.array([squeeze(c[cut[k] : cut[k + 1]] - (int(k) << low)) for k in some], pa.binary()))
+                yield batch(line=np.full(len(some), r, np.int32), shard=some.astype(np.int32), cells=pa.array([squeeze(c[cut[k] : cut[k + 1]] - np.uint32(int(k) << low)) for k in some], pa.binary()))
 
         for b in it:
             for h in hashes(b):

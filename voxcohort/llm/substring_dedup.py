@@ -73,21 +73,33 @@ def marks(docs: DataFrame, size: int = SIZE, most: int = RUN) -> DataFrame:
         count = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, doc, sig, pos = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, h))
-            hs, ds = h[order], doc[order]
-            head = np.ones(len(hs), bool)
+            """Windows are held by place in the slice and row of the slice; ids and text hashes are held per row."""
+            first = np.cumsum([0, *(len(x[3]) for x in held)])
+            row = np.concatenate([x[1] + np.int32(f) for x, f in zip(held, first)])
+            h, pos, did, sig = (np.concatenate([x[k] for x in held]) for k in (0, 2, 3, 4))
+            held.clear()
+            order = np.lexsort((did[row], h))
+            head = np.ones(len(h), bool)
+            hs = h[order]
             head[1:] = hs[1:] != hs[:-1]
-            mine = ds == ds[head][np.cumsum(head) - 1]
-            own = np.sort(order[mine])
-            yield batch(h=signed(h[own]), doc_id=doc[own], sig=sig[own], run=pos[own] * most + 1)
-            late = order[~mine]
-            late = late[np.lexsort((pos[late], sig[late], doc[late]))]
-            row = np.cumsum((np.diff(doc[late], prepend=0) != 0) | (np.diff(sig[late], prepend=0) != 0))
-            r, p, n = split_runs(*runs(row, pos[late]), most - 1)
-            if len(r):
-                at = late[np.searchsorted(row, r)]
-                yield batch(h=pa.nulls(len(r), pa.int64()), doc_id=doc[at], sig=sig[at], run=p * most + n)
+            del hs
+            ds = did[row[order]]
+            heads = np.flatnonzero(head)
+            mine = ds == np.repeat(ds[heads], np.diff(np.append(heads, len(ds))))
+            del ds, head
+            own, late = np.sort(order[mine]), order[~mine]
+            del order, mine
+            for k in range(0, len(own), sketch.ROWS):
+                at = own[k : k + sketch.ROWS]
+                yield batch(h=signed(h[at]), doc_id=did[row[at]], sig=sig[row[at]], run=pos[at].astype(np.int64) * most + 1)
+            del own, h
+            late = late[np.lexsort((pos[late], sig[row[late]], did[row[late]]))]
+            text = np.cumsum((np.diff(did[row[late]], prepend=0) != 0) | (np.diff(sig[row[late]], prepend=0) != 0))
+            r, p, n = split_runs(*runs(text, pos[late].astype(np.int64)), most - 1)
+            at = late[np.searchsorted(text, r)]
+            for k in range(0, len(r), sketch.ROWS):
+                a, of = at[k : k + sketch.ROWS], slice(k, k + sketch.ROWS)
+                yield batch(h=pa.nulls(len(a), pa.int64()), doc_id=did[row[a]], sig=sig[row[a]], run=p[of] * most + n[of])
 
         for b in it:
             did, sig = b.column("doc_id").to_numpy(), b.column("sig").to_numpy()
@@ -96,12 +108,12 @@ def marks(docs: DataFrame, size: int = SIZE, most: int = RUN) -> DataFrame:
                 h, ok = rolling(w, size)
                 at = np.flatnonzero(ok)
                 at = at[twice.value(h[at])]
-                row = w.doc[at] + s.row
-                held.append((h[at], did[row], sig[row], at - w.first[w.doc[at]]))
+                of = slice(s.row, s.row + s.n)
+                held.append((h[at], w.doc[at].astype(np.int32), (at - w.first[w.doc[at]]).astype(np.int32), did[of].copy(), sig[of].copy()))
                 count += len(at)
                 if count >= sketch.FLUSH:
                     yield from flush()
-                    held, count = [], 0
+                    count = 0
         if count:
             yield from flush()
 

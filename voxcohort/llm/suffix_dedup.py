@@ -138,7 +138,10 @@ def marks(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: in
             row, start = _spread(pos[late], n[late])
             yield from _emit(doc[late][row], sig[late][row], start)
             flat = [y for x in data for y in x]
-            yield _row(bucket=signed(h[head]), around=signed(around[head]), doc_id=doc[head], sig=sig[head], pos=pos[head], len=n[head], place=place[head], bytes=[flat[i] for i in head.tolist()])
+            # in small batches: a large one is held here and, outside the heap, by its reader
+            for k in range(0, len(head), sketch.ROWS // 10):
+                at = head[k : k + sketch.ROWS // 10]
+                yield _row(bucket=signed(h[at]), around=signed(around[at]), doc_id=doc[at], sig=sig[at], pos=pos[at], len=n[at], place=place[at], bytes=[flat[i] for i in at.tolist()])
 
         for b in it:
             did, sig = b.column("doc_id").to_numpy(), b.column("sig").to_numpy()
