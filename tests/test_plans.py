@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from voxcohort.operators import stencil
 from voxcohort.operators.geometry import resample
 from voxcohort.operators.stencil import frame
 from voxcohort.operators.study import permuted
@@ -80,3 +81,11 @@ def test_losses_are_winsorised_over_the_whole_cohort(spark):
     per = got.groupby(got.uid // probabilities.BATCH).bce.transform(lambda x: x.quantile(0.9))
     assert (got.batch_winsorised - got.bce.clip(upper=per)).abs().max() < 2e-6
     assert ((got.winsorised - got.batch_winsorised).abs() > 1e-3).any()
+
+
+def test_partitions_of_scans_do_not_grow_with_the_table(spark, monkeypatch):
+    """More scans make more partitions, not larger ones."""
+    monkeypatch.setattr(stencil, "SCAN_ROWS", 640)
+    n = views.v_boxes(spark, SF).count()
+    assert n > 80
+    assert views.scan_voxels(spark, SF).rdd.getNumPartitions() == views.scan_image(spark, SF).rdd.getNumPartitions() == -(-n // 10)

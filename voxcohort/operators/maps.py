@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import MIN_ANCHOR_PIXELS, SHAPE_WINDOW, SIGMOID_SHARPNESS
 from ..functions.scalars import col, sigmoid
 from ..session import cut
-from .stencil import by_scan, eroded, frame, line, on_grids, smooth
+from .stencil import by_scan, eroded, frame, line, on_grids, scan_parts, smooth
 
 XY = ["x", "y"]
 
@@ -145,11 +145,11 @@ def basins(t: DataFrame, value: str, steps: int = 30, per_job: int = 5) -> DataF
     Each step a pixel takes the best basin height among its 3x3 neighbours that are at least as high. The
     neighbourhood is read by lag and lead on the two axes, local to a scan.
     """
-    cur = t.withColumn("_b", F.when(F.col("is_peak") == 1, F.col(value)).otherwise(F.lit(0.0)))
-    done = 0
+    cur = cut(t.withColumn("_b", F.when(F.col("is_peak") == 1, F.col(value)).otherwise(F.lit(0.0))))
+    done, parts = 0, scan_parts(cur)
     while done < steps:
         todo = min(per_job, steps - done)
-        nxt = by_scan(cur).withColumn("_was", F.col("_b"))
+        nxt = by_scan(cur, parts).withColumn("_was", F.col("_b"))
         for _ in range(todo):
             wy, wx = line(XY, "y"), line(XY, "x")
             here = F.struct(F.col(value).alias("h"), F.col("_b").alias("b"))

@@ -22,8 +22,17 @@ from .boxes import VOXELS, batched
 from ..session import cut
 
 
-def by_scan(df: DataFrame) -> DataFrame:
-    return df.repartition("uid")
+SCAN_ROWS = 200_000
+
+
+def scan_parts(df: DataFrame, each: int = 1) -> int:
+    """How many partitions hold about SCAN_ROWS rows each when every row of df (frozen, or cheap to count) unfolds into `each`; at least as many
+    as the session shuffles to. A chain of passes keeps a sort of the whole partition open for each, so a partition must not grow with the table."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * each // SCAN_ROWS))
+
+
+def by_scan(df: DataFrame, parts: int | None = None) -> DataFrame:
+    return df.repartition(parts, "uid") if parts else df.repartition("uid")
 
 
 def densify(df: DataFrame, dims: dict[str, int], value: str = "v", scans: DataFrame | None = None) -> DataFrame:
@@ -231,10 +240,11 @@ def offsets_join(df: DataFrame, axes: list[str], offsets: list[tuple[int, ...]],
 
 def grow(seed: DataFrame, mask: str, axes: list[str], steps: int, value: str = "rec", per_job: int = 5) -> DataFrame:
     """Geodesic growth: repeat rec = min(dilate(rec, 1), mask) until nothing changes or `steps` is reached."""
-    done, cur = 0, seed
+    done, cur = 0, cut(seed)
+    parts = scan_parts(cur)
     while done < steps:
         todo = min(per_job, steps - done)
-        nxt = by_scan(cur).withColumn("_was", F.col(value))
+        nxt = by_scan(cur, parts).withColumn("_was", F.col(value))
         for _ in range(todo):
             nxt = frame(nxt, axes, value, F.max, 1).withColumn(value, F.least(F.col(value), F.col(mask)))
         nxt = cut(nxt)

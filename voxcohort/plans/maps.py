@@ -8,7 +8,7 @@ from ..functions.constants import EROSION_STEPS, EROSION_STEPS_3D
 from ..functions.scalars import let, mean_of, r6, sigmoid, sorted_nearest
 from ..operators import maps as mp
 from ..operators import volumes as vol
-from ..operators.stencil import assert_dense, by_scan, eroded, frame, grow, on_grids, smooth
+from ..operators.stencil import assert_dense, by_scan, eroded, frame, grow, on_grids, scan_parts, smooth
 from ..session import cut
 from .registry import query, r
 from .sqltext import sig, smooth_sql
@@ -141,7 +141,7 @@ _SMO = f"{smooth_sql('v_img', 'sm0', AX2, W5)}, sm as (select uid, x, y, round(v
 
 def _peaks(spark, sf):
     s = cut(mp.smooth_map(scan_image(spark, sf), "v", SIGMA).withColumn("v", F.round("v", 9)))
-    return mp.peaks(by_scan(s), "v", mp.otsu_levels(s, "v", WIN))
+    return mp.peaks(by_scan(s, scan_parts(s)), "v", mp.otsu_levels(s, "v", WIN))
 
 
 @query(
@@ -450,7 +450,8 @@ def blob_removal(spark, sf):
     t = smooth(t.withColumn("sv", F.col("v")), ax, "sv", SIGMA)
     t = t.withColumn("mask", (F.round("sv", 9) > F.round(F.lit(1.05) * F.col("level"), 9)).cast("int"))
     t = t.withColumn("rec", F.least(F.col("hd") - F.col("core"), F.col("mask"))).select("uid", *ax, "v", "mask", "rec")
-    g = frame(by_scan(grow(t, "mask", ax, 40)), ax, "rec", F.max, 1)
+    grown = grow(t, "mask", ax, 40)
+    g = frame(by_scan(grown, scan_parts(grown)), ax, "rec", F.max, 1)
     return g.select("uid", *ax, r6(F.when(F.col("rec") == 1, F.least(F.col("v"), F.lit(1.0))).otherwise(F.col("v"))).alias("v"), (F.col("rec") == 1).alias("removed"))
 
 

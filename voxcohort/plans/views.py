@@ -5,11 +5,14 @@ The integer hashes make both engines build identical rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cap_logit, logit
 from ..operators.ranking import row_numbers
+from ..operators.stencil import by_scan, scan_parts
 from ..operators.volumes import voxels
 
 MEMBERS = 10
@@ -82,15 +85,21 @@ def v_vox(spark, sf) -> DataFrame:
     )
 
 
+def _dealt(spark, sf) -> DataFrame:
+    """Arrays by scan, in partitions sized by the voxels they unfold into; the count reads no column."""
+    b = v_boxes(spark, sf)
+    return by_scan(b.select("uid", "data"), scan_parts(b, math.prod(DIMS)))
+
+
 def scan_voxels(spark, sf) -> DataFrame:
     """v_vox partitioned by scan: the arrays are shuffled, then unfolded inside their partition."""
-    return voxels(v_boxes(spark, sf).select("uid", "data").repartition("uid"), DIMS)
+    return voxels(_dealt(spark, sf), DIMS)
 
 
 def scan_image(spark, sf) -> DataFrame:
     """v_img partitioned by scan, again by shuffling arrays instead of pixels."""
     i = F.col("i")
-    t = v_boxes(spark, sf).select("uid", "data").repartition("uid").select("uid", F.posexplode_outer("data").alias("i", "v"))
+    t = _dealt(spark, sf).select("uid", F.posexplode_outer("data").alias("i", "v"))
     return t.select("uid", F.floor(i / 8).cast("int").alias("x"), (i % 8).alias("y"), "v")
 
 
