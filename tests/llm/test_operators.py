@@ -9,9 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from voxcohort.llm import decontaminate, language_id, license_scan, lm_score, ngram_join, packing, quality_rules, sketch, substring_dedup, suffix_dedup, token_file
-from voxcohort.llm.common import held_out
+from voxcohort.llm import decontaminate, language_id, license_scan, lm_score, ngram_join, packing, quality_rules, sketch, substring_dedup, suffix_dedup, token_file, tokens
+from voxcohort.llm.common import arrow_map, held_out
 from voxcohort.llm.tokens import default_vocabulary
+from voxcohort.llm.words import slices
 from voxcohort.session import scratch_path
 
 from . import brute
@@ -142,6 +143,56 @@ def test_windows_are_held_and_sent_in_bounded_memory(spark, monkeypatch):
         assert peak < most * windows + 60_000_000 and max(got) <= 100_000, (peak, windows)
 
 
+def test_sketch_holds_only_cells(spark, monkeypatch):
+    """A task of a sketch holds PART cells a row at most, whatever it is fed at once, and loses none at the edge of a part."""
+    made = []
+    monkeypatch.setattr(sketch, "arrow_map", lambda df, fn, schema, old=sketch.arrow_map: (made.append(fn), old(df, fn, schema))[1])
+    r = np.random.default_rng(5)
+    h = r.integers(0, 1 << 63, 3_999_999).astype(np.uint64)
+    few = spark.range(2).selectExpr("cast(id as int) n")
+    parts = []
+    monkeypatch.setattr(sketch, "PART", 1_000_000)
+    sketch.merged(few, lambda b: iter(parts), 24)
+    parts += np.split(h, range(300_000, len(h), 300_000))
+    one = pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int32())})
+    sent = [b.to_pylist() for b in made[0](iter([one]))]
+    got = [(x["line"], x["shard"], x["cells"]) for b in sent for x in b]
+    for line in (0, 1):
+        found = np.concatenate([sketch.expand(c) + (k << 16) for l, k, c in got if l == line])
+        assert np.array_equal(np.sort(found), np.sort(sketch.cells(h, line, 24)))
+    assert max(sum(len(sketch.expand(x["cells"])) for x in b) for b in sent) <= 1_000_000
+
+
+def test_encoder_remembers_bounded_bytes(monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 60_000, raising=False)
+    texts = [" ".join(f"word{i} {'x' * (i % 90)}{i}" for i in range(j, j + 300)) for j in range(0, 3000, 150)]
+    enc, want = tokens.WordIds(tokens.default_vocabulary(), 2_000_000), tokens.WordIds(tokens.default_vocabulary(), 1)
+    for t in texts:
+        s = next(slices(pa.array([t])))
+        assert np.array_equal(enc.encode(s)[0], want.encode(s)[0])
+        assert 20 * len(enc.hash) + 4 * enc.used <= 60_000 + 30_000  # and one slice
+
+
+def test_a_task_gives_its_memory_back():
+    """What allocators keep of a task's buffers returns to the system when it ends."""
+
+    class Frame:
+        def mapInArrow(self, fn, schema):  # noqa: N802
+            return fn
+
+    def fn(it):
+        held = [pa.array(["x" * 1000] * 1000) for _ in range(300)]
+        yield from it
+        assert held
+
+    def rss():
+        return int(re.search(r"RssAnon:\s+(\d+)", open("/proc/self/status").read())[1]) // 1024
+
+    before = rss()
+    list(arrow_map(Frame(), fn, "n int")(iter([])))
+    assert rss() - before < 60, rss() - before
+
+
 def test_language_id_learns_every_label(spark):
     r = np.random.default_rng(1)
     d = []

@@ -311,7 +311,7 @@ def remove(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, over
                     keep[[s.row + h[0] for h in hits(shared.value, s, threshold, overlap)]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow_map(docs, run, docs.schema)
     return docs
 
 

@@ -201,7 +201,7 @@ def with_letters(docs: DataFrame, text: str = "text") -> DataFrame:
                 keep[s.row : s.row + s.n] = _lettered(s, trigrams(s.data, s.offs)[2])
             yield b.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -238,7 +238,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield batch(**cols, lang_pred=pa.array(label, pa.string()), score=np.concatenate(prob) if prob else np.zeros(0))
 
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return arrow_map(docs, run, schema)
 
 
 def learn_and_predict(docs: DataFrame, learn: Column) -> DataFrame:

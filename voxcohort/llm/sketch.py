@@ -71,17 +71,13 @@ def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
     low = bits - SHARD_BITS
 
     def part(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        # only cells are held, so memory is bounded by PART
+        held = np.empty((depth, PART), np.uint32)
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            c = np.empty(size, np.uint32)
             for r in range(depth):
-                # array by array, so that beside the hashes only the cells take memory
-                at = 0
-                for h in held:
-                    c[at : at + len(h)] = cells(h, r, bits)
-                    at += len(h)
+                c = held[r, :size]
                 c.sort()
                 cut = np.searchsorted(c, (np.arange(1 << SHARD_BITS | 1) << low).astype(np.uint32))
                 some = np.flatnonzero(np.diff(cut))
@@ -89,11 +85,14 @@ def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
 
         for b in it:
             for h in hashes(b):
-                held.append(h)
-                size += len(h)
-                if size >= PART:
-                    yield from flush()
-                    held, size = [], 0
+                while len(h):
+                    some = h[: PART - size]
+                    for r in range(depth):
+                        held[r, size : size + len(some)] = cells(some, r, bits)
+                    size, h = size + len(some), h[len(some) :]
+                    if size == PART:
+                        yield from flush()
+                        size = 0
         if size:
             yield from flush()
 

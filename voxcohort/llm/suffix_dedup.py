@@ -30,6 +30,7 @@ from .words import U, mix, prefix_hash, range_hash, signed, slices
 SIZE = 100
 ANCHOR = 32
 BUCKET_ROWS = 20_000
+LATE_ROWS = 10_000
 _PLACE = U(31)
 
 
@@ -135,8 +136,12 @@ def marks(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: in
             head = order[np.flatnonzero(new)]
             lead = head[np.cumsum(new) - 1]
             late = order[(doc[order] != doc[lead]) | (pos[order] != pos[lead])]
-            row, start = _spread(pos[late], n[late])
-            yield from _emit(doc[late][row], sig[late][row], start)
+            # window by window they take far more memory than as rows; by document, so that few runs are cut
+            late = late[np.lexsort((pos[late], sig[late], doc[late]))]
+            for k in range(0, len(late), LATE_ROWS):
+                at = late[k : k + LATE_ROWS]
+                row, start = _spread(pos[at], n[at])
+                yield from _emit(doc[at][row], sig[at][row], start)
             flat = [y for x in data for y in x]
             # in small batches: a large one is held here and, outside the heap, by its reader
             for k in range(0, len(head), sketch.ROWS // 10):
@@ -155,7 +160,7 @@ def marks(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: in
                 raw = s.data.tobytes()
                 held.append((h, around, did[row + s.row], sig[row + s.row], lo - s.offs[row], hi - lo + 1, (p - lo).astype(np.int32), [raw[i:j] for i, j in zip(lo.tolist(), (hi + size).tolist(), strict=True)]))
                 count += len(h)
-                if count >= sketch.FLUSH // 10:
+                if count >= sketch.FLUSH // 20:
                     yield from flush()
                     held, count = [], 0
         if count:
@@ -284,7 +289,7 @@ def remove(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: i
                 yield batch(**{f.name: b.column(f.name).slice(s.row, s.n) for f in out}, n_bytes=cols["n_bytes"], **{c: pa.array(cols[c], k) for c, k in kinds.items()})
 
     kinds = [("n_bytes", LongType()), ("n_removed", LongType()), ("n_spans", LongType()), ("kept_sha256", StringType()), ("kept", BinaryType()), ("kept_text", StringType())]
-    return d.mapInArrow(run, StructType([*out, *(StructField(n, k) for n, k in kinds)]))
+    return arrow_map(d, run, StructType([*out, *(StructField(n, k) for n, k in kinds)]))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,9 @@ def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return ((hi.astype(np.uint64) << np.uint64(32)) | lo).view(np.int64), null.astype(bool), counts, ids, struct.unpack_from("<Q", raw, 8)[0]
 
 
+SEGMENT_BYTES = 1 << 20
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, percentile: float = 0.95) -> None:
     """Encode every whole text (null: empty), append END_ID, write segments in ascending doc_id order (null ids first, repeated ids in any order)."""
     n = partitions(docs.sparkSession)
@@ -122,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, percentile: float
             part = b.column("part").to_numpy()
             ids_ = b.column("doc_id")
             null, doc = np.asarray(ids_.is_null()), np.asarray(ids_.fill_null(0))
-            for s in slices(b.column("text")):
+            for s in slices(b.column("text"), SEGMENT_BYTES):
                 ids, first = enc.encode(s)
                 r = slice(s.row, s.row + s.n)
                 yield batch(

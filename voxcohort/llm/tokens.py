@@ -1,8 +1,8 @@
 """Token ids of whole texts by the tokenizers library, each distinct word encoded once per worker while it is remembered.
 
 Some tokenizers drop white space and never join across it (word_bpe_49k is one): the ids of a text are those of its words in
-order. For them a worker keeps the ids of words it has met, in arrays, up to `limit` words, and starts afresh beyond; the
-bound changes the time, never the ids. Words are told apart by a 64-bit hash. Other tokenizers encode whole texts.
+order. For them a worker keeps the ids of words it has met, in arrays, up to `limit` words and HELD bytes, and starts afresh
+beyond; the bounds change the time, never the ids. Words are told apart by a 64-bit hash. Other tokenizers encode whole texts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from .words import SPACED, Slice, U, Words, words_of
 
 END_ID = 1
 _TRAIL = ".,!?"
+HELD = 16 << 20
 _open: dict[tuple, "WordIds"] = {}
 
 
@@ -120,7 +121,8 @@ class WordIds:
         uniq, one, inv = np.unique(w.hash, return_index=True, return_inverse=True)
         _, have = self._find(uniq)
         if not have.all():
-            if len(self.hash) + int((~have).sum()) > self.limit:
+            many = len(self.hash) + int((~have).sum())
+            if many > self.limit or 20 * many + 4 * self.used > HELD:
                 self.clear()
                 have[:] = False
             new = np.flatnonzero(~have)

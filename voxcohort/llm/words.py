@@ -1,6 +1,6 @@
 """Words of whole texts as arrays: bounds and 64-bit hashes of every word of an Arrow batch, without a Python loop per word.
 
-A batch is cut between documents into slices of a few megabytes, so memory does not depend on the batch; one document is
+A batch is cut between documents into slices of 256 kB, so memory does not depend on the batch; one document is
 never cut. Hashes are polynomial over a byte table and then mixed; they depend on the bytes of the word alone, so every
 executor computes the same ones.
 """
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _UNDO = pow(_BASE, -1, 2**64)
 _GRAM = U(0xD6E8FEB86659FD93)
