@@ -13,7 +13,7 @@ from voxcohort.functions.scalars import sorted_nearest, sorted_quantile
 from voxcohort.sources.files import parse_log
 from voxcohort.functions.scalars import calibrate, clip_prob, logit, sanitise
 from voxcohort.functions.draws import poisson1, uniform
-from voxcohort.operators import augment, calibration, cohort, components, geometry, maps, ranking, stencil, study, volumes
+from voxcohort.operators import augment, boxes, calibration, cohort, components, geometry, maps, ranking, stencil, study, volumes
 from voxcohort.streaming import scoring
 
 
@@ -51,6 +51,13 @@ def test_quantiles_and_tiles(spark):
     assert t[t.g == "b"].t.value_counts().sort_index().tolist() == [3, 3, 2]
 
 
+def test_stacks_of_volumes_are_bounded(spark):
+    """Temporaries of whole-volume steps follow 65,536 voxels, not the rows of a batch."""
+    d = spark.range(3000).coalesce(1).select(F.array(*[F.lit(1.0)] * 64).alias("data"))
+    got = d.select(boxes.batched(lambda v: v * len(v), (4, 4, 4), "data").alias("v")).agg(F.count("v"), F.max(F.array_max("v"))).first()
+    assert got[0] == 3000 and got[1] <= 1024
+
+
 def test_running_is_exact_over_many_slices(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("o"), (F.col("id") % 7).alias("w"))
     got = ranking.running(df, ["g"], ["o"], {"t": F.col("w")}, {"m": F.struct("w", "o")}).toPandas().sort_values(["g", "o"])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import col
 
 Dims = tuple[int, int, int]
-VOXELS = 1 << 20
+VOXELS = 1 << 16
 
 
 def _values(c: pa.Array) -> list:
