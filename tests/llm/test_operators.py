@@ -1,5 +1,6 @@
 """The ten operators against brute force on a small table."""
 
+import random
 import re
 import tracemalloc
 import zlib
@@ -173,6 +174,56 @@ def test_encoder_remembers_bounded_bytes(monkeypatch):
         assert 20 * len(enc.hash) + 4 * enc.used <= 60_000 + 30_000  # and one slice
 
 
+class Counting:
+    """A tokenizer that counts the characters it is given."""
+
+    def __init__(self, tok):
+        self.tok, self.chars = tok, 0
+
+    def encode_batch_fast(self, texts, **how):
+        self.chars += sum(map(len, texts))
+        return self.tok.encode_batch_fast(texts, **how)
+
+
+def test_encoder_keeps_frequent_words_when_it_is_full(monkeypatch):
+    monkeypatch.setattr(tokens, "HELD", 60_000)
+    enc = tokens.WordIds(tokens.default_vocabulary(), 2_000_000)
+    enc.tok = Counting(enc.tok)
+    often, letters = [f"often{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)], "abcdefghij"
+    rare = rare_seen = 0
+    for j in range(60):
+        once = ["rare" + "".join(letters[int(d)] for d in f"{j * 500 + i:06d}") for i in range(500)]
+        before = enc.tok.chars
+        enc.encode(next(slices(pa.array([" ".join(once + often)]))))
+        if j >= 10:
+            rare, rare_seen = rare + sum(len(w) + 1 for w in once), rare_seen + enc.tok.chars - before
+    assert rare <= rare_seen <= rare * 1.02
+
+
+def test_encoder_learns_a_word_once_for_all_its_forms():
+    enc = tokens.WordIds(tokens.default_vocabulary(), 2_000_000)
+    enc.tok = Counting(enc.tok)
+    enc.encode(next(slices(pa.array(["wordling Wordling, WORDLING. wordling!? 'wordling' wordling### wordling;"]))))
+    assert enc.tok.chars <= len("wordling 'wordling ,.!?'###;") + 5
+
+
+def test_word_ids_are_those_of_whole_texts(monkeypatch):
+    """Letters that lose or gain a mark when lower-cased or normalised, punctuation that could join it, added tokens, odd spaces."""
+    texts = ["\u0130. x\u0130, \u0130", "H\u0331a h\u0331a J\u030c j\u030c", "\u0958. \ufb1d!", "a\u0301. A\u0301?!", "<|ENDOFTEXT|> <|endoftext|> a<|endoftext|>b. <|endoftext|>.",
+             "Don't. DON'T's, it's'", "a\xa0b \u3000 \x85,", "\x00a b\x00. \x1ca", "\u039f\u03a3. \u03c2!", "\uff11\uff12 \u2460x.", "x###. y.### \xdf&&& ***", "", None, "!" * 3000 + " a" + ".," * 3000]
+    r = random.Random(7)
+    letters = "aZ\u0130\xdf\u1e9e\u03a3\u0416\u0439\u0958\u01c5\uac00\u4f60\u0663\u0301\u0331\u0307.,!?'$<|> \t\u2003"
+    texts += ["".join(r.choices(letters, k=r.randint(1, 40))) for _ in range(600)]
+    for held in (tokens.HELD, 3000):
+        monkeypatch.setattr(tokens, "HELD", held)
+        enc = tokens.WordIds(tokens.default_vocabulary(), 2_000_000)
+        for s in slices(pa.array(texts), 1500):
+            ids, first = enc.encode(s)
+            for k in range(s.n):
+                want = enc.tok.encode(texts[s.row + k] or "", add_special_tokens=False).ids
+                assert ids[first[k] : first[k + 1]].tolist() == [*want, tokens.END_ID], ascii(texts[s.row + k])
+
+
 def test_a_task_gives_its_memory_back():
     """What allocators keep of a task's buffers returns to the system when it ends."""
 

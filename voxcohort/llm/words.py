@@ -120,8 +120,8 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix((prefix[end] - prefix[start]) * undo[start] + (end - start).astype(U))
 
 
-def words_of(s: Slice, alphabet: Alphabet) -> Words:
-    """All words of a slice; a word never crosses a document's end."""
+def bounds(s: Slice, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded bytes of a slice, where its words begin and end, and the first word of each document; a word never crosses a document's end."""
     n = len(s.data)
     data = alphabet.fold[s.data] if alphabet.lower else s.data
     inside = np.zeros(n + 2, bool)
@@ -131,7 +131,12 @@ def words_of(s: Slice, alphabet: Alphabet) -> Words:
     here = inside[1:-1]
     start = np.flatnonzero(here & (~inside[:-2] | edge[:-1]))
     end = np.flatnonzero(here & (~inside[2:] | edge[1:])) + 1
-    first = np.searchsorted(start, s.offs)
+    return data, start, end, np.searchsorted(start, s.offs)
+
+
+def words_of(s: Slice, alphabet: Alphabet) -> Words:
+    """All words of a slice."""
+    data, start, end, first = bounds(s, alphabet)
     doc = np.repeat(np.arange(s.n), np.diff(first))
     return Words(data, start, end, range_hash(prefix_hash(data), start, end), first, doc)
 
