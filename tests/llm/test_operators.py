@@ -374,6 +374,13 @@ def test_packing(docs, small, capacity):
     assert len(at) <= 1.25 * sum(map(len, ids.values())) / capacity + 1
 
 
+def test_packed_ids_of_marked_letters_are_those_of_whole_texts(spark):
+    texts = [(1, "\u0130. x\u0130, \u0130!"), (2, "Wort, WORT. H\u0331a### h\u0331a"), (3, None)]
+    rows = packing.pack(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    want = tokenised(texts)
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in rows} == {i: (len(x), brute.crc(x)) for i, x in want.items()}
+
+
 def test_plan_is_close_to_the_bound():
     r = np.random.default_rng(1)
     n, c = np.unique(np.clip(r.lognormal(6.5, 1, 50_000).astype(int) + 1, 1, 4096), return_counts=True)
