@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import arrow_map, batch, documents, held_out
+from .common import arrow_map, batch, documents, give_back, held_out
 from .words import Alphabet, Slice, slices
 
 UNKNOWN = "und"
@@ -179,6 +179,9 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SA
         if FAMILY_OF.get(a, a) == FAMILY_OF.get(b, b):
             rows_ = (lang == a) | (lang == b)
             by_pair[a, b] = fit_machine(x[rows_], sign(lang[rows_] == a))
+    # the driver would hold what the sample took for all that follows
+    del got, x
+    give_back()
     return Model(languages, families, by_family, by_pair)
 
 

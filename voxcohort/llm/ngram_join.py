@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import arrow_map, batch, cut, documents, freeze, partitions
+from .common import arrow_map, batch, cut, documents, partitions, passing
 from .components import components
 from .words import SPACED_LOWER, U, Slice, mix, rolling, signed, slices, words_of
 
@@ -314,8 +314,14 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     Null and empty texts have no shingle and are linked with nothing. Rows with one id count as one document with all their links. A null
     id is never linked; its component is null. Other columns are ignored.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    with passing(docs.sparkSession) as keep:
+        return cut(_join(d, k, percent, keep))
+
+
+def _join(d: DataFrame, k: int, percent: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """join() of doc_id and text; keep evaluates a table once for the steps that follow."""
+    spark = d.sparkSession
 
     def all_shingles(b: pa.RecordBatch) -> Iterator[np.ndarray]:
         for s in slices(b.column("text"), TEXT_SLICE):
@@ -342,19 +348,19 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
                     set=pa.array([x.tobytes() if o else b"" for x, o in zip(kept, left, strict=True)], pa.binary()),
                 )
 
-    made = freeze(arrow_map(d, describe, "doc_id long, n long, f1 long, f2 long, open boolean, set binary"))
+    made = keep(arrow_map(d, describe, "doc_id long, n long, f1 long, f2 long, open boolean, set binary"))
     twice.destroy()
     # equal sets are one: the least id stands for them
     whole = made.where("n > 0 and doc_id is not null")
     # frozen, so that the join below is between two plain shuffles and a large group of copies can be split
-    lead = freeze(whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
-    member = freeze(whole.select("doc_id", "f1", "f2", "n", "open").join(lead, ["f1", "f2", "n"]).select("doc_id", "n", "open", "rep"))
+    lead = keep(whole.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")))
+    member = keep(whole.select("doc_id", "f1", "f2", "n", "open").join(lead, ["f1", "f2", "n"]).select("doc_id", "n", "open", "rep"))
     # ids with several sets: v tells their sets apart; 0 for all others
     several = whole.groupBy("doc_id").agg(F.min("f1").alias("lo"), F.max("f1").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("several"))
     firsts_ = cut(member.where("open and doc_id = rep").select("doc_id").distinct())
     look = sketch.may_hold(firsts_)
     some = whole.where("open").where(look(F.col("doc_id"))).join(firsts_, "doc_id", "left_semi").dropDuplicates(["doc_id", "f1", "f2", "n"]).join(several, "doc_id", "left")
-    some = freeze(some.select("doc_id", F.when(F.col("several"), F.col("f1")).otherwise(F.lit(0)).alias("v"), "n", "set"))
+    some = keep(some.select("doc_id", F.when(F.col("several"), F.col("f1")).otherwise(F.lit(0)).alias("v"), "n", "set"))
 
     # copies counted once, fewer shingles are left that two sets hold
     held = int(some.agg(F.sum(F.length("set"))).first()[0] or 0) // 8
@@ -373,7 +379,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
             kinds = {"doc_id": pa.int64(), "v": pa.int64(), "n": pa.int64(), "w": pa.int64(), "k1": pa.int64(), "k2": pa.int64(), "keys": pa.list_(pa.int64()), "bits": pa.binary(), "set": pa.binary()}
             yield batch(**{c: pa.array([x[j] for x in out], t) for j, (c, t) in enumerate(kinds.items())})
 
-    near = freeze(arrow_map(some, head, "doc_id long, v long, n long, w long, k1 long, k2 long, keys array<long>, bits binary, set binary"))
+    near = keep(arrow_map(some, head, "doc_id long, v long, n long, w long, k1 long, k2 long, keys array<long>, bits binary, set binary"))
     again.destroy()
     hot.destroy()
 
@@ -383,7 +389,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
 
     # blocks that still hold different groups are walked by bitmaps: what these do not rule out connects groups to clusters
     rooted = near.select("doc_id", "v", "n", "w", "keys").join(group.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    rooted = freeze(rooted)
+    rooted = keep(rooted)
     keyed = rooted.select(F.explode("keys").alias("key"), "doc_id", "v", "root", "n", "w")
     maybe = walked(dealt(keyed, percent), near.select("doc_id", "v", "n", "w", "bits"), percent, False)
     known = group.select(F.col("node").alias("a"), F.col("root").alias("b"))
@@ -395,7 +401,7 @@ def join(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     ends_of = member.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("hi")).where("b <> hi").select("doc_id", "b")
     same_id = member.join(ends_of, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     all_ = known.unionByName(more).unionByName(same_id)
-    return _answer(d, made, member, components(all_))
+    return _answer(made, member, components(all_))
 
 
 def keys_left(n: int, held: int, percent: int) -> int:
@@ -458,7 +464,7 @@ def _stars(sets: DataFrame, column: str, percent: int) -> DataFrame:
     return run(sliced).unionByName(run(again))
 
 
-def _answer(d: DataFrame, made: DataFrame, member: DataFrame, group: DataFrame) -> DataFrame:
+def _answer(made: DataFrame, member: DataFrame, group: DataFrame) -> DataFrame:
     m = member.select("doc_id", "rep")
     m = m.join(group.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"))
     m = m.groupBy("doc_id").agg(F.min("root").alias("root"))
@@ -470,7 +476,7 @@ def first_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> Da
 
     Only rows that a filter of the ids to be looked at lets through are shuffled with their texts.
     """
-    found = cut(join(docs.select("doc_id", "text"), k, percent).where("doc_id is not null").select("doc_id", "component_id"))
+    found = join(docs.select("doc_id", "text"), k, percent).where("doc_id is not null").select("doc_id", "component_id")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     look = sketch.may_hold(cut(gone.unionByName(again).distinct()))

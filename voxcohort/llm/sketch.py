@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, batch, partitions
+from .common import arrow_map, batch, partitions, passing
 from .words import U, mix
 
 DEPTH = 2
@@ -26,6 +26,7 @@ SHARD_BITS = 8
 FLUSH = 2_000_000
 ROWS = 100_000
 PART = 4_000_000
+FETCH = 1 << 21
 
 
 def width_bits(n: int) -> int:
@@ -112,8 +113,10 @@ def merged(docs: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarr
     made = arrow_map(docs, part, "line int, shard int, cells binary").repartition(partitions(docs.sparkSession), "line", "shard")
     rows = np.zeros((depth, max(1, 1 << bits >> 3)), np.uint8)
     step = 1 << low >> 3
-    for x in arrow_map(made, add, "line int, shard int, twice binary").toLocalIterator():
-        rows[x["line"], x["shard"] * step : (x["shard"] + 1) * step] = np.frombuffer(x["twice"], np.uint8)
+    with passing(docs.sparkSession) as keep:
+        # shards are added up in parallel first: what is fetched is fetched partition by partition, each about FETCH bytes
+        for x in keep(arrow_map(made, add, "line int, shard int, twice binary")).coalesce(-(-rows.nbytes // FETCH)).toLocalIterator():
+            rows[x["line"], x["shard"] * step : (x["shard"] + 1) * step] = np.frombuffer(x["twice"], np.uint8)
     return Repeated(rows, bits)
 
 

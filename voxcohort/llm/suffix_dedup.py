@@ -243,6 +243,7 @@ def marks(docs: DataFrame, size: int = SIZE, gram: int = ANCHOR, bucket_rows: in
     near = rows.where("bucket is null").select("doc_id", "sig", "pos", "len")
     far = rows.where("bucket is not null").repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "around", "doc_id", "pos")
     done = cut(arrow_map(far, sort, _SCHEMA).select("bucket", "doc_id", "sig", "pos", "len").unionByName(near.withColumn("bucket", F.lit(None).cast("long"))))
+    twice.destroy()
     wide = done.where("bucket is not null")
     least = wide.groupBy("bucket").agg(F.min(F.struct("doc_id", "pos")).alias("least"))
     late = wide.join(least, "bucket").where(F.struct("doc_id", "pos") > F.col("least")).select("doc_id", "sig", "pos", "len")
