@@ -89,3 +89,11 @@ def test_partitions_of_scans_do_not_grow_with_the_table(spark, monkeypatch):
     n = views.v_boxes(spark, SF).count()
     assert n > 80
     assert views.scan_voxels(spark, SF).rdd.getNumPartitions() == views.scan_image(spark, SF).rdd.getNumPartitions() == -(-n // 10)
+
+
+def test_head_is_cut_by_all_voxels(spark, tmp_path):
+    """A bright corner between the voxels of a stride of seven: the quantile of all voxels sees it, so its shell seeds the removal."""
+    e = [2.25 if i in (1, 4, 5, 16, 17, 20) else 0.0 for i in range(64)]
+    spark.createDataFrame([(1, e, 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = maps.blob_removal(spark, str(tmp_path)).where("removed").select("x", "y", "z", "v").collect()
+    assert {(0, 0, 1), (0, 1, 0), (1, 0, 0)} <= {(r.x, r.y, r.z) for r in got} and {r.v for r in got} == {1.0}

@@ -427,7 +427,7 @@ def _morph(src: str, out: str, fn: str, k: int) -> str:
 
 @query(
     "blob_removal",
-    f"""with recursive sk as (select uid, v, row_number() over (partition by uid order by v) - 1 rk, count(*) over (partition by uid) n from v_vox where i % 7 = 0), q as (select uid, max(v) q from sk where rk = cast(floor(0.999::double*(n - 1)) as int) group by 1),
+    f"""with recursive sk as (select uid, v, row_number() over (partition by uid order by v) - 1 rk, count(*) over (partition by uid) n from v_vox), q as (select uid, max(v) q from sk where rk = cast(floor(0.999::double*(n - 1)) as int) group by 1),
     hd as (select v.uid, x, y, z, case when v > 0.6::double*q then 1 else 0 end v from v_vox v join q using (uid)), {_morph('hd', 'hd1', 'max', 1)}, {_morph('hd1', 'hd2', 'min', 1)}, {_morph('hd2', 'hd3', 'min', 1)},
     sh as (select a.uid, a.x, a.y, a.z, a.v - b.v v from hd2 a join hd3 b using (uid, x, y, z)), {smooth_sql('v_vox', 'sv', AX3, W5)}, {_PEAK}, pv as (select uid, x, y, peak v from pk), {smooth_sql('pv', 'ps0', {'x': 4, 'y': 4}, W5)},
     ps as (select uid, x, y, round(v, 9) v from ps0), {otsu_sql('ps', 'o', 'true')}, mk as (select s.uid, x, y, z, case when round(s.v, 9) > round(1.05::double*greatest(lvl, 1e-3), 9) then 1 else 0 end v from sv s join o using (uid)),
@@ -437,13 +437,13 @@ def _morph(src: str, out: str, fn: str, k: int) -> str:
     ("v_vox",),
 )
 def blob_removal(spark, sf):
-    """Clamp bright blobs that touch the head shell: shell seeds grown inside the bright mask, then dilated."""
+    """Clamp bright blobs that touch the head shell: shell seeds grown inside the bright mask, then dilated. The head is cut at a share of the quantile of all voxels."""
     ax = ["x", "y", "z"]
     b = v_boxes(spark, sf)
     pk = vol.peak_mean_maps(b, DIMS).select("uid", "x", "y", F.col("peak").alias("v"))
     ps = smooth(by_scan(pk), ["x", "y"], "v", SIGMA).withColumn("v", F.round("v", 9))
     lvl = mp.otsu_levels(ps, "v", None).withColumn("level", F.greatest("level", F.lit(1e-3)))
-    top = b.select("uid", sorted_nearest(F.sort_array(F.filter("data", lambda v, i: i % 7 == 0)), 0.999).alias("q"))
+    top = b.select("uid", sorted_nearest(F.sort_array("data"), 0.999).alias("q"))
     t = scan_voxels(spark, sf).join(top, "uid").join(lvl, "uid").withColumn("hd", (F.col("v") > F.lit(0.6) * F.col("q")).cast("int"))
     t = frame(frame(t, ax, "hd", F.max, 1), ax, "hd", F.min, 1)
     t = frame(t.withColumn("core", F.col("hd")), ax, "core", F.min, 1)
