@@ -298,6 +298,27 @@ def test_urls_are_all_learned_from(spark):
     assert sorted(got) == sorted(sorted((tuple(r) for r in counts.collect()), key=lambda r: (-r[1] - r[2], len(r[0]), r[0]))[:40])
 
 
+def test_models_hold_every_string(spark):
+    """More different strings than a bounded table would keep, and windows of every frequency: broadcast, joined and mixed give one score."""
+    text = lambda i: hashlib.md5(str(i).encode()).hexdigest()
+    urls = [f"http://{text(i)[:16]}.{'org/c' if i % 25 == 0 else 'com/a' if i % 2 else 'net/es/b'}" for i in range(6_000)]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    texts = url_filter.labelled(url_filter.decided(d)).where("fit").select("text", "good")
+    model = url_filter.train(texts)
+    seen = {p[i - k : i + 1] for (t, _) in texts.collect() for p in [5 * "\x02" + t + "\x03"] for i in range(5, len(p)) for k in range(6)}
+    assert len(seen) > 100_000 and model.where("k > 0 and d is not null").count() == len(seen)
+    want, least = filtered(urls, url_filter.RULES, rows=len(urls), grams=len(seen))
+    free = {i: w[-1] for i, w in enumerate(want) if w[-1] is not None}
+    got = {r["page_id"]: r for r in url_filter.judge(d).where("score is not null").collect()}
+    assert len(free) > 100 and set(got) == set(free)
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(free[i], abs=2e-5) and r["threshold"] == pytest.approx(least, abs=2e-5)
+    asked = d.where(F.col("page_id").isin(list(free))).select("page_id", F.substring("url", 8, 99).alias("t"))
+    for hot in (1, 500):
+        steps = {r["page_id"]: r["steps"] for r in url_filter.mean_steps(asked, F.col("t"), model, hot=hot).collect()}
+        assert steps == {i: round(r["score"] * 1e6) for i, r in got.items()}
+
+
 def test_urls_use_no_python_worker(spark, urls):
     d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     plan = url_filter.judge(d)._jdf.queryExecution().executedPlan().toString()
